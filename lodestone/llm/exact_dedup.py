@@ -45,7 +45,7 @@ def winners(digests: DataFrame, id_col: str = "__id", digest_col: str = "__diges
         F.explode(F.expr(f"approx_top_k_estimate(__sketch, {CANDIDATES})")).alias("__top")
     )
     candidates = top.select(F.col("__top.item").alias("__key")).where("__key is not null").distinct()
-    total = digests.agg(F.count("*").alias("__rows"))
+    total = digests.count()
     counted = (
         keyed.join(F.broadcast(candidates), "__key", "left_semi")
         .groupBy(digest_col)
@@ -54,9 +54,7 @@ def winners(digests: DataFrame, id_col: str = "__id", digest_col: str = "__diges
             F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__first"),
         )
     )
-    return counted.crossJoin(F.broadcast(total)).where(
-        (F.col("__n") >= 2) & (F.col("__n") * SHARE >= F.col("__rows"))
-    ).select(F.col(digest_col), F.col("__n"), F.col("__first.id").alias("__keep"), F.col("__first.row").alias("__keep_row"))
+    return counted.where((F.col("__n") >= 2) & (F.col("__n") * SHARE >= total)).select(F.col(digest_col), F.col("__n"), F.col("__first.id").alias("__keep"), F.col("__first.row").alias("__keep_row"))
 
 
 def digest_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -20,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import simhash
+
+    return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import sharding
 
@@ -45,6 +51,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
     "op8_pii": op8_pii,
 }
