@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +39,10 @@ class UnitCache(dict):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
+    def all(self, units: list) -> tuple:
+        """The values of all units, in one call."""
+        return itemgetter(*units)(self) if len(units) > 1 else tuple(self[u] for u in units)
+
     def __missing__(self, unit):
         value = self.old.get(unit)
         if value is None:

@@ -26,6 +26,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import packing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import sharding
 
@@ -49,11 +58,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op8_pii": op8_pii,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLES: dict[str, str] = {
