@@ -20,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import media
+
+    return media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import simhash
 
@@ -69,6 +75,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_media": op3_media,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
