@@ -73,6 +73,17 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, network).select(
+        "doc_id", F.coalesce(quality.held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= quality.BAR).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_media": op3_media,
@@ -81,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op8_pii": op8_pii,
     "op9_pieces": op9_pieces,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
