@@ -51,6 +51,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"), ("page_id", "url"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_pieces": op9_pieces,
     "op10_quality": op10_quality,
