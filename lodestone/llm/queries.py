@@ -20,6 +20,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """conversations without their roles: each turn as a speaker would be marked in a transcript, by a style of its
+    conversation; one turn in nine (never a first one) has no marker."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    user = F.when(style == 0, "User: ").when(style == 1, "### Human: ").when(style == 2, "<|user|> ").otherwise("Q: ")
+    assistant = F.when(style == 0, "Assistant: ").when(style == 1, "### Assistant: ").when(style == 2, "<|assistant|> ").otherwise("A: ")
+    system = F.when(style == 2, "<|system|> ").otherwise("System: ")
+    bare = (F.col("turn") > 0) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9)) == 0)
+    mark = F.when(bare, "").when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).when(F.col("role") == "system", system).otherwise("")
+    return conversations.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import chat
+
+    return chat.format_turns(transcripts(table(spark, sf_dir, "conversations")))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import media
 
@@ -92,6 +110,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat": op2_chat,
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
