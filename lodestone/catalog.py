@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import docs_queries, log_queries, rule_queries, search_queries  # noqa: F401
+from lodestone.plans.registry import ORACLES, QUERIES  # noqa: F401
