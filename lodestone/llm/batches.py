@@ -48,8 +48,11 @@ class UnitCache(dict):
         if value is None:
             value = self.make(unit)
         if len(unit) <= self.longest:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = value
+            self.put(unit, value)
         return value
+
+    def put(self, unit, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = value

@@ -24,6 +24,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,22 +45,37 @@ BLOCK = 32
 PRICED = 192
 #: Share of every length's demand that the linear program leaves to the rounding, which so has pieces of all lengths.
 RESERVE = 0.15
-#: Rows of one length and salt that one task ranks, about.
+#: One length and salt, which one task ranks, holds so many rows, or this part of all rows, at most (about).
 SALT_ROWS = 1_000_000
+SHARES = 256
 
 
 # ---------------------------------------------------------------- tokens
 
 
+def _class(ranges: str, major: str) -> str:
+    """The characters of a range list whose Unicode category is of a major class."""
+    among = re.compile(f"[{ranges}]")
+    return "".join(c for c in map(chr, range(0x2100)) if among.match(c) and unicodedata.category(c)[0] == major)
+
+
 class WordIds:
     """Ids by the tokenizers library, remembered per white-space-free chunk of plain text.
 
     The vocabulary's pre-tokenizer never joins across white space and its normaliser works letter by letter on the
-    characters below, so the chunks' ids put together are the text's. Any other text goes to the library whole.
+    characters below, so the chunks' ids put together are the text's. A new chunk is cut by the pre-tokenizer's pattern and
+    its parts go to the library's merge model. Any other text goes to the library whole.
     """
 
     #: Characters for which Python's split() and lower() agree with the vocabulary's normaliser.
-    OTHER = re.compile("[^\t-\r -~¡-įı-ɏ–-„…]")
+    PLAIN = "\t-\r -~¡-įı-ɏ–-„…"
+    OTHER = re.compile(f"[^{PLAIN}]")
+    #: The pre-tokenizer's pattern, with its classes written out for these characters.
+    LETTERS = _class(PLAIN, "L")
+    NUMBERS = _class(PLAIN, "N")
+    #: How byte-level vocabularies write bytes: those that print stand for themselves, the others come after U+0100 in order.
+    BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
     def __init__(self, path: str) -> None:
         import os
@@ -69,10 +85,17 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.chunks = UnitCache(self._ids)
+        self.model = self.library.model
+        self.chunks = UnitCache(self._chunk, limit=300_000)
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids: list[int] = []
+        for part in self.PARTS.findall(chunk):
+            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.BYTES))]
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -298,7 +321,8 @@ def place(rows: DataFrame, histogram: dict[int, int], capacity: int = CAPACITY)
 
     The table of spots has a row per slot of a configuration: its size follows the number of lengths, not of rows.
     """
-    salts = max(1, -(-max(histogram.values(), default=0) // SALT_ROWS))
+    most = max(histogram.values(), default=0)
+    salts = max(1, -(-most // SALT_ROWS), -(-SHARES * most // max(1, sum(histogram.values()))))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")).select(
