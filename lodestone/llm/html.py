@@ -3,7 +3,7 @@
 A page becomes a row of tokens: words score positive, tags negative. The weights come from labelled pages: a small set
 of pages written for this purpose, with their content marked, from which log odds are estimated per class of token
 (``fit_weights``). One linear scan finds the contiguous region with the highest sum; its ends are then moved outward
-over the block they stand in. What can't be content wherever it stands - scripts, styles, menus, headers, footers,
+over the block they stand in, and over a title just before it. What can't be content wherever it stands - scripts, styles, menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments - is known by element or by a name in its class, id or role; such
 parts give no words, and score as a whole by what they are, so that an advert inside an article doesn't end it.
 
@@ -39,17 +39,19 @@ BLOCKS = set(
     "thead title tr ul".split()
 )
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-NEVER = RAW | set("head nav footer aside form button select svg canvas object audio video dialog menu input label fieldset math map datalist".split())
+NEVER = RAW | set("head nav footer aside form button select svg canvas object audio video dialog menu input label fieldset datalist".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "hr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|side|"
+    r"(?:^|[\s_-])(?:ads?|adsby\w*|adslot|adbox|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|side|"
     r"aside|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|"
     r"related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|toolbar|pagination|pager|widget\w*|skip|"
     r"copyright|legal|disclaimer|tags?|paywall|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Names of an article's own head, which holds its title.
+OWN_HEAD = re.compile(r"(?:article|post|entry|story|content)[_-]?header", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -63,8 +65,6 @@ class Node:
     name: str
     hidden: bool
     marked: int  # number of the article or main element that it's in, or 0
-    end_hidden: bool = False
-    heading: bool = False
 
 
 @dataclass
@@ -77,6 +77,7 @@ class Item:
     marked: int = 0
     linked: bool = False
     block: int = 0
+    heading: bool = False
 
 
 @dataclass
@@ -105,7 +106,7 @@ def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> boo
     if name in ("article", "main", "body", "html"):
         # Comments are often articles of their own.
         return name == "article" and bool(re.search(r"comment|reply", attributes.get("class", "") + " " + attributes.get("id", ""), re.I))
-    return any(NAMES.search(attributes.get(k, "")) for k in ("class", "id"))
+    return any(NAMES.search(OWN_HEAD.sub("head", attributes[k])) for k in ("class", "id") if k in attributes)
 
 
 def tokens(html: str) -> Page:
@@ -124,7 +125,8 @@ def tokens(html: str) -> Page:
                 n = len(text.split())
                 marked = top.marked if top else 0
                 linked = any(s.name == "a" for s in stack[-4:])
-                page.items.append(Item("words", text, n, marked, linked, block))
+                heading = any(s.name in ("h1", "h2") for s in stack[-4:])
+                page.items.append(Item("words", text, n, marked, linked, block, heading))
                 if n:
                     page.words_in[marked] = page.words_in.get(marked, 0) + n
             continue
@@ -198,6 +200,12 @@ LABELLED = [
     "<div><span>Menu</span></div><div><div><a href=k>Start</a> <a href=l>List</a></div></div>⟦<h2>Notes on bread</h2><p>Flour, water, salt and time: "
     "the last is the one that people leave out.</p><blockquote>A loaf is done when it sounds hollow.</blockquote><p>So wait, then listen<br>and only "
     "then cut.</p>⟧<div><div><a href=o>More</a></div><div><a href=p>Terms</a></div></div>",
+    "<div><div>Welcome to the river club</div><div>Open every day but Monday</div></div><div>⟦<h1>The lock was mended</h1><p>For three weeks nothing "
+    "passed the lower gate, and the boats lay two deep along the wall.</p><p>On Friday the water rose again.</p>⟧</div><div><div>The club was founded by "
+    "nine friends in a hard winter</div><div>Write to us at the lock house</div></div><div><div>Weather</div><div>Light wind, some rain later</div></div>",
+    "<table><tr><td>Latest</td><td>Most read</td><td>Opinion</td></tr></table><div><div>You are reading the free edition</div></div>⟦<h2>Apples</h2><p>"
+    "The early ones don't keep; eat them by October, or press them.</p><p>Late ones need a cool room and <i>air</i>.</p>⟧<div><div>Also in this issue: "
+    "pears, plums, and a word on wasps</div><div>Three letters from readers on last month's hedge</div></div><div>Printed and bound in the valley</div>",
 ]
 CLASSES = ["word", "linked word", "prose tag", "inline tag", "list tag", "other tag", "part"]
 
@@ -256,6 +264,10 @@ def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
     first, end = best_region(scores)
     if first == end:
         return ""
+    # A title that only tags part from the region belongs to it.
+    before = next((k for k in range(first - 1, -1, -1) if items[k].words), None)
+    if before is not None and items[before].heading and not items[before].linked:
+        first = before
     while first > 0 and items[first - 1].block == items[first].block:
         first -= 1
     while end < len(items) and items[end].block == items[end - 1].block:

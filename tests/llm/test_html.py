@@ -39,6 +39,11 @@ def test_best_region_is_the_maximum():
         assert sum(s[a:b]) == max([0, *[sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1)]])
 
 
+def test_title_in_a_head_of_its_own():
+    page = "<body><div>Menu</div><div class='post'><div class='post-header'><h1>The title</h1></div><div><p>{}</p></div></div></body>"
+    assert html.main_text(page.format("word " * 30)) == "The title\n\n" + " ".join(["word"] * 30)
+
+
 def test_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>only a menu</nav>") == ""
     assert html.main_text("just words, no tags &lt; &am") == "just words, no tags < &am"
