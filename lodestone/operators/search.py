@@ -67,11 +67,11 @@ def bm25_list(docs: DataFrame, query: str, n: int = CANDIDATES) -> DataFrame:
     words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     if not words:
         return docs.withColumn("bm25", F.lit(0.0)).limit(0)
-    tokens = docs.withColumn("__t", T.tokens(F.col("text")))
-    counted = tokens.select(
-        *docs.columns, F.size("__t").cast("double").alias("__len"),
-        # What array_remove takes away is the count: no function runs per token.
-        *[(F.size("__t") - F.size(F.array_remove("__t", w))).cast("double").alias(f"__tf{i}") for i, w in enumerate(words)],
+    # Runs of letters and digits are counted in place: no array of tokens is made.
+    low = F.lower("text")
+    counted = docs.select(
+        *docs.columns, F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("__len"),
+        *[F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")).cast("double").alias(f"__tf{i}") for i, w in enumerate(words)],
     )
     totals = counted.agg(
         F.count("*").cast("double").alias("__n"), F.avg("__len").alias("__avg"),
