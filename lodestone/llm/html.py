@@ -7,8 +7,9 @@ over the block they stand in, and over a title just before it. What can't be con
 sidebars, notices, adverts, forms, reader comments - is known by element or by a name in its class, id or role; such
 parts give no words, and score as a whole by what they are, so that an advert inside an article doesn't end it.
 
-Where a page marks its article (article, main or the roles of these), the scan stays within the marked element with the
-most words outside such parts.
+Where a page marks its content (article, main or the roles of these), the mark is a feature of the scores: tags within a
+marked element, and those of the element itself, and words outside of all such elements are classes of their own. The
+scan decides on every page, so nested and neighbouring marked elements can share a region.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are trimmed, and joined in
 page order by two line feeds; nothing is cut or dropped.
@@ -64,7 +65,7 @@ class Node:
 
     name: str
     hidden: bool
-    marked: int  # number of the article or main element that it's in, or 0
+    marked: bool  # in an article or main element, or one itself
 
 
 @dataclass
@@ -74,7 +75,7 @@ class Item:
     kind: str
     text: str = ""
     words: int = 0
-    marked: int = 0
+    marked: bool = False
     linked: bool = False
     block: int = 0
     heading: bool = False
@@ -83,7 +84,7 @@ class Item:
 @dataclass
 class Page:
     items: list[Item] = field(default_factory=list)
-    words_in: dict[int, int] = field(default_factory=dict)
+    marked: bool = False  # has words in an article or main element
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -111,7 +112,7 @@ def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> boo
 
 def tokens(html: str) -> Page:
     """Items of a page in order. Time and memory follow its length."""
-    page, stack, block, articles = Page(), [], 0, 0
+    page, stack, block = Page(), [], 0
     at, stop = 0, len(html)
     find = TOKEN.match
     while at < stop:
@@ -123,19 +124,18 @@ def tokens(html: str) -> Page:
             if top is None or not top.hidden:
                 text = entities.unescape(piece)
                 n = len(text.split())
-                marked = top.marked if top else 0
+                marked = top.marked if top else False
                 linked = any(s.name == "a" for s in stack[-4:])
                 heading = any(s.name in ("h1", "h2") for s in stack[-4:])
                 page.items.append(Item("words", text, n, marked, linked, block, heading))
-                if n:
-                    page.words_in[marked] = page.words_in.get(marked, 0) + n
+                page.marked = page.marked or marked and n > 0
             continue
         if piece.startswith(("<!", "<?")):
             continue
         tag = TAG.match(piece)
         closing, name = tag[1], tag[2].lower()
         hidden = top.hidden if top else False
-        marked = top.marked if top else 0
+        marked = top.marked if top else False
         if name in BLOCKS:
             block += 1
         if closing:
@@ -145,18 +145,16 @@ def tokens(html: str) -> Page:
                 del stack[depth:]
                 outer = stack[-1] if stack else None
                 if not (outer.hidden if outer else False):
-                    page.items.append(Item("part" if was.hidden else "/" + name, "", 0, outer.marked if outer else 0, block=block))
+                    page.items.append(Item("part" if was.hidden else "/" + name, "", 0, was.marked, block=block))
             continue
         attributes = _attributes(piece[tag.end() :].rstrip("/>")) if "=" in piece or name == "div" or " hidden" in piece else {}
         while stack and name in CLOSES and stack[-1].name in CLOSES[name]:
             stack.pop()
             hidden = stack[-1].hidden if stack else False
-            marked = stack[-1].marked if stack else 0
-        bad = hidden or _boilerplate(name, attributes, bool(marked))
+            marked = stack[-1].marked if stack else False
+        bad = hidden or _boilerplate(name, attributes, marked)
         if not bad and (name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")) and name not in VOID:
-            articles += 1
-            if not marked or name == "article":
-                marked = articles
+            marked = True
         if not bad:
             page.items.append(Item(name, " " if name in SPACED else "", 0, marked, block=block))
         if name in VOID or piece.endswith("/>") and name not in RAW:
@@ -173,10 +171,11 @@ def tokens(html: str) -> Page:
 # ---------------------------------------------------------------- weights
 
 
-def token_class(item: Item) -> str:
-    """What a token counts as: words (in links or not), tags that carry prose, hidden parts, and all other tags."""
+def token_class(item: Item, marked: bool = False) -> str:
+    """What a token counts as: words (in links, beside the marked elements of a marked page, or neither), tags that carry
+    prose, hidden parts, other tags of marked elements, and all other tags."""
     if item.kind == "words":
-        return "linked word" if item.linked else "word"
+        return "linked word" if item.linked else "word beside" if marked and not item.marked else "word"
     if item.kind == "part":
         return "part"
     name = item.kind.lstrip("/")
@@ -184,6 +183,8 @@ def token_class(item: Item) -> str:
         return "prose tag"
     if name in ("b", "i", "em", "strong", "code", "br", "sup", "sub", "span", "u", "s", "small", "q", "cite", "abbr", "mark", "time", "wbr", "img"):
         return "inline tag"
+    if item.marked:
+        return "marked tag"
     if name in ("li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "figure", "a"):
         return "list tag"
     return "other tag"
@@ -206,8 +207,13 @@ LABELLED = [
     "<table><tr><td>Latest</td><td>Most read</td><td>Opinion</td></tr></table><div><div>You are reading the free edition</div></div>⟦<h2>Apples</h2><p>"
     "The early ones don't keep; eat them by October, or press them.</p><p>Late ones need a cool room and <i>air</i>.</p>⟧<div><div>Also in this issue: "
     "pears, plums, and a word on wasps</div><div>Three letters from readers on last month's hedge</div></div><div>Printed and bound in the valley</div>",
+    "<body><div>The paper of the upper valley, every Thursday</div><div>⟦<main><h1>Snow on the pass</h1><article><p>The road was shut at four, and the bus "
+    "turned round at the inn.</p><ul><li>Chains are sold at the garage.</li><li>Rooms are free above the bakery.</li></ul></article></main>⟧</div><div>"
+    "Also read: the old bridge, and who pays for it</div></body>",
+    "<body><div>Today in short: <article><h3>Eggs are dearer</h3></article></div><div>⟦<h1>How the mill was saved</h1><p>Nobody had asked the miller, who had "
+    "a plan in a drawer, and the money to go with it.</p><p>It took one evening.</p>⟧</div><div>Printed in the mill house</div></body>",
 ]
-CLASSES = ["word", "linked word", "prose tag", "inline tag", "list tag", "other tag", "part"]
+CLASSES = ["word", "linked word", "word beside", "marked tag", "prose tag", "inline tag", "list tag", "other tag", "part"]
 
 
 def fit_weights(pages: list[str]) -> dict[str, float]:
@@ -218,13 +224,13 @@ def fit_weights(pages: list[str]) -> dict[str, float]:
     inside = dict.fromkeys(CLASSES, 1.0)
     outside = dict.fromkeys(CLASSES, 1.0)
     for page in pages:
-        within = False
+        within, marked = False, tokens(page).marked
         for part in re.split("([⟦⟧])", page):
             if part in "⟦⟧" and part:
                 within = part == "⟦"
                 continue
             for item in tokens(part).items:
-                (inside if within else outside)[token_class(item)] += item.words if item.kind == "words" else 1
+                (inside if within else outside)[token_class(item, marked)] += item.words if item.kind == "words" else 1
     total_in, total_out = sum(inside.values()), sum(outside.values())
     out = {}
     for name in CLASSES:
@@ -254,13 +260,7 @@ def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
     weights = weights or WEIGHTS
     page = tokens(html or "")
     items = page.items
-    marked = {k: n for k, n in page.words_in.items() if k}
-    if marked:
-        most = max(marked, key=lambda k: (marked[k], -k))
-        items = [i for i in items if i.marked == most]
-    scores = [weights[token_class(i)] * (i.words if i.kind == "words" else 1) for i in items]
-    if marked:  # the page itself says where the content is: its tags don't end it
-        scores = [max(s, 0.0) for s in scores]
+    scores = [weights[token_class(i, page.marked)] * (i.words if i.kind == "words" else 1) for i in items]
     first, end = best_region(scores)
     if first == end:
         return ""

@@ -44,6 +44,17 @@ def test_title_in_a_head_of_its_own():
     assert html.main_text(page.format("word " * 30)) == "The title\n\n" + " ".join(["word"] * 30)
 
 
+def test_the_scan_decides_on_marked_pages():
+    one, two = " ".join(["one"] * 12), " ".join(["two"] * 30)
+    assert html.main_text(f"<body><main><h1>Title</h1><article><p>{two}</p></article></main></body>") == f"Title\n\n{two}"
+    assert html.main_text(f"<body><article><p>{one}</p></article><article><p>{two}</p></article></body>") == f"{one}\n\n{two}"
+    assert html.main_text(f"<article><p>{one}</p><article><p>{two}</p></article><p>{one}</p></article>") == f"{one}\n\n{two}\n\n{one}"
+    assert html.main_text(f"<body><div><article><p>Short note</p></article></div><div><p>{two * 9}</p></div></body>") == two * 9
+    assert html.main_text(f"<body><div>{one}</div><article><p>{two}</p></article><div>{one}</div></body>") == two
+    links = "<div><ul>" + "<li><a href=x>more of this</a></li>" * 9 + "</ul></div>"
+    assert html.main_text(f"<div>{links}<div><p>{two}</p></div><article><p>{two}</p></article></div>", html.WEIGHTS | {"word beside": 1.0}) == f"{two}\n\n{two}"
+
+
 def test_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>only a menu</nav>") == ""
     assert html.main_text("just words, no tags &lt; &am") == "just words, no tags < &am"
