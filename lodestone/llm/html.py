@@ -113,6 +113,7 @@ def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> boo
 def tokens(html: str) -> Page:
     """Items of a page in order. Time and memory follow its length."""
     page, stack, block = Page(), [], 0
+    opened: dict[str, list[int]] = {}  # by name, where in the stack its open elements are
     at, stop = 0, len(html)
     find = TOKEN.match
     while at < stop:
@@ -139,9 +140,11 @@ def tokens(html: str) -> Page:
         if name in BLOCKS:
             block += 1
         if closing:
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1) if stack[k].name == name), -1)
-            if depth >= 0:
+            if opened.get(name):
+                depth = opened[name][-1]
                 was = stack[depth]
+                for node in stack[depth:]:
+                    opened[node.name].pop()
                 del stack[depth:]
                 outer = stack[-1] if stack else None
                 if not (outer.hidden if outer else False):
@@ -149,7 +152,7 @@ def tokens(html: str) -> Page:
             continue
         attributes = _attributes(piece[tag.end() :].rstrip("/>")) if "=" in piece or name == "div" or " hidden" in piece else {}
         while stack and name in CLOSES and stack[-1].name in CLOSES[name]:
-            stack.pop()
+            opened[stack.pop().name].pop()
             hidden = stack[-1].hidden if stack else False
             marked = stack[-1].marked if stack else False
         bad = hidden or _boilerplate(name, attributes, marked)
@@ -161,6 +164,7 @@ def tokens(html: str) -> Page:
             if name in BLOCKS:
                 block += 1
             continue
+        opened.setdefault(name, []).append(len(stack))
         stack.append(Node(name, bad, marked))
         if name in RAW:  # nothing in it is markup but its own end
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(html, at)

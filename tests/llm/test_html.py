@@ -55,6 +55,14 @@ def test_the_scan_decides_on_marked_pages():
     assert html.main_text(f"<div>{links}<div><p>{two}</p></div><article><p>{two}</p></article></div>", html.WEIGHTS | {"word beside": 1.0}) == f"{two}\n\n{two}"
 
 
+def test_closing_tags_find_openers_at_any_depth():
+    text = " ".join(["word"] * 20)
+    for depth in (10, 63, 64, 5000):
+        left_open = "<b>" * depth
+        assert html.main_text(f"<body><div class='sidebar'>{left_open}hidden words</div><article><p>{text}</p></article></body>") == text
+        assert html.main_text(f"<body><article><p>{text}{left_open}</p></article><div>After it</div></body>") == text
+
+
 def test_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>only a menu</nav>") == ""
     assert html.main_text("just words, no tags &lt; &am") == "just words, no tags < &am"
