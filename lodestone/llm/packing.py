@@ -6,11 +6,12 @@ CAPACITY numbers, whatever the input), which is collected to the driver.
 1. A configuration is a multiset of lengths that fits a sequence. The linear program asks for amounts of configurations
    that cover the histogram with the fewest sequences.
 2. It's solved by multiplicative weights: every length has a weight, its price is the weight over its demand, and a
-   knapsack dynamic program over the capacity finds the configuration of the highest total price. That configuration
-   is taken as far as a share of the demand it serves allows, and the weights of the lengths it served shrink by the
-   share they got. Prices hold a small term for the tokens filled, so that of equally priced ones the fuller is taken.
-3. Amounts are rounded down; what they don't cover is closed by best fit, in counts per length, into the open
-   configurations and new ones. The program leaves a reserve of every length for this.
+   knapsack dynamic program over the capacity finds, for each length, the configuration of the highest total price that
+   holds it. These are taken as far as a share of the demand they serve allows, and the weights of the lengths they
+   served shrink by the share they got. Prices hold a small term for the tokens filled, so that of equally priced ones
+   the fuller is taken. Rounds go on until every length is down to a reserve.
+3. Amounts are whole; the reserve is closed by best fit, in counts per length, into the configurations with room and new
+   ones.
 4. Pieces get a rank within their length (counted over salts, so a length that holds a third of all pieces is never in
    one task), and a table from length and rank to sequence and offset places each.
 
@@ -37,9 +38,8 @@ from lodestone.session import materialised, ship_package
 
 CAPACITY = 4096
 END_ID = 1
-#: Share of the least remaining demand that one pricing round takes, and the most rounds.
+#: Share of the least remaining demand that one configuration takes.
 STEP = 0.5
-ROUNDS = 400
 #: Capacities that the dynamic program fills in one step, and lengths that take part in one round at most (all in turn).
 BLOCK = 32
 PRICED = 192
@@ -149,8 +149,8 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- configurations
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths (ascending) within the capacity of the highest total value, by unbounded knapsack.
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every capacity the highest total value of a multiset of lengths (ascending), and its last length or -1 for a gap.
 
     Capacities are filled in blocks: lengths of a block or more only look back before it, so a block is one array step.
     """
@@ -175,6 +175,11 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, i
                     best[c], last[c] = total[k], k
             if best[c - 1] >= best[c]:
                 best[c], last[c] = best[c - 1], -1
+    return best, last
+
+
+def traced(lengths: np.ndarray, last: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset that the table holds for a capacity."""
     out: dict[int, int] = {}
     c = capacity
     while c > 0:
@@ -187,36 +192,75 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, i
     return out
 
 
+def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths (ascending) within the capacity of the highest total value, by unbounded knapsack."""
+    return traced(lengths, knapsack(lengths, values, capacity)[1], capacity)
+
+
+def within(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, last: np.ndarray, stock: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """The multiset that holds a length and follows the table from there; a length out of stock gives way to the best that isn't."""
+    out = {first: 1}
+    c = capacity - int(lengths[first])
+    while c > 0:
+        k = int(last[c])
+        if k < 0:
+            c -= 1
+            continue
+        if out.get(k, 0) >= stock[k]:
+            free = stock > 0
+            free[[x for x, n in out.items() if n >= stock[x]]] = False
+            free &= lengths <= c
+            if not free.any():
+                break
+            k = int(np.where(free, values + best[np.maximum(c - lengths, 0)], -1.0).argmax())
+        out[k] = out.get(k, 0) + 1
+        c -= int(lengths[k])
+    return out
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], float]]:
-    """Fractional amounts of configurations that serve the histogram, by multiplicative weights.
+    """Whole amounts of configurations that serve the histogram down to its reserve, by multiplicative weights.
 
-    A length that a configuration would use more often than it's still there is left to the rounding.
+    One pricing gives, for every length that takes part, the best configuration that holds it and asks for no more than is
+    open. They are taken best first, each as far as a share of its scarcest length allows. A configuration that isn't full
+    waits until no length takes part in a full one; the room it may leave grows until something is taken. So the rounds end
+    when each length is down to its reserve, and not before.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
+    demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    reserve = np.floor(RESERVE * demand).astype(np.int64)
     left = demand.copy()
     weight = np.ones(len(lengths))
     out: list[tuple[dict[int, int], float]] = []
-    for turn in range(ROUNDS):
-        open_ = np.flatnonzero(left >= np.maximum(1, RESERVE * demand))
-        if not len(open_):
-            break
+    turn, idle, room = 0, 0, 0
+    while len(open_ := np.flatnonzero(left > reserve)):
         apart = -(-len(open_) // PRICED)
         open_ = open_[turn % apart :: apart]
+        turn += 1
         # Long pieces have the fewest partners: a price per token that grows with the length uses them up in time.
-        fill = lengths[open_] / capacity
+        own = lengths[open_]
+        fill = own / capacity
         values = fill * (1 + 0.05 * weight[open_] * left[open_] / demand[open_] + 0.3 * fill)
-        chosen = {int(open_[k]): n for k, n in price(lengths[open_], values, capacity).items()}
-        scarce = [k for k, n in chosen.items() if left[k] < n]
-        if scarce:
-            left[scarce] = 0
-            continue
-        most = min(left[k] / n for k, n in chosen.items())
-        amount = most * STEP if most > 2 else float(math.floor(most))
-        for k, n in chosen.items():
-            left[k] -= n * amount
-            weight[k] *= max(1e-6, 1 - n * amount / demand[k])
-        out.append(({int(lengths[k]): n for k, n in chosen.items()}, amount))
+        best, last = knapsack(own, values, capacity)
+        worth = values + best[capacity - own]
+        stock = left[open_] - reserve[open_]
+        taken = False
+        for first in np.argsort(-worth, kind="stable").tolist():
+            if not stock[first]:
+                continue
+            chosen = within(own, values, best, last, stock, first, capacity)
+            if sum(int(own[k]) * n for k, n in chosen.items()) < capacity - room:
+                continue
+            amount = min(min(int(stock[k]) // n, max(1, int(left[open_[k]] * STEP) // n)) for k, n in chosen.items())
+            for k, n in chosen.items():
+                stock[k] -= n * amount
+                left[open_[k]] -= n * amount
+                weight[open_[k]] *= max(1e-6, 1 - n * amount / demand[open_[k]])
+            out.append(({int(own[k]): n for k, n in chosen.items()}, float(amount)))
+            taken = True
+        idle = 0 if taken else idle + 1
+        if idle >= apart:
+            idle, room = 0, max(1, 2 * room)
     return out
 
 

@@ -63,6 +63,19 @@ def test_large_histogram_is_near_the_bound():
     assert sum(n for _, n in packing.pack(case)) <= 1.005 * sum(x * n for x, n in case.items()) / 4096
 
 
+@pytest.mark.parametrize(("documents", "times"), [(600, 1), (600, 40), (20000, 300)])
+def test_program_serves_all_but_the_reserve(documents, times):
+    rng = random.Random(5)
+    case = Counter(min(4095, int(rng.lognormvariate(6.4, 1)) + 1) for _ in range(documents))
+    case = {x: n * times for x, n in case.items()}
+    held = Counter()
+    for chosen, amount in packing.solve(case):
+        assert sum(x * n for x, n in chosen.items()) <= 4096 and amount >= 1 and amount == int(amount)
+        for x, n in chosen.items():
+            held[x] += n * int(amount)
+    assert all(n - math.floor(packing.RESERVE * n) <= held[x] <= n for x, n in case.items())
+
+
 def check(rows, texts, library):
     by_doc, by_sequence = {}, {}
     for r in rows:
