@@ -114,7 +114,7 @@ def ivf_search(spark, sf):
     vectors = _vectors(spark, sf)
     assigned, centres = S.ivf_assign(vectors, S.ivf_cells(vectors.count()))
     target = [float(x) for x in _query(spark, sf).first()["q"]]
-    return S.ivf_search(assigned, centres, target, max(1, len(centres) // 2), S.CANDIDATES)
+    return S.ivf_exact(assigned, centres, target, S.CANDIDATES)
 
 
 @query(full() + """, c AS (SELECT DISTINCT source FROM docs) SELECT base, place FROM (

@@ -66,6 +66,28 @@ def test_inverted_file_with_all_cells_is_exact(spark):
     assert len(some & {v for v, _ in everything[:10]}) >= 9
 
 
+def test_inverted_file_query_loses_no_neighbour(spark):
+    import numpy as np
+
+    from lodestone.plans import search_queries
+
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nearest = lambda q: set(ids[np.lexsort((ids, np.round(1 - x @ x[q], 6)))[:120]].tolist())
+    assert {r.vec_id for r in search_queries.ivf_search(spark, sf).collect()} == nearest(int(np.flatnonzero(ids == 7)[0]))
+    assigned, centres = search.ivf_assign(vectors, search.ivf_cells(len(rows)))
+    for q in np.flatnonzero(ids % 50 == 0).tolist():
+        got = {r.vec_id for r in search.ivf_exact(assigned, centres, [float(v) for v in rows[q].embedding], 120).collect()}
+        assert got == nearest(q), ids[q]
+    tight = spark.createDataFrame([(i, [1.0, i / 1e4] if i < 200 else [-1.0, i / 1e4]) for i in range(400)], "vec_id long, embedding array<float>")
+    assigned, centres = search.ivf_assign(tight, 64)
+    assert [r.vec_id for r in search.ivf_exact(assigned, centres, [1.0, 0.0], 3).collect()] == [0, 1, 2]
+    assert search.ivf_exact(assigned, centres, [1.0, 0.0], 500).count() == 400
+
+
 def test_batch_duplicates_are_greedy(spark):
     rows = [
         ("b", "1", "s1", "m1", "f1"), ("b", "2", "s1", "m1", "f1"), ("b", "3", "s3", "m1", "f9"), ("b", "4", "s4", None, "f9"),
