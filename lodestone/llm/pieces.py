@@ -8,8 +8,8 @@ No piece holds U+2581 after another character, and characters that occur in no l
 cut there into units that can't affect each other, and a unit's ids are remembered (bounded, speed only). Whether a
 vocabulary allows these cuts is read from it; one that doesn't is encoded in one piece.
 
-Check: in every Arrow batch each unit encoded anew is encoded by the sentencepiece library as well, and the library
-decodes the ids of every text; a text with any difference is marked in ``agrees``.
+Check: the sentencepiece library encodes every text whole as well, and decodes the ids of every text. A text with any
+difference is marked in ``agrees``; where the ids differ, the library's are returned.
 
 Defined results: null counts as empty (begin and end ids only); equal rows give equal results; a very long text is one
 text like any other; an empty table gives an empty result.
@@ -162,16 +162,17 @@ def _round_trip(path: str, keep_ids: bool):
         m = model(path)
         for part, texts in slices(batches, "__text"):
             blobs = [m.encode(t) for t in texts]
-            wrong = m.wrong_units()
-            bad = {k for k, t in enumerate(texts) if wrong and not wrong.isdisjoint(m.unit.findall(SPACE + t.replace(" ", SPACE)))}
-            lists = [array("I", b).tolist() for b in blobs]
+            m.fresh.clear()
+            lists = m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+            given = [array("I", ids).tobytes() for ids in lists]
+            bad = {k for k, (a, b) in enumerate(zip(blobs, given, strict=True)) if a != b}
             own = [m.decode(ids) for ids in lists]
             theirs = m.library.decode(lists, num_threads=1)
             sha = lambda x: hashlib.sha256(x).hexdigest()
             columns = [
                 part.column(0),
                 pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([sha(b) for b in blobs]),
+                pa.array([sha(b) for b in given]),
                 pa.array([sha(t.encode("utf-8", "replace")) for t in own]),
                 pa.array([k not in bad and a == b for k, (a, b) in enumerate(zip(own, theirs, strict=True))]),
             ]

@@ -43,6 +43,21 @@ def test_a_wrong_unit_is_seen():
     assert model.wrong_units() == {"▁the"}
 
 
+def test_wrong_ids_are_marked_and_replaced_in_every_slice(library, monkeypatch):
+    import pyarrow as pa
+
+    model = pieces.PieceModel(PATH)
+    model.rank.pop("▁the")
+    monkeypatch.setitem(pieces._MODELS, PATH, model)
+    texts = ["the end", "no such word", "by the sea", ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["__id", "__text"]) for k, t in enumerate(texts)]
+    got = [row for b in pieces._round_trip(PATH, True)(iter(batches)) for row in b.to_pylist()]
+    assert [row["agrees"] for row in got] == [False, True, False, True]
+    for row, text in zip(got, texts, strict=True):
+        assert row["ids"] == library.encode(text, add_bos=True, add_eos=True)
+        assert (row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]) == expected(library, text)
+
+
 def test_query(spark, library):
     from lodestone.llm.queries import op9_pieces
 
