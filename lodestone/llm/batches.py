@@ -51,6 +51,13 @@ class UnitCache(dict):
             self.put(unit, value)
         return value
 
+    def known(self, unit):
+        """The value if it's still held, else None."""
+        value = self.get(unit)
+        if value is None and (value := self.old.get(unit)) is not None:
+            self.put(unit, value)
+        return value
+
     def put(self, unit, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)

@@ -2,7 +2,8 @@
 
 A text becomes symbols (one per character, spaces as U+2581, one such in front); the agenda holds every adjacent pair
 that is a piece, best score first and leftmost first among equals; the top pair is merged while both its symbols are
-still there, and its new neighbours join the agenda. Symbols that are no piece become bytes.
+still there, and its new neighbours join the agenda. Symbols that are no piece become bytes. Short units that are new to
+a slice of an Arrow batch have their agendas worked off side by side, the top pair of each in a round.
 
 No piece holds U+2581 after another character, and characters that occur in no longer piece never merge, so a text is
 cut there into units that can't affect each other, and a unit's ids are remembered (bounded, speed only). Whether a
@@ -19,10 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,14 @@ from lodestone.llm.batches import UnitCache, slices
 from lodestone.session import ship_package
 
 SPACE = "▁"
+#: Words whose ids are remembered (twice as many at most), and how many new ones, of which length at most, are merged side
+#: by side; speed only.
+WORDS = 500_000
+AT_ONCE = 4_096
+WIDE = 32
+#: Order of two symbols that form no piece, and the first symbol that stands for a character which is no piece.
+NO_PAIR = 1 << 40
+UNKNOWN = 1 << 24
 
 
 class PieceModel:
@@ -61,8 +74,10 @@ class PieceModel:
         self.cuts = not any(SPACE in p[1:] and p.strip(SPACE) for p in longer)
         alone = "" if "\n" in joined else "\n"
         self.unit = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "") if self.cuts else r"(?s).+")
-        self.fresh: list[str] = []
+        self.line_feed = bool(alone)
         self.units = UnitCache(self._unit)
+        self.words = UnitCache(self._word, limit=WORDS)
+        self._pairs()
 
     def merge(self, unit: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece."""
@@ -100,7 +115,6 @@ class PieceModel:
         return [s for s in symbols if s is not None]
 
     def _unit(self, unit: str) -> bytes:
-        self.fresh.append(unit)
         out = []
         for symbol in self.merge(unit):
             i = self.ids.get(symbol)
@@ -116,32 +130,106 @@ class PieceModel:
         ids = b"".join(self.units.all(self.unit.findall(body)))
         return self.bos.to_bytes(4, "little") + ids + self.eos.to_bytes(4, "little")
 
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between two spaces, with the space before it; a line feed stands for itself."""
+        return b"".join(map(self._unit, self.unit.findall(word if word[0] == "\n" else SPACE + word)))
+
+    def merge_all(self, units: list[str]) -> list[bytes]:
+        """_unit() of many units side by side: a round takes the top pair of every unit's agenda.
+
+        The agendas are the rows of a matrix with the order of each adjacent pair; a unit without a pair is done.
+        """
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        width = int(sizes.max(initial=1))
+        symbols = np.full((len(units), width), -1, np.int64)
+        symbols[np.arange(width) < sizes[:, None]] = self.alphabet[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        done = np.full((len(units), width), -1, np.int64)
+        rows = np.arange(len(units))
+        agenda = self._order(symbols[:, :-1], symbols[:, 1:])[0]
+        while symbols.shape[1] > 1 and len(rows):
+            at = agenda.argmin(axis=1)  # the leftmost of equals
+            live = agenda[np.arange(len(rows)), at] < NO_PAIR
+            if not live.all():
+                done[rows[~live], : symbols.shape[1]] = symbols[~live]
+                rows, symbols, agenda, at = rows[live], symbols[live], agenda[live], at[live]
+            k = np.arange(len(rows))
+            merged = self._order(symbols[k, at], symbols[k, at + 1])[1]
+            on = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, on + (on > at[:, None]), 1)
+            symbols[k, at] = merged
+            agenda = np.take_along_axis(agenda, on[:-1] + (on[:-1] >= at[:, None]), 1)
+            for side in (at - 1, at):
+                near = np.flatnonzero((side >= 0) & (side < agenda.shape[1]))
+                i = side[near]
+                agenda[near, i] = self._order(symbols[near, i], symbols[near, i + 1])[0]
+        done[rows, : symbols.shape[1]] = symbols
+        kept = done >= 0
+        flat, ends = done[kept], np.cumsum(kept.sum(axis=1)).tolist()
+        if (flat >= UNKNOWN).any():
+            parts = [[self.byte_ids[b] for b in chr(x - UNKNOWN).encode("utf-8", "surrogatepass")] if x >= UNKNOWN else [x] for x in flat.tolist()]
+            return [array("I", chain.from_iterable(parts[i:j])).tobytes() for i, j in zip([0, *ends], ends)]
+        blob = flat.astype("<u4").tobytes()
+        return [blob[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+
+    def _order(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of adjacent symbols: the order of the piece they form (NO_PAIR if none), and the piece."""
+        key = left * (2 * UNKNOWN) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_order[at], NO_PAIR), self.pair_piece[at]
+
+    def _pairs(self) -> None:
+        """All two pieces that form a piece, and each character's symbol (UNKNOWN and its code for those that are no piece)."""
+        self.alphabet = np.arange(0x110000) + UNKNOWN
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.alphabet[ord(piece)] = i
+        symbol = lambda part: self.ids.get(part, UNKNOWN + ord(part) if len(part) == 1 else None)
+        scores = {score: k for k, score in enumerate(sorted({score for score, _ in self.rank.values()}))}
+        rows = []
+        for piece, (score, i) in self.rank.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol(piece[:cut]), symbol(piece[cut:])
+                if left is not None and right is not None:
+                    rows.append((left * (2 * UNKNOWN) + right, scores[score], i))
+        table = np.array(sorted(rows) or [(-1, NO_PAIR, 0)], dtype=np.int64)
+        self.pairs, self.pair_order, self.pair_piece = (np.ascontiguousarray(table[:, k]) for k in range(3))
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """_word() of distinct words: those remembered, then all short new ones side by side."""
+        found = [self.words.known(w) for w in words]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        side = sorted((k for k in new if len(words[k]) < WIDE and "\n" not in words[k]), key=lambda k: len(words[k]))
+        for at in range(0, len(side), AT_ONCE):
+            some = side[at : at + AT_ONCE]
+            for k, ids in zip(some, self.merge_all([SPACE + words[k] for k in some]), strict=True):
+                found[k] = ids
+                self.words.put(words[k], ids)
+        return [self.words[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of every text.
+
+        Where spaces stand alone the words of all texts are told apart in Arrow, and each distinct one is looked up once.
+        """
+        if not self.cuts or not self.line_feed:
+            return [self.encode(t) for t in texts.to_pylist()]
+        spread = pc.replace_substring(texts, "\n", " \n")
+        odd = pc.match_substring_regex(spread, f"^$|^ |  | $|{SPACE}").to_pylist()
+        words = pc.split_pattern(spread, " ")
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        blank = known.index("") if "" in known else None  # only in texts that are encoded by themselves
+        found = self.look_up([w or " " for w in known])
+        if blank is not None:
+            found[blank] = b""
+        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array(found, pa.binary()).take(coded.indices)), b"").to_pylist()
+        first, end = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
+        return [self.encode(texts[k].as_py()) if odd[k] else first + ids + end for k, ids in enumerate(joined)]
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-    def wrong_units(self) -> set[str]:
-        """Units encoded since the last call whose ids the library doesn't give."""
-        fresh, self.fresh = self.fresh, []
-        if not fresh:
-            return set()
-        if not self.cuts:
-            return {u for u in fresh if b"".join(i.to_bytes(4, "little") for i in self.library.encode(u[1:].replace(SPACE, " "))) != self._again(u)}
-        # The library puts a space in front itself; where a unit has none, or nothing else, a cut character goes between.
-        led = [u[0] == SPACE and u != SPACE for u in fresh]
-        asked = [u.replace(SPACE, " ")[1:] if a else "\n" + u.replace(SPACE, " ") for u, a in zip(fresh, led, strict=True)]
-        given = self.library.encode(asked, num_threads=1)
-        skip = len(self.library.encode("\n"))
-        return {
-            u for u, a, ids in zip(fresh, led, given, strict=True)
-            if b"".join(i.to_bytes(4, "little") for i in (ids if a else ids[skip:])) != (self.units.get(u) or self._again(u))
-        }
-
-    def _again(self, unit: str) -> bytes:
-        value = self.units.old.get(unit) or self._unit(unit)
-        self.fresh.clear()
-        return value
-
 
 _MODELS: dict[str, PieceModel] = {}
 
@@ -157,12 +245,9 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolea
 
 def _round_trip(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-
         m = model(path)
         for part, texts in slices(batches, "__text"):
-            blobs = [m.encode(t) for t in texts]
-            m.fresh.clear()
+            blobs = m.encode_all(pa.array(texts, pa.string()))
             lists = m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
             given = [array("I", ids).tobytes() for ids in lists]
             bad = {k for k, (a, b) in enumerate(zip(blobs, given, strict=True)) if a != b}

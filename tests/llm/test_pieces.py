@@ -33,14 +33,17 @@ def test_random_texts(library):
         ids = np.frombuffer(model.encode(text), "<u4").tolist()
         assert ids == library.encode(text, add_bos=True, add_eos=True), text
         assert model.decode(ids) == library.decode(ids), text
-    assert not model.wrong_units()
 
 
-def test_a_wrong_unit_is_seen():
+def test_texts_of_a_batch_side_by_side(library):
+    import pyarrow as pa
+
     model = pieces.PieceModel(PATH)
-    model.rank.pop("▁the")
-    model.encode("the end")
-    assert model.wrong_units() == {"▁the"}
+    rng = random.Random(2)
+    texts = [t or "" for t in EDGES] + [" ".join("".join(rng.choices("abethinrsо日😀é\n.,-", k=rng.randint(1, 40))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for _ in range(2):  # new words, then remembered ones
+        for text, blob in zip(texts, model.encode_all(pa.array(texts)), strict=True):
+            assert np.frombuffer(blob, "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True), text
 
 
 def test_wrong_ids_are_marked_and_replaced_in_every_slice(library, monkeypatch):
@@ -48,6 +51,7 @@ def test_wrong_ids_are_marked_and_replaced_in_every_slice(library, monkeypatch):
 
     model = pieces.PieceModel(PATH)
     model.rank.pop("▁the")
+    model._pairs()
     monkeypatch.setitem(pieces._MODELS, PATH, model)
     texts = ["the end", "no such word", "by the sea", ""]
     batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], ["__id", "__text"]) for k, t in enumerate(texts)]
