@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with their texts; null texts are empty ones. What is held at a time is bounded."""
     for batch in batches:
         at = batch.schema.get_field_index(text_col)
         start, held = 0, 0
         sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
         for i, size in enumerate(sizes):
-            if i > start and held + size > SLICE_BYTES:
+            if i > start and held + size > most:
                 part = batch.slice(start, i - start)
                 yield part, [t or "" for t in part.column(at).to_pylist()]
                 start, held = i, 0
@@ -51,13 +51,6 @@ class UnitCache(dict):
             self.put(unit, value)
         return value
 
-    def known(self, unit):
-        """The value if it's still held, else None."""
-        value = self.get(unit)
-        if value is None and (value := self.old.get(unit)) is not None:
-            self.put(unit, value)
-        return value
-
     def put(self, unit, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)

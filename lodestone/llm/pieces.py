@@ -23,7 +23,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,12 @@ from lodestone.llm.batches import UnitCache, slices
 from lodestone.session import ship_package
 
 SPACE = "▁"
-#: Words whose ids are remembered (twice as many at most), and how many new ones, of which length at most, are merged side
-#: by side; speed only.
-WORDS = 500_000
+#: Words whose ids are remembered (or one slice's), and how many new ones, of which length at most, are merged side by side;
+#: speed only.
+WORDS = 1_000_000
 AT_ONCE = 4_096
+#: Bytes of text that are worked on at a time (a longer text by itself): more have fewer distinct words each.
+SLICE = 12_000_000
 WIDE = 32
 #: Order of two symbols that form no piece, and the first symbol that stands for a character which is no piece.
 NO_PAIR = 1 << 40
@@ -76,7 +77,7 @@ class PieceModel:
         self.unit = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "") if self.cuts else r"(?s).+")
         self.line_feed = bool(alone)
         self.units = UnitCache(self._unit)
-        self.words = UnitCache(self._word, limit=WORDS)
+        self.known = pa.array([], pa.string()), pa.array([], pa.binary())
         self._pairs()
 
     def merge(self, unit: str) -> list[str]:
@@ -132,19 +133,16 @@ class PieceModel:
 
     def _word(self, word: str) -> bytes:
         """Ids of what stands between two spaces, with the space before it; a line feed stands for itself."""
-        return b"".join(map(self._unit, self.unit.findall(word if word[0] == "\n" else SPACE + word)))
+        return b"".join(map(self._unit, self.unit.findall(word if word[:1] == "\n" else SPACE + word)))
 
-    def merge_all(self, units: list[str]) -> list[bytes]:
-        """_unit() of many units side by side: a round takes the top pair of every unit's agenda.
+    def merge_all(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units, put together, and how many each has: a round takes the top pair of every unit's agenda.
 
-        The agendas are the rows of a matrix with the order of each adjacent pair; a unit without a pair is done.
+        symbols has a unit a row; its agenda is a row of a matrix with the order of each adjacent pair, and a unit without a
+        pair is done.
         """
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        width = int(sizes.max(initial=1))
-        symbols = np.full((len(units), width), -1, np.int64)
-        symbols[np.arange(width) < sizes[:, None]] = self.alphabet[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        done = np.full((len(units), width), -1, np.int64)
-        rows = np.arange(len(units))
+        done = np.full(symbols.shape, -1, np.int64)
+        rows = np.arange(len(symbols))
         agenda = self._order(symbols[:, :-1], symbols[:, 1:])[0]
         while symbols.shape[1] > 1 and len(rows):
             at = agenda.argmin(axis=1)  # the leftmost of equals
@@ -164,12 +162,19 @@ class PieceModel:
                 agenda[near, i] = self._order(symbols[near, i], symbols[near, i + 1])[0]
         done[rows, : symbols.shape[1]] = symbols
         kept = done >= 0
-        flat, ends = done[kept], np.cumsum(kept.sum(axis=1)).tolist()
-        if (flat >= UNKNOWN).any():
-            parts = [[self.byte_ids[b] for b in chr(x - UNKNOWN).encode("utf-8", "surrogatepass")] if x >= UNKNOWN else [x] for x in flat.tolist()]
-            return [array("I", chain.from_iterable(parts[i:j])).tobytes() for i, j in zip([0, *ends], ends)]
-        blob = flat.astype("<u4").tobytes()
-        return [blob[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+        flat, counts = done[kept], kept.sum(axis=1)
+        strange = np.flatnonzero(flat >= UNKNOWN)
+        if len(strange):
+            owner = np.repeat(np.arange(len(counts)), counts)
+            raw = [[self.byte_ids[b] for b in chr(x - UNKNOWN).encode("utf-8", "surrogatepass")] for x in flat[strange].tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[strange] = [len(x) for x in raw]
+            start = np.cumsum(width) - width
+            wide = np.repeat(flat, width)
+            for at, ids in zip(start[strange].tolist(), raw, strict=True):
+                wide[at : at + len(ids)] = ids
+            flat, counts = wide, np.bincount(owner, width, len(counts)).astype(np.int64)
+        return flat, counts
 
     def _order(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of adjacent symbols: the order of the piece they form (NO_PAIR if none), and the piece."""
@@ -194,17 +199,41 @@ class PieceModel:
         table = np.array(sorted(rows) or [(-1, NO_PAIR, 0)], dtype=np.int64)
         self.pairs, self.pair_order, self.pair_piece = (np.ascontiguousarray(table[:, k]) for k in range(3))
 
-    def look_up(self, words: list[str]) -> list[bytes]:
-        """_word() of distinct words: those remembered, then all short new ones side by side."""
-        found = [self.words.known(w) for w in words]
-        new = [k for k, ids in enumerate(found) if ids is None]
-        side = sorted((k for k in new if len(words[k]) < WIDE and "\n" not in words[k]), key=lambda k: len(words[k]))
-        for at in range(0, len(side), AT_ONCE):
-            some = side[at : at + AT_ONCE]
-            for k, ids in zip(some, self.merge_all([SPACE + words[k] for k in some]), strict=True):
-                found[k] = ids
-                self.words.put(words[k], ids)
-        return [self.words[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+    def new_words(self, words: pa.Array) -> pa.Array:
+        """_word() of each word, short ones side by side."""
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        order = np.argsort(sizes, kind="stable")
+        short = int((sizes < WIDE).sum())
+        out = []
+        for at in range(0, short, AT_ONCE):
+            some = words.take(pa.array(order[at : min(at + AT_ONCE, short)]))
+            n = sizes[order[at : at + len(some)]]
+            codes = np.frombuffer("".join(some.to_numpy(zero_copy_only=False).tolist()).encode("utf-32-le"), np.uint32)
+            led = ~pc.starts_with(some, "\n").to_numpy(zero_copy_only=False)  # has a space in front
+            symbols = np.full((len(some), int(n.max()) + 1), -1, np.int64)
+            symbols[led, 0] = self.alphabet[ord(SPACE)]
+            column = np.arange(symbols.shape[1])
+            symbols[(column >= led[:, None]) & (column < (n + led)[:, None])] = self.alphabet[codes]
+            flat, counts = self.merge_all(symbols)
+            ends = np.r_[0, 4 * np.cumsum(counts)].astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())]))
+        out.append(pa.array([self._word(w) for w in words.take(pa.array(order[short:])).to_pylist()], pa.binary()))
+        return pa.concat_arrays(out).take(pa.array(np.argsort(order, kind="stable")))
+
+    def look_up(self, words: pa.Array) -> pa.Array:
+        """_word() of distinct words: those remembered, then all new ones."""
+        at = pc.index_in(words, value_set=self.known[0])
+        new = words.filter(pc.is_null(at))
+        values = pa.concat_arrays([self.known[1], self.new_words(new)])
+        where = at.to_numpy(zero_copy_only=False) if not len(new) else pc.fill_null(at, -1).to_numpy().copy()
+        if len(new):
+            where[where < 0] = len(self.known[0]) + np.arange(len(new))
+        found = values.take(pa.array(where.astype(np.int64)))
+        if len(values) <= WORDS:
+            self.known = pa.concat_arrays([self.known[0], new]), values
+        else:
+            self.known = words, found
+        return found
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """encode() of every text.
@@ -217,12 +246,8 @@ class PieceModel:
         odd = pc.match_substring_regex(spread, f"^$|^ |  | $|{SPACE}").to_pylist()
         words = pc.split_pattern(spread, " ")
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        blank = known.index("") if "" in known else None  # only in texts that are encoded by themselves
-        found = self.look_up([w or " " for w in known])
-        if blank is not None:
-            found[blank] = b""
-        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array(found, pa.binary()).take(coded.indices)), b"").to_pylist()
+        found = self.look_up(coded.dictionary)  # empty words are only in texts that are encoded by themselves
+        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, found.take(coded.indices)), b"").to_pylist()
         first, end = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
         return [self.encode(texts[k].as_py()) if odd[k] else first + ids + end for k, ids in enumerate(joined)]
 
@@ -246,12 +271,12 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolea
 def _round_trip(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for part, texts in slices(batches, "__text"):
+        for part, texts in slices(batches, "__text", SLICE):
             blobs = m.encode_all(pa.array(texts, pa.string()))
-            lists = m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-            given = [array("I", ids).tobytes() for ids in lists]
+            lists = m.library.encode_as_numpy(texts, add_bos=True, add_eos=True, num_threads=1)
+            given = [ids.astype("<u4").tobytes() for ids in lists]
             bad = {k for k, (a, b) in enumerate(zip(blobs, given, strict=True)) if a != b}
-            own = [m.decode(ids) for ids in lists]
+            own = [m.decode(ids.tolist()) for ids in lists]
             theirs = m.library.decode(lists, num_threads=1)
             sha = lambda x: hashlib.sha256(x).hexdigest()
             columns = [
