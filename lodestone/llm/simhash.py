@@ -5,17 +5,20 @@ A fingerprint is the bitwise majority over the XXH64 (seed 42) of a text's word
 
 Finding links without comparing all pairs, and without losing one:
 
-1. Distinct fingerprints are cut into 6 blocks. Three changed bits touch at most 3 blocks, so two linked fingerprints
-   agree on some 3 whole blocks: each is dealt to C(6, 3) = 20 buckets by block choice and the bits of those blocks.
-2. Within a bucket a table of Hamming distances to ``PIVOTS`` reference fingerprints is made once for its members. By
-   the triangle inequality a pair whose distances to any reference differ by more than 3 can't link: such pairs are
-   discarded by their maximum coordinate difference, and only the survivors are verified on the fingerprints.
+1. A pivot table is written once: of every distinct fingerprint the Hamming distances to ``PIVOTS`` references. By the
+   triangle inequality a pair whose distances to any reference differ by more than 3 can't link.
+2. Fingerprints are cut into 6 blocks. Three changed bits touch at most 3 blocks, so two linked fingerprints agree on
+   some 3 whole blocks: each row of the table is dealt to C(6, 3) = 20 buckets by block choice and the bits of those
+   blocks. Within a bucket pairs are discarded by the maximum difference of their table rows, and only the survivors are
+   verified on the fingerprints.
 3. Small buckets give all their links, larger ones a spanning forest of them, found by a search from member to member
    that drops a member once it's reached: a dense group costs about its size, and never gives all its pairs.
-4. A bucket above ``BUCKET`` members is handed back and dealt again: its free bits are cut into 9 parts of at most 4
-   bits, of which 6 agree, so that at most 12 bits stay free and no bucket can hold more than 4096 fingerprints.
+4. A bucket above ``BUCKET`` members is named and read past, without being held, and dealt again: its free bits are cut
+   into 9 parts of at most 4 bits, of which 6 agree, so that at most 12 bits stay free and no bucket can hold more than
+   4096 fingerprints.
 
 Components come from star contraction over the links in tables; nothing about documents goes to the driver.
+``drop_near_duplicates`` takes wider links (five words, similarity 0.8): see wide.py.
 
 Defined results: null counts as empty; a text of fewer words than a shingle gives one shingle, a text of none the
 fingerprint zero, which links like any other; rows with equal texts have equal fingerprints; a null id is never the
@@ -25,12 +28,13 @@ smallest; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
@@ -101,8 +105,17 @@ def _fingerprints(words_per_shingle: int):
     return run
 
 
+def pivot_columns() -> list[Column]:
+    """p0, p1: the distances of fp to the references, eight to a long, a byte each."""
+    def packed(refs: np.ndarray) -> Column:
+        one = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(r))))).cast("long"), 8 * k) for k, r in enumerate(refs)]
+        return reduce(lambda x, y: x.bitwiseOR(y), one)
+
+    return [packed(REFERENCES[8 * k : 8 * k + 8]).alias(f"p{k}") for k in range(PIVOTS // 8)]
+
+
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to each reference."""
+    """The same distances as a matrix: a row per fingerprint, a column per reference."""
     return np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
 
 
@@ -113,9 +126,9 @@ def _near(table: np.ndarray, fps: np.ndarray, i: np.ndarray | int, j: np.ndarray
     return left
 
 
-def bucket_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints, as index pairs."""
-    table, open_, a, b = pivot_table(fps), np.arange(len(fps)), [], []
+def bucket_links(fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints with their pivot distances, as index pairs."""
+    open_, a, b = np.arange(len(fps)), [], []
     while len(open_):
         queue, open_ = [int(open_[0])], open_[1:]
         while queue and len(open_):
@@ -132,38 +145,39 @@ def bucket_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _small_links(fps: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(fps: np.ndarray, table: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """All links within buckets of one size, starts giving their first rows; vectorised over the buckets."""
     i, j = np.triu_indices(size, 1)
     first, second = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-    left = np.abs(pivot_table(fps[first]) - pivot_table(fps[second])).max(axis=1) <= MAX_BITS
-    first, second = first[left], second[left]
-    near = np.bitwise_count(fps[first] ^ fps[second]) <= MAX_BITS
+    near = _near(table, fps, first, second)
     return first[near], second[near]
 
 
-def link_buckets(keys: np.ndarray, fps: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole buckets, rows of a bucket side by side -> links (values), and first rows of buckets to be dealt again."""
+def link_buckets(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole buckets, rows of a bucket side by side -> links, as values."""
     edges = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1), True])
     starts, sizes = edges[:-1], np.diff(edges)
     a, b = [], []
     for size in range(2, SMALL + 1):
         some = starts[sizes == size]
         for at in range(0, len(some), 4096):
-            x, y = _small_links(fps, some[at : at + 4096], size)
+            x, y = _small_links(fps, table, some[at : at + 4096], size)
             a.append(fps[x])
             b.append(fps[y])
-    for k in np.flatnonzero((sizes > SMALL) & (sizes <= bucket)):
-        own = fps[starts[k] : starts[k] + sizes[k]]
-        x, y = bucket_links(own)
-        a.append(own[x])
-        b.append(own[y])
+    for k in np.flatnonzero(sizes > SMALL):
+        own = slice(starts[k], starts[k] + sizes[k])
+        x, y = bucket_links(fps[own], table[own])
+        a.append(fps[own][x])
+        b.append(fps[own][y])
     empty = np.empty(0, np.uint64)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b]), starts[sizes > bucket]
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
 def _links(bucket: int):
-    """Rows c, s, key, fp sorted by bucket -> c, s, a, b: links (c = -1), or buckets to be dealt again (a = key)."""
+    """Rows c, s, key, fp, p0, p1 sorted by bucket -> c, s, a, b: links (c = -1), or buckets to be dealt again (a = key).
+
+    Of a bucket no more than `bucket` members are held: one that has more is named once, and its rows are read past.
+    """
 
     def out(c, s, a, b):
         return pa.RecordBatch.from_arrays(
@@ -171,24 +185,44 @@ def _links(bucket: int):
         )
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b, again = link_buckets(rows[:, :3], rows[:, 3].astype(np.int64).view(np.uint64), bucket)
+        table = np.ascontiguousarray(rows[:, 4:]).view(np.int8)
+        a, b = link_buckets(rows[:, :3], np.ascontiguousarray(rows[:, 3]).view(np.uint64), table)
         if len(a):
             yield out(np.full(len(a), -1), np.full(len(a), -1), a.view(np.int64), b.view(np.int64))
-        if len(again):
-            yield out(rows[again, 0], rows[again, 1], rows[again, 2], np.zeros(len(again), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # rows of the bucket that may go on in the next batch
+        size, passed = 0, None  # how many; and the bucket that is read past
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if passed is not None:
+                rows = rows[np.any(rows[:, :3] != passed, axis=1)]
+                if not len(rows):
+                    continue
+                passed = None
             last = np.any(rows[:, :3] != rows[-1, :3], axis=1)
             cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # where the last bucket of the batch begins
             if cut or (held and np.any(held[-1][-1, :3] != rows[-1, :3])):
-                yield from done(np.concatenate([*held, rows[:cut]]))
-                held = []
+                whole = np.concatenate([*held, rows[:cut]])
+                many = np.any(whole[:, :3] != whole[0, :3], axis=1)
+                first = int(many.argmax()) if many.any() else len(whole)  # the bucket that began before this batch
+                sizes = np.diff(np.flatnonzero(np.r_[True, np.any(whole[1:, :3] != whole[:-1, :3], axis=1), True]))
+                if first > bucket or (sizes > bucket).any():
+                    over = np.repeat(sizes > bucket, sizes)
+                    again = whole[np.flatnonzero(np.r_[True, np.any(whole[1:, :3] != whole[:-1, :3], axis=1)])[sizes > bucket]]
+                    yield out(again[:, 0], again[:, 1], again[:, 2], np.zeros(len(again), np.int64))
+                    whole = whole[~over]
+                if len(whole):
+                    yield from done(whole)
+                held, size = [], 0
             held.append(rows[cut:])
+            size += len(rows) - cut
+            if size > bucket:
+                passed = rows[-1, :3]
+                yield out(passed[:1], passed[1:2], passed[2:3], np.zeros(1, np.int64))
+                held, size = [], 0
         if held:
             yield from done(np.concatenate(held))
 
@@ -196,14 +230,15 @@ def _links(bucket: int):
 
 
 def _find(dealt: DataFrame, bucket: int) -> DataFrame:
-    placed = dealt.repartition("c", "s", "key").sortWithinPartitions("c", "s", "key")
+    placed = dealt.select("c", "s", "key", "fp", "p0", "p1").repartition("c", "s", "key").sortWithinPartitions("c", "s", "key")
     return materialised(placed.mapInArrow(_links(bucket), "c int, s int, a long, b long"), "bucket-links")
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """distinct: fp (each once) -> a, b: enough links between fingerprints to connect all that are linked."""
+    table = materialised(distinct.select("fp", *pivot_columns()), "pivot-table")
     choices = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for c, (m, _) in enumerate(CHOICES)])
-    dealt = distinct.select("fp", F.explode(choices).alias("x")).select("x.c", F.lit(0).alias("s"), "x.key", "fp")
+    dealt = table.select("*", F.explode(choices).alias("x")).select("x.c", F.lit(0).alias("s"), "x.key", "fp", "p0", "p1")
     found = _find(dealt, bucket)
     first = found.where("c = -1").select("a", "b")
     again = found.where("c >= 0").select("c", F.col("a").alias("key"))
@@ -213,8 +248,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for c in range(len(CHOICES)):
         masks = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(_signed(m)).cast("long").alias("m")) for s, m in enumerate(second_masks(c))])
         finer = finer.when(F.col("c") == c, masks)
-    parts = dealt.join(again, ["c", "key"], "left_semi").select("c", "key", "fp", F.explode(finer).alias("x"))
-    parts = parts.select("c", "x.s", F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"), "fp")
+    parts = dealt.join(again, ["c", "key"], "left_semi").select("c", "key", "fp", "p0", "p1", F.explode(finer).alias("x"))
+    parts = parts.select("c", "x.s", F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"), "fp", "p0", "p1")
     return first.union(_find(parts, max(bucket, 4096)).where("c = -1").select("a", "b"))
 
 
@@ -239,8 +274,8 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows whose group has a smaller id. Rows without an id can't be told apart and stay."""
-    grouped = group(df, id_col, text_col)
-    gone = grouped.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df without the rows whose group has an earlier document. Groups are those of wide.groups()."""
+    from lodestone.llm import wide
+
+    return wide.drop_near_duplicates(df, id_col, text_col, words, similarity)

@@ -6,7 +6,7 @@ import public_tokenizers
 import corpus_pipeline
 from lodestone.llm import packing, quality
 
-from . import brute, test_simhash
+from . import brute, test_wide
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_run_matches_brute_force(spark):
     for doc_id, text in rows:
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text), (doc_id, text))
     rows = list(seen.values())
-    least = test_simhash.plain_components([d for d, _ in rows], [test_simhash.plain_fingerprint(t) for _, t in rows])
+    least = test_wide.plain_components([d for d, _ in rows], [t for _, t in rows])
     rows = [r for r, c in zip(rows, least) if r[0] == c]
     words = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
     want = {}

@@ -70,7 +70,7 @@ def test_links_connect_what_is_linked(spark, bucket):
 
 def test_dense_bucket_gives_a_forest():
     fps = np.array(sorted({1 << i | 1 << j for i in range(40) for j in range(40)}), dtype=np.uint64)
-    a, b = simhash.bucket_links(fps)
+    a, b = simhash.bucket_links(fps, simhash.pivot_table(fps))
     assert len(a) == len(fps) - 1
     assert (np.bitwise_count(fps[a] ^ fps[b]) <= 3).all()
 
@@ -93,6 +93,10 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.group(df).collect()), key=str)
     assert got == sorted([(4, 3), (3, 3), (None, 9), (9, 9), (9, 9), (None, None), (1, 1)], key=str)
     assert simhash.group(df.limit(0)).count() == 0
-    kept = simhash.drop_near_duplicates(df)
-    assert kept.columns == ["doc_id", "text", "fp"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, None, 9, 9, None, 1], key=str)
+
+
+def test_pivot_columns_are_the_table(spark):
+    fps = [0, 1, 2**63, 2**64 - 1, 0x123456789ABCDEF0]
+    rows = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long").select("fp", *simhash.pivot_columns()).collect()
+    got = np.array([[r.p0, r.p1] for r in rows]).view(np.int8)
+    assert (got == simhash.pivot_table(np.array(fps, np.uint64))).all()
