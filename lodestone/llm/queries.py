@@ -78,7 +78,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda x: x["ord"] < 4)
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

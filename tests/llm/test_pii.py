@@ -48,3 +48,35 @@ def test_added_kinds_and_redaction(spark):
     assert out[18] == "é😀 [PHONE] é [EMAIL]"
     assert pii.redact(rows(spark)).columns == ["doc_id", "text", "__s"]
     assert pii.redact(rows(spark, [])).count() == 0
+
+
+def test_time_follows_the_length(spark):
+    """Ten times as many numbers take about ten times as long, valid or not."""
+    import time
+
+    took = {}
+    for text, sizes, valid in (("12  ab 345 ", (20_000, 200_000), 0), ("10.1.2.3 x ", (10_000, 100_000), 1)):
+        for n in sizes:
+            df = spark.createDataFrame([(1, text * n)], "doc_id long, text string")
+            start = time.time()
+            row = pii.redact(pii.find(df)).select(F.size("pii").alias("n"), F.length("text").alias("size")).first()
+            took[valid, n] = time.time() - start
+            assert (row.n, row.size) == (n * valid, n * (7 if valid else 11))
+        assert took[valid, sizes[1]] < 20 * took[valid, sizes[0]] + 5, took
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__t", "__digits", "__email", "__pii", "cuts", "found", "x", "__s"]
+    df = spark.createDataFrame([(1, "a@b.co", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert pii.find(df).columns == [*df.columns, "pii"]
+    row = pii.redact(df).first()
+    assert row.asDict() == {"doc_id": 1, "text": "[EMAIL]"} | {n: n for n in names}
+
+
+def test_long_texts_with_spans_across_blocks(spark):
+    text = "é call +1 (743) 555-3824 or a@b.co; card 4111 1111 1111 1111. " * 1500 + "x" * 9000 + " c@d.org"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find(df).select(pii.spans_text(F.filter("pii", lambda x: x["ord"] < 4)).alias("s")).first().s
+    assert got == ",".join(brute.base_spans(text))
+    clean = pii.redact(df).first().text
+    assert clean == "é call [PHONE] or [EMAIL]; card [CARD]. " * 1500 + "x" * 9000 + " [EMAIL]"
