@@ -59,7 +59,7 @@ def winners(digests: DataFrame, id_col: str = "__id", digest_col: str = "__diges
 
 def digest_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One narrow row per input row, written once: the text is read and hashed a single time."""
-    narrow = df.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("__digest"))
+    narrow = df.select(F.col(f"`{id_col}`").alias("__id"), digest(F.col(f"`{text_col}`")).alias("__digest"))
     return materialised(narrow.withColumn("__row", F.monotonically_increasing_id()), "digests")
 
 
@@ -82,14 +82,15 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns, whatever their names: a row goes through as one struct.
 
-    Copies of the broadcast winners are removed before the shuffle, so what is shuffled holds no large group.
+    Copies of the broadcast winners are removed before the shuffle. Where a winner's rows repeat one id as well, each
+    partition still passes on a single one (the limit on the row number is applied before the shuffle, too).
     """
     heavy = materialised(winners(digest_table(df, id_col, text_col)), "winners").select("__digest", "__n", "__keep")
-    keyed = df.withColumn("__digest", digest(F.col(text_col)))
-    left = keyed.join(F.broadcast(heavy), "__digest", "left").where(
-        F.col("__n").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))
-    )
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last())
-    return left.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(F.col(f"`{id_col}`").alias("__id"), digest(F.col(f"`{text_col}`")).alias("__digest"), row.alias("__whole"))
+    left = keyed.join(F.broadcast(heavy), "__digest", "left").where(F.col("__n").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
+    order = Window.partitionBy("__digest").orderBy(F.col("__id").asc_nulls_last())
+    first = left.select("__id", "__digest", "__whole", F.row_number().over(order).alias("__place")).where("__place = 1")
+    return first.select(*[F.col("__whole").getField(c).alias(c) for c in df.columns])
