@@ -5,13 +5,15 @@ CAPACITY numbers, whatever the input), which is collected to the driver.
 
 1. A configuration is a multiset of lengths that fits a sequence. The linear program asks for amounts of configurations
    that cover the histogram with the fewest sequences.
-2. It's solved by multiplicative weights: every length has a weight, its price is the weight over its demand, and a
-   knapsack dynamic program over the capacity finds, for each length, the configuration of the highest total price that
-   holds it. These are taken as far as a share of the demand they serve allows, and the weights of the lengths they
-   served shrink by the share they got. Prices hold a small term for the tokens filled, so that of equally priced ones
-   the fuller is taken. Rounds go on until every length is down to a reserve.
-3. Amounts are whole; the reserve is closed by best fit, in counts per length, into the configurations with room and new
-   ones.
+2. It's solved by multiplicative weights. Lengths are constrained in ``BANDS`` neighbourhoods; a neighbourhood's weight
+   shrinks by exp(-``ETA`` times the share of its demand that was served) against the share served on the whole, so that
+   short and long pieces run out together. A length's price is its tokens times one plus its weight. A knapsack dynamic
+   program over the capacity prices ALL open lengths at once and gives, for each length, the configuration of the highest
+   price that holds it. These are taken longest first until a round has served ``SHARE`` of the open tokens, and only if
+   they leave no more than ``GAP`` of what the open lengths could fill; rounds go on until no such configuration is left.
+   Each pricing also gives a dual bound on the number of sequences (demand times price, over the best price).
+3. Amounts are whole; what is left, the pieces that no nearly full configuration takes, is closed by best fit, in counts
+   per length, into the room of configurations and new ones.
 4. Pieces get a rank within their length (counted over salts, so a length that holds a third of all pieces is never in
    one task), and a table from length and rank to sequence and offset places each.
 
@@ -27,6 +29,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,16 @@ from lodestone.session import materialised, ship_package
 
 CAPACITY = 4096
 END_ID = 1
-#: Share of the least remaining demand that one configuration takes.
+#: Share of the least remaining demand that one configuration takes, and of the open tokens that one pricing serves.
 STEP = 0.5
-#: Capacities that the dynamic program fills in one step, and lengths that take part in one round at most (all in turn).
+SHARE = 0.05
+#: Neighbourhoods of lengths, and how fast their weights shrink.
+BANDS = 64
+ETA = 40.0
+#: Part of the capacity that a configuration of the program may leave.
+GAP = 1 / 1024
+#: Capacities that the dynamic program fills in one step.
 BLOCK = 32
-PRICED = 192
-#: Share of every length's demand that the linear program leaves to the rounding, which so has pieces of all lengths.
-RESERVE = 0.15
 #: One length and salt, which one task ranks, holds so many rows, or this part of all rows, at most (about).
 SALT_ROWS = 1_000_000
 SHARES = 256
@@ -218,50 +224,60 @@ def within(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, last: np.n
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], float]]:
-    """Whole amounts of configurations that serve the histogram down to its reserve, by multiplicative weights.
+@dataclass
+class Program:
+    """Amounts of configurations (whole), the dual bound on all sequences, and the share of tokens that the amounts serve."""
 
-    One pricing gives, for every length that takes part, the best configuration that holds it and asks for no more than is
-    open. They are taken best first, each as far as a share of its scarcest length allows. A configuration that isn't full
-    waits until no length takes part in a full one; the room it may leave grows until something is taken. So the rounds end
-    when each length is down to its reserve, and not before.
-    """
+    amounts: list[tuple[dict[int, int], float]]
+    bound: float
+    served: float
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Program:
+    """The configuration program by multiplicative weights."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    reserve = np.floor(RESERVE * demand).astype(np.int64)
+    band = lengths * BANDS // (capacity + 1)
+    tokens = lengths * demand
+    in_band, total = np.bincount(band, tokens, BANDS), float(tokens.sum())
     left = demand.copy()
-    weight = np.ones(len(lengths))
     out: list[tuple[dict[int, int], float]] = []
-    turn, idle, room = 0, 0, 0
-    while len(open_ := np.flatnonzero(left > reserve)):
-        apart = -(-len(open_) // PRICED)
-        open_ = open_[turn % apart :: apart]
-        turn += 1
-        # Long pieces have the fewest partners: a price per token that grows with the length uses them up in time.
-        own = lengths[open_]
-        fill = own / capacity
-        values = fill * (1 + 0.05 * weight[open_] * left[open_] / demand[open_] + 0.3 * fill)
+    bound, spare, room, least = 0.0, max(1, int(capacity * GAP)), 0, 0
+    while len(open_ := np.flatnonzero(left)):
+        own, stock = lengths[open_], left[open_]
+        unserved = np.bincount(band, lengths * left, BANDS)
+        ahead = (1 - unserved / np.maximum(in_band, 1)) - (1 - unserved.sum() / total)
+        weight = np.exp(np.clip(-ETA * ahead, -20, 20))[band[open_]]
+        values = own / capacity * (1 + weight / weight.max())
         best, last = knapsack(own, values, capacity)
-        worth = values + best[capacity - own]
-        stock = left[open_] - reserve[open_]
-        taken = False
-        for first in np.argsort(-worth, kind="stable").tolist():
+        bound = max(bound, float((demand[open_] * values).sum() / best[capacity]))
+        quota, before = SHARE * float((own * stock).sum()), len(out)
+        for first in range(len(own) - 1, -1, -1):
+            if quota <= 0:
+                break
             if not stock[first]:
                 continue
             chosen = within(own, values, best, last, stock, first, capacity)
-            if sum(int(own[k]) * n for k, n in chosen.items()) < capacity - room:
+            size = sum(int(own[k]) * n for k, n in chosen.items())
+            if size < capacity - least - room:
                 continue
             amount = min(min(int(stock[k]) // n, max(1, int(left[open_[k]] * STEP) // n)) for k, n in chosen.items())
             for k, n in chosen.items():
                 stock[k] -= n * amount
                 left[open_[k]] -= n * amount
-                weight[open_[k]] *= max(1e-6, 1 - n * amount / demand[open_[k]])
             out.append(({int(own[k]): n for k, n in chosen.items()}, float(amount)))
-            taken = True
-        idle = 0 if taken else idle + 1
-        if idle >= apart:
-            idle, room = 0, max(1, 2 * room)
-    return out
+            quota -= size * amount
+        if len(out) > before:
+            continue
+        if room < spare:
+            room = min(spare, max(1, 2 * room))
+            continue
+        # Perhaps no multiset of these lengths fills a sequence: full is then what one can fill.
+        fills = knapsack(own, own.astype(np.float64), capacity)[0][capacity]
+        if capacity - int(fills) <= least:
+            break
+        least, room = capacity - int(fills), 0
+    return Program(out, bound, 1 - float((lengths * left).sum()) / max(total, 1.0))
 
 
 def round_down(amounts: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -321,7 +337,7 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     """Configurations and their numbers of sequences for a whole histogram."""
     part = {x: n for x, n in histogram.items() if x < capacity}
     full = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    return full + round_down(solve(part, capacity), part, capacity)
+    return full + round_down(solve(part, capacity).amounts, part, capacity)
 
 
 def placement(packed: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:

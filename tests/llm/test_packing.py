@@ -63,17 +63,52 @@ def test_large_histogram_is_near_the_bound():
     assert sum(n for _, n in packing.pack(case)) <= 1.005 * sum(x * n for x, n in case.items()) / 4096
 
 
-@pytest.mark.parametrize(("documents", "times"), [(600, 1), (600, 40), (20000, 300)])
-def test_program_serves_all_but_the_reserve(documents, times):
+def lengths_of(documents, times):
     rng = random.Random(5)
     case = Counter(min(4095, int(rng.lognormvariate(6.4, 1)) + 1) for _ in range(documents))
-    case = {x: n * times for x, n in case.items()}
+    return {x: n * times for x, n in case.items()}
+
+
+@pytest.mark.parametrize(("documents", "times"), [(600, 1), (600, 40), (20000, 300)])
+def test_program_serves_nearly_all(documents, times):
+    case = lengths_of(documents, times)
+    program = packing.solve(case)
     held = Counter()
-    for chosen, amount in packing.solve(case):
+    for chosen, amount in program.amounts:
         assert sum(x * n for x, n in chosen.items()) <= 4096 and amount >= 1 and amount == int(amount)
         for x, n in chosen.items():
             held[x] += n * int(amount)
-    assert all(n - math.floor(packing.RESERVE * n) <= held[x] <= n for x, n in case.items())
+    assert all(held[x] <= n for x, n in case.items())
+    tokens = sum(x * n for x, n in case.items())
+    assert program.served == pytest.approx(sum(x * n for x, n in held.items()) / tokens) and program.served >= 0.95
+    used = sum(n for _, n in packing.pack(case))
+    assert tokens / 4096 - 1e-6 <= program.bound <= used <= max(1.001 * program.bound, program.bound + 2)
+
+
+def test_program_of_lengths_that_fill_no_sequence():
+    program = packing.solve({3000: 50, 2900: 7})
+    assert program.served == 1 and 56 < program.bound <= 57
+    assert sum(n for _, n in packing.pack({3000: 50, 2900: 7})) == 57
+
+
+def test_dual_bound_is_one():
+    """Against the least number of sequences by search, on small capacities."""
+    rng = random.Random(8)
+
+    def fewest(pieces, room):
+        if not pieces:
+            return 0
+        best = len(pieces)
+        for mask in range(1, 2 ** (len(pieces) - 1) * 2, 2):  # sequences that hold the first piece
+            chosen = [p for k, p in enumerate(pieces) if mask >> k & 1]
+            if sum(chosen) <= room:
+                best = min(best, 1 + fewest([p for k, p in enumerate(pieces) if not mask >> k & 1], room))
+        return best
+
+    for _ in range(8):
+        pieces = [rng.randint(1, 20) for _ in range(7)]
+        assert packing.solve(Counter(pieces), 20).bound <= fewest(sorted(pieces), 20) + 1e-9
+        assert sum(n for _, n in packing.pack(Counter(pieces), 20)) >= fewest(sorted(pieces), 20)
 
 
 def check(rows, texts, library):
