@@ -1,31 +1,33 @@
 """Main text of web pages by a maximum-scoring contiguous region.
 
-A page becomes a row of tokens: words score positive, tags negative. The weights come from labelled pages: a small set
-of pages written for this purpose, with their content marked, from which log odds are estimated per class of token
-(``fit_weights``). One linear scan finds the contiguous region with the highest sum; its ends are then moved outward
-over the block they stand in, and over a title just before it. What can't be content wherever it stands - scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments - is known by element or by a name in its class, id or role; such
-parts give no words, and score as a whole by what they are, so that an advert inside an article doesn't end it.
-
-Where a page marks its content (article, main or the roles of these), the mark is a feature of the scores: tags within a
-marked element, and those of the element itself, and words outside of all such elements are classes of their own. The
-scan decides on every page, so nested and neighbouring marked elements can share a region.
+A page becomes a row of tokens: words score positive and tags negative, so that prose stands out from menus. What is known
+about a word's place is a feature of its score and nothing else: whether the page marks its content (article, main) and the
+word stands in it or beside it, whether it's in a link, a heading, an element that isn't content as a rule (nav, footer, aside,
+form, ...) or one that is named so in full ("cookie-notice") or in part ("notice-board"). The weights are fitted on pages
+made by rule with their content labelled (``html_pages``), by a perceptron over whole pages: a page is extracted with the
+current weights, and each feature's weight moves by what was wrongly taken or left.
+
+Extraction: elements that have such evidence and whose words score below zero together are set aside, each counting as one
+tag, so that an advert inside an article doesn't end it. One linear scan then finds the contiguous region with the highest
+sum on every page, with or without marks; its ends are moved outward over the block they stand in, and over a title just
+before it. Scripts, styles, comments, and elements that a browser doesn't show have no text to begin with.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are trimmed, and joined in
 page order by two line feeds; nothing is cut or dropped.
 
 Defined results: null or empty html, or no words, gives the empty text; markup that's left open or cut short is read as
-far as it goes; equal pages give equal texts; an empty table gives an empty result.
+far as it goes, at any depth; equal pages give equal texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,39 +35,62 @@ from pyspark.sql import functions as F
 from lodestone.llm.batches import slices
 from lodestone.session import ship_package
 
-# Elements that start a block of text, that are never content, and that have no end tag.
+# Elements that start a block of text, whose content is no markup, that aren't shown, that aren't content as
+# a rule, and that have no end tag.
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead title tr ul".split()
 )
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-NEVER = RAW | set("head nav footer aside form button select svg canvas object audio video dialog menu input label fieldset datalist".split())
+RAW = set("script style noscript template textarea title iframe xmp noembed noframes".split())
+UNSEEN = RAW | set("head svg canvas object audio video datalist".split())
+APART = set("nav footer aside form button select dialog menu input label fieldset".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "hr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsby\w*|adslot|adbox|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|side|"
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+INLINE = set("b i em strong code br sup sub span u s small q cite abbr mark time wbr img font a".split())
+LIST = set("li ul ol dl dt dd table tr td th tbody thead figure".split())
+ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
+#: Words of names that elements beside the content have, and words that go with them.
+BESIDE = re.compile(
+    r"ads?|adsby\w*|adslot|adbox|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|side|"
     r"aside|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|"
-    r"related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|toolbar|pagination|pager|widget\w*|skip|"
-    r"copyright|legal|disclaimer|tags?|paywall|alert)(?:$|[\s_-])",
+    r"related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|toolbar|pagination|pager|widgets?|skip|"
+    r"copyright|legal|disclaimer|tags?|paywall|alert",
+    re.I,
+)
+NEUTRAL = re.compile(
+    r"site|page|main|top|bottom|left|right|bar|box|block|list|items?|area|section|container|wrap|wrapper|inner|outer|posts?|articles?|links?|buttons?|"
+    r"slot|unit|thread|form|content|global|sub|primary|secondary|\d*",
     re.I,
 )
 #: Names of an article's own head, which holds its title.
 OWN_HEAD = re.compile(r"(?:article|post|entry|story|content)[_-]?header", re.I)
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
+#: What is known of a word's place; the features of its score. A word's score is the sum of theirs; by element and named
+#: stand alone, as such a part is read the same inside of a mark and beside it.
+WORD, INSIDE, OUTSIDE, LINKED, HEADING, ELEMENT, NAMED, HALF_NAMED, NAMED_PROSE = range(9)
+#: Classes of tags, of which each has one.
+PROSE_TAG, INLINE_TAG, LIST_TAG, OTHER_TAG, MARKED_LIST, MARKED_TAG, SET_ASIDE = range(9, 16)
+FEATURES = "word, inside a mark, outside the marks, linked, heading, by element, named, named in part, named prose, prose tag, inline tag, list tag, other tag, list tag inside a mark, other tag inside a mark, set aside".split(", ")
+
 
 @dataclass
 class Node:
-    """An open element."""
+    """An open element with what its words inherit."""
 
     name: str
-    hidden: bool
+    unseen: bool
     marked: bool  # in an article or main element, or one itself
+    linked: bool
+    heading: bool
+    evidence: int  # 0, or the feature that speaks against its words
+    span: int = -1  # its place among the spans, if it has evidence of its own
 
 
 @dataclass
@@ -77,13 +102,15 @@ class Item:
     words: int = 0
     marked: bool = False
     linked: bool = False
-    block: int = 0
     heading: bool = False
+    evidence: int = 0
+    block: int = 0
 
 
 @dataclass
 class Page:
     items: list[Item] = field(default_factory=list)
+    spans: list[list[int]] = field(default_factory=list)  # first and end item of each element with evidence, outer ones first
     marked: bool = False  # has words in an article or main element
 
 
@@ -94,20 +121,27 @@ def _attributes(tag: str) -> dict[str, str]:
     return out
 
 
-def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if name in NEVER:
-        return True
-    if name == "header" and not in_article:
-        return True
-    role = attributes.get("role", "").lower()
-    if role in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
-    if name in ("article", "main", "body", "html"):
-        # Comments are often articles of their own.
-        return name == "article" and bool(re.search(r"comment|reply", attributes.get("class", "") + " " + attributes.get("id", ""), re.I))
-    return any(NAMES.search(OWN_HEAD.sub("head", attributes[k])) for k in ("class", "id") if k in attributes)
+def _named(value: str) -> int:
+    """2 if a name says in full that it's beside the content, 1 if a part of one does."""
+    found = 0
+    for name in OWN_HEAD.sub("head", value).split():
+        parts = re.split(r"[_\W]+|(?<=[a-z])(?=[A-Z])", name)
+        hits = [bool(BESIDE.fullmatch(p)) for p in parts]
+        if any(hits):
+            found = max(found, 2 if all(h or NEUTRAL.fullmatch(p) for h, p in zip(hits, parts)) else 1)
+    return found
+
+
+def _evidence(name: str, attributes: dict[str, str], marked: bool) -> int:
+    """The feature of the words of an element by itself, 0 if nothing speaks against them."""
+    if name in APART or name == "header" and not marked or attributes.get("role", "").lower() in ROLES:
+        return ELEMENT
+    if name in ("body", "html", "main"):
+        return 0
+    found = max((_named(attributes[k]) for k in ("class", "id") if k in attributes), default=0)
+    if name == "article":
+        return NAMED if found and re.search(r"comment|reply", attributes.get("class", "") + attributes.get("id", ""), re.I) else 0
+    return 0 if not found else NAMED_PROSE if name in PROSE else NAMED if found == 2 else HALF_NAMED
 
 
 def tokens(html: str) -> Page:
@@ -116,135 +150,104 @@ def tokens(html: str) -> Page:
     opened: dict[str, list[int]] = {}  # by name, where in the stack its open elements are
     at, stop = 0, len(html)
     find = TOKEN.match
+
+    def close(depth: int) -> Node:
+        was = stack[depth]
+        for node in stack[depth:]:
+            opened[node.name].pop()
+            if node.span >= 0:
+                page.spans[node.span][1] = len(page.items)
+        del stack[depth:]
+        return was
+
+    root = Node("", False, False, False, False, 0)
     while at < stop:
         m = find(html, at)
         piece = m[0]
         at = m.end()
-        top = stack[-1] if stack else None
+        top = stack[-1] if stack else root
         if piece[0] != "<" or piece == "<":
-            if top is None or not top.hidden:
+            if not top.unseen:
                 text = entities.unescape(piece)
                 n = len(text.split())
-                marked = top.marked if top else False
-                linked = any(s.name == "a" for s in stack[-4:])
-                heading = any(s.name in ("h1", "h2") for s in stack[-4:])
-                page.items.append(Item("words", text, n, marked, linked, block, heading))
-                page.marked = page.marked or marked and n > 0
+                page.items.append(Item("words", text, n, top.marked, top.linked, top.heading, top.evidence, block))
+                page.marked = page.marked or top.marked and n > 0
             continue
         if piece.startswith(("<!", "<?")):
             continue
         tag = TAG.match(piece)
         closing, name = tag[1], tag[2].lower()
-        hidden = top.hidden if top else False
-        marked = top.marked if top else False
         if name in BLOCKS:
             block += 1
         if closing:
             if opened.get(name):
-                depth = opened[name][-1]
-                was = stack[depth]
-                for node in stack[depth:]:
-                    opened[node.name].pop()
-                del stack[depth:]
-                outer = stack[-1] if stack else None
-                if not (outer.hidden if outer else False):
-                    page.items.append(Item("part" if was.hidden else "/" + name, "", 0, was.marked, block=block))
+                was = close(opened[name][-1])
+                if not was.unseen:
+                    page.items.append(Item("/" + name, "", 0, stack[-1].marked if stack else False, block=block))
+                    if was.span >= 0:
+                        page.spans[was.span][1] = len(page.items)
             continue
-        attributes = _attributes(piece[tag.end() :].rstrip("/>")) if "=" in piece or name == "div" or " hidden" in piece else {}
-        while stack and name in CLOSES and stack[-1].name in CLOSES[name]:
-            opened[stack.pop().name].pop()
-            hidden = stack[-1].hidden if stack else False
-            marked = stack[-1].marked if stack else False
-        bad = hidden or _boilerplate(name, attributes, marked)
-        if not bad and (name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")) and name not in VOID:
-            marked = True
-        if not bad:
-            page.items.append(Item(name, " " if name in SPACED else "", 0, marked, block=block))
+        attributes = _attributes(piece[tag.end() :].rstrip("/>")) if "=" in piece or " hidden" in piece else {}
+        if name in CLOSES and stack and stack[-1].name in CLOSES[name]:
+            while stack and stack[-1].name in CLOSES[name]:
+                close(len(stack) - 1)
+            top = stack[-1] if stack else root
+        unseen = top.unseen or name in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSHOWN.search(attributes.get("style", "")))
+        own = 0 if unseen else _evidence(name, attributes, top.marked)
+        # A mark counts unless what surrounds it speaks of other writers or of teasers; a form may hold a whole page.
+        mark = (name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")) and not own
+        clear = mark and (name == "main" or not top.evidence or any(s.name == "form" for s in stack[-1:]))
+        marked = top.marked or clear
+        evidence = 0 if clear else own or top.evidence
+        if not unseen:
+            page.items.append(Item(name, " " if name in SPACED else "", 0, top.marked, block=block))
         if name in VOID or piece.endswith("/>") and name not in RAW:
             if name in BLOCKS:
                 block += 1
             continue
+        node = Node(name, unseen, marked, top.linked or name == "a", top.heading or name in ("h1", "h2"), evidence)
+        if own and not unseen:
+            node.span = len(page.spans)
+            page.spans.append([len(page.items) - 1, -1])  # its own tags go with it
         opened.setdefault(name, []).append(len(stack))
-        stack.append(Node(name, bad, marked))
+        stack.append(node)
         if name in RAW:  # nothing in it is markup but its own end
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(html, at)
             at = end.start() if end else stop
+    for span in page.spans:
+        if span[1] < 0:
+            span[1] = len(page.items)
     return page
 
 
-# ---------------------------------------------------------------- weights
+# ---------------------------------------------------------------- scores
 
 
-def token_class(item: Item, marked: bool = False) -> str:
-    """What a token counts as: words (in links, beside the marked elements of a marked page, or neither), tags that carry
-    prose, hidden parts, other tags of marked elements, and all other tags."""
+def features(item: Item, page: Page) -> list[int]:
+    """The features of a token; a run of words has them once per word."""
     if item.kind == "words":
-        return "linked word" if item.linked else "word beside" if marked and not item.marked else "word"
-    if item.kind == "part":
-        return "part"
+        if item.evidence in (ELEMENT, NAMED):
+            return [item.evidence]
+        out = [WORD]
+        if page.marked:
+            out.append(INSIDE if item.marked else OUTSIDE)
+        if item.linked:
+            out.append(LINKED)
+        if item.heading:
+            out.append(HEADING)
+        if item.evidence:
+            out.append(item.evidence)
+        return out
     name = item.kind.lstrip("/")
-    if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"):
-        return "prose tag"
-    if name in ("b", "i", "em", "strong", "code", "br", "sup", "sub", "span", "u", "s", "small", "q", "cite", "abbr", "mark", "time", "wbr", "img"):
-        return "inline tag"
-    if item.marked:
-        return "marked tag"
-    if name in ("li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "figure", "a"):
-        return "list tag"
-    return "other tag"
-
-
-#: Labelled pages: what lies between the marks is content.
-LABELLED = [
-    "<html><body><div><a href=x>Home</a><a href=y>News</a><a href=z>Contact</a></div><div>⟦<h1>A quiet harbour</h1><p>Boats came in before the "
-    "rain did, and the quay filled with people who had nothing to sell.</p><p>By noon it was <b>dry</b> again; nobody could say why.</p>⟧</div><div>"
-    "<ul><li><a href=1>Older</a></li><li><a href=2>Newer</a></li></ul></div><div>Printed in the town</div></body></html>",
-    "<body><table><tr><td><a href=a>One</a></td><td><a href=b>Two</a></td></tr></table><div><div>⟦<p>There are four ways to fold the map, and three "
-    "of them tear it.</p><ul><li>Start from the long side and keep the edge straight.</li><li>Press each fold twice before the next.</li></ul><p>The "
-    "fourth way needs a table.</p>⟧</div></div><div><span>Share</span><a href=m>Mail</a></div><div><a href=q>Imprint</a></div></body>",
-    "<div><span>Menu</span></div><div><div><a href=k>Start</a> <a href=l>List</a></div></div>⟦<h2>Notes on bread</h2><p>Flour, water, salt and time: "
-    "the last is the one that people leave out.</p><blockquote>A loaf is done when it sounds hollow.</blockquote><p>So wait, then listen<br>and only "
-    "then cut.</p>⟧<div><div><a href=o>More</a></div><div><a href=p>Terms</a></div></div>",
-    "<div><div>Welcome to the river club</div><div>Open every day but Monday</div></div><div>⟦<h1>The lock was mended</h1><p>For three weeks nothing "
-    "passed the lower gate, and the boats lay two deep along the wall.</p><p>On Friday the water rose again.</p>⟧</div><div><div>The club was founded by "
-    "nine friends in a hard winter</div><div>Write to us at the lock house</div></div><div><div>Weather</div><div>Light wind, some rain later</div></div>",
-    "<table><tr><td>Latest</td><td>Most read</td><td>Opinion</td></tr></table><div><div>You are reading the free edition</div></div>⟦<h2>Apples</h2><p>"
-    "The early ones don't keep; eat them by October, or press them.</p><p>Late ones need a cool room and <i>air</i>.</p>⟧<div><div>Also in this issue: "
-    "pears, plums, and a word on wasps</div><div>Three letters from readers on last month's hedge</div></div><div>Printed and bound in the valley</div>",
-    "<body><div>The paper of the upper valley, every Thursday</div><div>⟦<main><h1>Snow on the pass</h1><article><p>The road was shut at four, and the bus "
-    "turned round at the inn.</p><ul><li>Chains are sold at the garage.</li><li>Rooms are free above the bakery.</li></ul></article></main>⟧</div><div>"
-    "Also read: the old bridge, and who pays for it</div></body>",
-    "<body><div>Today in short: <article><h3>Eggs are dearer</h3></article></div><div>⟦<h1>How the mill was saved</h1><p>Nobody had asked the miller, who had "
-    "a plan in a drawer, and the money to go with it.</p><p>It took one evening.</p>⟧</div><div>Printed in the mill house</div></body>",
-]
-CLASSES = ["word", "linked word", "word beside", "marked tag", "prose tag", "inline tag", "list tag", "other tag", "part"]
-
-
-def fit_weights(pages: list[str]) -> dict[str, float]:
-    """Log odds of each class of token in content, from pages whose content stands between ⟦ and ⟧.
-
-    Words score above zero and tags below: a class on the wrong side of zero gets a weight of 0.01 on its own side.
-    """
-    inside = dict.fromkeys(CLASSES, 1.0)
-    outside = dict.fromkeys(CLASSES, 1.0)
-    for page in pages:
-        within, marked = False, tokens(page).marked
-        for part in re.split("([⟦⟧])", page):
-            if part in "⟦⟧" and part:
-                within = part == "⟦"
-                continue
-            for item in tokens(part).items:
-                (inside if within else outside)[token_class(item, marked)] += item.words if item.kind == "words" else 1
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    out = {}
-    for name in CLASSES:
-        odds = math.log(inside[name] / total_in) - math.log(outside[name] / total_out)
-        out[name] = max(odds, 0.01) if "word" in name else min(odds, -0.01)
-    out["linked word"] = min(out["linked word"], 0.1 * out["word"])
-    return out
-
-
-WEIGHTS = fit_weights(LABELLED)
+    if name == "a":  # its words say so
+        return []
+    if name in PROSE:
+        return [PROSE_TAG]
+    if name in INLINE:
+        return [INLINE_TAG]
+    if name in LIST:
+        return [MARKED_LIST if item.marked else LIST_TAG]
+    return [MARKED_TAG if item.marked else OTHER_TAG]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -259,32 +262,110 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return first, end
 
 
-def main_text(html: str | None, weights: dict[str, float] | None = None) -> str:
-    """The main text of one page."""
-    weights = weights or WEIGHTS
-    page = tokens(html or "")
+def chosen(page: Page, weights: list[float]) -> tuple[int, int, list[bool]]:
+    """(first, end) of a page's region, and of each item whether it's set aside."""
     items = page.items
-    scores = [weights[token_class(i, page.marked)] * (i.words if i.kind == "words" else 1) for i in items]
+    scores = [sum(weights[f] for f in features(i, page)) * (i.words if i.kind == "words" else 1) for i in items]
+    aside = [False] * len(items)
+    if page.spans:
+        sums = [0.0]  # of words alone: its tags don't set an element aside
+        for i, s in zip(items, scores, strict=True):
+            sums.append(sums[-1] + (s if i.words else 0.0))
+        done = 0
+        for first, end in page.spans:
+            if first >= done and end > first and sums[end] - sums[first] < 0:
+                aside[first:end] = [True] * (end - first)
+                scores[first:end] = [0.0] * (end - first)
+                scores[first] = weights[SET_ASIDE]
+                done = end
     first, end = best_region(scores)
     if first == end:
-        return ""
+        return 0, 0, aside
     # A title that only tags part from the region belongs to it.
-    before = next((k for k in range(first - 1, -1, -1) if items[k].words), None)
+    before = next((k for k in range(first - 1, -1, -1) if items[k].words and not aside[k]), None)
     if before is not None and items[before].heading and not items[before].linked:
         first = before
-    while first > 0 and items[first - 1].block == items[first].block:
+    while first > 0 and items[first - 1].block == items[first].block and not aside[first - 1]:
         first -= 1
-    while end < len(items) and items[end].block == items[end - 1].block:
+    while end < len(items) and items[end].block == items[end - 1].block and not aside[end]:
         end += 1
+    return first, end, aside
+
+
+# ---------------------------------------------------------------- weights
+
+
+def _labelled(html: str) -> tuple[Page, list[bool]]:
+    """A page without its marks, and of each item whether it's content (of a tag: whether content stands around it)."""
+    page = tokens(html)
+    within, truth = False, []
+    for item in page.items:
+        if item.kind != "words":
+            truth.append(within)
+            continue
+        inside = within
+        for mark in re.findall("[⟦⟧]", item.text):
+            within = mark == "⟦"
+            inside = inside or within
+        item.text = re.sub("[⟦⟧]", "", item.text)
+        item.words = len(item.text.split())
+        truth.append(inside and item.words > 0 or inside and within)
+    return page, truth
+
+
+#: A tag weighs as much as so many words at most.
+TAG_WORDS = 4.0
+
+
+def fit_weights(pages: list[str], rounds: int = 6) -> list[float]:
+    """Weights by an averaged perceptron over whole pages; plain words stay at zero or above, tags between zero and minus TAG_WORDS words."""
+    rows = [_labelled(p) for p in pages]
+    found = [[features(i, page) for i in page.items] for page, _ in rows]
+    w = np.zeros(len(FEATURES))
+    w[WORD], w[PROSE_TAG:], w[SET_ASIDE] = 1.0, -1.0, -0.1
+    total, steps = np.zeros_like(w), 0
+    for k in range(rounds):
+        rate = 0.2 / (1 + k)
+        for (page, truth), own in zip(rows, found, strict=True):
+            first, end, aside = chosen(page, w.tolist())
+            wrong = np.zeros_like(w)
+            for n, (item, right, which) in enumerate(zip(page.items, truth, own, strict=True)):
+                taken = first <= n < end and not aside[n]
+                if taken != right:
+                    for f in which:
+                        wrong[f] += (1 if right else -1) * (item.words if item.kind == "words" else 1)
+            w += rate * np.sign(wrong) * np.sqrt(np.abs(wrong))
+            w[WORD] = max(w[WORD], 0.0)
+            w[PROSE_TAG:] = np.clip(w[PROSE_TAG:], -TAG_WORDS * max(w[WORD], 1.0), 0.0)
+            total += w
+            steps += 1
+    return (total / max(steps, 1)).tolist()
+
+
+@cache
+def default_weights() -> tuple[float, ...]:
+    """Fitted on 600 labelled pages; the same on every machine."""
+    from lodestone.llm.html_pages import labelled_pages
+
+    return tuple(fit_weights(labelled_pages(600)))
+
+
+# ---------------------------------------------------------------- texts
+
+
+def main_text(html: str | None, weights: list[float] | tuple[float, ...] | None = None) -> str:
+    """The main text of one page."""
+    page = tokens(html or "")
+    first, end, aside = chosen(page, weights or default_weights())
     blocks: dict[int, list[str]] = {}
-    for item in items[first:end]:
-        if item.text:
-            blocks.setdefault(item.block, []).append(item.text)
+    for k in range(first, end):
+        if page.items[k].text and not aside[k]:
+            blocks.setdefault(page.items[k].block, []).append(page.items[k].text)
     texts = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
-def _extracted(weights: dict[str, float] | None):
+def _extracted(weights: tuple[float, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, pages in slices(batches, "__html"):
             texts = [main_text(p, weights) for p in pages]
@@ -296,9 +377,9 @@ def _extracted(weights: dict[str, float] | None):
     return run
 
 
-def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
-    """The columns to keep, with text and n_chars."""
+def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", weights: list[float] | None = None) -> DataFrame:
+    """The columns to keep, with text and n_chars. The weights are fitted on the driver, unless given, and sent along."""
     ship_package(df.sparkSession)
     narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html"))
     kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(_extracted(weights), f"{kinds}, text string, n_chars long")
+    return narrow.mapInArrow(_extracted(tuple(weights or default_weights())), f"{kinds}, text string, n_chars long")

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from lodestone.llm import html
+from lodestone.llm.html_pages import labelled_pages
 
 ARTICLE = "<h1>On &amp; off</h1><p>First   para with <b>some</b> words\n in it.</p><p>Second para<br>after a break &eacute;&#33;</p>"
 TEXT = "On & off\n\nFirst para with some words in it.\n\nSecond para after a break é!"
@@ -17,7 +18,72 @@ AROUND = [
 
 
 def test_weights_have_their_signs():
-    assert all((w > 0) == ("word" in k) for k, w in html.WEIGHTS.items())
+    w = html.default_weights()
+    assert len(w) == len(html.FEATURES) == html.SET_ASIDE + 1
+    assert w[html.WORD] > 0 and w[html.WORD] + w[html.INSIDE] > 0 and all(x <= 0 for x in w[html.PROSE_TAG :])
+    assert w[html.ELEMENT] < 0 and w[html.NAMED] < 0 and w[html.LINKED] < 0 and w[html.OUTSIDE] < 0
+    assert tuple(html.fit_weights(labelled_pages(600))) == w
+
+
+def labelled(page):
+    """(page without its marks, its content)"""
+    parsed, truth = html._labelled(page)
+    blocks = {}
+    for item, content in zip(parsed.items, truth, strict=True):
+        if content and item.text:
+            blocks.setdefault(item.block, []).append(item.text)
+    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
+    return re.sub("[⟦⟧]", "", page), "\n\n".join(t for t in texts if t)
+
+
+def agreement(pages, weights=None):
+    """(share of pages with exactly the labelled text, mean F1 of their words)"""
+    from collections import Counter
+
+    exact, f1 = 0, 0.0
+    for page, want in map(labelled, pages):
+        got = html.main_text(page, weights)
+        common = (Counter(got.split()) & Counter(want.split())).total()
+        f1 += 2 * common / max(1, len(got.split()) + len(want.split()))
+        exact += got == want
+    return exact / len(pages), f1 / len(pages)
+
+
+def test_held_out_pages(monkeypatch):
+    """Pages of another seed, with and without marks of their content; the scan and its weights decide."""
+    pages = labelled_pages(300, seed=9)
+    exact, f1 = agreement(pages)
+    assert exact >= 0.9 and f1 >= 0.985
+    for marked in (True, False):
+        some = [p for p in pages if ("<article>⟦" in p or "<main>" in p or "role=\"main\"" in p) == marked]
+        assert len(some) > 80 and agreement(some)[1] >= 0.975
+    flat = [0.0] * len(html.FEATURES)
+    flat[html.WORD], flat[html.OTHER_TAG] = 1.0, -1.0
+    assert agreement(pages, flat)[0] < exact - 0.2
+    monkeypatch.setattr(html, "best_region", lambda scores: (0, len(scores)))
+    assert agreement(pages)[0] < exact - 0.4
+
+
+def test_region_of_whole_pages_is_the_maximum(monkeypatch):
+    import numpy as np
+
+    seen = []
+    scan = html.best_region
+    monkeypatch.setattr(html, "best_region", lambda scores: seen.append(list(scores)) or scan(scores))
+    for page in labelled_pages(40, seed=5):
+        html.main_text(labelled(page)[0])
+    for scores in seen:
+        sums = np.r_[0, np.cumsum(scores)]
+        a, b = scan(scores)
+        assert sums[b] - sums[a] == pytest.approx(max(0, max((sums[i:] - sums[i - 1]).max() for i in range(1, len(sums)))))
+
+
+def test_names_are_features_only():
+    assert html.main_text('<article><p>Alpha beta</p><p class="legal">Court ruled so</p><div class="story related-party"><p>Body of it</p></div></article>') == "Alpha beta\n\nCourt ruled so\n\nBody of it"
+    words = " ".join(["prose"] * 30)
+    page = f"<body><div><p>{words}</p><ul><li>one of four</li><li>two of four</li><li>three of four</li><li>four of four</li></ul><div><div><p>{words}</p></div></div></div></body>"
+    assert html.main_text(page) == "\n\n".join([words, "one of four", "two of four", "three of four", "four of four", words])
+    assert html.main_text(f'<body><form action="/"><nav><a href="/">Home</a></nav><main><p>{words}</p></main></form></body>') == words
 
 
 @pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><div>{}</div></main>", "<div><div>{}</div></div>"])
@@ -49,10 +115,15 @@ def test_the_scan_decides_on_marked_pages():
     assert html.main_text(f"<body><main><h1>Title</h1><article><p>{two}</p></article></main></body>") == f"Title\n\n{two}"
     assert html.main_text(f"<body><article><p>{one}</p></article><article><p>{two}</p></article></body>") == f"{one}\n\n{two}"
     assert html.main_text(f"<article><p>{one}</p><article><p>{two}</p></article><p>{one}</p></article>") == f"{one}\n\n{two}\n\n{one}"
-    assert html.main_text(f"<body><div><article><p>Short note</p></article></div><div><p>{two * 9}</p></div></body>") == two * 9
+    page = f"<body><div><article><p>Short note</p></article></div><div><p>{two * 9}</p></div></body>"
+    level = [x if k != html.OUTSIDE else 0.0 for k, x in enumerate(html.default_weights())]
+    assert html.main_text(page) == "Short note" and html.main_text(page, level) == two * 9
     assert html.main_text(f"<body><div>{one}</div><article><p>{two}</p></article><div>{one}</div></body>") == two
+    beside = list(html.default_weights())
+    beside[html.OUTSIDE], beside[html.MARKED_TAG], beside[html.OTHER_TAG] = 0.0, -1.0, -1.0
     links = "<div><ul>" + "<li><a href=x>more of this</a></li>" * 9 + "</ul></div>"
-    assert html.main_text(f"<div>{links}<div><p>{two}</p></div><article><p>{two}</p></article></div>", html.WEIGHTS | {"word beside": 1.0}) == f"{two}\n\n{two}"
+    beside[html.LINKED] = -40.0
+    assert html.main_text(f"<div>{links}<div><p>{two}</p></div><article><p>{two}</p></article></div>", beside) == f"{two}\n\n{two}"
 
 
 def test_closing_tags_find_openers_at_any_depth():
