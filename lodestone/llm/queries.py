@@ -20,16 +20,52 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """conversations without their roles: each turn as a speaker would be marked in a transcript, by a style of its
-    conversation; one turn in nine (never a first one) has no marker."""
+#: Turns of a transcript that stand in one row, and pieces above which the pieces of a row (of repeated positions) stay apart.
+TURNS_A_ROW = 3
+MOST_PIECES = 64
+
+
+def marked_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, said (the turn's text) and line (as it stands in a transcript).
+
+    Speakers are marked by a style of the conversation; one turn in nine (never a first one) has no marker, and follows a
+    blank line; one in thirteen ends by quoting a marker.
+    """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     user = F.when(style == 0, "User: ").when(style == 1, "### Human: ").when(style == 2, "<|user|> ").otherwise("Q: ")
     assistant = F.when(style == 0, "Assistant: ").when(style == 1, "### Assistant: ").when(style == 2, "<|assistant|> ").otherwise("A: ")
     system = F.when(style == 2, "<|system|> ").otherwise("System: ")
-    bare = (F.col("turn") > 0) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9)) == 0)
+    later = F.col("turn") > 0
+    bare = F.coalesce(later & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9)) == 0), F.lit(False))
     mark = F.when(bare, "").when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).when(F.col("role") == "system", system).otherwise("")
-    return conversations.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+    quote = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(13)) == 0, F.concat(F.lit("\n> "), user, F.lit("as it was said"))).otherwise("")
+    gap = F.when(bare | (later & (style % 2 == 1)), "\n").otherwise("")
+    said = F.concat(F.coalesce("text", F.lit("")), quote)
+    return conversations.select("conv_id", "turn", "role", said.alias("said"), F.concat(gap, mark, said).alias("line"))
+
+
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """conversations without their roles: conv_id, turn (the number of a row) and text, several turns in one text.
+
+    A turn that is the last of its row goes on in the next one by half of its lines, if a hash says so.
+    """
+    row = F.coalesce(F.floor(F.col("turn") / TURNS_A_ROW), F.lit(-1)).cast("long")
+    lines = F.split("line", "\n", -1)
+    spans = (F.pmod(F.col("turn"), F.lit(TURNS_A_ROW)) == TURNS_A_ROW - 1) & (F.pmod(F.xxhash64("said"), F.lit(2)) == 0) & (F.size("lines") > 3)
+    half = F.floor(F.size("lines") / 2).cast("int")
+    piece = lambda k, at, text: F.struct((row + k).alias("row"), (F.col("turn") * 2 + k).alias("at"), text.alias("text"))
+    cut = F.array(piece(0, 0, F.array_join(F.slice("lines", F.lit(1), half), "\n")), piece(1, 0, F.array_join(F.slice("lines", half + 1, F.size("lines")), "\n")))
+    pieces = (
+        marked_turns(conversations).withColumn("lines", lines)
+        .select("conv_id", F.explode(F.when(spans, cut).otherwise(F.array(piece(0, 0, F.col("line"))))).alias("p")).select("conv_id", "p.*")
+    )
+    many = pieces.groupBy("conv_id", "row").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PIECES).select(F.col("conv_id").alias("c"), F.col("row").alias("r"))
+    each = pieces.join(many, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("row") == F.col("r")), "left")
+    together, alone = each.where("r is null"), each.where("r is not null")
+    joined = together.groupBy("conv_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
+    return joined.select("conv_id", F.col("row").alias("turn"), F.array_join(F.transform("x", lambda p: p["text"]), "\n").alias("text")).unionByName(
+        alone.select("conv_id", F.col("row").alias("turn"), "text")
+    )
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

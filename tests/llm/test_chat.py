@@ -1,8 +1,10 @@
 import random
+import re
 from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat
 
@@ -43,22 +45,54 @@ def test_roles_of_a_transcript():
     assert got == [("system", "Be brief."), ("user", "What is it?"), ("assistant", "A boat.\nIt is red: a fine one.\n\nand old"), ("user", "Is it far?"), ("assistant", "No.")]
 
 
-def test_query_recovers_roles(spark):
-    from lodestone.llm.queries import op2_chat
-
-    sf = "/root/testdata/sf0.01"
-    given = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
-    rows = op2_chat(spark, sf).collect()
-    assert {(r.conv_id, r.turn) for r in rows} == set(given)
-    first = {}
-    for r in sorted(rows, key=lambda r: r.part):
-        first.setdefault((r.conv_id, r.turn), r)
-    right = sum(first[k].role == g.role and first[k].begins for k, g in given.items())
-    assert right > 0.95 * len(given)
+def turns_of(rows):
+    """(role, text) of each turn of the canonical transcripts that the rows' rendered columns make."""
     whole = {}
     for r in sorted(rows, key=lambda r: (r.conv_id, r.turn, r.part)):
         whole[r.conv_id] = whole.get(r.conv_id, "") + r.rendered
-    assert all(t.startswith("<|") for t in whole.values())
+    squeezed = lambda t: "\n".join(x for x in t.split("\n") if x)
+    parsed = {c: re.findall(r"<\|(system|user|assistant)\|>\n(.*?)(?:\n<\|end\|>\n|\Z)", t, re.S) for c, t in whole.items()}
+    return {c: [(role, squeezed(text)) for role, text in turns] for c, turns in parsed.items()}
+
+
+def test_query_recovers_turns_and_roles(spark):
+    from lodestone.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    given = spark.read.parquet(f"{sf}/conversations.parquet")
+    texts = queries.transcripts(given).collect()
+    assert max(sum(x.startswith(("User: ", "### ", "<|", "Q: ", "A: ", "Assistant: ", "System: ")) for x in r.text.split("\n")) for r in texts) == 3
+    rows = queries.op2_chat(spark, sf).collect()
+    found = turns_of(rows)
+    right = alone = unmarked = total = 0
+    for r in queries.marked_turns(given).collect():
+        want = (r.role, "\n".join(x for x in r.said.split("\n") if x))
+        hit = want in found[r.conv_id]
+        total, right = total + 1, right + hit
+        if r.line.lstrip("\n") == r.said:
+            alone, unmarked = alone + 1, unmarked + hit
+    assert right > 0.93 * total and alone > 20 and unmarked > 0.6 * alone
+    assert any(r.part > 1 for r in rows) and any(not r.begins for r in rows)
+
+
+def test_the_fitted_model_reads_held_out_transcripts():
+    good = total = 0
+    for turns in chat.labelled_transcripts(300, seed=12):
+        got = [chat.ROLES.index(r[2]) for r in chat.stretches(["\n".join(text for _, text in turns)]) if r[3]]
+        good += got == [role for role, _ in turns]
+        total += 1
+    assert good > 0.75 * total
+
+
+def test_segments_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT_BYTES", 3000)
+    rows = [(1, 0, f"User: number {i}") for i in range(500)] + [(1, None, f"A: {i} " + "x" * 200) for i in range(100)] + [(2, i, "Q: " + "y" * 900) for i in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    sizes = chat._segments(df.select(F.col("conv_id").alias("__id"), F.col("turn").alias("__pos"), F.xxhash64("text").alias("__order"), F.octet_length("text").cast("long").alias("size")), 64)
+    held = sizes.groupBy("__id", "seg").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+    assert max(r.n for r in held) < 2 * 64 and max(r.b for r in held) < 3000 * 3 and len(held) > 25
+    key = lambda r: (r.conv_id, -1 if r.turn is None else r.turn, r.part, r.text, r.rendered)
+    assert sorted(chat.format_turns(df, segment=64).collect(), key=key) == sorted(chat.format_turns(df, segment=10**6).collect(), key=key)
 
 
 def test_long_transcript_in_segments_and_edges(spark):
