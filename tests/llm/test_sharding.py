@@ -46,3 +46,38 @@ def test_map_versions(spark, tmp_path):
     sharding.write_map(spark, str(tmp_path), 2, grown, sums)
     assert {r.vslot: r.shard for r in sharding.read_map(spark, str(tmp_path), 1).collect()} == old
     assert {r.vslot: r.shard for r in sharding.read_map(spark, str(tmp_path), 2).collect()} == grown
+
+
+def test_a_stored_map_is_edited_and_read_again(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = docs.where("doc_id < 300").selectExpr("doc_id + 100000 AS doc_id", "text")
+    path = str(tmp_path)
+    first = {r.doc_id: r for r in sharding.shard(docs, 16, path=path).collect()}
+    assert sharding.newest(spark, path) == 1
+    again = {r.doc_id: r.shard for r in sharding.shard(docs.union(more), 16, path=path).collect()}
+    assert sharding.newest(spark, path) == 1 and all(again[d] == r.shard for d, r in first.items())
+    grown = {r.doc_id: r for r in sharding.rebalance(docs.union(more), path, 17).collect()}
+    assert sharding.newest(spark, path) == 2
+    before, after = ({r.vslot: r.shard for r in sharding.read_map(spark, path, v).collect()} for v in (1, 2))
+    moved = {s for s in before if before[s] != after[s]}
+    assert moved and len(moved) < sharding.SLOTS / 2
+    for d, r in grown.items():
+        assert r.shard == after[r.vslot] and (r.vslot in moved) == (r.shard != again[d])
+    sizes = Counter()
+    for r in grown.values():
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 17
+    for shard in range(17):
+        slots = sorted(r.slot for r in grown.values() if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    old = {r.doc_id: r.shard for r in sharding.shard(docs, path=path, version=1).collect()}
+    assert old == {d: r.shard for d, r in first.items()}
+
+
+def test_one_slot_that_holds_most_rows(spark):
+    df = spark.range(0, 3000).selectExpr("if(id % 3 = 0, id, 7) AS doc_id", "if(id % 3 = 0, string(id), 'same') AS text")
+    got = sharding.shard(df, 4).collect()
+    assert len(got) == 3000
+    for shard in range(4):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
