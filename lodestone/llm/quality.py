@@ -5,8 +5,8 @@ A text's UTF-8 bytes are embedded, and learned filters of ``4 * TAPS`` bytes sli
 its maximum there. Over the chunks of a text the responses' maximum, mean and minimum, with the number of steps in a
 chunk, go through one hidden layer to one probability.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled texts of each label (chosen by a hash of their id,
-none longer than ``LONGEST`` bytes, each used whole); scoring reads every text whole. Only the text is an input.
+The network is fitted on the driver on at most ``SAMPLE`` labelled texts of each label (chosen by a hash of their id, among
+those no longer than ``LONGEST`` bytes, and as many as ``SAMPLE_BYTES`` hold, each used whole); scoring reads every text whole. Only the text is an input.
 
 Defined results: null and empty texts are scored as the empty text; equal texts have equal scores; where the sample
 lacks one of the labels every score is 0.5; rows with a null id are scored, and never learned from; an empty table
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
-from lodestone.session import ship_package
+from lodestone.session import materialised, ship_package
 
 STRIDE = 4
 TAPS = 3
@@ -35,6 +35,8 @@ STEP = 96
 #: Labelled texts of each label to learn from, the longest of them in bytes, and rounds over them.
 SAMPLE = 1600
 LONGEST = 100_000
+#: Bytes of all texts of one label that the driver holds.
+SAMPLE_BYTES = 48_000_000
 EPOCHS = 10
 SEED = 11
 BAR = 0.3
@@ -218,14 +220,23 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest:
     """A network fitted to labels.quality on at most `sample` texts of each label; ids with crc32 % 5 = 0 are kept out."""
     known = labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     known = known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0)
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = known.where("__y = 0").orderBy(*order).limit(sample).union(known.where("__y = 1").orderBy(*order).limit(sample))
+    texts = documents.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    texts = texts.withColumn("__th", F.xxhash64("__text")).where(F.octet_length("__text") <= longest)
+    sized = materialised(texts.select("__id", "__th", F.octet_length("__text").alias("__size")).join(known, "__id"), "labelled-sizes")
+    chosen: list[tuple] = []
+    for label in (0, 1):
+        left = SAMPLE_BYTES
+        for r in sized.where(F.col("__y") == label).orderBy(F.xxhash64("__id"), "__id", "__th").limit(sample).collect():
+            left -= r["__size"]
+            if left >= 0:
+                chosen.append((r["__id"], r["__th"], label))
+    if not chosen:
+        return Network()
+    kind = texts.schema["__id"].dataType.simpleString()
+    wanted = documents.sparkSession.createDataFrame(chosen, f"__id {kind}, __th long, __y int").distinct()
     rows = (
-        documents.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-        .join(F.broadcast(chosen), "__id")  # 2 * sample rows at most
-        .where(F.octet_length("__text") <= longest)
-        .orderBy(F.xxhash64("__id"), "__id", "__y", "__text").limit(2 * sample)
-        .collect()
+        texts.join(F.broadcast(wanted), ["__id", "__th"])  # 2 * sample rows at most
+        .dropDuplicates(["__id", "__th", "__y"]).orderBy(F.xxhash64("__id"), "__id", "__y", "__th").collect()
     )
     return Network().fit([r["__text"] for r in rows], [r["__y"] for r in rows])
 
