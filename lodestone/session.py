@@ -26,20 +26,39 @@ def local_session(app: str = "lodestone", cores: str = "8", shuffle: int = 8, **
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, but only in a session on one machine, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not _local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-shared-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    """A new path for a table that lives as long as the application: its folder is deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    home = f"{shared_dir(spark)}/lodestone/{sc.applicationId}"
+    if home not in _HOMES:
+        path = sc._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # of a folder that exists
+        _HOMES.add(home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+_HOMES: set[str] = set()
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
@@ -61,7 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for functions that run in Python there."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_lodestone_shipped", False):
+    if _local(spark) or getattr(sc, "_lodestone_shipped", False):
         return
     import zipfile
 
