@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest text that is chunked, width of a chunk, and how far the next one starts.
+# Where an indexer may stop reading a text, width of a chunk, and how far the next one starts.
 TEXT_LIMIT, WIDTH, STRIDE = 400_000, 4_000, 3_800
+# What counts as a tag, and the attributes whose values are labels.
+MARKUP_TAG = "<[^>]+>"
+LABELS = ["name", "id", "label", "documentation"]
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -15,9 +20,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
-def chunks(text: Column, limit: int = TEXT_LIMIT, width: int = WIDTH, stride: int = STRIDE) -> Column:
-    """array<string>: overlapping windows of a text, blank ones left out."""
-    body = F.substring(text, 1, limit)
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once although lambdas in the body may ask for it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def chunks(text: Column, limit: int | None = None, width: int = WIDTH, stride: int = STRIDE) -> Column:
+    """array<string>: overlapping windows of a whole text (or of its first `limit` characters), blank ones left out."""
+    body = text if limit is None else F.substring(text, 1, limit)
     size = F.char_length(body)
     n = F.when(size <= width, F.lit(1)).otherwise(F.lit(1) + F.ceil((size - width) / F.lit(stride)).cast("int"))
     windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(body, i * stride + 1, F.lit(width)))
@@ -79,23 +89,70 @@ def message_id(value: Column) -> Column:
     return F.nullif(F.lower(bare), F.lit(""))
 
 
+def address(sender: Column) -> Column:
+    """The bare address of a sender header, lower case: what stands in angle brackets, else all but comments in brackets."""
+    inside = F.regexp_extract(sender, "<([^<>]*)>", 1)
+    bare = F.trim(F.regexp_replace(sender, r"\([^()]*\)", ""))
+    return F.lower(F.trim(F.when(F.contains(sender, F.lit("<")), inside).otherwise(bare)))
+
+
 def letter_fingerprint(sender: Column, minute: Column, subject: Column, body: Column) -> Column:
-    """32 hex digits over sender, UTC minute, squashed subject and the body's first letters and digits; null if one of
-    the first three is missing."""
-    bare = F.substring(F.regexp_replace(F.lower(body), r"(?U)[\W_]+", ""), 1, 200)
-    whole = F.concat_ws("|", F.lower(F.trim(sender)), minute, F.lower(squash(subject)), F.coalesce(bare, F.lit("")))
-    there = (F.trim(sender) != "") & (F.trim(subject) != "") & minute.isNotNull()
+    """32 hex digits over address, UTC minute, squashed subject and the body's first 200 letters and digits; what is missing
+    counts as empty, and only a letter without all of the first three has none."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    start = F.substring(F.regexp_replace(F.lower(given(body)), r"(?U)[\W_]+", ""), 1, 200)
+    whole = F.concat_ws("|", address(given(sender)), given(minute), F.lower(squash(given(subject))), start)
+    there = (given(sender) != "") | (given(minute) != "") | (given(subject) != "")
     return F.when(there, F.substring(F.sha2(whole, 256), 1, 32))
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, "<[^>]+>", " ")
+    return F.regexp_replace(text, MARKUP_TAG, " ")
+
+
+def labels(text: Column) -> Column:
+    """Values of label attributes (2 to 120 characters), each once, in order."""
+    named = F.regexp_extract_all(text, F.lit(f'(?<![0-9A-Za-z_])(?:{"|".join(LABELS)})="([^"]*)"'), F.lit(1))
+    return F.array_distinct(F.filter(named, lambda v: F.char_length(v).between(2, 120)))
 
 
 def markup_text(text: Column) -> Column:
-    """Label-like attribute values (2 to 120 characters, each once) and the text between tags."""
-    found = F.regexp_extract_all(text, F.lit(r'\b(?:name|id|label|documentation)="([^"]{2,120})"'), F.lit(1))
-    return squash(F.concat_ws(" ", F.array_distinct(found), strip_tags(text)))
+    """The labels, a line each, and after them the text between tags on one line."""
+    between = F.regexp_replace(strip_tags(text), r"(?U)\s+", " ")
+    return F.concat(F.array_join(labels(text), "\n"), F.lit("\n"), between)
+
+
+def highlighted(text: Column, query: Column, most: int = 8, shortest: int = 3) -> Column:
+    """HTML-escaped text with <mark> around the query's words: the `most` longest of at least `shortest` letters."""
+    escaped = text
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        escaped = F.replace(escaped, F.lit(c), F.lit(name))
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)\w+"), F.lit(0))), lambda w: F.char_length(w) >= shortest)
+    longest = F.slice(F.array_sort(words, lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, most)
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(longest, "|"), F.lit(")"))
+    return F.when(F.size(longest) > 0, F.regexp_replace(escaped, pattern, F.lit("<mark>$1</mark>"))).otherwise(escaped)
+
+
+def intake_title(given: Column, text: Column, name: Column) -> Column:
+    """The title given, else the letter's first subject line, else the file's name, cut to 200 characters."""
+    subject = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^Subject:[ \t]*(.+)$", 1)), F.lit(""))
+    return F.substring(F.coalesce(F.nullif(F.trim(given), F.lit("")), subject, file_name(name)), 1, 200)
+
+
+def diagram_name(text: Column) -> Column:
+    """A name as a diagram language quotes it: backslashes and quotes escaped, line feeds written out."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit('"'))
+
+
+def safe_parts(path: Column) -> Column:
+    """An archive member's path made safe: null if it's absolute, has a drive, or only dots; control and reserved characters
+    to _, trailing dots and spaces off, parts cut to 120 characters."""
+    slashed = F.translate(path, "\\", "/")
+    parts = F.filter(F.split(slashed, "/"), lambda p: ~p.isin("", "."))
+    clean = F.transform(parts, lambda p: F.substring(F.regexp_replace(F.regexp_replace(p, r'[\x00-\x1f<>:"|?*]', "_"), r"[. ]+$", "_"), 1, 120))
+    bad = slashed.startswith("/") | slashed.rlike("^[A-Za-z]:") | F.exists(parts, lambda p: p == "..") | (F.size(parts) == 0)
+    return F.when(~bad, F.array_join(clean, "/"))
 
 
 def excerpt(text: Column, most: int) -> Column:

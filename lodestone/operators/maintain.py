@@ -22,7 +22,7 @@ def dedupe_plan(index: DataFrame, known: DataFrame, mail_sources: list[str], ran
     keyed = keyed.withColumn("kind", F.when(~F.col("inside"), "outside").when(F.col("sha").isNull(), "unknown").otherwise("grouped"))
     deep = F.size(F.split("norm", "/")) > 2
     order = [
-        F.coalesce(F.nullif("updated", F.lit("")), F.lit("9999")), rank, F.when(deep, F.split_part("norm", F.lit("/"), F.lit(2))).otherwise(""),
+        F.coalesce(F.nullif(F.substring("updated", 1, 10), F.lit("")), F.lit("9999")), rank, F.when(deep, F.split_part("norm", F.lit("/"), F.lit(2))).otherwise(""),
         F.desc("size"), "norm", "path",
     ]
     mid = F.nullif("mid", F.lit(""))
@@ -47,23 +47,39 @@ def without_paths(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("path").distinct(), "path", "left_anti")
 
 
-def date_plan(index: DataFrame, known: DataFrame) -> DataFrame:
-    """New dates of index paths: path, old, new, reason.
+#: The folder that holds attachments beside letters or pages.
+ATTACHED = "/_attachments/"
 
-    A letter has its own header date; an attachment (`<letter>.files/...`) the date of its letter, else the date that its
-    folder's name begins with; all else stays. An equal day is `same`.
+
+def date_plan(index: DataFrame, known: DataFrame, mail_roots: list[str], page_roots: list[str]) -> DataFrame:
+    """New dates of index paths: path, old, new, reason. index: path, updated; known: path, date, letter (boolean).
+
+    In mail roots a letter has its header's date, or is unknown without one. Its attachments lie in
+    ``_attachments/<anything>_<code>/`` and have the date of the letter whose name ends in ``_<code>.eml`` or ``.msg`` (8 hex
+    digits, same folder), else the day that their folder's name begins with. In page roots attachments lie in
+    ``_attachments/<id>/`` and have the day of the indexed page ``<id>__...`` beside. All else stays; an equal day is ``same``.
     """
-    rows = index.withColumn("parent", F.regexp_extract("path", r"^(.*)\.files/[^/]+$", 1))
-    own = known.where("date is not null").select(F.col("path"), F.col("date").alias("own"))
-    parents = known.where("date is not null").select(F.regexp_replace("path", r"\.[^./]+$", "").alias("parent"), F.col("date").alias("by_parent"))
-    parents = parents.groupBy("parent").agg(F.min("by_parent").alias("by_parent"))
-    joined = rows.join(own, "path", "left").join(parents, "parent", "left")
-    by_name = F.nullif(F.regexp_extract("parent", r"([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1), F.lit(""))
-    attached = F.col("parent") != ""
-    new = F.when(attached, F.coalesce("by_parent", by_name)).otherwise(F.col("own"))
+    rows = index.withColumn("norm", T.slashes(F.col("path"))).withColumn("root", T.first_component(F.col("norm")))
+    base = F.when(F.contains("norm", F.lit(ATTACHED)), F.split_part("norm", F.lit(ATTACHED), F.lit(1)))
+    rows = rows.withColumn("base", base).withColumn("folder", F.split_part(F.split_part("norm", F.lit(ATTACHED), F.lit(2)), F.lit("/"), F.lit(1)))
+    rows = rows.withColumn("code", F.regexp_extract("folder", "(?:^|_)([0-9a-f]{8})$", 1))
+    own = known.select(F.col("path").alias("norm"), F.col("date").alias("own"), "letter")
+    place = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    coded = known.where("date is not null").select(place.alias("base"), F.regexp_extract("path", r"_([0-9a-f]{8})\.(?:eml|msg)$", 1).alias("code"), F.col("date").alias("by_letter"))
+    coded = coded.where("code <> ''").groupBy("base", "code").agg(F.max("by_letter").alias("by_letter"))
+    pages = rows.where(F.col("root").isin(page_roots) & F.col("base").isNull() & (F.coalesce("updated", F.lit("")) != "") & F.contains(T.file_name(F.col("norm")), F.lit("__")))
+    pages = pages.select(
+        F.regexp_extract("norm", "^(.*)/[^/]*$", 1).alias("base"), F.split_part(T.file_name(F.col("norm")), F.lit("__"), F.lit(1)).alias("folder"), F.substring("updated", 1, 10).alias("by_page")
+    ).groupBy("base", "folder").agg(F.max("by_page").alias("by_page"))
+    joined = rows.join(own, "norm", "left").join(coded, ["base", "code"], "left").join(pages, ["base", "folder"], "left")
+    mail, letter, inside = F.col("root").isin(mail_roots), F.coalesce("letter", F.lit(False)), F.col("base").isNotNull()
+    by_name = F.nullif(F.regexp_extract("folder", r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit(""))
+    paged = F.col("root").isin(page_roots) & inside
+    new = F.when(mail & letter, F.col("own")).when(mail & inside, F.coalesce("by_letter", by_name)).when(paged, F.col("by_page"))
+    concerned = mail & (letter | inside) | paged
     reason = (
-        F.when(new.isNull(), "unknown").when(new == F.substring("updated", 1, 10), "same")
-        .when(~attached, "letter").when(F.col("by_parent").isNotNull(), "parent").otherwise("name")
+        F.when(~concerned, "other").when(new.isNull(), "unknown").when(new == F.substring(F.coalesce("updated", F.lit("")), 1, 10), "same")
+        .when(mail & letter, "letter").when(paged | F.col("by_letter").isNotNull(), "parent").otherwise("name")
     )
     return joined.select("path", F.col("updated").alias("old"), F.when(reason.isin("letter", "parent", "name"), new).otherwise(F.col("updated")).alias("new"), reason.alias("reason"))
 

@@ -64,3 +64,40 @@ def kept_in_cache(files: DataFrame, now: int, days: int, cap: int) -> DataFrame:
     young = files.where(F.col("used") >= now - days * 86400)
     running = Window.orderBy(F.desc("used"), "name").rowsBetween(Window.unboundedPreceding, 0)
     return young.withColumn("total", F.sum("size").over(running)).where(F.col("total") <= cap)
+
+
+def first_of_each(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """A report's lists: the first `most` of each group by name, with how many more there are on the last line of each."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    total = rows.groupBy(group).agg(F.count("*").alias("total"))
+    shown = rows.withColumn("place", place).where(F.col("place") <= most).join(total, group)
+    return shown.withColumn("more", F.when(F.col("place") == most, F.col("total") - most).otherwise(0)).drop("total")
+
+
+def budgeted_pages(documents: DataFrame, per_pass: int = 60, per_document: int = 20, tries: int = 3, slots: int = 4096) -> DataFrame:
+    """Documents whose pages a pass still reads, oldest debt first: id, pages (per_document at most), spent before.
+
+    documents: id, pages, tried. A document counts a page at least, so a pass never looks at more than per_pass of them; only
+    the per_pass + 1 oldest take part in the running sum.
+    """
+    due = documents.where(F.col("tried") < tries).select("id", F.least(F.greatest("pages", F.lit(1)), F.lit(per_document)).cast("long").alias("pages"))
+    first = due.orderBy("id").limit(min(per_pass + 1, slots))
+    before = F.coalesce(F.sum("pages").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("spent", before).where(F.col("spent") + F.col("pages") <= per_pass)
+
+
+def reviewed(queue: DataFrame, asked: DataFrame) -> DataFrame:
+    """Owner's actions on queue files: path, action, outcome. queue: path, sha (of its receipt), now (its bytes' sha), location.
+
+    accept takes a file whose bytes are still those of its receipt; reject and return need one in the queue or in quarantine;
+    delete any that isn't gone. Of several actions on one path the first by number counts. asked: nth, path, action.
+    """
+    one = asked.groupBy("path").agg(F.min_by("action", "nth").alias("action"))
+    joined = one.join(queue, "path", "left")
+    held = F.col("location").isin("queue", "quarantine")
+    outcome = (
+        F.when(F.col("location").isNull(), "missing").when(F.col("action") == "delete", F.when(F.col("location").isin("returned", "deleted"), "gone").otherwise("deleted"))
+        .when(~held, "not waiting").when(F.col("action") == "accept", F.when(F.col("sha") == F.col("now"), "corpus").otherwise("changed"))
+        .when(F.col("action").isin("reject", "return"), "returned").otherwise("unknown action")
+    )
+    return joined.select("path", "action", outcome.alias("outcome"))

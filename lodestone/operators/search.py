@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates as D
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
+from lodestone.session import materialised
 
-SINCE = re.compile(r"\d{4}(-\d{2}(-\d{2})?)?", re.ASCII)
 RRF, LEXICAL_SHARE, CANDIDATES = 60, 0.8, 120
 FRESH_BASE, FRESH_SHARE = 0.55, 0.45
 K1, B = 1.2, 0.75
@@ -23,8 +23,11 @@ class BadQuery(ValueError):
 
 
 def clean_since(since: str | None) -> str:
+    """A year, a month or a day in ASCII digits: months 01 to 12, days 01 to 31, whatever the month."""
     value = (since or "").strip()
-    if value and not SINCE.fullmatch(value):
+    parts = value.split("-")
+    widths = [len(p) for p in parts] == [4, 2, 2][: len(parts)] and all(p.isascii() and p.isdigit() for p in parts)
+    if value and not (widths and all(1 <= int(p) <= most for p, most in zip(parts[1:], (12, 31)))):
         raise BadQuery("since must be YYYY, YYYY-MM or YYYY-MM-DD")
     return value
 
@@ -52,39 +55,52 @@ def filtered(docs: DataFrame, since: str | None = None, source: str | None = Non
     return docs
 
 
+def with_rows(docs: DataFrame, best: DataFrame, value: str, n: int) -> DataFrame:
+    """The docs rows of a top list (path, chunk, value): its paths, n at most, become a filter that reaches the scan."""
+    rows = best.collect()  # n rows
+    listed = docs.sparkSession.createDataFrame([(r["path"], r["chunk"], r[value]) for r in rows], f"path string, chunk int, {value} double")
+    found = docs.where(F.col("path").isin(sorted({r["path"] for r in rows}))).join(F.broadcast(listed), ["path", "chunk"])
+    return found.select(*docs.columns, value).orderBy(F.desc(value) if value == "bm25" else value, "path", "chunk").limit(n)
+
+
 def vector_list(docs: DataFrame, vectors: DataFrame, query: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """The n nearest chunks of a one-row query by cosine distance, exactly.
 
-    The query row is the only broadcast; the candidates leave as a top-n of every task.
+    Distances are made on keys and vectors alone, as a top-n of every task; the n rows' other columns are fetched after that.
+    The query row is the only broadcast.
     """
-    near = docs.where("chunk = 0").join(vectors, docs.doc_id == vectors.vec_id).crossJoin(F.broadcast(query.limit(1)))
-    found = near.select(docs["*"], V.cosine_distance(F.col("embedding"), F.col("q")).alias("dist"))
-    return found.withColumn("dist", F.round("dist", 6)).orderBy("dist", "path", "chunk").limit(n)
+    target = query.limit(1).select("q", F.sqrt(V.dot(F.col("q"), F.col("q"))).alias("q_norm"))
+    far = vectors.crossJoin(F.broadcast(target)).select("vec_id", F.round(1 - V.dot(F.col("embedding"), F.col("q")) / (F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))) * F.col("q_norm")), 6).alias("dist"))
+    keys = docs.where("chunk = 0").select("path", "chunk", "doc_id")
+    best = keys.join(far, keys.doc_id == far.vec_id).select("path", "chunk", "dist").orderBy("dist", "path", "chunk").limit(n)
+    return with_rows(docs, best, "dist", n)
+
+
+def word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """path, chunk, size (its tokens) and tf (of each word asked for), written once: a chunk's text is read and cut a single time."""
+    tokens = T.tokens(F.col("text"))
+    held = lambda t, word: F.size(F.filter(t, lambda x: x == word)).cast("double")
+    counts = T.bound(tokens, lambda t: F.struct(F.size(t).cast("double").alias("size"), F.array(*[held(t, w) for w in words]).alias("tf")))
+    return materialised(docs.select("path", "chunk", counts.alias("c")).select("path", "chunk", "c.size", "c.tf"), "word-counts")
 
 
 def bm25_list(docs: DataFrame, query: str, n: int = CANDIDATES) -> DataFrame:
-    """The n best chunks for the query's words. Only the words asked for are counted; no posting leaves its chunk."""
+    """The n best chunks for the query's words."""
     words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     if not words:
         return docs.withColumn("bm25", F.lit(0.0)).limit(0)
-    # Runs of letters and digits are counted in place: no array of tokens is made.
-    low = F.lower("text")
-    counted = docs.select(
-        *docs.columns, F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("__len"),
-        *[F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")).cast("double").alias(f"__tf{i}") for i, w in enumerate(words)],
-    )
+    counted = word_counts(docs, words)
+    tf = lambda i: F.get("tf", F.lit(i))
     totals = counted.agg(
-        F.count("*").cast("double").alias("__n"), F.avg("__len").alias("__avg"),
-        *[F.sum(F.when(F.col(f"__tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"__df{i}") for i in range(len(words))],
+        F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"), F.array(*[F.count_if(tf(i) > 0).cast("double") for i in range(len(words))]).alias("df")
     )
-    any_word = F.greatest(*[F.col(f"__tf{i}") for i in range(len(words))], F.lit(0.0)) > 0
-    scored = counted.where(any_word).crossJoin(F.broadcast(totals))  # one row of totals
+    scored = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
     for i in range(len(words)):
-        tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
-        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
-    return scored.select(*docs.columns, F.round(score, 6).alias("bm25")).orderBy(F.desc("bm25"), "path", "chunk").limit(n)
+        df = F.get("df", F.lit(i))
+        score = score + F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf(i) * (K1 + 1) / (tf(i) + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    best = scored.select("path", "chunk", F.round(score, 6).alias("bm25")).orderBy(F.desc("bm25"), "path", "chunk").limit(n)
+    return with_rows(docs, best, "bm25", n)
 
 
 def fuse(vec: DataFrame, fts: DataFrame) -> DataFrame:

@@ -115,8 +115,7 @@ def path_aliases(spark, sf):
     return joined.select("id", norm.alias("norm"), T.extension(F.col("n")).alias("ext"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(concat_ws(' ', nullif(array_to_string(list_distinct([]::VARCHAR[]), ' '), ''),
-  regexp_replace(html, '<[^>]+>', ' ', 'g')), '\\s+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT page_id, chr(10) || regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g') AS text FROM pages""")
 def markup_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.markup_text(F.col("html")).alias("text"))
 
@@ -169,15 +168,12 @@ def page_ranges(spark, sf):
     return r.select("id", F.array_join(T.page_list(F.col("spec"), F.col("total")).cast("array<string>"), ",").alias("pages"))
 
 
-LETTERS = "(1, ' <ABC@X> ', 'Ann@x.org', '2024-05-01T10:00Z', 'Re:  Plan', 'Hello, World_1!'), (2, '', 'ann@x.org', '2024-05-01T10:00Z', 're: plan', 'hello world1'), (3, 'q@y', '', '2024-05-01T10:00Z', 's', 'b')"
+MIDS = "(1, ' <ABC@X> '), (2, ''), (3, 'q@y'), (4, '<<a b@c>')"
 
 
-@query(f"""SELECT id, nullif(lower(regexp_replace(regexp_replace(mid, '\\s+', '', 'g'), '^<+|>+$', '', 'g')), '') AS mid,
-CASE WHEN trim(sender) <> '' AND trim(subject) <> '' THEN substr(sha256(lower(trim(sender)) || '|' || minute_ || '|' || lower(trim(regexp_replace(subject, '\\s+', ' ', 'g'))) || '|' ||
- substr(regexp_replace(lower(body), '[\\W_]+', '', 'g'), 1, 200)), 1, 32) END AS fp FROM (VALUES {LETTERS}) AS t(id, mid, sender, minute_, subject, body)""")
+@query(f"SELECT id, nullif(lower(regexp_replace(regexp_replace(mid, '\\s+', '', 'g'), '^<+|>+$', '', 'g')), '') AS mid FROM (VALUES {MIDS}) AS t(id, mid)")
 def letter_keys(spark, sf):
-    m = values(spark, LETTERS, "id, mid, sender, minute_, subject, body")
-    return m.select("id", T.message_id(F.col("mid")).alias("mid"), T.letter_fingerprint(F.col("sender"), F.col("minute_"), F.col("subject"), F.col("body")).alias("fp"))
+    return values(spark, MIDS, "id, mid").select("id", T.message_id(F.col("mid")).alias("mid"))
 
 
 AGES = "(1, '2026-08-31'), (2, '2025-08-31'), (3, '2026-07-31'), (4, '2026-08-01T10:00'), (5, '2027-01-01'), (6, ''), (7, 'x'), (8, CAST(NULL AS VARCHAR(9)))"
@@ -191,16 +187,6 @@ def recency_table(spark, sf):
     return a.select("id", D.rough_age(F.col("u"), 20260831).cast("long").alias("age"), F.round(D.recency(F.col("u"), 20260831), 6).alias("recency"))
 
 
-DATED = """(1, '2024-02-30', 'scan 2023-01-05.pdf', '2022-02-02'), (2, CAST(NULL AS VARCHAR(9)), 'act 31.12.2021 v2024-13-01.pdf', '2022-02-02'),
-(3, CAST(NULL AS VARCHAR(9)), 'plain.pdf', '2030-01-01'), (4, '2020-06-07', 'x', '2022-02-02'), (5, CAST(NULL AS VARCHAR(9)), 'n12023-01-05', '2022-02-02')"""
-
-
-@query("SELECT * FROM (VALUES (1, '2023-01-05', 'name'), (2, '2021-12-31', 'name'), (3, '2026-01-01', 'accepted'), (4, '2020-06-07', 'metadata'), (5, '2022-02-02', 'file')) AS t(id, day, origin)")
-def docdate_pick(spark, sf):
-    d = values(spark, DATED, "id, meta, name, modified")
-    return d.select("id", D.document_date(F.col("meta"), F.col("name"), F.col("modified"), F.lit("2026-01-01")).alias("x")).select("id", "x.day", "x.origin")
-
-
 PARAMS = "(1, 100, 1024), (2, 300000, 60), (3, 100000000, 10), (4, 5000, 7)"
 
 

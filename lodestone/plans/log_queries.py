@@ -171,28 +171,6 @@ def dedupe_apply(spark, sf):
     return M.without_paths(_index(spark, sf), _plan(spark, sf).where("place > 1")).select("path", "updated")
 
 
-BOXES = """('m/a.eml', '2020-01-01'), ('m/a.files/x.pdf', ''), ('m/2021-05-06_b.files/y.pdf', '2020-01-01'), ('m/c.eml', '2022-02-02T10'), ('m/d.eml', '2019-01-01'), ('m/e.files/z.pdf', '2018-01-01')"""
-KNOWN_BOXES = "('m/a.eml', '2023-03-03'), ('m/c.eml', '2022-02-02'), ('m/d.eml', CAST(NULL AS VARCHAR(10)))"
-DATE_PLAN = """(VALUES ('m/a.eml', '2020-01-01', '2023-03-03', 'letter'), ('m/a.files/x.pdf', '', '2023-03-03', 'parent'), ('m/2021-05-06_b.files/y.pdf', '2020-01-01', '2021-05-06', 'name'),
-('m/c.eml', '2022-02-02T10', '2022-02-02T10', 'same'), ('m/d.eml', '2019-01-01', '2019-01-01', 'unknown'), ('m/e.files/z.pdf', '2018-01-01', '2018-01-01', 'unknown')) AS t("path", "old", "new", reason)"""
-
-
-@query(f"SELECT * FROM {DATE_PLAN}")
-def date_plan(spark, sf):
-    return M.date_plan(values(spark, BOXES, "path, updated"), values(spark, KNOWN_BOXES, "path, date"))
-
-
-@query(f"SELECT reason, count(*) AS n FROM {DATE_PLAN} GROUP BY reason")
-def date_counters(spark, sf):
-    return date_plan(spark, sf).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query(f'SELECT "path", "new" AS updated FROM {DATE_PLAN}')
-def date_rewrite(spark, sf):
-    index = values(spark, BOXES, "path, updated")
-    return M.rewritten(index, date_plan(spark, sf)).select("path", "updated")
-
-
 @query(f"{K_} SELECT path, CASE WHEN mid IS NULL THEN updated ELSE '2000-01-01' END AS updated FROM docs_whole JOIN known USING (path)")
 def date_rewrite_all(spark, sf):
     known = known_files(spark, sf)

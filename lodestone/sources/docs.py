@@ -22,7 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table without vectors."""
+    """The chunk table of the whole texts, without vectors."""
     head = ["path", "source", "space", "title", "updated", "doc_id"]
     return documents(spark, sf_dir).select(*head, F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text"))
 
@@ -33,8 +33,7 @@ docs_whole AS (
   SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, source, lang AS space, 'doc ' || doc_id AS title,
          CASE WHEN doc_id % 17 = 0 THEN '' ELSE strftime(DATE '2024-01-01' + CAST(doc_id * 37 % 900 AS INTEGER), '%Y-%m-%d') END AS updated,
          text, doc_id,
-         CASE WHEN length(substr(text, 1, 400000)) <= 4000 THEN 1
-              ELSE 1 + CAST(ceil((length(substr(text, 1, 400000)) - 4000) / 3800.0) AS INTEGER) END AS n
+         CASE WHEN length(text) <= 4000 THEN 1 ELSE 1 + CAST(ceil((length(text) - 4000) / 3800.0) AS INTEGER) END AS n
   FROM documents
 ),
 docs_cut AS (
