@@ -235,8 +235,8 @@ def _find(dealt: DataFrame, bucket: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """distinct: fp (each once) -> a, b: enough links between fingerprints to connect all that are linked."""
-    table = materialised(distinct.select("fp", *pivot_columns()), "pivot-table")
+    """distinct: fp (each once), perhaps with its pivot table's columns -> a, b: enough links to connect all that are linked."""
+    table = distinct if "p0" in distinct.columns else distinct.select("fp", *pivot_columns())
     choices = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for c, (m, _) in enumerate(CHOICES)])
     dealt = table.select("*", F.explode(choices).alias("x")).select("x.c", F.lit(0).alias("s"), "x.key", "fp", "p0", "p1")
     found = _find(dealt, bucket)
@@ -264,9 +264,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id: the smallest id that links reach."""
     rows = fingerprints(df, id_col, text_col, words)
-    least = materialised(rows.groupBy("fp").agg(F.min("__id").alias("__min")), "distinct-fingerprints")
-    stars = components(links(least.select("fp"), bucket)).select(F.col("a").alias("fp"), F.col("b").alias("__root"))
-    rooted = least.join(stars, "fp", "left").withColumn("__root", F.coalesce("__root", "fp"))
+    least = materialised(rows.groupBy("fp").agg(F.min("__id").alias("__min")).select("*", *pivot_columns()), "pivot-table")
+    stars = components(links(least.select("fp", "p0", "p1"), bucket)).select(F.col("a").alias("fp"), F.col("b").alias("__root"))
+    rooted = least.select("fp", "__min").join(stars, "fp", "left").withColumn("__root", F.coalesce("__root", "fp"))
     whole = rooted.groupBy("__root").agg(F.min("__min").alias("component_id"))
     named = rooted.select("fp", "__root").join(whole, "__root").select("fp", "component_id")
     return rows.join(named, "fp").select(
