@@ -103,3 +103,8 @@ def unpack_limit(files: Column, size: Column, packed: Column, depth: Column) ->
     return (
         F.when(files > 10_000, "files").when(size > 5_000_000_000, "bytes").when((size > 100_000_000) & (size / packed > 100), "ratio").when(depth > 3, "depth")
     )
+
+
+def all_seen(pages: Column, skipped: Column, total: Column, most: int = 20) -> Column:
+    """Whether pages read and pages skipped cover 1 to the total, or to `most` of it."""
+    return F.size(F.array_except(F.sequence(F.lit(1), F.least(total, F.lit(most))), F.concat(pages, skipped))) == 0

@@ -59,11 +59,23 @@ def scrub(params: Column) -> Column:
     return F.transform_values(kept, lambda k, v: F.when(F.char_length(hidden(v)) > 200, F.concat(F.substring(hidden(v), 1, 200), F.lit("…"))).otherwise(hidden(v)))
 
 
+def took(started: Column, finished: Column) -> Column:
+    """Whole seconds between two moments, none if the clock went back."""
+    return F.greatest(F.lit(0), F.round(finished - started)).cast("long")
+
+
 def kept_in_cache(files: DataFrame, now: int, days: int, cap: int) -> DataFrame:
-    """Files young enough whose sizes, newest first, still fit the cap. files: name, size, used (seconds)."""
-    young = files.where(F.col("used") >= now - days * 86400)
-    running = Window.orderBy(F.desc("used"), "name").rowsBetween(Window.unboundedPreceding, 0)
-    return young.withColumn("total", F.sum("size").over(running)).where(F.col("total") <= cap)
+    """Files young enough whose sizes, newest first, still fit the cap. files: name, size, used (seconds).
+
+    Hours are added up first: there are 24 a day, so the running sum over them is small, and each hour's files are ordered
+    by themselves.
+    """
+    young = files.where(F.col("used") >= now - days * 86400).withColumn("hour", F.floor(F.greatest(F.lit(0), now - F.col("used")) / 3600))
+    hours = young.groupBy("hour").agg(F.sum("size").alias("held"))
+    before = hours.select("hour", F.coalesce(F.sum("held").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("hour").orderBy(F.desc("used"), "name").rowsBetween(Window.unboundedPreceding, 0)
+    fits = young.join(F.broadcast(before.where(F.col("before") <= cap)), "hour")  # 24 rows a day
+    return fits.withColumn("total", F.col("before") + F.sum("size").over(inside)).where(F.col("total") <= cap).drop("hour", "before")
 
 
 def first_of_each(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:

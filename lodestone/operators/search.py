@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,66 +158,3 @@ def budgeted(hits: DataFrame, budget: int, width: int = 420) -> DataFrame:
     out = packed.select(F.explode(F.arrays_zip(F.col("rows"), shown.alias("shown"))).alias("x"))
     rows = out.select("x.rows.*", F.col("x.shown").alias("__shown"))
     return rows.withColumn("text", F.when(F.col("__shown") == 1, F.col("text")).otherwise("")).drop("__shown")
-
-
-# ---------------------------------------------------------------- inverted file
-
-
-def ivf_cells(rows: int) -> int:
-    """Cells by the square root of the rows, 64 to 4096."""
-    return max(64, min(4096, int(rows**0.5)))
-
-
-def ivf_assign(vectors: DataFrame, cells: int) -> tuple[DataFrame, list[list[float]]]:
-    """vectors with the number of their nearest centre. Centres are `cells` vectors (4096 at most) chosen by a hash."""
-    import numpy as np
-
-    centres = [r["embedding"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("embedding").collect()]
-    c = np.array(centres, dtype=np.float64)
-    c /= np.linalg.norm(c, axis=1, keepdims=True)
-
-    @F.pandas_udf("int")
-    def nearest(column: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy()).astype(np.float64)
-        return pd.Series((x @ c.T).argmax(axis=1).astype("int32"))
-
-    return vectors.withColumn("cell", nearest("embedding")), c.tolist()
-
-
-def ivf_search(assigned: DataFrame, centres: list[list[float]], query: list[float], probes: int, n: int) -> DataFrame:
-    """The n nearest within the probed cells, by exact distance."""
-    import numpy as np
-
-    q = np.array(query, dtype=np.float64)
-    near = np.argsort(-(np.array(centres) @ q), kind="stable")[:probes]
-    found = assigned.where(F.col("cell").isin([int(x) for x in near]))
-    target = F.array(*[F.lit(float(x)) for x in query])
-    return found.select("vec_id", F.round(V.cosine_distance(F.col("embedding"), target), 6).alias("dist")).orderBy("dist", "vec_id").limit(n)
-
-
-def ivf_exact(assigned: DataFrame, centres: list[list[float]], query: list[float], n: int) -> DataFrame:
-    """The n nearest of all vectors: half of the cells give a bound, then every cell that can hold a vector within it is probed.
-
-    A vector's angle to the query is at least its centre's angle less the widest angle in the cell. What is collected is
-    one angle a cell and one distance.
-    """
-    import numpy as np
-
-    c, q = np.array(centres), np.array(query, dtype=np.float64)
-    first = ivf_search(assigned, centres, query, max(1, len(centres) // 2), n).agg(F.count("*").alias("n"), F.max("dist").alias("dist")).first()
-    unit = c / np.linalg.norm(c, axis=1, keepdims=True)
-
-    @F.pandas_udf("double")
-    def apart(column: pd.Series, cell: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy()).astype(np.float64)
-        return pd.Series(1 - (x * unit[cell.to_numpy()]).sum(axis=1) / np.linalg.norm(x, axis=1))
-
-    spread = assigned.groupBy("cell").agg(F.max(apart("embedding", "cell")).alias("d")).collect()
-    angle = lambda dist: np.arccos(np.clip(1 - np.asarray(dist, dtype=np.float64), -1, 1))
-    # Distances are rounded to six places; the slack is wider than that. No comparison with NaN holds, so such cells are probed.
-    bound = angle(first["dist"] + 1e-6) + 1e-6 if first["n"] == n else np.pi
-    to_query = angle(1 - (c @ q) / (np.linalg.norm(c, axis=1) * np.linalg.norm(q)))
-    cells = [r["cell"] for r in spread if not to_query[r["cell"]] - angle(r["d"]) > bound]
-    found = assigned.where(F.col("cell").isin(cells))
-    target = F.array(*[F.lit(float(x)) for x in query])
-    return found.select("vec_id", F.round(V.cosine_distance(F.col("embedding"), target), 6).alias("dist")).orderBy("dist", "vec_id").limit(n)

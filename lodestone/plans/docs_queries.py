@@ -159,13 +159,16 @@ def labels_and_digests(spark, sf):
     return m.select("id", T.client_label(F.col("v")).alias("label"), F.sha2("v", 256).alias("digest"), F.replace("v", F.lit("desk"), F.lit("host")).alias("moved"))
 
 
-RANGES = "(1, '1-3,7', 9), (2, '', 3), (3, '5,5,4-6', 5), (4, 'x', 4), (5, '8-12', 9)"
-
-
-@query("SELECT * FROM (VALUES (1, '0,1,2,6'), (2, '0,1,2'), (3, '3,4'), (4, ''), (5, '7,8')) AS t(id, pages)")
+@query("""WITH r AS (SELECT event_id, event_id % 13 AS total, event_id % 7 + 1 AS a, event_id % 11 + 1 AS b, event_id % 4 AS k FROM events),
+p AS (SELECT event_id, unnest(generate_series(1, 40)) AS p, total, a, b, k FROM r)
+SELECT r.event_id, coalesce((SELECT string_agg(p.p - 1, ',' ORDER BY p.p) FROM p WHERE p.event_id = r.event_id AND p.p <= p.total AND (p.k = 0 OR (p.k = 1 AND p.p BETWEEN p.a AND p.b) OR (p.k = 2 AND (p.p = p.b OR p.p BETWEEN p.a AND p.a + 2)))), '') AS pages FROM r""")
 def page_ranges(spark, sf):
-    r = values(spark, RANGES, "id, spec, total")
-    return r.select("id", F.array_join(T.page_list(F.col("spec"), F.col("total")).cast("array<string>"), ",").alias("pages"))
+    text = lambda c: c.cast("string")
+    i = F.col("event_id")
+    a, b = i % 7 + 1, i % 11 + 1
+    spec = F.when(i % 4 == 0, " ").when(i % 4 == 1, F.concat(text(a), F.lit(" - "), text(b))).when(i % 4 == 2, F.concat(text(b), F.lit(","), text(a), F.lit("-"), text(a + 2), F.lit(","), text(b))).otherwise("x")
+    e = table(spark, sf, "events").select("event_id", spec.alias("spec"), (i % 13).cast("int").alias("total"))
+    return e.select("event_id", F.array_join(T.page_list(F.col("spec"), F.col("total")).cast("array<string>"), ",").alias("pages"))
 
 
 MIDS = "(1, ' <ABC@X> '), (2, ''), (3, 'q@y'), (4, '<<a b@c>')"

@@ -33,14 +33,15 @@ def batch_page(spark, sf):
     return O.page(receipts(spark, sf), "20240120-000000", 7)
 
 
-IDS = "('20240101-100000'), ('20240101-100000-2'), ('20240101-100000-10'), ('20231231-235959'), ('20240101-100000-1'), ('x'), ('20240101-1000')"
+IDS_SQL = """b AS (SELECT DISTINCT strftime(ts, '%Y%m%d-%H0000') AS stamp, event_id % 5 AS k FROM events WHERE event_id % 5 < 3)"""
 
 
-@query("SELECT * FROM (VALUES ('20240101-100000-10', 1::BIGINT), ('20240101-100000-2', 2), ('20240101-100000', 3), ('20231231-235959', 4)) AS t(batch, place)")
+@query(f"""WITH {IDS_SQL} SELECT stamp || CASE k WHEN 0 THEN '' WHEN 1 THEN '-2' ELSE '-10' END AS batch, row_number() OVER (ORDER BY stamp DESC, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END DESC) AS place FROM b""")
 def batch_order(spark, sf):
     from pyspark.sql import Window
 
-    b = values(spark, IDS, "batch").where(O.is_batch(F.col("batch")))
+    ending = F.get(F.array(*map(F.lit, ["", "-2", "-10", "-1", "x"])), (F.col("event_id") % 5).cast("int"))
+    b = table(spark, sf, "events").select(F.concat(F.date_format("ts", "yyyyMMdd-HH0000"), ending).alias("batch")).distinct().where(O.is_batch(F.col("batch")))
     return b.withColumn("place", F.row_number().over(Window.orderBy(F.desc(O.batch_key(F.col("batch"))))).cast("long"))
 
 
@@ -75,17 +76,20 @@ def journal_by_tool(spark, sf):
     return _journal(spark, sf).groupBy("tool").agg(F.count("*").alias("calls"), F.sum("k").alias("k"), F.count_distinct("client").alias("clients"))
 
 
-@query("SELECT * FROM (VALUES (1, '{\"q\":\"see ark_***!\"}'), (2, '{}')) AS t(id, params)")
+@query("""SELECT event_id, '{"q":"see ark_***' || CASE WHEN event_id % 3 = 0 THEN repeat('z', 189) || '…' ELSE '! ' || event_type END || '"' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',"k":"' || event_type || '"' END || '}' AS params FROM events""")
 def journal_scrub(spark, sf):
-    j = values(spark, "(1, 'see ark_abcdef123456!', 'x'), (2, CAST(NULL AS STRING), 'y')", "id, q, token")
-    params = F.map_from_arrays(F.array(F.lit("q"), F.lit("token")), F.array("q", "token"))
-    return j.select("id", F.to_json(O.scrub(params)).alias("params"))
+    said = F.concat(F.lit("see ark_abcdef12"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, " " * 0).otherwise("! "))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("see ark_***"), F.lit("z" * 300))).otherwise(F.concat(said, "event_type"))
+    kind = F.when(F.col("event_id") % 2 == 1, F.col("event_type"))
+    params = F.map_from_arrays(F.array(F.lit("q"), F.lit("token"), F.lit("k"), F.lit("content")), F.array(said, F.col("event_type"), kind, F.lit("x")))
+    return table(spark, sf, "events").select("event_id", F.to_json(O.scrub(params)).alias("params"))
 
 
-@query("SELECT * FROM (VALUES ('c', 40::BIGINT), ('b', 90), ('a', 100)) AS t(name, total)")
+@query("""WITH f AS (SELECT doc_id AS name, n_chars AS size, doc_id * 9973 % 800000 AS used FROM documents), y AS (SELECT * FROM f WHERE used >= 800000 - 7 * 86400),
+r AS (SELECT name, CAST(sum(size) OVER (ORDER BY used DESC, name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM y) SELECT name, total FROM r WHERE total <= 90000""")
 def cache_kept(spark, sf):
-    files = values(spark, "('a', 10, 1000000), ('b', 50, 1000100), ('c', 40, 1000200), ('d', 5, 100), ('e', 30, 999000)", "name, size, used")
-    return O.kept_in_cache(files, 1_000_300, 7, 100).select("name", F.col("total").cast("long").alias("total"))
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") * 9973 % 800000).alias("used"))
+    return O.kept_in_cache(files, 800_000, 7, 90_000).select("name", F.col("total").cast("long").alias("total"))
 
 
 @query(f"""{K_}, p AS (SELECT 'p' || path AS id, CASE WHEN length(text) % 4 = 0 THEN sha256(text) ELSE sha256(text || 'x') END AS sha, CASE WHEN doc_id % 5 = 0 THEN 'm' || (doc_id % 80) END AS mid,
@@ -178,7 +182,7 @@ def date_rewrite_all(spark, sf):
     return M.rewritten(documents(spark, sf).select("path", "updated"), plan)
 
 
-@query("SELECT * FROM (VALUES (1, 90::BIGINT), (2, 0), (3, 1)) AS t(id, seconds)")
+@query("SELECT event_id, CAST(greatest(0, round((event_id % 7) * 0.9 - 2.3)) AS BIGINT) AS seconds FROM events")
 def batch_seconds(spark, sf):
-    b = values(spark, "(1, 100.2, 190.1), (2, 50.0, 40.0), (3, 1.0, 1.7)", "id, a, b")
-    return b.select("id", F.greatest(F.lit(0), F.round(F.col("b") - F.col("a"))).cast("long").alias("seconds"))
+    e = table(spark, sf, "events").select("event_id", F.lit(100.25).alias("a"), (F.lit(97.95) + (F.col("event_id") % 7) * 0.9).alias("b"))
+    return e.select("event_id", O.took(F.col("a"), F.col("b")).alias("seconds"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
+from lodestone.operators import ivf as I
 from lodestone.operators import search as S
 from lodestone.plans.registry import query, values
-from lodestone.session import table
+from lodestone.session import scratch_path, table
 from lodestone.sources.docs import DOCS_SQL, docs
 
 TODAY = 20260831
@@ -92,14 +93,13 @@ def api_projection(spark, sf):
     return S.budgeted(ranked.select("rank", "path", "title", F.round("score", 5).alias("score"), "text"), 2000)
 
 
-CAND = "('v', 0, 'a', 0, ''), ('v', 1, 'b', 0, '2026-08-01'), ('f', 0, 'b', 0, '2026-08-01'), ('f', 1, 'c', 2, '2020-01-01')"
-
-
-@query("SELECT * FROM (VALUES ('a', 0, round(1 / 60.0, 9)), ('b', 0, round(1 / 61.0 + 0.8 / 60.0, 9)), ('c', 2, round(0.8 / 61.0, 9))) AS t(path, chunk, rrf)".replace("1 / 60.0", "1::DOUBLE / 60").replace("1 / 61.0", "1::DOUBLE / 61").replace("0.8 / 60.0", "0.8::DOUBLE / 60").replace("0.8 / 61.0", "0.8::DOUBLE / 61"))
+@query("""WITH v AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents WHERE doc_id % 3 = 0), f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS rank FROM documents WHERE doc_id % 5 = 0)
+SELECT CAST(coalesce(v.doc_id, f.doc_id) AS VARCHAR) AS path, 0 AS chunk, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(0.8::DOUBLE / (60 + f.rank), 0), 9) AS rrf FROM v FULL JOIN f USING (doc_id)""")
 def rrf_fuse(spark, sf):
-    c = values(spark, CAND, "list, rank, path, chunk, updated")
-    part = lambda x: c.where(F.col("list") == x).drop("list")
-    return S.fuse(part("v"), part("f")).select("path", "chunk", F.round("rrf", 9).alias("rrf"))
+    part = lambda k, order: table(spark, sf, "documents").where(f"doc_id % {k} = 0").select(
+        F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("chunk"), F.lit("2026-08-01").alias("updated"), (F.row_number().over(Window.orderBy(order)) - 1).alias("rank")
+    )
+    return S.fuse(part(3, F.asc("doc_id")), part(5, F.desc("doc_id"))).select("path", "chunk", F.round("rrf", 9).alias("rrf"))
 
 
 @query("""SELECT label, count(*) AS n, round(avg(1 - list_dot_product(e.embedding::DOUBLE[], q.q) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.q, q.q)))), 6) AS mean_dist
@@ -109,12 +109,15 @@ def distance_by_label(spark, sf):
     return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.cosine_distance(F.col("embedding"), F.col("q"))), 6).alias("mean_dist"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM e),
+d AS (SELECT q.vec_id AS query, n.vec_id, round(1 - list_dot_product(q.v, n.v) / (q.len * n.len), 6) + 0.0 AS dist FROM n q, n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS place FROM d) SELECT query, CAST(place AS INTEGER) AS place, dist FROM r WHERE place <= 120""")
 def ivf_search(spark, sf):
+    """Every vector whose id is divisible by 50 against all, the 120 nearest each (distances: ids of equal ones may differ in the last digit)."""
     vectors = _vectors(spark, sf)
-    assigned, centres = S.ivf_assign(vectors, S.ivf_cells(vectors.count()))
-    target = [float(x) for x in _query(spark, sf).first()["q"]]
-    return S.ivf_exact(assigned, centres, target, S.CANDIDATES)
+    index = I.build(vectors, scratch_path(spark, "ivf"), I.cell_count(vectors.count()))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return I.topk(spark, index, queries, S.CANDIDATES).select("query", "place", "dist")
 
 
 @query(full() + """, c AS (SELECT DISTINCT source FROM docs) SELECT base, place FROM (

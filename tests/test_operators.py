@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import intake, maintain, search
+from lodestone.operators import intake, ivf, maintain, search
 from lodestone.sources import extract
 
 
 def test_arguments():
     assert search.clean_since(" 2025-01 ") == "2025-01" and search.clean_since(None) == ""
-    for bad in ("25", "2025-1", "2025-01-01x", "٢٠٢٥"):
+    for bad in ("25", "2025-1", "2025-01-01x", "٢٠٢٥", "2025-13", "2025-00", "2025-01-32", "2025-01-00"):
         with pytest.raises(search.BadQuery):
             search.clean_since(bad)
     assert search.clean_list(" , ' ") == [] and search.clean_list("a, 'b'") == ["a", "b"]
@@ -52,40 +52,36 @@ def test_chunks(spark):
     assert len(parts) == 2 and parts[1].startswith("head\nw")
 
 
-def test_inverted_file_with_all_cells_is_exact(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
-    query = [float(x) for x in vectors.where("vec_id = 3").first().embedding]
-    assigned, centres = search.ivf_assign(vectors, 64)
-    everything = [tuple(r) for r in search.ivf_search(assigned, centres, query, 64, 20).collect()]
-    from lodestone.functions import vector
-
-    target = F.array(*[F.lit(x) for x in query])
-    exact = vectors.select("vec_id", F.round(vector.cosine_distance(F.col("embedding"), target), 6).alias("dist")).orderBy("dist", "vec_id").limit(20)
-    assert everything == [tuple(r) for r in exact.collect()]
-    some = {r.vec_id for r in search.ivf_search(assigned, centres, query, 40, 10).collect()}
-    assert len(some & {v for v, _ in everything[:10]}) >= 9
-
-
-def test_inverted_file_query_loses_no_neighbour(spark):
+def test_inverted_file(spark, tmp_path):
+    """Recall over all ids divisible by 50 against brute force; exact when all cells are probed."""
     import numpy as np
 
-    from lodestone.plans import search_queries
-
-    sf = "/root/testdata/sf0.001"
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = vectors.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    nearest = lambda q: set(ids[np.lexsort((ids, np.round(1 - x @ x[q], 6)))[:120]].tolist())
-    assert {r.vec_id for r in search_queries.ivf_search(spark, sf).collect()} == nearest(int(np.flatnonzero(ids == 7)[0]))
-    assigned, centres = search.ivf_assign(vectors, search.ivf_cells(len(rows)))
-    for q in np.flatnonzero(ids % 50 == 0).tolist():
-        got = {r.vec_id for r in search.ivf_exact(assigned, centres, [float(v) for v in rows[q].embedding], 120).collect()}
-        assert got == nearest(q), ids[q]
-    tight = spark.createDataFrame([(i, [1.0, i / 1e4] if i < 200 else [-1.0, i / 1e4]) for i in range(400)], "vec_id long, embedding array<float>")
-    assigned, centres = search.ivf_assign(tight, 64)
-    assert [r.vec_id for r in search.ivf_exact(assigned, centres, [1.0, 0.0], 3).collect()] == [0, 1, 2]
-    assert search.ivf_exact(assigned, centres, [1.0, 0.0], 500).count() == 400
+    nearest = {int(ids[q]): set(ids[np.lexsort((ids, np.round(1 - x @ x[q], 6)))[:120]].tolist()) for q in np.flatnonzero(ids % 50 == 0)}
+    index = ivf.build(vectors, f"{tmp_path}/ivf", 64)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    for probes, least in ((ivf.PROBES, 1.0), (48, 0.9)):
+        found = {}
+        for r in ivf.topk(spark, index, queries, 120, probes).collect():
+            found.setdefault(r.query, set()).add(r.vec_id)
+        assert found.keys() == nearest.keys() and all(len(v) == 120 for v in found.values())
+        assert sum(len(found[q] & nearest[q]) for q in nearest) >= least * 120 * len(nearest)
+    plan = spark.read.parquet(index[0]).where(F.col("cell").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_inverted_file_edges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf, "BLOCK", 3)
+    monkeypatch.setattr(ivf, "QUERIES", 2)
+    rows = [(i, [1.0, i / 100]) for i in range(20)] + [(20, None), (21, [0.0, 0.0]), (22, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = ivf.build(vectors, f"{tmp_path}/a", 4)
+    found = ivf.topk(spark, index, vectors.where("vec_id < 6").select(F.col("vec_id").alias("query"), "embedding"), 3).collect()
+    assert sorted((r.query, r.place) for r in found) == [(q, p) for q in range(6) for p in (1, 2, 3)]
+    assert {(r.query, r.vec_id) for r in found if r.place == 1} == {(q, q) for q in range(6)}
 
 
 def test_batch_duplicates_are_greedy(spark):
