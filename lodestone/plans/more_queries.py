@@ -410,3 +410,15 @@ def attachment_days(spark, sf):
     letters = f.groupBy("user_id").agg(F.min("letter").alias("by_letter"))
     named = F.nullif(F.regexp_extract("folder", r"/([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1), F.lit(""))
     return f.join(letters, "user_id").select("event_id", F.coalesce("letter", "by_letter", named, F.lit("2026-08-31")).alias("day"))
+
+
+@query("""WITH o AS (SELECT user_id AS entry, max(event_id) AS size, 100 + user_id % 50 AS since FROM events WHERE event_id % 3 <> 0 GROUP BY user_id),
+n AS (SELECT user_id AS entry, max(event_id) AS size FROM events WHERE user_id % 5 <> 0 GROUP BY user_id)
+SELECT n.entry, CASE WHEN o.size = n.size THEN o.since ELSE 140 END AS since, o.size IS NOT NULL AND o.size = n.size AND 140 - o.since >= 30 AS ready FROM n LEFT JOIN o USING (entry)""")
+def inbox_quiet(spark, sf):
+    from lodestone.streaming import intake
+
+    e = table(spark, sf, "events").select(F.col("user_id").alias("entry"), "event_id")
+    look = lambda rows: rows.groupBy("entry").agg(F.max("event_id").alias("size")).withColumn("mtime", F.lit(1))
+    state = look(e.where("event_id % 3 <> 0")).withColumn("since", 100 + F.col("entry") % 50)
+    return intake.quiet_step(state, look(e.where("entry % 5 <> 0")), F.lit(140).cast("long")).select("entry", "since", "ready")

@@ -37,7 +37,49 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         new.write.mode("overwrite").parquet(f"{home}/v{batch_id}")
         last["id"] = batch_id
 
-    last: dict[str, int] = {}
+    last: dict[str, int] = {}  # stays empty where the stream holds nothing
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     run_once(stream, merge, f"{home}/progress-{uuid.uuid4().hex}")
-    return spark.read.parquet(f"{home}/v{last['id']}")
+    return spark.read.parquet(f"{home}/v{last['id']}") if last else spark.createDataFrame([], "user_id long, event_id long")
+
+
+def quiet_step(state: DataFrame, snapshot: DataFrame, now, seconds: int = QUIET_SECONDS) -> DataFrame:
+    """One look at the inbox: entry, size, mtime, since, ready. state: the last result; snapshot: entry, size, mtime as they are.
+
+    An entry that has changed, or is new, counts from now; one that's gone is forgotten; it's ready after `seconds` unchanged.
+    """
+    old = state.select("entry", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), F.col("since").alias("__since"))
+    same = (F.col("size") == F.col("__size")) & (F.col("mtime") == F.col("__mtime"))
+    since = F.when(same, F.col("__since")).otherwise(now)
+    return snapshot.join(old, "entry", "left").select("entry", "size", "mtime", since.alias("since"), (now - since >= seconds).alias("ready"))
+
+
+def settled(entries: list[str], judge_all, judge_one) -> tuple[list[str], dict[str, str]]:
+    """(entries done, entries returned with the error): a pass judges all at once; if that crashes, one by one, so that a bad
+    entry goes back and the others don't wait for it. An entry counts as done only if its own judgement came through."""
+    try:
+        judge_all(entries)
+        return list(entries), {}
+    except Exception:  # whatever an entry can do to its reader
+        done, failed = [], {}
+        for entry in entries:
+            try:
+                judge_one(entry)
+                done.append(entry)
+            except Exception as error:
+                failed[entry] = f"{type(error).__name__}: {error}"
+        return done, failed
+
+
+def retried(debts: list[str], work, tried: set[str]) -> list[str]:
+    """Debts whose work succeeded now; each is tried once a pass, however often the pass offers it."""
+    paid = []
+    for debt in debts:
+        if debt not in tried:
+            tried.add(debt)
+            try:
+                work(debt)
+                paid.append(debt)
+            except Exception:  # stays a debt
+                pass
+    return paid

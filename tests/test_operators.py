@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import intake, ivf, maintain, search
-from lodestone.sources import extract
+from lodestone.operators import gate, intake, ivf, maintain, names, search
+from lodestone.sources import extract, logs
+from lodestone.streaming import intake as stream
 
 
 def test_arguments():
@@ -145,3 +146,99 @@ def test_sniffing():
     assert extract.sniff(b"a\0b", "x")[0] == "other"
     assert extract.split_visible('<p>a<span style="display: none">b</span><br>c</p>') == ("a c", "b")
     assert extract.looks_garbled("".join(chr(0x6161) for _ in range(60))) and not extract.looks_garbled("語" * 60)
+
+
+def test_member_names_and_budgets():
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("a.txt", b"x" * 40)
+        z.writestr("A.TXT", b"y" * 40)
+        z.writestr("d/.hidden", b"z")
+    assert [p for p, *_ in extract.walk(made.getvalue(), "q.zip")] == ["q.zip/a.txt", "q.zip/A (2).TXT", "q.zip/d/.hidden"]
+    assert [(s, p) for _, s, _, p in extract.walk(made.getvalue(), "q.zip", budget=[10, 60])] == [(40, None), (0, "bytes"), (1, None)]
+    assert [p for *_, p in extract.walk(made.getvalue(), "q.zip", budget=[1, 600])] == [None, "budget"]
+    bomb = gzip.compress(b"0" * 5_000_000)
+    assert [(c, p) for _, c, p in extract.members(bomb, "b.gz", 1000)] == [(None, "bytes")]
+    for name, code in (("Привет мир.txt", "cp866"), ("Отчёт.doc", "cp1251"), ("résumé été.txt", "utf-8"), ("plain.txt", "ascii")):
+        info = zipfile.ZipInfo(name.encode(code).decode("cp437"))
+        assert extract.zip_name(info) == name
+
+
+def test_rtf_and_old_office():
+    data = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Hello \b world\b0 \'cf\'f0\par next\u8364? {\*\generator x}\{ok\}}"
+    assert extract.rtf_text(data) == ("Hello worldПр\nnext€ {ok}", False)
+    assert extract.rtf_text(rb"{\rtf1{\object\objdata 0105}a}")[1]
+    blob = b"\x00\x01" + "Secret plan".encode("utf-16-le") + b"\x00\x00\x02" + "обычный текст".encode("cp1251") + b"\x01abc\x00"
+    assert extract.office_strings(blob) == "Secret plan\nобычный текст"
+
+
+def test_text_that_is_not_shown():
+    cases = {
+        '<p style="font-size:0">a</p>b': ("b", "a"), '<p style="FONT-SIZE: 0.5em">a</p>': ("a", ""), '<i style="opacity:0.0">a</i>b': ("b", "a"), '<b style="color: WHITE !important">a</b>': ("", "a"),
+        '<b style="background-color:#fff">a</b>': ("a", ""), "<div hidden>a<p>b<br>c</div>d": ("d", "a b c"), "<script>if (a<b) x()</script>y<style>p{}": ("y", ""), "a &lt; b <!-- c --> d": ("a < b d", ""),
+        "<p hidden>a</div>b</p>c": ("c", "a b"),
+    }
+    for page, want in cases.items():
+        assert extract.split_visible(page) == want, page
+
+
+def test_index_is_never_created_by_readers_and_batches_are_whole(spark, tmp_path):
+    home = f"{tmp_path}/index"
+    with pytest.raises(logs.NoTable):
+        logs.open_index(spark, home)
+    schema = "path string, chunk int, text string"
+    assert logs.create_index(spark, home, schema) and not logs.create_index(spark, home, schema)
+    rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], schema)
+    logs.append_documents(rows, home, "one")
+    broken = rows.withColumn("text", F.raise_error(F.lit("reader fell over")).cast("string"))
+    with pytest.raises(Exception, match="fell over"):
+        logs.append_documents(broken, home, "two")
+    assert logs.open_index(spark, home).count() == 2
+    with pytest.raises(Exception, match="exist"):
+        logs.append_documents(rows, home, "one")
+
+
+def test_lines_that_are_no_records(spark):
+    lines = ['{"batch": "b", "name": "n"}', '{"batch": "b", "na', "[1]", '"x"', "", "null", '{"name": 5}', " {} "]
+    got = logs.parsed(spark.createDataFrame([(x,) for x in lines], "value string"), logs.RECEIPT).collect()
+    assert [(r.batch, r.name) for r in got] == [("b", "n"), (None, "5"), (None, None)]
+
+
+def test_walk_of_a_tree(spark, tmp_path):
+    for name in ("a/b.txt", "a/_quarantine/c.txt", "d.exe", "e/._f.md", "g.MD"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = names.walk_files(spark, str(tmp_path))
+    none = F.lit(None).cast("string")
+    kept = files.where(names.walked(F.col("path"), F.lit("files"), none, none))
+    assert sorted(r.path for r in kept.collect()) == ["a/b.txt", "g.MD"]
+
+
+def test_a_bad_entry_does_not_hold_up_the_others():
+    def one(entry):
+        if entry == "bad":
+            raise ValueError("poison")
+
+    def everything(entries):
+        for e in entries:
+            one(e)
+
+    assert stream.settled(["a", "b"], everything, one) == (["a", "b"], {})
+    assert stream.settled(["a", "bad", "b"], everything, one) == (["a", "b"], {"bad": "ValueError: poison"})
+    tried: set = set()
+    assert stream.retried(["a", "bad"], one, tried) == ["a"] and stream.retried(["bad", "c"], one, tried) == ["c"]
+
+
+def test_an_empty_stream_has_no_users(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    (tmp_path / "sf").mkdir()
+    events.limit(0).coalesce(1).write.parquet(f"{tmp_path}/sf/events.parquet")
+    assert stream.first_seen(spark, f"{tmp_path}/sf").count() == 0
+
+
+def test_quotes_and_spans(spark):
+    rows = [(1, "password: hunter22 and abc123def"), (2, "plain words 12"), (3, "token=ab")]
+    got = spark.createDataFrame(rows, "id int, q string").select("id", gate.quote_masked(F.col("q")).alias("q")).collect()
+    assert [r.q for r in got] == ["password: hu*** and ab***", "plain words 12", "token=ab"]
+    spans = spark.createDataFrame([([(5, 9), (1, 3), (1, 6), (9, 12), (20, 21)],)], "s array<struct<start:int,end:int>>")
+    assert [tuple(x) for x in spans.select(gate.merged_spans(F.col("s")).alias("m")).first().m] == [(1, 9), (9, 12), (20, 21)]
