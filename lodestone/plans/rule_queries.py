@@ -202,32 +202,43 @@ def vision_backlog(spark, sf):
     return documents(spark, sf).where("space = 'de'").join(done, "doc_id", "left_anti").select("path").orderBy("path").limit(25)
 
 
-@query()
+@query("""SELECT doc_id || '.' || ['txt', 'html', 'exe', 'zip', 'docx', 'eml', 'gz', 'pdf'][doc_id % 8 + 1] AS name, ['text', 'text', 'executable', 'archive', 'document', 'mail', 'archive', 'document'][doc_id % 8 + 1] AS family,
+ ['txt', 'html', 'pe', 'zip', 'docx', 'eml', 'gz', 'pdf'][doc_id % 8 + 1] AS type, false AS macros FROM documents""")
 def sniff_types(spark, sf):
     from lodestone.sources import extract
 
-    return extract.sniffed(extract.samples(spark))
+    return extract.sniffed(extract.files(table(spark, sf, "documents")))
 
 
-@query()
+@query("""WITH z AS (SELECT doc_id || '.zip' AS n, octet_length(encode(text)) AS size FROM documents WHERE doc_id % 8 = 3) SELECT n || '/note.txt' AS path, size, 1 AS depth, NULL AS problem FROM z
+UNION ALL SELECT n || '/../up.txt', 0, 1, 'traversal' FROM z UNION ALL SELECT n || '/x/inner.zip/note.txt', size, 2, NULL FROM z
+UNION ALL SELECT doc_id || '.gz/' || doc_id, octet_length(encode(text)), 1, NULL FROM documents WHERE doc_id % 8 = 6""")
 def unpack_udtf(spark, sf):
     from lodestone.sources import extract
 
-    return extract.unpacked(extract.samples(spark))
+    found = extract.unpacked(extract.files(table(spark, sf, "documents")))
+    return found.where(~F.col("path").endswith("inner.zip"))  # its own size follows from the compression
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, doc_id % 8 AS k, text, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\r\n?', chr(10), 'g') AS bare FROM documents)
+SELECT doc_id || '.' || ['txt', 'html', 'exe', 'zip', 'docx', 'eml', 'gz', 'pdf'][k + 1] AS name, CASE WHEN k IN (2, 3, 6, 7) THEN 'no reader' END AS problem,
+ CASE k WHEN 0 THEN md5(text) WHEN 1 THEN md5(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''), ' ')) WHEN 4 THEN md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) END AS digest FROM t""")
 def extract_text(spark, sf):
     from lodestone.sources import extract
 
-    return extract.texts(extract.samples(spark))
+    found = extract.texts(extract.files(table(spark, sf, "documents")))
+    return found.select("name", "problem", F.when(~F.col("name").endswith(".eml"), F.md5("text")).alias("digest"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'gis'), '<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'gis') AS h FROM pages),
+t AS (SELECT page_id, replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), chr(1), ' ') AS t FROM p)
+SELECT page_id AS id, list_filter(regexp_split_to_array(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+'), lambda x: x <> '') <> [] AS any_shown,
+ length(array_to_string(list_filter(regexp_split_to_array(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+'), lambda x: x <> ''), ' ')) AS n_shown, '' AS hidden FROM t""")
 def html_hidden(spark, sf):
     from lodestone.sources import extract
 
-    return extract.visible(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+    found = extract.visible(table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return found.select("id", (F.col("shown") != "").alias("any_shown"), F.char_length("shown").cast("long").alias("n_shown"), "hidden")
 
 
 @query("SELECT doc_id AS id, false AS garbled FROM documents")
