@@ -422,3 +422,11 @@ def inbox_quiet(spark, sf):
     look = lambda rows: rows.groupBy("entry").agg(F.max("event_id").alias("size")).withColumn("mtime", F.lit(1))
     state = look(e.where("event_id % 3 <> 0")).withColumn("since", 100 + F.col("entry") % 50)
     return intake.quiet_step(state, look(e.where("entry % 5 <> 0")), F.lit(140).cast("long")).select("entry", "since", "ready")
+
+
+@query(f"""WITH l AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE doc_id % 8 = 5)
+SELECT doc_id || '.eml' AS name, NULL AS mid, substr(sha256('a@x.org|202405011000|hi|' || substr(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g'), 1, 200)), 1, 32) AS fp, '2024-05-01' AS date FROM l""")
+def letter_files(spark, sf):
+    from lodestone.sources import extract, mail
+
+    return mail.letter_keys(extract.files(table(spark, sf, "documents").where("doc_id % 8 = 5")).select("name", "content"), 2026)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 RECEIPT = "batch string, name string, decision string, time string, `by` string"
 _BAD = "__unreadable"
@@ -95,3 +96,40 @@ def numbered_batches(starts: DataFrame) -> DataFrame:
 def expired(at: Column, now: Column, seconds: int) -> Column:
     """Whether a moment is `seconds` old or older."""
     return F.unix_timestamp(now) - F.unix_timestamp(at) >= seconds
+
+
+def journal_lines(calls: DataFrame, path: str) -> str:
+    """Calls (ts, server, client, tool, params map, status) as journal lines, parameters scrubbed and cut."""
+    from lodestone.operators.ops import scrub
+
+    return write_lines(calls.withColumn("params", scrub(F.col("params"))), path, "ts")
+
+
+def embedded(chunks: DataFrame, embed, size: int = 48) -> DataFrame:
+    """chunks with their vectors, `size` at a time; where a call fails its chunks are tried one by one, and a bad one is left
+    out. embed: list of texts -> list of vectors, one each."""
+    import pyarrow as pa
+
+    at = chunks.columns.index("text")
+    schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType()))])
+
+    def vectors(texts: list[str]) -> list[list[float] | None]:
+        try:
+            found = embed(texts)
+            if len(found) != len(texts):
+                raise ValueError("a vector for each text expected")
+            return found
+        except Exception:  # whatever the service throws
+            if len(texts) == 1:
+                return [None]
+            return [v for t in texts for v in vectors([t])]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                made = pa.array(vectors(part.column(at).to_pylist()), pa.list_(pa.float32()))
+                whole = pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "vector"])
+                yield whole.filter(made.is_valid())
+
+    return chunks.mapInArrow(run, schema)

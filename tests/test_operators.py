@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import gate, intake, ivf, maintain, names, search
-from lodestone.sources import extract, logs
+from lodestone.sources import extract, logs, mail, settings
 from lodestone.streaming import intake as stream
 
 
@@ -242,3 +242,70 @@ def test_quotes_and_spans(spark):
     assert [r.q for r in got] == ["password: hu*** and ab***", "plain words 12", "token=ab"]
     spans = spark.createDataFrame([([(5, 9), (1, 3), (1, 6), (9, 12), (20, 21)],)], "s array<struct<start:int,end:int>>")
     assert [tuple(x) for x in spans.select(gate.merged_spans(F.col("s")).alias("m")).first().m] == [(1, 9), (9, 12), (20, 21)]
+
+
+def test_settings_in_layers():
+    env = {"X_SEARCH_PROBES": " 80 ", "X_DESCRIBE_PICTURES": "yes", "X_NOBODY": "1", "Y": "2", "X_MAIL_ROOTS": "a: b"}
+    values, origin = settings.layered(settings.SETTINGS, b'{"search_probes": 90, "accept_score": 15}', env, "X_")
+    assert (values["search_probes"], origin["search_probes"]) == (80, "env") and (values["accept_score"], origin["accept_score"]) == (15.0, "file")
+    assert values["search_half_life_days"] == 540 and values["describe_pictures"] is True and values["mail_roots"] == ["a", "b"]
+    assert settings.unused_names(settings.SETTINGS, env, "X_") == ["X_NOBODY"]
+    for bad in (b'{"search_probes": 0}', b'{"search_probes": "9"}', b'{"search_probes": true}', b'{"odd": 1}', b'{"cache_days": 1, "cache_days": 2}', b"[1]", b"{", b"\xff"):
+        with pytest.raises(settings.BadSettings):
+            settings.layered(settings.SETTINGS, bad, {}, "X_")
+    with pytest.raises(settings.BadSettings):
+        settings.layered(settings.SETTINGS, None, {"X_SEARCH_PROBES": "many"}, "X_")
+
+
+def test_table_of_roots(spark):
+    raw = b"""{"roots": {"box": {"kind": "mail", "source": "mail", "rules": [{"contains": ["invoice"], "source": "accounts"}]}, "wiki": {"kind": "pages", "source": "wiki", "attachments": "wiki files"},
+      "share": {"kind": "files", "source": "mail", "include": "/plans/"}}, "labels": {"mail": "Mail"}, "aliases": {"oldbox": "box"}}"""
+    found = settings.parse_roots(raw)
+    assert found.bases() == ["mail", "accounts", "wiki", "wiki files", "intake"] and settings.parse_roots(None).bases() == ["intake"]
+    assert [(r.root, r.attachments, r.include, r.rank) for r in found.frame(spark).orderBy("rank").collect()] == [("box", "mail", None, 0), ("wiki", "wiki files", None, 1), ("share", "mail", "/plans/", 2)]
+    for bad in (b'{"root": {}}', b'{"roots": []}', b'{"roots": {"a/b": {"kind": "mail", "source": "x"}}}', b'{"roots": {"a": {"kind": "odd", "source": "x"}}}', b'{"roots": {"a": {"kind": "mail"}}}',
+                b'{"roots": {"a": {"kind": "mail", "source": "x", "rules": [{"source": "y"}]}}}', b'{"aliases": {"a": "b"}}', b'{"roots": {"a": {"kind": "mail", "source": "x", "q": 1}}}'):
+        with pytest.raises(settings.BadSettings):
+            settings.parse_roots(bad)
+
+
+def letter(sender="Ann <ann@x.org>", date="Wed, 01 May 2024 23:30:00 -0500", subject="Re:  Plan", text="Hello, World_1!", extra=""):
+    return f"{extra}From: {sender}\r\nDate: {date}\r\nSubject: {subject}\r\n\r\n{text}\r\n".encode()
+
+
+def test_letter_keys():
+    mid, fp, day = mail.keys(letter(extra="Message-ID: < ABC@X >\r\n"), 2026)
+    assert (mid, day) == ("abc@x", "2024-05-01") and len(fp) == 32
+    same = [letter(sender="A. Nobody <ANN@x.org>"), letter(date="Thu, 02 May 2024 04:30:59 +0000"), letter(subject="re: plan"), letter(text="hello world 1"), letter(extra="Received: from q; Thu, 2 May 2024 10:00:00 +0000\r\n"), letter().replace(b"\r\n", b"\n")]
+    assert {mail.keys(x, 2026)[1] for x in same} == {fp}
+    other = [letter(sender="bob@x.org"), letter(date="Wed, 01 May 2024 23:31:00 -0500"), letter(subject="Plan"), letter(text="Hello you")]
+    assert fp not in {mail.keys(x, 2026)[1] for x in other}
+    assert mail.keys(b"To: a@b\r\n\r\nx", 2026) == (None, None, None)
+    assert mail.keys(letter(date="garbage", extra="Received: from q; Thu, 2 May 2024 10:00:00 +0000\r\n"), 2026)[2] == "2024-05-02"
+
+
+def test_attachments_and_calendars():
+    inner = b"From: c@d\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\nContent-Disposition: attachment; filename=deep.pdf.exe\r\n\r\nzz\r\n--q--\r\n"
+    outer = b"From: a@b\r\nContent-Type: multipart/mixed; boundary=w\r\n\r\n--w\r\nContent-Type: text/plain\r\n\r\nhi\r\n--w\r\nContent-Type: message/rfc822\r\n\r\n" + inner + b"\r\n--w--\r\n"
+    assert [n for n, _ in mail.parts(outer)] == ["letter.eml", "deep.pdf.exe"] and mail.parts(outer)[1][1] == b"zz"
+    text = "BEGIN:VEVENT\r\nDTSTART;TZID=\"A:B\":20240501T100000\r\nSUMMARY:Plan\\, long\r\n  er\r\nLOCATION:here\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:cut"
+    assert mail.events(text) == [{"start": "20240501T100000", "summary": "Plan, long er", "place": "here"}]
+
+
+def test_vectors_in_batches_with_bad_chunks(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise OSError("the service fell over")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([("p", i, "bad" if i == 7 else "x" * i) for i in range(100)], "path string, chunk int, text string")
+    got = {r.chunk: r.vector for r in logs.embedded(rows, embed).collect()}
+    assert got == {i: [float(i)] for i in range(100) if i != 7}
+
+
+def test_journal_and_reasons(spark, tmp_path):
+    calls = spark.createDataFrame([("2", {"q": "ark_abcdefgh1", "token": "x"}), ("1", {"q": "z" * 300})], "ts string, params map<string,string>")
+    lines = [r.value for r in spark.read.text(logs.journal_lines(calls, f"{tmp_path}/j")).collect()]
+    assert sorted(lines) == sorted(['{"ts":"2","params":{"q":"ark_***"}}', '{"ts":"1","params":{"q":"' + "z" * 200 + '…"}}'])
+    rows = spark.createDataFrame([("text", "txt", 0, False), ("other", "iwork", 5, False), ("text", "txt", 5, True), ("other", "unknown", 5, False), ("archive", "zip", 5, False), ("text", "txt", 5, False)], "family string, kind string, size int, link boolean")
+    assert [r[0] for r in rows.select(gate.left_out(F.col("family"), F.col("kind"), F.col("size"), F.col("link"))).collect()] == ["empty", "no reader", "not a file", "not a document", "unpacked", None]
