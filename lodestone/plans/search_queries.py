@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
+from lodestone.operators import fulltext
 from lodestone.operators import ivf as I
 from lodestone.operators import search as S
 from lodestone.plans.registry import query, values
@@ -69,6 +70,12 @@ def bm25_topk(spark, sf):
     return S.bm25_list(docs(spark, sf), WORDS).select("path", "chunk", "bm25")
 
 
+@query(full() + " SELECT path, chunk, bm25 FROM fts")
+def fulltext_index(spark, sf):
+    home = fulltext.build(docs(spark, sf), scratch_path(spark, "fulltext"))
+    return fulltext.best(spark, home, WORDS)
+
+
 @query(full() + " SELECT path, chunk, title, updated, round(score, 9) AS score FROM hits")
 def hybrid_search(spark, sf):
     found = S.search(docs(spark, sf), _vectors(spark, sf), _query(spark, sf), WORDS, TODAY)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import gate, intake, ivf, maintain, names, search
+from lodestone.operators import fulltext, gate, intake, ivf, maintain, names, search
 from lodestone.sources import extract, logs, mail, settings
 from lodestone.streaming import intake as stream
 
@@ -309,3 +309,13 @@ def test_journal_and_reasons(spark, tmp_path):
     assert sorted(lines) == sorted(['{"ts":"2","params":{"q":"ark_***"}}', '{"ts":"1","params":{"q":"' + "z" * 200 + '…"}}'])
     rows = spark.createDataFrame([("text", "txt", 0, False), ("other", "iwork", 5, False), ("text", "txt", 5, True), ("other", "unknown", 5, False), ("archive", "zip", 5, False), ("text", "txt", 5, False)], "family string, kind string, size int, link boolean")
     assert [r[0] for r in rows.select(gate.left_out(F.col("family"), F.col("kind"), F.col("size"), F.col("link"))).collect()] == ["empty", "no reader", "not a file", "not a document", "unpacked", None]
+
+
+def test_full_text_index_reads_the_asked_terms(spark, tmp_path):
+    rows = [("a", 0, "the cat and the dog"), ("b", 0, "a cat"), ("c", 0, "dogs only"), ("d", 1, "")]
+    home = fulltext.build(spark.createDataFrame(rows, "path string, chunk int, text string"), f"{tmp_path}/f")
+    got = fulltext.best(spark, home, "CAT dog cat")
+    assert [r.path for r in got.collect()] == ["a", "b"]
+    assert fulltext.best(spark, home, "...").count() == 0 and fulltext.best(spark, home, "absent").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
