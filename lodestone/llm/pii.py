@@ -3,11 +3,11 @@
 Kinds email, ip, card and phone are fixed patterns with fixed checks; whatever passes is kept, whatever fails is
 dropped without a second try. Two kinds are added: iban (mod-97) and ssn (needs a word nearby that names it).
 
-Positions: a text is split at a pattern and its matches are extracted with the same pattern. What fails its check is
-dropped first; the code-point offset of a match that passes is the length of the blocks of ``BLOCK`` matches before its own
-and of the pieces before it in its block, and its context is put together from the pieces around it. So the work follows
-the length of the text, however many numbers it holds. The patterns are possessive, and start only where a run of their
-characters starts, so a long run is read once; they find what the plain forms find.
+Positions: matches are extracted; what fails its check is dropped first, and only a text with any left is split at the same
+pattern. The code-point offset of a match that passes is the length of the blocks of ``BLOCK`` matches before its own and of the
+pieces before it in its block, and its context is put together from the pieces around it. So the work follows the length of
+the text, however many numbers it holds. The patterns are possessive, and start only where a run of their characters starts,
+so a long run is read once; they find what the plain forms find.
 
 Scores: 0.5 for a plain match, 0.7 with a checksum or range check, 0.3 for ssn; a context word within 40 characters
 before or 20 after adds 0.25. Spans of the fixed kinds start at 0.5 at least and the bar is 0.5, so they always stay.
@@ -147,19 +147,19 @@ def _spans(kind: str, text: Column, digits: Column) -> Column:
         where = F.struct(pieces.alias("pieces"), lengths.alias("lengths"), bound(lengths, totals).alias("totals"))
         return F.filter(bound(where, lambda at: F.transform(good, lambda i: span(i, at))), lambda x: x["score"] >= BAR)
 
-    def found_in(v: Column) -> Column:
-        cuts, found = v["cuts"], v["found"]
+    def found_in(found: Column) -> Column:
         numbers = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: _valid(kind, F.get(found, i)))
-        return F.when(F.size(found) > 0, bound(numbers, lambda good: F.when(F.size(good) > 0, placed(good, cuts, found)).otherwise(empty))).otherwise(empty)
+        # Only a text with matches that pass is split: most have none.
+        cut = lambda good: bound(F.split(text, pattern, -1), lambda cuts: placed(good, cuts, found))
+        return F.when(F.size(found) > 0, bound(numbers, lambda good: F.when(F.size(good) > 0, cut(good)).otherwise(empty))).otherwise(empty)
 
-    both = F.struct(F.split(text, pattern, -1).alias("cuts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.when(_possible(kind, text, digits), bound(both, found_in)).otherwise(empty)
+    return F.when(_possible(kind, text, digits), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found_in)).otherwise(empty)
 
 
 def spans(text: Column) -> Column:
     """array<struct<start, ord, end, kind, score>>, ordered, of a text column."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_spans(k, text, text.rlike("[0-9]")) for k in KINDS]))
+    both = F.struct(F.coalesce(text, F.lit("")).alias("t"), F.coalesce(text.rlike("[0-9]"), F.lit(False)).alias("digits"))
+    return bound(both, lambda v: F.array_sort(F.concat(*[_spans(k, v["t"], v["digits"]) for k in KINDS])))
 
 
 def find(df: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
