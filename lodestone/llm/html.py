@@ -60,6 +60,8 @@ BESIDE = re.compile(
     r"copyright|legal|disclaimer|tags?|paywall|alert",
     re.I,
 )
+#: Those of them that stand on content as well: on a paragraph they say little.
+EITHER = re.compile(r"legal|tags?|side|share|sharing|notices?|alert|related|header|search|skip|reply|respond|copyright", re.I)
 NEUTRAL = re.compile(
     r"site|page|main|top|bottom|left|right|bar|box|block|list|items?|area|section|container|wrap|wrapper|inner|outer|posts?|articles?|links?|buttons?|"
     r"slot|unit|thread|form|content|global|sub|primary|secondary|\d*",
@@ -122,13 +124,14 @@ def _attributes(tag: str) -> dict[str, str]:
 
 
 def _named(value: str) -> int:
-    """2 if a name says in full that it's beside the content, 1 if a part of one does."""
+    """What a name says of being beside the content: 3 in full, 2 in full by words that stand on content as well, 1 in part."""
     found = 0
     for name in OWN_HEAD.sub("head", value).split():
         parts = re.split(r"[_\W]+|(?<=[a-z])(?=[A-Z])", name)
-        hits = [bool(BESIDE.fullmatch(p)) for p in parts]
-        if any(hits):
-            found = max(found, 2 if all(h or NEUTRAL.fullmatch(p) for h, p in zip(hits, parts)) else 1)
+        hits = [p for p in parts if BESIDE.fullmatch(p)]
+        if hits:
+            whole = all(BESIDE.fullmatch(p) or NEUTRAL.fullmatch(p) for p in parts)
+            found = max(found, 1 if not whole else 2 if all(map(EITHER.fullmatch, hits)) else 3)
     return found
 
 
@@ -141,7 +144,9 @@ def _evidence(name: str, attributes: dict[str, str], marked: bool) -> int:
     found = max((_named(attributes[k]) for k in ("class", "id") if k in attributes), default=0)
     if name == "article":
         return NAMED if found and re.search(r"comment|reply", attributes.get("class", "") + attributes.get("id", ""), re.I) else 0
-    return 0 if not found else NAMED_PROSE if name in PROSE else NAMED if found == 2 else HALF_NAMED
+    if name in PROSE:
+        return NAMED if found == 3 else NAMED_PROSE if found else 0
+    return 0 if not found else NAMED if found >= 2 else HALF_NAMED
 
 
 def tokens(html: str) -> Page:

@@ -63,6 +63,8 @@ class _Writer:
         elif kind == "side":
             inner = f"<h3>{self.words(1, 3)}</h3>" + (self.links(2, 7) if r.random() < 0.5 else "".join(self.teaser() for _ in range(r.randint(1, 3))))
             put(f"<aside>{inner}</aside>" if r.random() < 0.5 else f"<div{self.named(_SIDE)}>{inner}</div>" if r.random() < 0.8 else f"<div><div>{inner}</div></div>")
+        elif kind in ("ad", "note") and r.random() < 0.2:
+            put(f"<p{self.named(['ad', 'advert', 'sponsored', 'promo', 'cookie-notice', 'newsletter-signup'])}>{self.words(4, 25)}</p>")
         elif kind == "note":
             put(f"<div{self.named(_NOTE)}>{self.words(5, 30)} <a href=/ok>{self.words(1, 2)}</a></div>" if r.random() < 0.8 else f'<div role="alert"><p>{self.words(5, 25)}</p></div>')
         elif kind == "ad":

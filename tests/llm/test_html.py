@@ -79,6 +79,7 @@ def test_region_of_whole_pages_is_the_maximum(monkeypatch):
 
 
 def test_names_are_features_only():
+    assert html.main_text('<article><p>Alpha beta gamma</p><p class="ad">Buy our soap</p><p class="cookie-notice">We use them</p><p class="notice">Mind this</p></article>') == "Alpha beta gamma\n\nMind this"
     assert html.main_text('<article><p>Alpha beta</p><p class="legal">Court ruled so</p><div class="story related-party"><p>Body of it</p></div></article>') == "Alpha beta\n\nCourt ruled so\n\nBody of it"
     words = " ".join(["prose"] * 30)
     page = f"<body><div><p>{words}</p><ul><li>one of four</li><li>two of four</li><li>three of four</li><li>four of four</li></ul><div><div><p>{words}</p></div></div></div></body>"
