@@ -182,3 +182,8 @@ def page_list(spec: Column, total: Column, parts: int = 100, default: int = 40)
     asked = F.flatten(F.transform(F.slice(F.split(spec, ","), 1, parts), pages))
     first = F.when(total > 0, F.sequence(F.lit(0), F.least(total, F.lit(default)) - 1)).otherwise(F.array().cast("array<int>"))
     return F.when(F.trim(spec) == "", first).otherwise(F.array_sort(F.array_distinct(asked)))
+
+
+def public_links(text: Column, public: str) -> Column:
+    """Links to the machine itself (127.x, localhost, [::1], any port) led to the public address instead."""
+    return F.regexp_replace(text, r"(?i)\bhttps?://(?:localhost|127(?:\.[0-9]{1,3}){3}|\[::1\])(?::[0-9]{1,5})?(?![\w.-])", public)

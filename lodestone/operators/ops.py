@@ -113,3 +113,23 @@ def reviewed(queue: DataFrame, asked: DataFrame) -> DataFrame:
         .when(F.col("action").isin("reject", "return"), "returned").otherwise("unknown action")
     )
     return joined.select("path", "action", outcome.alias("outcome"))
+
+
+def state_of(entries: DataFrame, receipts: DataFrame) -> DataFrame:
+    """One row: entries waiting and quiet in the inbox, files in the queue and in quarantine (their last receipt says so),
+    those that wait for their index, and whether anything needs the owner."""
+    last = receipts.where("by is null").groupBy("name").agg(F.max_by("decision", "line").alias("decision"), F.max("line").alias("line"))
+    owned = receipts.where("by is not null").groupBy("name").agg(F.max("line").alias("owner_line"))
+    now = last.join(owned, "name", "left").where(F.col("owner_line").isNull() | (F.col("owner_line") < F.col("line")))
+    held = now.agg(
+        F.count_if(F.col("decision") == "review").alias("queue"), F.count_if(F.col("decision") == "quarantine").alias("quarantine"), F.count_if(F.col("decision") == "duplicate").alias("pending")
+    )
+    waiting = entries.agg(F.count("*").alias("waiting"), F.count_if(F.col("ready")).alias("ready"))
+    both = waiting.crossJoin(F.broadcast(held))  # one row beside one row
+    return both.withColumn("attention", F.col("queue") + F.col("quarantine") > 0)
+
+
+def decision_counts(receipts: DataFrame) -> DataFrame:
+    """batch and a map from decision to its number of files."""
+    counts = receipts.where("by is null").groupBy("batch", "decision").agg(F.count("*").alias("n"))
+    return counts.groupBy("batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("decision", "n")))).alias("counts"))  # a handful of decisions

@@ -430,3 +430,90 @@ def letter_files(spark, sf):
     from lodestone.sources import extract, mail
 
     return mail.letter_keys(extract.files(table(spark, sf, "documents").where("doc_id % 8 = 5")).select("name", "content"), 2026)
+
+
+@query(f"""{R_}, c AS (SELECT batch, decision, count(*) AS n FROM receipts WHERE "by" IS NULL GROUP BY ALL) SELECT batch, string_agg(decision || ':' || n, ',' ORDER BY decision) AS counts FROM c GROUP BY batch""")
+def decision_maps(spark, sf):
+    made = O.decision_counts(receipts(spark, sf))
+    return made.select("batch", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query(f"""{R_}, l AS (SELECT name, max_by(decision, line) AS decision, max(line) AS line FROM receipts WHERE "by" IS NULL GROUP BY name), o AS (SELECT name, max(line) AS owner_line FROM receipts WHERE "by" IS NOT NULL GROUP BY name),
+n AS (SELECT l.* FROM l LEFT JOIN o USING (name) WHERE owner_line IS NULL OR owner_line < l.line)
+SELECT (SELECT count(DISTINCT user_id) FROM events) AS waiting, (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 3 = 0) AS ready, count_if(decision = 'review') AS queue,
+ count_if(decision = 'quarantine') AS quarantine, count_if(decision = 'duplicate') AS pending, count_if(decision IN ('review', 'quarantine')) > 0 AS attention FROM n""")
+def archive_state(spark, sf):
+    entries = table(spark, sf, "events").select("user_id").distinct().select((F.col("user_id") % 3 == 0).alias("ready"))
+    return O.state_of(entries, receipts(spark, sf))
+
+
+@query(f"""{R_}, c AS (SELECT decision, CASE line % 3 WHEN 0 THEN 'rules' WHEN 1 THEN 'model' ELSE 'not checked' END AS checker FROM receipts WHERE "by" IS NULL) SELECT decision, checker, count(*) AS files FROM c GROUP BY ALL""")
+def report_counts(spark, sf):
+    checker = F.when(F.col("line") % 3 == 0, "rules").when(F.col("line") % 3 == 1, "model")
+    r = receipts(spark, sf).where("by is null").withColumn("checker", checker)
+    return r.groupBy("decision", F.coalesce("checker", F.lit("not checked")).alias("checker")).agg(F.count("*").alias("files"))
+
+
+@query("""SELECT doc_id, doc_id % 4 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + 1 AS kept, 'a' || (CASE WHEN doc_id % 3 = 0 THEN 'ba' ELSE 'a' END) AS order_ FROM documents""")
+def findings_once(spark, sf):
+    i = F.col("doc_id")
+    long = F.substring(F.rpad(F.lit("q"), 90, "q"), 1, 90)
+    one = lambda rule, quote: F.struct(F.lit(rule).alias("rule"), F.lit("LOW").alias("level"), quote.alias("quote"))
+    first = F.array(one("a", F.concat(long, F.lit("1"))))
+    second = F.when(i % 3 == 0, F.array(one("b", long))).otherwise(F.array(one("a", F.concat(long, F.lit("2")))))
+    third = F.transform(F.slice(F.sequence(F.lit(1), F.lit(4)), F.lit(1), (i % 4).cast("int")), lambda k: F.struct(F.lit("a").alias("rule"), F.lit("LOW").alias("level"), F.concat(F.lit("other "), k.cast("string")).alias("quote")))
+    found = G.told_once(F.concat(first, second, F.array(one("a", F.concat(long, F.lit("3")))), third))
+    order = F.concat(F.lit("a"), F.when(i % 3 == 0, F.concat(found[1]["rule"], F.lit("a"))).otherwise("a"))
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("kept"), order.alias("order_"))
+
+
+@query(f"""{D_}, p AS (SELECT path, 'Head of ' || title || chr(10) || text AS t FROM docs_whole), n AS (SELECT *, CASE WHEN length(t) <= 4000 THEN 1 ELSE 1 + CAST(ceil((length(t) - 4000) / 3800.0) AS INTEGER) END AS n FROM p),
+c AS (SELECT path, unnest(generate_series(0, n - 1)) AS i, t FROM n)
+SELECT path, i AS chunk, sha256(CASE WHEN i > 0 THEN split_part(t, chr(10), 1) || chr(10) ELSE '' END || substr(t, CAST(i * 3800 + 1 AS BIGINT), 4000)) AS digest FROM c WHERE regexp_matches(substr(t, CAST(i * 3800 + 1 AS BIGINT), 4000), '[^\\s]')""")
+def part_headed_chunks(spark, sf):
+    part = F.concat(F.lit("Head of "), "title", F.lit("\n"), "text")
+    return documents(spark, sf).select("path", F.posexplode(T.part_chunks(part)).alias("chunk", "c")).select("path", F.col("chunk").cast("long").alias("chunk"), F.sha2("c", 256).alias("digest"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'see https://a.example/x?y' WHEN 1 THEN 'https://a.example' WHEN 2 THEN 'http://localhost.example/' WHEN 3 THEN '(https://a.example/z)' ELSE 'ftp://127.0.0.1/' END AS text FROM documents")
+def public_addresses(spark, sf):
+    said = F.get(F.array(*map(F.lit, ["see http://127.0.0.1:8080/x?y", "HTTP://[::1]:9", "http://localhost.example/", "(https://LocalHost/z)", "ftp://127.0.0.1/"])), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", T.public_links(said, "https://a.example").alias("text"))
+
+
+@query("SELECT doc_id, 'a' || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE chr(9) END || 'b' || doc_id || 'é😀' AS text FROM documents")
+def model_text(spark, sf):
+    mark = F.get(F.array(*map(F.lit, ["\u0007", "\u200e", "\ue000", "\r", "\U000e0041"])), (F.col("doc_id") % 5).cast("int"))
+    said = F.concat(F.lit("a"), mark, F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("\t"), F.lit("b"), F.col("doc_id").cast("string"), mark, F.lit("é😀"))
+    return table(spark, sf, "documents").select("doc_id", T.without_controls(said).alias("text"))
+
+
+@query("""SELECT doc_id || '.txt' AS name, CASE doc_id % 4 WHEN 2 THEN md5('Привет, мир ' || doc_id) ELSE md5(text) END AS digest FROM documents""")
+def decoded_texts(spark, sf):
+    from lodestone.sources import extract
+
+    i = F.col("doc_id")
+    # "Привет, мир" in the Windows code, byte by byte.
+    windows = F.concat(F.unhex(F.lit("CFF0E8E2E5F22C20ECE8F020")), i.cast("string").cast("binary"))
+    content = F.when(i % 4 == 0, F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-16LE")).when(i % 4 == 1, F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8")).when(i % 4 == 2, windows).otherwise(F.encode("text", "UTF-8"))
+    files = table(spark, sf, "documents").select(F.concat(i.cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
+    return extract.decoded(files).select("name", F.md5("text").alias("digest"))
+
+
+@query(f"{PLACES_SQL} SELECT path FROM p WHERE doc_id % 7 IN (0, 5) AND doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 9 <> 0")
+def description_backlog(spark, sf):
+    """Files a picture reader could describe, without those described already and those owed."""
+    p = _places(spark, sf).where(N.describable(F.lit(None).cast("string"), F.col("path")))
+    owed = p.where("doc_id % 9 = 0").select("path")
+    return p.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").join(owed, "path", "left_anti").select("path")
+
+
+@query(f"{D_}, done AS (SELECT path FROM docs_whole WHERE doc_id % 3 = 0 UNION SELECT path FROM docs_whole WHERE doc_id % 4 = 1) SELECT path FROM docs_whole WHERE path NOT IN (SELECT path FROM done)")
+def resumed_walk(spark, sf):
+    """What a walk still has to do, by a list of done paths that each pass adds a batch of lines to."""
+    home = scratch_path(spark, "done")
+    d = documents(spark, sf)
+    for k, part in enumerate(("doc_id % 3 = 0", "doc_id % 4 = 1")):
+        d.where(part).select(F.col("path").alias("value")).write.text(f"{home}/pass-{k}")
+    done = spark.read.text(f"{home}/pass-*").select(F.col("value").alias("path"))
+    return M.without_paths(d.select("path"), done)
