@@ -11,6 +11,7 @@ Null vectors and those of length zero have no cell and aren't indexed; equal dis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from lodestone.session import materialised, ship_package
 
-# Cells that a search probes, if it isn't told otherwise.
+# Cells that a search probes, and how many times n candidates it makes exact, if it isn't told otherwise; the
+# widths that a vector's parts may have, in the order they're tried.
 PROBES = 400
+REFINE = 30
+WIDTHS = (16, 8, 4, 2)
 #: Vectors that the centres are fitted on at most, and rounds over them.
 SAMPLE, ROUNDS = 65_536, 8
 #: Vectors, and queries, that meet in one task.
@@ -38,10 +42,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1.0)
 
 
-def trained(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
-    """Centres by spherical k-means on at most `sample` vectors, chosen by a hash of their id."""
-    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    x = unit(np.array([r["embedding"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+def spherical(x: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+    """Centres of unit vectors by k-means on the sphere; the first rows begin."""
     centres = x[:cells].copy()
     for _ in range(rounds if len(x) else 0):
         own = np.concatenate([(x[k : k + 8192] @ centres.T).argmax(axis=1) for k in range(0, len(x), 8192)])
@@ -52,29 +54,71 @@ def trained(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int =
     return centres
 
 
+def plain(x: np.ndarray, many: int, rounds: int) -> np.ndarray:
+    """Centres by k-means; the first rows begin."""
+    centres = x[:many].copy()
+    for _ in range(rounds):
+        own = nearest_rows(x, centres)
+        sums, held = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
+        centres[held > 0] = sums[held > 0] / held[held > 0, None]
+    return centres
+
+
+def nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(axis=1) / 2
+    return np.concatenate([(x[k : k + 8192] @ centres.T - half).argmax(axis=1) for k in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
+
+
+@dataclass(frozen=True)
+class Index:
+    """Where the vectors lie, the cells' centres, and for each part of a vector its code book (parts x 256 x width)."""
+
+    path: str
+    centres: np.ndarray
+    books: np.ndarray
+
+
+def trained(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and code books from at most `sample` vectors, chosen by a hash of their id."""
+    rows = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
+    x = unit(np.array([r["embedding"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+    width = next((w for w in WIDTHS if x.shape[1] % w == 0), 1)
+    parts = x.reshape(len(x), -1, width)
+    books = np.stack([plain(np.ascontiguousarray(parts[:, k]), 256, rounds) for k in range(parts.shape[1])]) if len(x) else np.zeros((1, 1, 1))
+    return spherical(x, cells, rounds), books
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return unit(column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
-def build(vectors: DataFrame, path: str, cells: int) -> tuple[str, np.ndarray]:
-    """vectors (vec_id, embedding) stored by cell under path; with the centres."""
+def codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """A byte for each part of each vector."""
+    parts = x.reshape(len(x), len(books), -1)
+    return np.stack([nearest_rows(np.ascontiguousarray(parts[:, k]), books[k]) for k in range(len(books))], axis=1).astype(np.uint8)
+
+
+def build(vectors: DataFrame, path: str, cells: int) -> Index:
+    """vectors (vec_id, embedding) stored by cell under path, with their codes."""
     ship_package(vectors.sparkSession)
-    centres = trained(vectors, cells)
+    index = Index(path, *trained(vectors, cells))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell = (_matrix(batch.column(1)) @ centres.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["vec_id", "embedding", "cell"])
+                x = _matrix(batch.column(1))
+                code = pa.array([row.tobytes() for row in codes(x, index.books)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code, pa.array((x @ index.centres.T).argmax(axis=1), pa.int32())], ["vec_id", "embedding", "code", "cell"])
 
     whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and exists(embedding, x -> x <> 0)")
-    whole.mapInArrow(placed, "vec_id long, embedding array<double>, cell int").write.partitionBy("cell").parquet(path)
-    return path, centres
+    whole.mapInArrow(placed, "vec_id long, embedding array<double>, code binary, cell int").write.partitionBy("cell").parquet(path)
+    return index
 
 
-def topk(spark: SparkSession, index: tuple[str, np.ndarray], queries: DataFrame, n: int, probes: int = PROBES) -> DataFrame:
+def topk(spark: SparkSession, index: Index, queries: DataFrame, n: int, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
     """query, vec_id, dist, place: the n nearest in the probed cells for each row of queries (query, embedding)."""
-    path, centres = index
+    centres, books = index.centres, index.books
     asked = max(1, min(probes, len(centres)))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +129,7 @@ def topk(spark: SparkSession, index: tuple[str, np.ndarray], queries: DataFrame,
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(near.ravel(), pa.int32())], ["query", "cell"])
 
     q = materialised(queries.select("query", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null"), "ivf-queries")
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(index.path)
     meets = materialised(q.mapInArrow(probed, "query long, cell int"), "ivf-probes")
     if asked < len(centres):
         wanted = [r["cell"] for r in meets.select("cell").distinct().collect()]  # cells, 4096 at most
@@ -94,22 +138,33 @@ def topk(spark: SparkSession, index: tuple[str, np.ndarray], queries: DataFrame,
     many = meets.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
     shape = F.broadcast(size.join(many, "cell"))  # a row per cell, 4096 at most
     left = meets.join(shape, "cell").join(q, "query").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("groups")).alias("group"), F.col("query").alias("id"), F.lit(True).alias("asks"), "embedding"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("groups")).alias("group"), F.col("query").alias("id"),
+        "embedding", F.lit(None).cast("binary").alias("code"),
     )
     right = stored.join(shape, "cell").select(
-        "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group"), F.col("vec_id").alias("id"), F.lit(False).alias("asks"), "embedding"
+        "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group"), F.col("vec_id").alias("id"),
+        "embedding", "code",
     )
 
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows["asks"].to_numpy()
+        asks = rows["code"].isna().to_numpy()
         if not asks.any() or asks.all():
             return pd.DataFrame({"query": [], "vec_id": [], "dist": []})
         x = unit(np.stack(rows["embedding"].to_numpy()))
-        ids = rows["id"].to_numpy()
+        ids, given = rows["id"].to_numpy(), x[~asks]
         own = ids[~asks]
-        dist = np.round(1 - x[asks] @ x[~asks].T, 6) + 0.0  # no negative zeros
-        best = np.lexsort((np.broadcast_to(own, dist.shape), dist), axis=1)[:, :n]
-        return pd.DataFrame({"query": np.repeat(ids[asks], best.shape[1]), "vec_id": own[best].ravel(), "dist": np.take_along_axis(dist, best, 1).ravel()})
+        some = refine * n
+        code = np.frombuffer(b"".join(rows["code"][~asks]), np.uint8).reshape(len(own), -1) if len(own) > some else None
+        out = []
+        for query, q in zip(ids[asks], x[asks], strict=True):
+            rough = np.arange(len(own))
+            if code is not None:  # what the codes say of the product with each part
+                table = np.einsum("kcw,kw->kc", books, q.reshape(len(books), -1))
+                rough = np.argpartition(-table[np.arange(len(books)), code].sum(axis=1), some)[:some]
+            dist = np.round(1 - given[rough] @ q, 6) + 0.0  # no negative zeros
+            best = np.lexsort((own[rough], dist))[:n]
+            out.append(pd.DataFrame({"query": query, "vec_id": own[rough][best], "dist": dist[best]}))
+        return pd.concat(out)
 
     found = left.unionByName(right).groupBy("cell", "block", "group").applyInPandas(nearest, "query long, vec_id long, dist double")
     place = F.row_number().over(Window.partitionBy("query").orderBy("dist", "vec_id"))

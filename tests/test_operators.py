@@ -64,16 +64,34 @@ def test_inverted_file(spark, tmp_path):
     nearest = {int(ids[q]): set(ids[np.lexsort((ids, np.round(1 - x @ x[q], 6)))[:120]].tolist()) for q in np.flatnonzero(ids % 50 == 0)}
     index = ivf.build(vectors, f"{tmp_path}/ivf", 64)
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    for probes, least in ((ivf.PROBES, 1.0), (48, 0.9)):
+    for probes, refine, least in ((ivf.PROBES, ivf.REFINE, 1.0), (48, ivf.REFINE, 0.9)):
         found = {}
-        for r in ivf.topk(spark, index, queries, 120, probes).collect():
+        for r in ivf.topk(spark, index, queries, 120, probes, refine).collect():
             found.setdefault(r.query, set()).add(r.vec_id)
         assert found.keys() == nearest.keys() and all(len(v) == 120 for v in found.values())
         assert sum(len(found[q] & nearest[q]) for q in nearest) >= least * 120 * len(nearest)
-    plan = spark.read.parquet(index[0]).where(F.col("cell").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    plan = spark.read.parquet(index.path).where(F.col("cell").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
 
 
+def test_codes_find_what_refining_makes_exact(spark, tmp_path):
+    """One block of 2000 vectors, of which the codes pass on some to be made exact."""
+    import numpy as np
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    x = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in vectors.collect()}
+    index = ivf.build(vectors, f"{tmp_path}/ivf", 1)
+    assert index.books.shape == (4, 256, 16)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    ids, whole = np.array(list(x)), np.stack(list(x.values()))
+    recall = {}
+    for refine in (1, 30):
+        got = ivf.topk(spark, index, queries, 10, refine=refine).collect()
+        hits = sum(r.vec_id in set(ids[np.argsort(-(whole @ x[r.query]))[:10]].tolist()) for r in got)
+        recall[refine] = hits / len(got)
+    assert 0.3 < recall[1] < recall[30] and recall[30] >= 0.9
+
+
 def test_inverted_file_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ivf, "BLOCK", 3)
     monkeypatch.setattr(ivf, "QUERIES", 2)
