@@ -2,8 +2,11 @@
 
 ``build`` fits the cells' centres on a bounded sample (spherical k-means on the driver) and writes every vector into its
 cell's folder. ``topk`` answers many queries at once: each goes to its nearest cells, cells and queries meet in blocks of
-bounded size, and only a block's n best of each query leave its task. With as many probes as cells the answer is exact.
-Vectors are stored whole; there are no product-quantised codes.
+bounded size, and only a block's n best of each query leave their task.
+
+Vectors are stored whole. Beside each stands a code, a byte for each of its parts: the nearest of 256 trained ones. Where a
+block holds more vectors than ``refine`` times n, products are first taken from the codes, and only the best so many are made
+exact. With as many probes as cells, and blocks that aren't refined, the answer is exact.
 
 Null vectors and those of length zero have no cell and aren't indexed; equal distances are ordered by id.
 """
