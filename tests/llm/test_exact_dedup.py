@@ -45,3 +45,20 @@ def test_drop_keeps_columns_and_one_row_each(spark):
 def test_empty(spark):
     assert exact_dedup.assign(frame(spark, [])).count() == 0
     assert exact_dedup.drop_duplicates(frame(spark, [])).count() == 0
+
+
+def test_drop_keeps_columns_of_any_name(spark):
+    names = ["__digest", "__n", "__keep", "__place", "__id", "__whole", "__row", "a.b"]
+    rows = [(i, "same" if i else "other", *[f"{n}{i}" for n in names]) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = exact_dedup.drop_duplicates(df)
+    assert got.dtypes == df.dtypes and sorted(map(tuple, got.collect())) == rows[:2]
+    renamed = df.withColumnsRenamed({"doc_id": "__keep2", "text": "t.x"})
+    assert sorted(map(tuple, exact_dedup.drop_duplicates(renamed, "__keep2", "t.x").collect())) == rows[:2]
+
+
+def test_a_hot_text_under_one_id_is_cut_before_the_shuffle(spark):
+    df = spark.range(0, 20_000).selectExpr("if(id % 3 = 0, id, 7) AS doc_id", "if(id % 3 = 0, string(id), 'same') AS text")
+    got = exact_dedup.drop_duplicates(df)
+    assert got.count() == 6667 + 1 and got.where("text = 'same'").count() == 1
+    assert "row_number(), 1, Partial" in got._jdf.queryExecution().executedPlan().toString()
