@@ -517,3 +517,20 @@ def resumed_walk(spark, sf):
         d.where(part).select(F.col("path").alias("value")).write.text(f"{home}/pass-{k}")
     done = spark.read.text(f"{home}/pass-*").select(F.col("value").alias("path"))
     return M.without_paths(d.select("path"), done)
+
+
+@query("""WITH s AS (SELECT k, user_id AS entry, max(event_id) AS size FROM events, (SELECT unnest([0, 1, 2]) AS k) WHERE event_id % 3 <= k AND user_id % 5 <> k GROUP BY ALL),
+a AS (SELECT s2.entry, CASE WHEN s1.size = s2.size THEN CASE WHEN s0.size = s1.size THEN 0 ELSE 20 END ELSE 40 END AS since FROM (SELECT * FROM s WHERE k = 2) s2
+ LEFT JOIN (SELECT * FROM s WHERE k = 1) s1 USING (entry) LEFT JOIN (SELECT * FROM s WHERE k = 0) s0 USING (entry))
+SELECT entry, CAST(since AS BIGINT) AS since, 40 - since >= 30 AS ready FROM a""")
+def stream_quiet(spark, sf):
+    """Three looks at an inbox, 20 seconds apart, as a stream of files in their order."""
+    from lodestone.streaming import intake
+
+    home = scratch_path(spark, "inbox")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("entry"), "event_id")
+    for k in range(3):
+        held = e.where((F.col("event_id") % 3 <= k) & (F.col("entry") % 5 != k)).groupBy("entry").agg(F.max("event_id").alias("size"))
+        held.select(F.lit(20 * k).cast("long").alias("seen"), "entry", "size", F.lit(1).cast("long").alias("mtime")).write.parquet(f"{home}/looks/{k}")
+    looks = spark.readStream.schema("seen long, entry long, size long, mtime long").option("recursiveFileLookup", "true").parquet(f"{home}/looks")
+    return intake.watched(spark, looks, f"{home}/states").select("entry", "since", "ready")

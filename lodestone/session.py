@@ -73,6 +73,14 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern and whose job has committed, sorted."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(x.getPath().getParent()) for x in found or [])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import scratch_path, table
+from lodestone.session import finished, scratch_path, table
 
 QUIET_SECONDS = 30
 
@@ -83,3 +83,27 @@ def retried(debts: list[str], work, tried: set[str]) -> list[str]:
             except Exception:  # stays a debt
                 pass
     return paid
+
+
+STATE = "entry long, size long, mtime long, since long, ready boolean"
+
+
+def watched(spark: SparkSession, looks: DataFrame, home: str, seconds: int = QUIET_SECONDS) -> DataFrame:
+    """The inbox after a stream of looks at it: entry, size, mtime, since, ready.
+
+    looks: a streaming frame of seen (the second of the look), entry, size, mtime; a micro-batch holds whole looks. The state
+    after each look is a table of its own, written once under home, so a batch that's run again after a failure writes the
+    same state from the same one before it.
+    """
+    def look(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        times = [r["seen"] for r in batch.select("seen").distinct().orderBy("seen").collect()]  # looks of one micro-batch
+        for k, seen in enumerate(times):
+            name = f"look-{batch_id:06d}-{k:04d}"
+            before = [p for p in finished(own, f"{home}/look-*") if p.rpartition("/")[2] < name]
+            state = own.read.schema(STATE).parquet(before[-1]) if before else own.createDataFrame([], STATE)
+            quiet_step(state, batch.where(F.col("seen") == seen).select("entry", "size", "mtime"), F.lit(seen).cast("long"), seconds).write.mode("overwrite").parquet(f"{home}/{name}")
+
+    run_once(looks, look, f"{home}/progress")
+    states = finished(spark, f"{home}/look-*")
+    return spark.read.schema(STATE).parquet(states[-1]) if states else spark.createDataFrame([], STATE)

@@ -337,3 +337,12 @@ def test_full_text_index_reads_the_asked_terms(spark, tmp_path):
     assert fulltext.best(spark, home, "...").count() == 0 and fulltext.best(spark, home, "absent").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+
+
+def test_looks_go_on_after_a_restart(spark, tmp_path):
+    schema = "seen long, entry long, size long, mtime long"
+    for seen, rows in ((0, [(1, 5), (2, 5)]), (30, [(1, 5), (2, 6), (3, 1)])):
+        spark.createDataFrame([(seen, e, s, 1) for e, s in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/looks/{seen}")
+        looks = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/looks")
+        state = {r.entry: (r.since, r.ready) for r in stream.watched(spark, looks, f"{tmp_path}/states").collect()}
+    assert state == {1: (0, True), 2: (30, False), 3: (30, False)}
