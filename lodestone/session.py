@@ -85,9 +85,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most. Texts are a few kilobytes each: Spark's own 10,000 rows are tens of megabytes, held on both
+#: sides of every task's pipe.
+ARROW_ROWS = 2_000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for functions that run in Python there."""
+    """Ready for functions that run in Python on executors: Arrow batches of a bounded size, and this package sent once per
+    application."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     if _local(spark) or getattr(sc, "_lodestone_shipped", False):
         return
     import zipfile
