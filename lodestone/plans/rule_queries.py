@@ -252,8 +252,8 @@ def extract_text(spark, sf):
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'gis'), '<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'gis') AS h FROM pages),
 t AS (SELECT page_id, replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), chr(1), ' ') AS t FROM p)
-SELECT page_id AS id, list_filter(regexp_split_to_array(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+'), lambda x: x <> '') <> [] AS any_shown,
- length(array_to_string(list_filter(regexp_split_to_array(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+'), lambda x: x <> ''), ' ')) AS n_shown, '' AS hidden FROM t""")
+SELECT page_id AS id, list_filter(regexp_split_to_array(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+'), lambda x: x <> '') <> [] AS any_shown,
+ length(array_to_string(list_filter(regexp_split_to_array(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+'), lambda x: x <> ''), ' ')) AS n_shown, '' AS hidden FROM t""")
 def html_hidden(spark, sf):
     from lodestone.sources import extract
 
