@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,16 @@ class WordIds:
         return b"".join(self.chunks.all(text.lower().split()))
 
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of every text; the chunks of all plain ones are told apart in Arrow, and each distinct one is looked up once."""
+        odd = [self.OTHER.search(t) is not None for t in texts]
+        chunks = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.string()))
+        coded = chunks.flatten().dictionary_encode()
+        found = [self.chunks[c.lower()] if c else b"" for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, pa.array(found, pa.binary()).take(coded.indices)), b"").to_pylist()
+        return [self._ids(t) if o else ids for o, t, ids in zip(odd, texts, joined, strict=True)]
+
+
 _WORDS: dict[str, WordIds] = {}
 
 
@@ -126,8 +137,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         words = word_ids(path)
         for part, texts in slices(batches, "__text"):
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(texts):
-                ids = memoryview(words.encode(text) + end)
+            for row, encoded in enumerate(words.encode_all(texts)):
+                ids = memoryview(encoded + end)
                 for k in range(0, len(ids), 4 * capacity):
                     own = ids[k : k + 4 * capacity]
                     at.append(row)

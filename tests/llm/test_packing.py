@@ -29,6 +29,9 @@ def test_ids_are_the_librarys(spark, library):
     words = packing.word_ids(PATH)
     for t in texts + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]:
         assert np.frombuffer(words.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    plain = ["".join(rng.choices("aB \n\t\r\x0b\x0c'séT12.,-_ßÀÝŽǅ–“…", k=rng.randint(0, 40))) for _ in range(800)]
+    for t, ids in zip(texts + plain, words.encode_all(texts + plain), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_knapsack_is_optimal():
