@@ -73,6 +73,17 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A new file in any store that Spark writes to."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def finished(spark: SparkSession, pattern: str) -> list[str]:
     """Folders that match a pattern and whose job has committed, sorted."""
     sc = spark.sparkContext
