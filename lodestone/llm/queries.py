@@ -144,6 +144,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat": op2_chat,
@@ -155,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_pieces": op9_pieces,
     "op10_quality": op10_quality,
+    "op12_lexicon": op12_lexicon,
 }
 
 ORACLES: dict[str, str] = {
