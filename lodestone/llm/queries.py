@@ -144,6 +144,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -153,6 +162,12 @@ def op12_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import trie
+
+    return trie.build(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat": op2_chat,
@@ -164,7 +179,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_pieces": op9_pieces,
     "op10_quality": op10_quality,
+    "op11_align": op11_align,
     "op12_lexicon": op12_lexicon,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
