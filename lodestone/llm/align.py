@@ -5,7 +5,8 @@
    merge can reach over the cut, and the byte-level pattern never matches over the start of such a run. A slice of texts is
    stored as numbers of its segments, commonest first, and as a list of its distinct segments.
 2. Segments of all slices are sorted together; each distinct one is tokenised by both libraries, its tokens are cut into
-   groups at the byte offsets where both end, and the last two tokens of a group are linked.
+   groups at the byte offsets where both end, and the last two tokens of a group are linked. What it has is one row with the
+   places that it goes to, ``ALIGNED`` at most (a segment of more places has more rows).
 3. Pairs of linked ids are counted over the corpus, as often as their segments occur, and each segment gets the sums over
    its links.
 4. Slices are composed: a segment's alignment goes to every slice that has it, once, and documents are put together there.
@@ -95,7 +96,6 @@ class Aligner:
         self.safe = safe_spaces(self.a_bytes, pieces.values())
         unsafe = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in self.safe)
         self.segment = re.compile(rf"\s*\S+(?:[{re.escape(unsafe)}]\s*\S*)*|\s+")
-        self.decimals = pa.array([str(i) for i in range(max(len(self.a_bytes), n))])
 
     def usable(self, text: str) -> bool:
         """Whether the tokens of both give back a space and the text."""
@@ -135,10 +135,10 @@ class Aligner:
         return first, second
 
     def align(self, segments: list[str]) -> dict[str, pa.Array]:
-        """groups, n_a, n_b, n_groups, links_a and links_b of each segment."""
+        """tokens (see packed()), links_a and links_b of each segment."""
         first, second = self.tokens(segments)
         a, b = (np.array([i for ids in x for i in ids], np.int64) for x in (first, second))
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (first, second))
+        n_a = np.array(list(map(len, first)), np.int64)
         raw = "".join(segments).encode()
         if raw != b"".join(map(self.a_bytes.__getitem__, a.tolist())) or raw != b"".join(map(self.b_bytes.__getitem__, b.tolist())):
             raise ValueError("tokens that don't give their segments back")
@@ -146,16 +146,106 @@ class Aligner:
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         size_a = np.bincount(np.searchsorted(common, ends_a), minlength=len(common))
         size_b = np.bincount(np.searchsorted(common, ends_b), minlength=len(common))
-        whole = np.cumsum(n_a)
-        n_groups = np.diff(np.r_[0, np.searchsorted(common, ends_a[whole - 1], side="right")])
-        lists = lambda items, sizes: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), items)
-        written = [pc.binary_join(lists(self.decimals.take(pa.array(ids)), sizes), ",") for ids, sizes in ((a, size_a), (b, size_b))]
-        groups = pc.binary_join(lists(pc.binary_join_element_wise(*written, "|"), n_groups), ";")
+        n_groups = np.diff(np.r_[0, np.searchsorted(common, ends_a[np.cumsum(n_a) - 1], side="right")])
         last = [ids[np.cumsum(sizes) - 1].astype(np.int32) for ids, sizes in ((a, size_a), (b, size_b))]
-        return {
-            "groups": groups, "n_a": pa.array(n_a.astype(np.int32)), "n_b": pa.array(n_b.astype(np.int32)), "n_groups": pa.array(n_groups.astype(np.int32)),
-            "links_a": lists(pa.array(last[0]), n_groups), "links_b": lists(pa.array(last[1]), n_groups),
-        }
+        return {"tokens": packed(a, b, size_a, size_b, n_groups), "links_a": _lists(pa.array(last[0]), n_groups), "links_b": _lists(pa.array(last[1]), n_groups)}
+
+
+def _lists(items: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), items)
+
+
+def _binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _bytes_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values, put together, and where each starts (with the end)."""
+    starts = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    return np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then the same for the next."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def packed(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, n_groups: np.ndarray) -> pa.Array:
+    """Groups of segments as 32-bit or 16-bit words (one byte says which): number of groups, tokens of each on both sides, ids."""
+    of = np.repeat(np.arange(len(n_groups)), n_groups)
+    t_a, t_b = (np.bincount(of, x, len(n_groups)).astype(np.int64) for x in (size_a, size_b))
+    words = 1 + 2 * n_groups + t_a + t_b
+    starts = np.cumsum(words) - words
+    out = np.zeros(int(words.sum()), np.uint32)
+    out[starts] = n_groups
+    at = starts + 1
+    for values, sizes in ((size_a, n_groups), (size_b, n_groups), (a, t_a), (b, t_b)):
+        out[_ranges(at, sizes)] = values
+        at = at + sizes
+    if len(out) and out.max() >= 1 << 16:
+        blobs = [b"\4" + out[s : s + n].astype("<u4").tobytes() for s, n in zip(starts, words)]
+        return pa.array([b"\2" + out[s : s + n].astype("<u2").tobytes() if out[s : s + n].max() < 1 << 16 else x for x, s, n in zip(blobs, starts, words)], pa.binary())
+    raw = np.zeros(2 * len(out) + len(words), np.uint8)
+    lead = 2 * starts + np.arange(len(words))
+    raw[lead] = 2
+    rest = np.ones(len(raw), bool)
+    rest[lead] = False
+    raw[rest] = out.astype("<u2").view(np.uint8)
+    return _binaries(raw.tobytes(), 2 * words + 1)
+
+
+def unpacked(tokens: pa.Array) -> tuple[np.ndarray, ...]:
+    """a, b, size_a, size_b, n_groups as packed() got them."""
+    data, starts = _bytes_of(tokens)
+    wide = data[starts[:-1]] == 4
+    rest = np.ones(len(data), bool)
+    rest[starts[:-1]] = False
+    if wide.any():
+        each = [np.frombuffer(x.as_py()[1:], "<u4" if w else "<u2").astype(np.int64) for x, w in zip(tokens, wide)]
+        flat, words = np.concatenate(each), np.array(list(map(len, each)), np.int64)
+    else:
+        flat, words = data[rest].view("<u2").astype(np.int64), (np.diff(starts) - 1) // 2
+    at = np.cumsum(words) - words
+    n_groups = flat[at]
+    size_a, size_b = flat[_ranges(at + 1, n_groups)], flat[_ranges(at + 1 + n_groups, n_groups)]
+    of = np.repeat(np.arange(len(n_groups)), n_groups)
+    t_a, t_b = (np.bincount(of, x, len(n_groups)).astype(np.int64) for x in (size_a, size_b))
+    at = at + 1 + 2 * n_groups
+    return flat[_ranges(at, t_a)], flat[_ranges(at + t_a, t_b)], size_a, size_b, n_groups
+
+
+def written(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups as text, and the numbers of tokens on both sides and of groups, of each segment."""
+    a, b, size_a, size_b, n_groups = unpacked(tokens)
+    most = int(max(a.max(initial=0), b.max(initial=0)))
+    decimals = pa.array([str(i) for i in range(most + 1)])
+    sides = [pc.binary_join(_lists(decimals.take(pa.array(ids)), sizes), ",") for ids, sizes in ((a, size_a), (b, size_b))]
+    text = pc.binary_join(_lists(pc.binary_join_element_wise(*sides, "|"), n_groups), ";")
+    of = np.repeat(np.arange(len(n_groups)), n_groups)
+    return text, *(np.bincount(of, x, len(n_groups)).astype(np.int64) for x in (size_a, size_b)), n_groups
+
+
+def varints(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of numbers as bytes of seven bits each, low ones first, the highest bit set on all but a number's last."""
+    width = 1 + sum((values >= 1 << (7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        some = width > k
+        out[ends[some] - width[some] + k] = (values[some] >> (7 * k)) & 127 | np.where(width[some] > k + 1, 128, 0)
+    whole = np.r_[0, ends][np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
+    return _binaries(out.tobytes(), np.diff(np.r_[0, whole]))
+
+
+def from_varints(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, put together, and how many each has."""
+    data, starts = _bytes_of(blobs)
+    last = data < 128
+    number = np.r_[0, np.cumsum(last)]
+    first = np.r_[0, np.flatnonzero(last) + 1][: int(number[-1])]
+    shift = 7 * (np.arange(len(data)) - np.repeat(first, np.diff(np.r_[first, len(data)]))) if len(data) else np.zeros(0, np.int64)
+    values = np.add.reduceat((data & 127).astype(np.int64) << shift, first) if len(first) else np.zeros(0, np.int64)
+    return values, number[starts[1:]] - number[starts[:-1]]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -186,8 +276,7 @@ class _Slice:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         sizes, ids = np.concatenate(self.sizes), pa.concat_arrays(self.ids)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(place[codes]))
-        yield self._batch(len(ids), number, 0, ids=ids, codes=lists)
+        yield self._batch(len(ids), number, 0, ids=ids, codes=varints(place[codes].astype(np.int64), sizes))
         words, n = both.dictionary.take(pa.array(order)), n[order].astype(np.int64)
         for at in range(0, len(order), SENT):
             some = words.slice(at, SENT)
@@ -197,7 +286,7 @@ class _Slice:
         none = lambda column, kind: pa.nulls(size, kind) if column is None else column
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(size, number, np.int64)), none(ids, self.ids[0].type), none(codes, pa.list_(pa.int32())),
+                pa.array(np.full(size, number, np.int64)), none(ids, self.ids[0].type), none(codes, pa.binary()),
                 none(code, pa.int32()), none(segment, pa.string()), none(n, pa.int64()), pa.array(np.full(size, kind, np.int32)),
             ],
             ["slice", "__id", "codes", "code", "segment", "n", "kind"],
@@ -227,14 +316,13 @@ def _cutting(first: str, second: str, most: int):
 def _aligning(first: str, second: str):
     def aligned(both: Aligner, rows: pa.Table, start: int) -> tuple[pa.RecordBatch, int]:
         runs = rows.column("segment").combine_chunks().dictionary_encode()
-        run = runs.indices.to_numpy().astype(np.int64)
-        n = np.bincount(run, rows.column("n").to_numpy(), len(runs.dictionary)).astype(np.int64)
-        found = both.align(runs.dictionary.to_pylist())
-        head = pa.array(run, mask=np.r_[False, run[1:] == run[:-1]])
-        every = pa.array(run)
-        columns = [pa.array(run + start), rows.column("slice").combine_chunks(), rows.column("code").combine_chunks()]
-        columns += [found[c].take(every) for c in ("groups", "n_a", "n_b", "n_groups")] + [x.take(head) for x in (pa.array(n), found["links_a"], found["links_b"])]
-        return pa.RecordBatch.from_arrays(columns, ["entry", "slice", "code", "groups", "n_a", "n_b", "n_groups", "n", "links_a", "links_b"]), start + len(runs.dictionary)
+        run = runs.indices.to_numpy()
+        size = len(runs.dictionary)
+        places = np.bincount(run, minlength=size)
+        n = np.bincount(run, rows.column("n").to_numpy(), size).astype(np.int64)
+        columns = {"entry": pa.array(np.arange(start, start + size)), "slices": _lists(rows.column("slice").combine_chunks(), places), "codes": _lists(rows.column("code").combine_chunks(), places), "n": pa.array(n)}
+        columns |= both.align(runs.dictionary.to_pylist())
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns)), start + size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, start, held = aligner(first, second), TaskContext.get().partitionId() << 40, []
@@ -255,16 +343,16 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
     entries = entries.sort_by("code")  # codes are 0, 1, ... without gaps
-    groups = entries.column("groups").combine_chunks()
-    numbers = {c: entries.column(c).to_numpy() for c in COUNTS if c != "n_links"}
-    ids, lists = docs.column("__id").combine_chunks(), docs.column("codes").combine_chunks()
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    codes = lists.values.to_numpy()
+    groups, *sizes = written(entries.column("tokens").combine_chunks())
+    numbers = dict(zip(("n_a", "n_b", "n_groups"), sizes)) | {c: entries.column(c).to_numpy() for c in ("n_best", "count_sum")}
+    ids = docs.column("__id").combine_chunks()
+    codes, lengths = from_varints(docs.column("codes").combine_chunks())
+    starts = np.r_[0, np.cumsum(lengths)]
     sums = {c: np.r_[0, np.cumsum(values[codes])] for c, values in numbers.items()}
     hashes, at = [], 0
     while at < len(ids):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + COMPOSED, side="right")) - 1)
-        own = pa.ListArray.from_arrays(pa.array((starts[at : to + 1] - starts[at]).astype(np.int32)), groups.take(pa.array(codes[starts[at] : starts[to]])))
+        own = _lists(groups.take(pa.array(codes[starts[at] : starts[to]])), lengths[at:to])
         hashes += [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(own, ";").to_pylist()]
         at = to
     total = {c: x[starts[1:]] - x[starts[:-1]] for c, x in sums.items()}
@@ -275,7 +363,7 @@ def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
 def counted_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, count, best: how often the corpus has each pair linked, and whether no other pair of its b has more; and the
     entries' links."""
-    links = entries.where("n is not null").select("entry", "n", F.explode(F.arrays_zip("links_a", "links_b")).alias("x")).select("entry", "n", F.col("x.links_a").alias("a"), F.col("x.links_b").alias("b"))
+    links = entries.select("entry", "n", F.explode(F.arrays_zip("links_a", "links_b")).alias("x")).select("entry", "n", F.col("x.links_a").alias("a"), F.col("x.links_b").alias("b"))
     counts = materialised(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     highest = counts.groupBy("b").agg(F.max("count").alias("most"))  # a row for each id of the vocabulary at most
     return counts.join(F.broadcast(highest), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), links
@@ -287,13 +375,13 @@ def alignments(df: DataFrame, first: str, second: str, id_col: str, text_col: st
     ship_package(spark)
     narrow = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     kind = narrow.schema["__id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_cutting(first, second, most), f"slice long, __id {kind}, codes array<int>, code int, segment string, n long, kind int")
+    cut = narrow.mapInArrow(_cutting(first, second, most), f"slice long, __id {kind}, codes binary, code int, segment string, n long, kind int")
     path = scratch_path(spark, "segments")
     cut.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(cut.schema).parquet(path)
     docs = stored.where("kind = 0").select("slice", "__id", "codes")
     segments = stored.where("kind = 1").select("slice", "code", "segment", "n")
-    schema = "entry long, slice long, code int, groups string, n_a int, n_b int, n_groups int, n long, links_a array<int>, links_b array<int>"
+    schema = "entry long, slices array<long>, codes array<int>, n long, tokens binary, links_a array<int>, links_b array<int>"
     entries = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligning(first, second), schema)
     return docs, materialised(entries, "alignments")
 
@@ -303,9 +391,10 @@ def align(df: DataFrame, first: str, second: str, id_col: str = "doc_id", text_c
     docs, entries = alignments(df, first, second, id_col, text_col, most)
     counts, links = counted_pairs(entries)
     sums = links.drop("n").join(counts, ["a", "b"]).groupBy("entry").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = entries.drop("n", "links_a", "links_b").join(sums, "entry").drop("entry")
+    placed = entries.select("entry", "slices", "codes", "tokens").join(sums, "entry").select("tokens", "n_best", "count_sum", F.explode(F.arrays_zip("slices", "codes")).alias("at"))
+    whole = placed.select(F.col("at.slices").alias("slice"), F.col("at.codes").alias("code"), "tokens", "n_best", "count_sum")
     kind = docs.schema["__id"].dataType.simpleString()
     schema = f"__id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string"
-    some = docs.where(F.size("codes") > 0).groupBy("slice").cogroup(whole.groupBy("slice")).applyInArrow(_compose, schema)
-    none = docs.where(F.size("codes") == 0).select("__id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("groups_sha256"))
+    some = docs.where(F.octet_length("codes") > 0).groupBy("slice").cogroup(whole.groupBy("slice")).applyInArrow(_compose, schema)
+    none = docs.where(F.octet_length("codes") == 0).select("__id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("groups_sha256"))
     return some.unionByName(none).withColumnRenamed("__id", id_col)

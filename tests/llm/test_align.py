@@ -107,6 +107,24 @@ def test_segments_are_the_text_and_their_tokens_the_whole_texts():
         assert [i for x in second for i in x] == whole.b.encode(text), text
 
 
+def test_packed_groups_and_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for high in (50, 70_000):  # with and without ids above 16 bits
+        n_groups = rng.integers(1, 5, 40)
+        size_a, size_b = (rng.integers(1, 4, n_groups.sum()) for _ in range(2))
+        a, b = (rng.integers(0, high, s.sum()) for s in (size_a, size_b))
+        for x, y in zip(align.unpacked(align.packed(a, b, size_a, size_b, n_groups)), (a, b, size_a, size_b, n_groups), strict=True):
+            assert x.tolist() == y.tolist()
+    sizes = rng.integers(0, 6, 30)
+    values = rng.choice([0, 1, 127, 128, 16383, 16384, 2**21, 2**31 - 1], sizes.sum())
+    got, counts = align.from_varints(align.varints(values, sizes))
+    assert got.tolist() == values.tolist() and counts.tolist() == sizes.tolist()
+    none = align.from_varints(align.varints(np.zeros(0, np.int64), np.zeros(3, np.int64)))
+    assert [x.tolist() for x in none] == [[], [0, 0, 0]]
+
+
 @pytest.mark.parametrize("most", [align.SLICE, 50])
 def test_against_whole_texts(spark, whole, most, monkeypatch):
     rows = list(enumerate(EDGES + texts(300))) + [(None, "the end"), (4, "the end"), (4, "the end")]
