@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
 from lodestone.llm.packing import WordIds
-from lodestone.session import materialised, scratch_path, ship_package
+from lodestone.session import materialised, removed, scratch_path, ship_package
 
 SPACE = "▁"
 #: Bytes of text of a slice; segments that are sent on or aligned together.
@@ -379,11 +379,12 @@ def alignments(df: DataFrame, first: str, second: str, id_col: str, text_col: st
     path = scratch_path(spark, "segments")
     cut.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(cut.schema).parquet(path)
-    docs = stored.where("kind = 0").select("slice", "__id", "codes")
     segments = stored.where("kind = 1").select("slice", "code", "segment", "n")
     schema = "entry long, slices array<long>, codes array<int>, n long, tokens binary, links_a array<int>, links_b array<int>"
     entries = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligning(first, second), schema)
-    return docs, materialised(entries, "alignments")
+    entries = materialised(entries, "alignments")
+    removed(spark, f"{path}/kind=1")  # the alignments have taken their place
+    return spark.read.schema(cut.schema).parquet(path).where("kind = 0").select("slice", "__id", "codes"), entries
 
 
 def align(df: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", most: int = SLICE) -> DataFrame:
