@@ -43,7 +43,7 @@ SPACE = "▁"
 SLICE = 28_000_000
 SENT = 20_000
 ALIGNED = 30_000
-#: Segments of documents that are put together at a time.
+#: Bytes of documents' numbers (a document by itself, if it has more) that are put together at a time.
 COMPOSED = 1_000_000
 SPACES = " \t\n\v\f\r"
 #: White space besides the space and the line feed, for Arrow's patterns; and what else the quick way of cutting doesn't see.
@@ -270,14 +270,16 @@ class _Slice:
         both = pa.concat_arrays(self.words).dictionary_encode()
         starts = np.r_[0, np.cumsum(list(map(len, self.words)))]
         of = both.indices.to_numpy()
-        codes = np.concatenate([of[at:][c] for at, c in zip(starts, self.codes)]) if self.codes else np.zeros(0, np.int64)
-        n = np.bincount(codes, minlength=len(both.dictionary))
+        parts = [of[start:] for start in starts[:-1]]
+        n = np.zeros(len(both.dictionary), np.int64)
+        for part, codes in zip(parts, self.codes, strict=True):
+            n += np.bincount(part[codes], minlength=len(n))
         order = np.argsort(-n, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        sizes, ids = np.concatenate(self.sizes), pa.concat_arrays(self.ids)
-        yield self._batch(len(ids), number, 0, ids=ids, codes=varints(place[codes].astype(np.int64), sizes))
-        words, n = both.dictionary.take(pa.array(order)), n[order].astype(np.int64)
+        for ids, part, codes, sizes in zip(self.ids, parts, self.codes, self.sizes, strict=True):
+            yield self._batch(len(ids), number, 0, ids=ids, codes=varints(place[part[codes]], sizes))
+        words, n = both.dictionary.take(pa.array(order)), n[order]
         for at in range(0, len(order), SENT):
             some = words.slice(at, SENT)
             yield self._batch(len(some), number, 1, code=pa.array(np.arange(at, at + len(some), dtype=np.int32)), segment=some, n=pa.array(n[at : at + SENT]))
@@ -304,7 +306,7 @@ def _cutting(first: str, second: str, most: int):
             words, codes, sizes = both.cut([t if both.usable(t) else "" for t in texts])
             held.ids.append(part.column(0))
             held.words.append(words)
-            held.codes.append(codes)
+            held.codes.append(codes.astype(np.int32))
             held.sizes.append(sizes)
             held.bytes += size
         if held.ids:
@@ -345,19 +347,20 @@ def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
     entries = entries.sort_by("code")  # codes are 0, 1, ... without gaps
     groups, *sizes = written(entries.column("tokens").combine_chunks())
     numbers = dict(zip(("n_a", "n_b", "n_groups"), sizes)) | {c: entries.column(c).to_numpy() for c in ("n_best", "count_sum")}
-    ids = docs.column("__id").combine_chunks()
-    codes, lengths = from_varints(docs.column("codes").combine_chunks())
-    starts = np.r_[0, np.cumsum(lengths)]
-    sums = {c: np.r_[0, np.cumsum(values[codes])] for c, values in numbers.items()}
-    hashes, at = [], 0
-    while at < len(ids):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + COMPOSED, side="right")) - 1)
-        own = _lists(groups.take(pa.array(codes[starts[at] : starts[to]])), lengths[at:to])
-        hashes += [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(own, ";").to_pylist()]
+    docs = docs.combine_chunks()
+    hashes, total, at = [], {c: [] for c in numbers}, 0
+    ends = np.cumsum(pc.binary_length(docs.column("codes")).to_numpy())
+    while at < len(docs):  # a number has a byte at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPOSED, side="right")))
+        codes, lengths = from_varints(docs.column("codes").slice(at, to - at).combine_chunks())
+        stops = np.cumsum(lengths)
+        for c, values in numbers.items():
+            sums = np.r_[0, np.cumsum(values[codes])]
+            total[c].append(sums[stops] - sums[stops - lengths])
+        hashes += [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(_lists(groups.take(pa.array(codes)), lengths), ";").to_pylist()]
         at = to
-    total = {c: x[starts[1:]] - x[starts[:-1]] for c, x in sums.items()}
     total["n_links"] = total["n_groups"]  # a group's last tokens, and no others, end together
-    return pa.table([ids, *(pa.array(total[c], pa.int64()) for c in COUNTS), pa.array(hashes, pa.string())], ["__id", *COUNTS, "groups_sha256"])
+    return pa.table([docs.column("__id"), *(pa.array(np.concatenate(total[c]), pa.int64()) for c in COUNTS), pa.array(hashes, pa.string())], ["__id", *COUNTS, "groups_sha256"])
 
 
 def counted_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
