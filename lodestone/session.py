@@ -69,11 +69,16 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: later jobs read finished files, so a lost executor costs only the tasks it was
     running, and ids handed out while writing stay what they are.
     """
+    return stored(df, label)[0]
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """materialised() with the table's path."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with _shuffles_removed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, path: str) -> None:
