@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
 from lodestone.llm.packing import WordIds
-from lodestone.session import materialised, removed, scratch_path, ship_package
+from lodestone.session import materialised, removed, scratch_path, ship_package, stored
 
 SPACE = "▁"
 #: Bytes of text of a slice; segments that are sent on or aligned together.
@@ -372,8 +372,8 @@ def counted_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts.join(F.broadcast(highest), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), links
 
 
-def alignments(df: DataFrame, first: str, second: str, id_col: str, text_col: str, most: int = SLICE) -> tuple[DataFrame, DataFrame]:
-    """Documents as numbers of their slice's segments, and every slice's segments with their alignments."""
+def alignments(df: DataFrame, first: str, second: str, id_col: str, text_col: str, most: int = SLICE) -> tuple[DataFrame, DataFrame, str]:
+    """Documents as numbers of their slice's segments; distinct segments with their alignments and places, and that table's path."""
     spark = df.sparkSession
     ship_package(spark)
     narrow = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
@@ -381,22 +381,22 @@ def alignments(df: DataFrame, first: str, second: str, id_col: str, text_col: st
     cut = narrow.mapInArrow(_cutting(first, second, most), f"slice long, __id {kind}, codes binary, code int, segment string, n long, kind int")
     path = scratch_path(spark, "segments")
     cut.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(cut.schema).parquet(path)
-    segments = stored.where("kind = 1").select("slice", "code", "segment", "n")
+    segments = spark.read.schema(cut.schema).parquet(path).where("kind = 1").select("slice", "code", "segment", "n")
     schema = "entry long, slices array<long>, codes array<int>, n long, tokens binary, links_a array<int>, links_b array<int>"
     entries = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligning(first, second), schema)
-    entries = materialised(entries, "alignments")
+    entries, where = stored(entries, "alignments")
     removed(spark, f"{path}/kind=1")  # the alignments have taken their place
-    return spark.read.schema(cut.schema).parquet(path).where("kind = 0").select("slice", "__id", "codes"), entries
+    return spark.read.schema(cut.schema).parquet(path).where("kind = 0").select("slice", "__id", "codes"), entries, where
 
 
 def align(df: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", most: int = SLICE) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 per row."""
-    docs, entries = alignments(df, first, second, id_col, text_col, most)
+    docs, entries, where = alignments(df, first, second, id_col, text_col, most)
     counts, links = counted_pairs(entries)
     sums = links.drop("n").join(counts, ["a", "b"]).groupBy("entry").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    placed = entries.select("entry", "slices", "codes", "tokens").join(sums, "entry").select("tokens", "n_best", "count_sum", F.explode(F.arrays_zip("slices", "codes")).alias("at"))
-    whole = placed.select(F.col("at.slices").alias("slice"), F.col("at.codes").alias("code"), "tokens", "n_best", "count_sum")
+    summed = materialised(entries.select("entry", "slices", "codes", "tokens").join(sums, "entry").drop("entry"), "summed")
+    removed(df.sparkSession, where)
+    whole = summed.select("tokens", "n_best", "count_sum", F.explode(F.arrays_zip("slices", "codes")).alias("at")).select(F.col("at.slices").alias("slice"), F.col("at.codes").alias("code"), "tokens", "n_best", "count_sum")
     kind = docs.schema["__id"].dataType.simpleString()
     schema = f"__id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string"
     some = docs.where(F.octet_length("codes") > 0).groupBy("slice").cogroup(whole.groupBy("slice")).applyInArrow(_compose, schema)
