@@ -123,8 +123,9 @@ def markup_text(text: Column) -> Column:
 
 
 def highlighted(text: Column, query: Column, most: int = 8, shortest: int = 3) -> Column:
-    """HTML-escaped text with <mark> around the query's words: the `most` longest of at least `shortest` letters."""
-    escaped = text
+    """HTML-escaped text, white space collapsed, with <mark> around the query's words: the `most` longest of at least `shortest`
+    letters."""
+    escaped = squash(text)
     for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         escaped = F.replace(escaped, F.lit(c), F.lit(name))
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)\w+"), F.lit(0))), lambda w: F.char_length(w) >= shortest)
@@ -145,14 +146,27 @@ def diagram_name(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
 
+def fitted(part: Column, most: int = 240) -> Column:
+    """A file name of more bytes than a file system takes: its stem cut so that stem, eight hex digits of its hash and the
+    extension have 230 bytes at most."""
+    mark = F.substring(F.sha2(part, 256), 1, 8)
+    ending = F.regexp_extract(part, r"(?s).(\.[^.]*)$", 1)
+    stem = F.substring(part, F.lit(1), F.char_length(part) - F.char_length(ending))
+    room = 230 - 8 - F.octet_length(ending)
+    sizes = F.transform(F.sequence(F.lit(0), F.char_length(stem)), lambda n: F.octet_length(F.substring(stem, F.lit(1), n)))
+    fits = F.greatest(F.size(F.filter(sizes, lambda b: b <= room)) - 1, F.lit(0))
+    return F.when(F.octet_length(part) <= most, part).otherwise(F.concat(F.substring(stem, F.lit(1), fits), F.lit("_"), mark, F.substring(ending, 1, 20)))
+
+
 def safe_parts(path: Column) -> Column:
-    """An archive member's path made safe: null if it's absolute, has a drive, or only dots; control and reserved characters
-    to _, trailing dots and spaces off, parts cut to 120 characters."""
+    """An archive member's path made safe: null if it's absolute, has a drive, or a part that's only dots (two or more) once
+    control characters and outer white space are off; empty parts and single dots go, long names are fitted."""
     slashed = F.translate(path, "\\", "/")
-    parts = F.filter(F.split(slashed, "/"), lambda p: ~p.isin("", "."))
-    clean = F.transform(parts, lambda p: F.substring(F.regexp_replace(F.regexp_replace(p, r'[\x00-\x1f<>:"|?*]', "_"), r"[. ]+$", "_"), 1, 120))
-    bad = slashed.startswith("/") | slashed.rlike("^[A-Za-z]:") | F.exists(parts, lambda p: p == "..") | (F.size(parts) == 0)
-    return F.when(~bad, F.array_join(clean, "/"))
+    clean = F.transform(F.split(slashed, "/"), lambda p: strip(F.regexp_replace(p, r"[\x00-\x1f]", "")))
+    parts = F.filter(clean, lambda p: ~p.isin("", "."))
+    dots = F.exists(parts, lambda p: p.rlike(r"(?U)^[.\s]*$") & (F.regexp_count(p, F.lit(r"\.")) >= 2))
+    bad = slashed.startswith("/") | slashed.rlike("^[A-Za-z]:") | dots | (F.size(parts) == 0)
+    return F.when(~bad, F.array_join(F.transform(parts, lambda p: fitted(p)), "/"))
 
 
 def excerpt(text: Column, most: int) -> Column:

@@ -45,38 +45,6 @@ def same_bytes(files: DataFrame) -> DataFrame:
     return files.withColumn("first", first).select("batch", "name", F.when(F.col("first") != F.col("name"), F.col("first")).alias("duplicate_of"))
 
 
-def batch_duplicates(files: DataFrame) -> DataFrame:
-    """Greedy, by name: a file repeats the first accepted one with its bytes, its message id or its fingerprint.
-
-    files: batch, name, sha, mid, fp. A repeat doesn't register its own keys; a fingerprint counts if the probe or the
-    stored letter has no message id. The fold runs per batch, which the intake bounds.
-    """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        sha: dict = {}
-        mid: dict = {}
-        fp: dict = {}
-        out = []
-        for r in rows.sort_values("name").itertuples(index=False):
-            own_mid = r.mid if isinstance(r.mid, str) else None
-            own_fp = r.fp if isinstance(r.fp, str) else None
-            hit = mid.get(own_mid) if own_mid else None
-            hit = hit or sha.get(r.sha)
-            if not hit and own_fp in fp and (own_mid is None or fp[own_fp][1] is None):
-                hit = fp[own_fp][0]
-            out.append((r.batch, r.name, hit))
-            if not hit:
-                sha.setdefault(r.sha, r.name)
-                if own_mid:
-                    mid.setdefault(own_mid, r.name)
-                if own_fp:
-                    fp.setdefault(own_fp, (r.name, own_mid))
-        return pd.DataFrame(out, columns=["batch", "name", "duplicate_of"])
-
-    return files.select("batch", "name", "sha", "mid", "fp").groupBy("batch").applyInPandas(fold, "batch string, name string, duplicate_of string")
-
-
 def ancestors(name: Column) -> Column:
     """All enclosing paths of a nested member."""
     parts = F.split(name, "/")

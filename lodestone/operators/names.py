@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 
 # Extensions that have a reader, that are plain text, and types that a picture reader describes.
 READABLE = "pdf docx xlsx xlsm pptx msg eml bpmn svg xml html htm drawio".split()
-PLAIN = "md txt csv json yaml yml sql log".split()
+PLAIN = "txt csv tsv md log sql json yaml yml properties conf ini".split()
 DESCRIBABLE = "png jpg jpeg gif tif tiff bmp webp heic pdf".split()
 QUARANTINE = "_quarantine"
 LEVELS = ["read", "full", "local"]

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Parameters that the journal never shows, and what a token of the archive looks like.
+UNTOLD = ["authorization", "token", "cookie", "s", "c"]
+TOKEN = "ba_[A-Za-z0-9_-]{8,}"
+
 
 def batch_key(batch: Column) -> Column:
     """Sort key of an id: its 14 digits and its number, 1 if it has none."""
@@ -53,9 +57,9 @@ def journal_tail(journal: DataFrame, n: int, client: str | None = None) -> DataF
 
 
 def scrub(params: Column) -> Column:
-    """Map of parameters without nulls and sensitive keys; tokens masked, values cut to 200 characters."""
-    kept = F.map_filter(params, lambda k, v: v.isNotNull() & ~k.isin("token", "authorization", "content"))
-    hidden = lambda v: F.regexp_replace(v, r"\bark_[A-Za-z0-9]{8,}", "ark_***")
+    """Map of parameters without nulls and untold keys; tokens masked, values cut to 200 characters."""
+    kept = F.map_filter(params, lambda k, v: v.isNotNull() & ~F.lower(k).isin(UNTOLD))
+    hidden = lambda v: F.regexp_replace(v, TOKEN, "ba_***")
     return F.transform_values(kept, lambda k, v: F.when(F.char_length(hidden(v)) > 200, F.concat(F.substring(hidden(v), 1, 200), F.lit("…"))).otherwise(hidden(v)))
 
 

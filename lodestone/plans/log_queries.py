@@ -76,12 +76,12 @@ def journal_by_tool(spark, sf):
     return _journal(spark, sf).groupBy("tool").agg(F.count("*").alias("calls"), F.sum("k").alias("k"), F.count_distinct("client").alias("clients"))
 
 
-@query("""SELECT event_id, '{"q":"see ark_***' || CASE WHEN event_id % 3 = 0 THEN repeat('z', 189) || '…' ELSE '! ' || event_type END || '"' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',"k":"' || event_type || '"' END || '}' AS params FROM events""")
+@query("""SELECT event_id, '{"q":"see ba_***' || CASE WHEN event_id % 3 = 0 THEN repeat('z', 190) || '…' ELSE '! ' || event_type END || '"' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',"k":"' || event_type || '"' END || '}' AS params FROM events""")
 def journal_scrub(spark, sf):
-    said = F.concat(F.lit("see ark_abcdef12"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, " " * 0).otherwise("! "))
-    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("see ark_***"), F.lit("z" * 300))).otherwise(F.concat(said, "event_type"))
+    said = F.concat(F.lit("see ba_ab-def_2"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, " " * 0).otherwise("! "))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("see ba_***"), F.lit("z" * 300))).otherwise(F.concat(said, "event_type"))
     kind = F.when(F.col("event_id") % 2 == 1, F.col("event_type"))
-    params = F.map_from_arrays(F.array(F.lit("q"), F.lit("token"), F.lit("k"), F.lit("content")), F.array(said, F.col("event_type"), kind, F.lit("x")))
+    params = F.map_from_arrays(F.array(F.lit("q"), F.lit("token"), F.lit("k"), F.lit("Cookie")), F.array(said, F.col("event_type"), kind, F.lit("x")))
     return table(spark, sf, "events").select("event_id", F.to_json(O.scrub(params)).alias("params"))
 
 

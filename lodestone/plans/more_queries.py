@@ -168,11 +168,16 @@ def sandbox_paths(spark, sf):
     return documents(spark, sf).select("doc_id", N.sandboxed(asked.otherwise(F.concat(F.lit("./x//"), F.col("title"))), {"old": "src9"}).alias("inside"))
 
 
-@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/b' || doc_id || '_/c.txt' WHEN 1 THEN 'd/' || doc_id || '_' WHEN 2 THEN NULL ELSE NULL END AS safe FROM documents""")
+@query(r"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/b' || doc_id || '?/c.txt' WHEN 1 THEN 'd/' || doc_id || '. .' WHEN 4 THEN 'e/' || doc_id WHEN 5 THEN 'f/' || repeat('é', 109) || '_' || substr(sha256(repeat('é', 150) || doc_id || '.txt'), 1, 8) || '.txt'
+ WHEN 7 THEN 'g...h/' || doc_id END AS safe FROM documents""")
 def safe_member_paths(spark, sf):
-    i = F.col("doc_id").cast("string")
-    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("a\\b"), i, F.lit("?/./c.txt"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("d//"), i, F.lit(". .")))
-    return table(spark, sf, "documents").select("doc_id", T.safe_parts(name.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("/"), i)).otherwise(F.concat(F.lit("a/../"), i))).alias("safe"))
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 8
+    at = lambda *parts: F.concat(*[i if p is None else F.lit(p) for p in parts])
+    name = (
+        F.when(k == 0, at("a\\b", None, "?/./c.txt")).when(k == 1, at("d//", None, ". .")).when(k == 2, at("/", None)).when(k == 3, at("a/ .\x01./", None))
+        .when(k == 4, at("e/ . /", None, "\x07 ")).when(k == 5, at("f/" + "é" * 150, None, ".txt")).when(k == 6, at("C:", None)).otherwise(at("g...h/", None))
+    )
+    return table(spark, sf, "documents").select("doc_id", T.safe_parts(name).alias("safe"))
 
 
 # ---------------------------------------------------------------- texts
@@ -188,7 +193,7 @@ def markup_labels(spark, sf):
     return d.select("doc_id", F.sha2(T.markup_text(t), 256).alias("text"))
 
 
-@query(f"""{D_}, s AS (SELECT path, substr(text, 1, 400) AS t FROM docs WHERE chunk = 0),
+@query(f"""{D_}, s AS (SELECT path, trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')) AS t FROM docs WHERE chunk = 0),
 e AS (SELECT path, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM s)
 SELECT path, regexp_replace(t, '(?i)(garden|the|and)', '<mark>\\1</mark>', 'g') AS shown FROM e""")
 def highlighted(spark, sf):
@@ -298,12 +303,12 @@ def date_repair(spark, sf):
 
 
 KINDS = ["pdf", "docx", "txt", "png", "eml", "zip", "pe", "html"]
-FAMILIES = ["document", "document", "text", "image", "mail", "archive", "executable", "text"]
+FAMILIES = ["document", "document", "text", "image", "mail", "archive", "executable", "document"]
 SUFFIXES = ["pdf", "txt", "", "PNG", "doc"]
 
 
 @query("""WITH f AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 5 AS s, doc_id % 3 = 0 AS macros, doc_id % 7 = 0 AS broken, doc_id % 11 = 0 AS blank FROM documents),
-g AS (SELECT *, CASE k WHEN 0 THEN s <> 0 AND s <> 2 WHEN 1 THEN s <> 2 WHEN 3 THEN s <> 3 AND s <> 2 WHEN 4 THEN s <> 2 WHEN 7 THEN s <> 2 ELSE false END AS odd FROM f)
+g AS (SELECT *, CASE k WHEN 0 THEN s <> 0 AND s <> 2 WHEN 1 THEN s <> 2 WHEN 2 THEN s IN (0, 3, 4) WHEN 3 THEN s <> 3 AND s <> 2 WHEN 4 THEN s <> 2 WHEN 7 THEN s <> 2 ELSE false END AS odd FROM f)
 SELECT doc_id, CASE WHEN k = 6 THEN 'executable' WHEN k = 5 THEN '' ELSE array_to_string(list_filter([CASE WHEN odd THEN 'mismatch' ELSE '' END, CASE WHEN macros THEN 'macros' ELSE '' END,
  CASE WHEN k <> 3 AND broken THEN 'unreadable' ELSE '' END, CASE WHEN k = 3 OR (k = 0 AND blank AND NOT broken) THEN 'needs_vision' ELSE '' END], lambda x: x <> ''), ',') END AS rules FROM g""")
 def gate_files(spark, sf):

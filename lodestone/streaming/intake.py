@@ -54,37 +54,6 @@ def quiet_step(state: DataFrame, snapshot: DataFrame, now, seconds: int = QUIET_
     return snapshot.join(old, "entry", "left").select("entry", "size", "mtime", since.alias("since"), (now - since >= seconds).alias("ready"))
 
 
-def settled(entries: list[str], judge_all, judge_one) -> tuple[list[str], dict[str, str]]:
-    """(entries done, entries returned with the error): a pass judges all at once; if that crashes, one by one, so that a bad
-    entry goes back and the others don't wait for it. An entry counts as done only if its own judgement came through."""
-    try:
-        judge_all(entries)
-        return list(entries), {}
-    except Exception:  # whatever an entry can do to its reader
-        done, failed = [], {}
-        for entry in entries:
-            try:
-                judge_one(entry)
-                done.append(entry)
-            except Exception as error:
-                failed[entry] = f"{type(error).__name__}: {error}"
-        return done, failed
-
-
-def retried(debts: list[str], work, tried: set[str]) -> list[str]:
-    """Debts whose work succeeded now; each is tried once a pass, however often the pass offers it."""
-    paid = []
-    for debt in debts:
-        if debt not in tried:
-            tried.add(debt)
-            try:
-                work(debt)
-                paid.append(debt)
-            except Exception:  # stays a debt
-                pass
-    return paid
-
-
 STATE = "entry long, size long, mtime long, since long, ready boolean"
 
 
