@@ -84,6 +84,15 @@ def date_plan(index: DataFrame, known: DataFrame, mail_roots: list[str], page_ro
     return joined.select("path", F.col("updated").alias("old"), F.when(reason.isin("letter", "parent", "name"), new).otherwise(F.col("updated")).alias("new"), reason.alias("reason"))
 
 
+def date_counters(plan: DataFrame) -> DataFrame:
+    """One row: dates that change, those of letters, by parent and by name, days that are right already, and those not known."""
+    some = lambda reason: F.count_if(F.col("reason") == reason)
+    return plan.agg(
+        F.count_if(F.col("reason").isin("letter", "parent", "name")).alias("changed"), some("letter").alias("letters"), some("parent").alias("by_parent"), some("name").alias("by_name"),
+        some("same").alias("same"), some("unknown").alias("unknown"),
+    )
+
+
 def rewritten(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """All rows with planned dates in place."""
     changes = plan.where("new <> old").select("path", "new")

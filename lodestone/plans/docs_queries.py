@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates as D
 from lodestone.functions import text as T
 from lodestone.operators import search as S
-from lodestone.plans.registry import query, values
+from lodestone.plans.registry import query
 from lodestone.session import table
 from lodestone.sources.docs import DOCS_SQL, docs, documents
 
@@ -71,48 +71,51 @@ def snippets(spark, sf):
     return docs(spark, sf).select("path", "chunk", T.snippet(F.col("text")).alias("snippet"))
 
 
-WORLD = r"""('mailbox', 'mail', 'Inbox/2024-03-01_Plan v2.eml', 'Subject: Plan for May'), ('mailbox', 'mail', 'invoices/x.eml', 'no header'),
-('wiki', 'pages', 'OPS/12__net.html', 'body'), ('wiki', 'pages', 'OPS/x_attachments_old/12__a.pdf', 'body'),
-('share', 'files', 'Plans/Q1/budget.xlsx', 'body'), ('share', 'files', 'legal/2023-11-30 deed.pdf', 'body')"""
-WORLD_SQL = f"w AS (SELECT * FROM (VALUES {WORLD}) AS t(root, kind, rel, text))"
+#: Roots and rules of the corpus that the documents below are files of: 3000 words for mail, of which the first that fits counts.
+ROOTS_SQL = r"""roots AS (SELECT * FROM (VALUES ('mail', 'mail', 'mail', 'mail', ''), ('wiki', 'pages', 'wiki', 'wiki files', ''), ('share', 'files', 'files', 'files', 'folder')) AS t(root, kind, source, attached, title)),
+rules AS (SELECT 'mail' AS root, k AS rank, 'k' || (k * 7919 % 3000) AS word, 'box' || (k % 9) AS source, false AS start FROM (SELECT unnest(generate_series(0, 2999)) AS k)
+ UNION ALL SELECT 'share', k, ['en', 'd', 'fr'][k + 1], 'plan' || k, true FROM (SELECT unnest([0, 1, 2]) AS k)),
+files AS (SELECT doc_id, ['mail', 'wiki', 'share', 'none'][doc_id % 4 + 1] AS root, lang || '/' || CASE WHEN doc_id % 3 = 0 THEN '_attachments/' ELSE 'K' || doc_id || '/' END
+ || CASE WHEN doc_id % 5 = 0 THEN '2024-02-' || (10 + doc_id % 19) || '_' ELSE '' END || source || '.' || doc_id || '.txt' AS rel,
+ CASE WHEN doc_id % 8 = 0 THEN 'x' || chr(10) || 'Subject: ' || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 300) ELSE text END AS text FROM documents)"""
 
 
-@query(rf"""WITH {WORLD_SQL}, s AS (SELECT *, regexp_extract(rel, '([^/]*)$', 1) AS name FROM w)
-SELECT root, rel, split_part(rel, '/', 1) AS space,
-  CASE WHEN kind = 'pages' AND contains(regexp_extract(rel, '^(.*)/[^/]*$', 1), '_attachments') THEN 'wiki files'
-       WHEN kind = 'pages' THEN 'wiki' WHEN kind = 'mail' AND contains(lower(rel), 'invoice') THEN 'accounts'
-       WHEN kind = 'mail' THEN 'mail' WHEN starts_with(split_part(rel, '/', 1), 'Plan') THEN 'planning' ELSE 'files' END AS base,
-  substr(CASE WHEN kind = 'mail' THEN coalesce(nullif(regexp_extract(text, '(?m)^Subject:\s*(.+)$', 1), ''),
-              regexp_replace(regexp_replace(name, '\.[^.]+$', ''), '^\d{{4}}-\d{{2}}-\d{{2}}_', ''))
-       WHEN kind = 'files' THEN split_part(rel, '/', 1) || ' · ' || name ELSE name END, 1, 200) AS title,
-  coalesce(nullif(regexp_extract(name, '\d{{4}}-\d{{2}}-\d{{2}}', 0), ''), '') AS updated FROM s""")
+@query(rf"""WITH {ROOTS_SQL}, n AS (SELECT f.*, split_part(rel, '/', 1) AS space, regexp_extract(rel, '([^/]*)$', 1) AS name,
+ (SELECT min(rank) FROM rules r WHERE r.root = f.root AND CASE WHEN r.start THEN starts_with(split_part(f.rel, '/', 1), r.word) ELSE contains(lower(f.rel), r.word) END) AS rule FROM files f)
+SELECT doc_id, n.space, CASE WHEN o.kind = 'pages' THEN CASE WHEN contains(rel, '_attachments/') THEN attached ELSE o.source END ELSE coalesce(r.source, o.source) END AS base,
+ substr(CASE WHEN o.kind = 'mail' THEN coalesce(nullif(regexp_extract(text, '(?m)^Subject:[ \t]*(.+)$', 1), ''), regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '^\d{{4}}-\d{{2}}-\d{{2}}_', ''))
+  WHEN o.title = 'folder' THEN n.space || ' · ' || name ELSE name END, 1, 200) AS title,
+ regexp_extract(name, '\d{{4}}-\d{{2}}-\d{{2}}', 0) AS updated FROM n LEFT JOIN roots o ON o.root = n.root LEFT JOIN rules r ON r.root = n.root AND r.rank = n.rule""")
 def docs_meta(spark, sf):
-    w = values(spark, WORLD, "root, kind, rel, text")
-    name, space = T.file_name(F.col("rel")), T.first_component(F.col("rel"))
-    folder = F.regexp_extract("rel", "^(.*)/[^/]*$", 1)
-    mail, pages = F.col("kind") == "mail", F.col("kind") == "pages"
-    base = (
-        F.when(pages & folder.contains("_attachments"), "wiki files").when(pages, "wiki").when(mail & F.lower("rel").contains("invoice"), "accounts")
-        .when(mail, "mail").when(space.startswith("Plan"), "planning").otherwise("files")
+    from lodestone.operators import metadata
+
+    i, k = F.col("doc_id"), F.col("id")
+    roots = spark.createDataFrame([("mail", "mail", "mail", "mail", ""), ("wiki", "pages", "wiki", "wiki files", ""), ("share", "files", "files", "files", "folder")], "root string, kind string, source string, attachments string, title string")
+    none = F.lit(None).cast("string")
+    words = spark.range(3000).select(F.lit("mail").alias("root"), k.alias("rank"), F.array(F.concat(F.lit("k"), (k * 7919 % 3000).cast("string"))).alias("contains"), none.alias("prefix"), F.concat(F.lit("box"), (k % 9).cast("string")).alias("source"))
+    starts = spark.range(3).select(
+        F.lit("share").alias("root"), k.alias("rank"), F.array().cast("array<string>").alias("contains"), F.get(F.array(*map(F.lit, ["en", "d", "fr"])), k.cast("int")).alias("prefix"), F.concat(F.lit("plan"), k.cast("string")).alias("source")
     )
-    subject = F.nullif(F.regexp_extract("text", r"(?m)^Subject:\s*(.+)$", 1), F.lit(""))
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"^\d{4}-\d{2}-\d{2}_", "")
-    title = F.when(mail, F.coalesce(subject, stem)).when(F.col("kind") == "files", F.concat(space, F.lit(" · "), name)).otherwise(name)
-    return w.select("root", "rel", space.alias("space"), base.alias("base"), F.substring(title, 1, 200).alias("title"), D.corpus_date(name, F.lit(None).cast("string")).alias("updated"))
-
-
-PATHS = r"""(1, '\\box\\a.txt'), (2, '/old/b.txt'), (3, 'new/c/d.TXT'), (4, 'old')"""
-PATHS_DUCK = PATHS.replace("\\\\", "\\")
+    text = F.when(i % 8 == 0, F.concat(F.lit("x\nSubject: "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300))).otherwise(F.col("text"))
+    rel = F.concat(
+        "lang", F.lit("/"), F.when(i % 3 == 0, "_attachments/").otherwise(F.concat(F.lit("K"), i.cast("string"), F.lit("/"))),
+        F.when(i % 5 == 0, F.concat(F.lit("2024-02-"), (10 + i % 19).cast("string"), F.lit("_"))).otherwise(""), "source", F.lit("."), i.cast("string"), F.lit(".txt"),
+    )
+    files = table(spark, sf, "documents").select("doc_id", F.get(F.array(*map(F.lit, ["mail", "wiki", "share", "none"])), (i % 4).cast("int")).alias("root"), rel.alias("rel"), text.alias("text"))
+    return metadata.described(files, roots, words.unionByName(starts)).select("doc_id", "space", "base", "title", "updated")
 
 
-@query(rf"""WITH p AS (SELECT *, regexp_replace(replace(path, '\', '/'), '^/+', '') AS n FROM (VALUES {PATHS_DUCK}) AS t(id, path))
-SELECT id, CASE split_part(n, '/', 1) WHEN 'old' THEN 'new' || substr(n, 4) ELSE n END AS norm, lower(regexp_extract(n, '(\.[^./]+)$', 1)) AS ext FROM p""")
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\' || source || '\a.' || lang WHEN 1 THEN '/old/' || source || '.TXT' WHEN 2 THEN source || '/c/d.Gz' ELSE 'old' END AS path FROM documents),
+n AS (SELECT doc_id, regexp_replace(replace(path, '\', '/'), '^/+', '') AS n FROM p)
+SELECT doc_id, CASE split_part(n, '/', 1) WHEN 'old' THEN 'new' || substr(n, 4) ELSE n END AS norm, lower(regexp_extract(n, '(\.[^./]+)$', 1)) AS ext FROM n""")
 def path_aliases(spark, sf):
-    p = values(spark, PATHS, "id, path").withColumn("n", T.slashes(F.col("path")))
+    i = F.col("doc_id") % 4
+    path = F.when(i == 0, F.concat(F.lit("\\"), "source", F.lit("\\a."), "lang")).when(i == 1, F.concat(F.lit("/old/"), "source", F.lit(".TXT"))).when(i == 2, F.concat("source", F.lit("/c/d.Gz"))).otherwise("old")
+    p = table(spark, sf, "documents").select("doc_id", T.slashes(path).alias("n"))
     alias = spark.createDataFrame([("old", "new")], "first string, now string")
     joined = p.withColumn("first", T.first_component(F.col("n"))).join(F.broadcast(alias), "first", "left")  # the configured aliases
     norm = F.when(F.col("now").isNotNull(), F.concat("now", F.expr("substring(n, length(first) + 1)"))).otherwise(F.col("n"))
-    return joined.select("id", norm.alias("norm"), T.extension(F.col("n")).alias("ext"))
+    return joined.select("doc_id", norm.alias("norm"), T.extension(F.col("n")).alias("ext"))
 
 
 @query("""SELECT page_id, chr(10) || regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g') AS text FROM pages""")
@@ -133,30 +136,26 @@ def postings(spark, sf):
     return per_doc.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("n_docs"))
 
 
-ARGS = "(1, ' a , ''b'' ,, c'), (2, ' '' , '' '), (3, 'x'), (4, '')"
-ARGS_SPARK = r"(1, ' a , \'b\' ,, c'), (2, ' \' , \' '), (3, 'x'), (4, '')"
-
-
-@query(f"SELECT id, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(replace(x, '''', ''))), lambda x: x <> ''), '|') AS parts FROM (VALUES {ARGS}) AS t(id, v)")
+@query("""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' ' || source || ' , ''' || lang || ''' ,, c' WHEN 1 THEN ' '' , '' ' WHEN 2 THEN substr(text, 1, 80) ELSE '' END AS v FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(replace(x, '''', ''))), lambda x: x <> ''), '|') AS parts FROM v""")
 def list_arguments(spark, sf):
-    return values(spark, ARGS_SPARK, "id, v").select("id", F.array_join(T.list_argument(F.col("v")), "|").alias("parts"))
-
+    i = F.col("doc_id") % 4
+    v = F.when(i == 0, F.concat(F.lit(" "), "source", F.lit(" , '"), "lang", F.lit("' ,, c"))).when(i == 1, " ' , ' ").when(i == 2, F.substring("text", 1, 80)).otherwise("")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.list_argument(v), "|").alias("parts"))
 
-WORDS = """(1, 'two  "exact words" here'), (2, '"'), (3, ' plain ')"""
 
-
-@query(rf"SELECT id, nullif(trim(regexp_replace(replace(v, '\"', ' '), '\s+', ' ', 'g')), '') AS words FROM (VALUES {WORDS}) AS t(id, v)".replace('\\"', '"'))
+@query(r"""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '  "' || substr(text, 1, 60) || '"  ' || source WHEN 1 THEN '" "' ELSE substr(text, 1 + doc_id % 50, 40) END AS v FROM documents)
+SELECT doc_id, nullif(trim(regexp_replace(replace(v, '"', ' '), '\s+', ' ', 'g')), '') AS words FROM v""")
 def query_words(spark, sf):
-    return values(spark, WORDS, "id, v").select("id", T.search_words(F.col("v")).alias("words"))
-
+    i = F.col("doc_id")
+    v = F.when(i % 3 == 0, F.concat(F.lit('  "'), F.substring("text", 1, 60), F.lit('"  '), "source")).when(i % 3 == 1, '" "').otherwise(F.expr("substring(text, cast(1 + doc_id % 50 as int), 40)"))
+    return table(spark, sf, "documents").select("doc_id", T.search_words(v).alias("words"))
 
-MISC = "(1, 'desk client #7/ü'), (2, 'ok.name-1_x')"
 
-
-@query(f"SELECT id, substr(regexp_replace(v, '[^A-Za-z0-9._-]', '_', 'g'), 1, 40) AS label, sha256(v) AS digest, replace(v, 'desk', 'host') AS moved FROM (VALUES {MISC}) AS t(id, v)")
+@query("SELECT doc_id, substr(regexp_replace(substr(text, 1, 70), '[^A-Za-z0-9._-]', '_', 'g'), 1, 40) AS label, sha256(text) AS digest, replace(text, 'the', 'THE') = text AS same FROM documents")
 def labels_and_digests(spark, sf):
-    m = values(spark, MISC, "id, v")
-    return m.select("id", T.client_label(F.col("v")).alias("label"), F.sha2("v", 256).alias("digest"), F.replace("v", F.lit("desk"), F.lit("host")).alias("moved"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.client_label(F.substring("text", 1, 70)).alias("label"), F.sha2("text", 256).alias("digest"), (F.replace("text", F.lit("the"), F.lit("THE")) == F.col("text")).alias("same"))
 
 
 @query("""WITH r AS (SELECT event_id, event_id % 13 AS total, event_id % 7 + 1 AS a, event_id % 11 + 1 AS b, event_id % 4 AS k FROM events),
@@ -171,32 +170,29 @@ def page_ranges(spark, sf):
     return e.select("event_id", F.array_join(T.page_list(F.col("spec"), F.col("total")).cast("array<string>"), ",").alias("pages"))
 
 
-MIDS = "(1, ' <ABC@X> '), (2, ''), (3, 'q@y'), (4, '<<a b@c>')"
-
-
-@query(f"SELECT id, nullif(lower(regexp_replace(regexp_replace(mid, '\\s+', '', 'g'), '^<+|>+$', '', 'g')), '') AS mid FROM (VALUES {MIDS}) AS t(id, mid)")
+@query(r"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' <' || upper(substr(sha256(text), 1, 9)) || '@' || source || '> ' WHEN 1 THEN '' WHEN 2 THEN '<<' || substr(text, 1, 20) || '>' ELSE ' ' END AS mid FROM documents)
+SELECT doc_id, nullif(lower(regexp_replace(regexp_replace(mid, '\s+', '', 'g'), '^<+|>+$', '', 'g')), '') AS mid FROM m""")
 def letter_keys(spark, sf):
-    return values(spark, MIDS, "id, mid").select("id", T.message_id(F.col("mid")).alias("mid"))
-
+    i = F.col("doc_id") % 4
+    mid = F.when(i == 0, F.concat(F.lit(" <"), F.upper(F.substring(F.sha2("text", 256), 1, 9)), F.lit("@"), "source", F.lit("> "))).when(i == 1, "").when(i == 2, F.concat(F.lit("<<"), F.substring("text", 1, 20), F.lit(">"))).otherwise(" ")
+    return table(spark, sf, "documents").select("doc_id", T.message_id(mid).alias("mid"))
 
-AGES = "(1, '2026-08-31'), (2, '2025-08-31'), (3, '2026-07-31'), (4, '2026-08-01T10:00'), (5, '2027-01-01'), (6, ''), (7, 'x'), (8, CAST(NULL AS VARCHAR(9)))"
 
-
-@query(f"""WITH a AS (SELECT id, CASE WHEN regexp_matches(u, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN greatest(0, (2026 - CAST(substr(u, 1, 4) AS INTEGER)) * 365
- + (8 - CAST(substr(u, 6, 2) AS INTEGER)) * 30 + 31 - CAST(substr(u, 9, 2) AS INTEGER)) ELSE 3650 END AS age FROM (VALUES {AGES}) AS t(id, u))
-SELECT id, CAST(age AS BIGINT) AS age, round(pow(0.5, age / 540.0), 6) AS recency FROM a""")
+@query(f"""{D_}, u AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN updated || 'T10:00' WHEN 2 THEN substr(updated, 1, 7) ELSE updated END AS u FROM docs_whole),
+a AS (SELECT doc_id, CASE WHEN regexp_matches(u, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN greatest(0, (2026 - CAST(substr(u, 1, 4) AS INTEGER)) * 365
+ + (8 - CAST(substr(u, 6, 2) AS INTEGER)) * 30 + 31 - CAST(substr(u, 9, 2) AS INTEGER)) ELSE 3650 END AS age FROM u)
+SELECT doc_id, CAST(age AS BIGINT) AS age, round(pow(0.5, age / 540.0), 6) AS recency FROM a""")
 def recency_table(spark, sf):
-    a = values(spark, AGES, "id, u")
-    return a.select("id", D.rough_age(F.col("u"), 20260831).cast("long").alias("age"), F.round(D.recency(F.col("u"), 20260831), 6).alias("recency"))
-
-
-PARAMS = "(1, 100, 1024), (2, 300000, 60), (3, 100000000, 10), (4, 5000, 7)"
+    i = F.col("doc_id") % 5
+    u = F.when(i == 1, F.concat("updated", F.lit("T10:00"))).when(i == 2, F.substring("updated", 1, 7)).when(i > 2, F.col("updated"))
+    return documents(spark, sf).select("doc_id", u.alias("u")).select("doc_id", D.rough_age(F.col("u"), 20260831).cast("long").alias("age"), F.round(D.recency(F.col("u"), 20260831), 6).alias("recency"))
 
 
-@query(f"""SELECT id, CAST(least(greatest(floor(sqrt(n)), 64), 4096) AS BIGINT) AS cells,
-CAST(CASE WHEN dim % 16 = 0 THEN dim // 16 WHEN dim % 8 = 0 THEN dim // 8 WHEN dim % 4 = 0 THEN dim // 4 WHEN dim % 2 = 0 THEN dim // 2 ELSE dim END AS BIGINT) AS parts
-FROM (VALUES {PARAMS}) AS t(id, n, dim)""")
+@query("""WITH s AS (SELECT user_id, sum(event_id) AS n, 1 + count(*) % 70 AS dim FROM events GROUP BY user_id)
+SELECT user_id, CAST(least(greatest(floor(sqrt(n)), 64), 4096) AS BIGINT) AS cells, CAST(CASE WHEN dim % 16 = 0 THEN dim // 16 WHEN dim % 8 = 0 THEN dim // 8 WHEN dim % 4 = 0 THEN dim // 4 WHEN dim % 2 = 0 THEN dim // 2 ELSE dim END AS BIGINT) AS parts FROM s""")
 def index_params(spark, sf):
+    """Cells and parts of an index for each of many tables: here every user's rows count as one."""
     from lodestone.operators import maintain as M
 
-    return values(spark, PARAMS, "id, n, dim").select("id", M.index_cells(F.col("n")).alias("cells"), M.sub_vectors(F.col("dim")).alias("parts"))
+    sizes = table(spark, sf, "events").groupBy("user_id").agg(F.sum("event_id").alias("n"), (1 + F.count("*") % 70).alias("dim"))
+    return sizes.select("user_id", M.index_cells(F.col("n")).alias("cells"), M.sub_vectors(F.col("dim")).alias("parts"))

@@ -299,6 +299,14 @@ def date_repair(spark, sf):
     return M.date_plan(rows.select("path", "updated"), known, [f"root{k}" for k in range(6)], [f"root{k}" for k in range(6, 9)])
 
 
+@query(f"""WITH {BOXES_SQL}, x AS (SELECT CASE WHEN NOT concerned THEN 'other' WHEN new IS NULL THEN 'unknown' WHEN new = old THEN 'same' WHEN g % 9 < 6 AND r = 0 THEN 'letter'
+ WHEN r = 1 THEN 'parent' ELSE 'name' END AS reason FROM n)
+SELECT count(*) FILTER (reason IN ('letter', 'parent', 'name')) AS changed, count(*) FILTER (reason = 'letter') AS letters, count(*) FILTER (reason = 'parent') AS by_parent, count(*) FILTER (reason = 'name') AS by_name,
+ count(*) FILTER (reason = 'same') AS same, count(*) FILTER (reason = 'unknown') AS unknown FROM x""")
+def date_counters(spark, sf):
+    return M.date_counters(date_repair(spark, sf))
+
+
 # ---------------------------------------------------------------- gate
 
 

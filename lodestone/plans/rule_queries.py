@@ -6,51 +6,51 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import gate as G
 from lodestone.operators import intake as N
-from lodestone.plans.registry import query, values
+from lodestone.plans.registry import query
 from lodestone.session import table
 from lodestone.sources.docs import DOCS_SQL, KNOWN_SQL, documents, known_files
 
-CASES = """(1, 'document', 'MEDIUM:mismatch,MEDIUM:garbled'), (2, 'document', 'MEDIUM:mismatch,LOW:a,LOW:b,LOW:c'), (3, 'archive', 'CRITICAL:bomb'),
-(4, 'executable', ''), (5, 'other', 'LOW:a'), (6, 'text', ''), (7, 'mail', 'HIGH:llm_unchecked'), (8, 'text', 'LOW:llm_unchecked'), (9, 'executable', 'CRITICAL:x,HIGH:y')"""
-CASE_SQL = f"""c AS (SELECT * FROM (VALUES {CASES}) AS t(id, family, raw)),
-f AS (SELECT id, unnest(string_split(raw, ',')) AS x FROM c WHERE raw <> ''),
-s AS (SELECT id, sum(CASE split_part(x, ':', 1) WHEN 'CRITICAL' THEN 50 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 ELSE 5 END) AS raw_score,
-  bool_or(split_part(x, ':', 1) = 'CRITICAL') AS bad, bool_or(split_part(x, ':', 2) IN ('llm_unchecked', 'garbled')) AS held FROM f GROUP BY id),
-d AS (SELECT c.id, family, CAST(coalesce(raw_score, 0) AS INTEGER) AS raw_score, coalesce(held, false) AS held,
-  CASE WHEN family = 'executable' OR coalesce(bad, false) THEN 'quarantine' WHEN family = 'other' THEN 'skip' WHEN coalesce(raw_score, 0) <= 20 THEN 'accept' ELSE 'review' END AS decision
-  FROM c LEFT JOIN s ON c.id = s.id),
-e AS (SELECT *, CASE WHEN family = 'executable' THEN greatest(raw_score, 50) ELSE raw_score END AS score FROM d)"""
+#: Findings by user: every event of some numbers is one, its level by its kind and its rule by its number.
+CASE_SQL = """f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'signup' THEN 'HIGH' WHEN 'purchase' THEN 'MEDIUM' ELSE 'LOW' END AS level,
+  ['mismatch', 'garbled', 'secret', 'llm_unchecked', 'macros', 'a', 'b', 'c', 'd', 'e'][event_id % 10 + 1] AS rule FROM events WHERE event_id % 40 = user_id % 40 OR event_id % 41 = user_id % 7),
+s AS (SELECT user_id, sum(CASE level WHEN 'CRITICAL' THEN 50 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 ELSE 5 END) AS raw_score, bool_or(level = 'CRITICAL') AS bad, bool_or(rule IN ('llm_unchecked', 'garbled')) AS held FROM f GROUP BY user_id),
+d AS (SELECT u.user_id, ['document', 'mail', 'executable', 'other', 'text'][u.user_id % 5 + 1] AS family, CAST(coalesce(raw_score, 0) AS INTEGER) AS raw_score, coalesce(held, false) AS held, coalesce(bad, false) AS bad FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s USING (user_id)),
+e AS (SELECT *, CASE WHEN family = 'executable' THEN greatest(raw_score, 50) ELSE raw_score END AS score,
+  CASE WHEN family = 'executable' OR bad THEN 'quarantine' WHEN family = 'other' THEN 'skip' WHEN raw_score <= 20 THEN 'accept' ELSE 'review' END AS decision FROM d)"""
 
 
-def _cases(spark):
-    c = values(spark, CASES, "id, family, raw")
-    parts = F.filter(F.split("raw", ","), lambda x: x != "")
-    return c.withColumn("findings", F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).alias("rule"), F.split_part(x, F.lit(":"), F.lit(1)).alias("level"))))
+def _cases(spark, sf):
+    i, kind = F.col("event_id"), F.col("event_type")
+    level = F.when(kind == "error", "CRITICAL").when(kind == "signup", "HIGH").when(kind == "purchase", "MEDIUM").otherwise("LOW")
+    rule = F.get(F.array(*map(F.lit, ["mismatch", "garbled", "secret", "llm_unchecked", "macros", "a", "b", "c", "d", "e"])), (i % 10).cast("int"))
+    own = (i % 40 == F.col("user_id") % 40) | (i % 41 == F.col("user_id") % 7)
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.when(own, F.struct(rule.alias("rule"), level.alias("level")))).alias("findings"))  # a user's report
+    return users.select("user_id", "findings", F.get(F.array(*map(F.lit, ["document", "mail", "executable", "other", "text"])), (F.col("user_id") % 5).cast("int")).alias("family"))
 
 
-@query(f"WITH {CASE_SQL} SELECT id, score FROM e")
+@query(f"WITH {CASE_SQL} SELECT user_id, score FROM e")
 def gate_scores(spark, sf):
-    return _cases(spark).select("id", G.final_score(F.col("family"), F.col("findings")).alias("score"))
+    return _cases(spark, sf).select("user_id", G.final_score(F.col("family"), F.col("findings")).alias("score"))
 
 
-@query(f"WITH {CASE_SQL} SELECT id, decision FROM e")
+@query(f"WITH {CASE_SQL} SELECT user_id, decision FROM e")
 def gate_decisions(spark, sf):
-    return _cases(spark).select("id", G.decision(F.col("family"), F.col("findings")).alias("decision"))
+    return _cases(spark, sf).select("user_id", G.decision(F.col("family"), F.col("findings")).alias("decision"))
 
 
-@query(f"WITH {CASE_SQL} SELECT id, CASE WHEN decision IN ('accept', 'review') THEN CASE WHEN held THEN 'review' WHEN score <= 40 THEN 'accept' ELSE 'review' END ELSE decision END AS decision FROM e")
+@query(f"WITH {CASE_SQL} SELECT user_id, CASE WHEN decision IN ('accept', 'review') THEN CASE WHEN held THEN 'review' WHEN score <= 40 THEN 'accept' ELSE 'review' END ELSE decision END AS decision FROM e")
 def gate_threshold(spark, sf):
     f, fam = F.col("findings"), F.col("family")
-    return _cases(spark).select("id", G.with_threshold(G.decision(fam, f), G.final_score(fam, f), f, 40).alias("decision"))
+    return _cases(spark, sf).select("user_id", G.with_threshold(G.decision(fam, f), G.final_score(fam, f), f, 40).alias("decision"))
 
 
 @query(f"""WITH {CASE_SQL}, m AS (SELECT *, greatest(score, raw_score + 10) AS after FROM e)
-SELECT id, after AS score, CASE WHEN decision = 'accept' THEN CASE WHEN after <= 20 THEN 'accept' ELSE 'review' END ELSE decision END AS decision FROM m""")
+SELECT user_id, after AS score, CASE WHEN decision = 'accept' THEN CASE WHEN after <= 20 THEN 'accept' ELSE 'review' END ELSE decision END AS decision FROM m""")
 def gate_model_merge(spark, sf):
     f, fam = F.col("findings"), F.col("family")
     more = F.array(G.finding("model", "MEDIUM"))
     after, total, _ = G.merged(G.decision(fam, f), G.final_score(fam, f), f, more)
-    return _cases(spark).select("id", total.alias("score"), after.alias("decision"))
+    return _cases(spark, sf).select("user_id", total.alias("score"), after.alias("decision"))
 
 
 #: A line added to each document by its remainder, the kind of secret that the gate names, and the line as it's shown.
@@ -169,14 +169,18 @@ def gate_report(spark, sf):
     return scanned.groupBy("source", F.coalesce("f.rule", F.lit("none")).alias("rule")).agg(F.count("*").alias("files"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'secret', 'HIGH', false), (1, 1, 'other', 'MEDIUM', true), (2, 0, 'x', 'LOW', true)) AS t(id, n, rule, level, missing)")
+@query(r"""WITH q AS (SELECT doc_id, regexp_replace(substr(text, 1 + doc_id % 40, 30), '["\\\x00-\x1f]', ' ', 'g') AS quote, regexp_replace(text, '["\\\x00-\x1f]', ' ', 'g') AS text FROM documents WHERE doc_id % 6 < 4),
+f AS (SELECT doc_id, 0 AS n, 'secret' AS rule, 'HIGH' AS level, NOT (contains(regexp_replace(text, '\s+', ' ', 'g'), regexp_replace(quote, '\s+', ' ', 'g')) AND quote <> '') AS missing FROM q
+ UNION ALL SELECT doc_id, 1, 'other', CASE WHEN doc_id % 2 = 0 THEN 'LOW' ELSE 'MEDIUM' END, true FROM q) SELECT doc_id, n, rule, level, missing FROM f""")
 def model_findings_norm(spark, sf):
-    answers = [
-        (1, '```json\n{"findings": [{"rule": "secret", "level": "critical", "quote": "a  key"}, {"level": "odd"}]}\n```', "here is a key"),
-        (2, '{"findings": [{"rule": "x", "level": "low", "quote": "zz"}]}', "text"), (3, "not json", "text"), (4, '{"other": 1}', "text"),
-    ]
-    t = spark.createDataFrame(answers, "id int, answer string, text string")
-    return t.select("id", F.posexplode(G.model_findings(F.col("answer"), F.col("text"))).alias("n", "f")).select("id", "n", "f.rule", "f.level", "f.missing")
+    """Answers about whole documents: fenced or bare JSON, some that aren't JSON, and some without findings."""
+    i = F.col("doc_id")
+    clean = lambda c: F.regexp_replace(c, r'["\\\x00-\x1f]', " ")
+    d = table(spark, sf, "documents").select("doc_id", clean(F.col("text")).alias("text"), clean(F.expr("substring(text, cast(1 + doc_id % 40 as int), 30)")).alias("quote"))
+    said = F.concat(F.lit('{"findings": [{"rule": "secret", "level": " critical", "quote": "'), "quote", F.lit('"}, {"level": "'), F.when(i % 2 == 0, "low").otherwise("odd"), F.lit('", "quote": "not ☃ there"}]}'))
+    answer = F.when(i % 6 == 4, "not json").when(i % 6 == 5, '{"other": 1}').when(i % 6 < 2, F.concat(F.lit("Here:\n```json\n"), said, F.lit("\n```"))).otherwise(said)
+    t = d.select("doc_id", F.posexplode(G.model_findings(answer, F.col("text"))).alias("n", "f"))
+    return t.select("doc_id", "n", "f.rule", "f.level", "f.missing")
 
 
 def _named(spark, sf, endings: list[str]):
