@@ -40,7 +40,7 @@ from lodestone.session import materialised, removed, scratch_path, ship_package,
 
 SPACE = "▁"
 #: Bytes of text of a slice; segments that are sent on or aligned together.
-SLICE = 28_000_000
+SLICE = 16_000_000
 SENT = 20_000
 ALIGNED = 30_000
 #: Bytes of documents' numbers (a document by itself, if it has more) that are put together at a time.
@@ -303,6 +303,7 @@ def _cutting(first: str, second: str, most: int):
             if held.ids and held.bytes + size > most:
                 yield from held.rows(number)
                 held, number = _Slice(), number + 1
+                pa.default_memory_pool().release_unused()
             words, codes, sizes = both.cut([t if both.usable(t) else "" for t in texts])
             held.ids.append(part.column(0))
             held.words.append(words)
@@ -345,7 +346,9 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
     entries = entries.sort_by("code")  # codes are 0, 1, ... without gaps
-    groups, *sizes = written(entries.column("tokens").combine_chunks())
+    tokens = entries.column("tokens").combine_chunks()
+    parts = [written(tokens.slice(at, ALIGNED)) for at in range(0, len(tokens), ALIGNED)]
+    groups, *sizes = pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     numbers = dict(zip(("n_a", "n_b", "n_groups"), sizes)) | {c: entries.column(c).to_numpy() for c in ("n_best", "count_sum")}
     docs = docs.combine_chunks()
     hashes, total, at = [], {c: [] for c in numbers}, 0
@@ -360,6 +363,7 @@ def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
         hashes += [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(_lists(groups.take(pa.array(codes)), lengths), ";").to_pylist()]
         at = to
     total["n_links"] = total["n_groups"]  # a group's last tokens, and no others, end together
+    pa.default_memory_pool().release_unused()
     return pa.table([docs.column("__id"), *(pa.array(np.concatenate(total[c]), pa.int64()) for c in COUNTS), pa.array(hashes, pa.string())], ["__id", *COUNTS, "groups_sha256"])
 
 
