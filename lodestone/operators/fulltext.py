@@ -1,50 +1,219 @@
-"""A stored full-text index: postings by term with frequencies and lengths, read for the asked words only.
+"""A stored full-text index that is kept up: segments that never change, deletions beside them, merges, and exact search that
+reads only where the best rows can be.
 
-``build`` cuts every chunk's text once and writes a row per chunk and term, in folders by a hash of the term and sorted by it, and
-one row of totals. ``best`` reads the folders of the words asked for (partition pruning; the term is a filter on the sorted
-files), so that a search's cost follows its words' postings and not the corpus.
+    home/segments/<id>/postings   term, range, path, chunk, tf, size; in folders by a hash of the term, sorted by term and range
+    home/segments/<id>/bounds     term, range, n, max_tf, min_size: what a range of chunks can score at most for a term
+    home/segments/<id>/chunks     range, path, chunk, size
+    home/deleted/<id>/            segment, range, path, chunk, size of deleted chunks
+    home/commits/<n>              the segments and deletions of version n, made only if it isn't there yet
+
+``append`` adds a segment, ``delete`` names the chunks of paths, ``merge`` writes one segment without them. Readers take the
+newest commit, so a writer that dies leaves nothing that anyone sees, and two writers from one version can't both succeed.
+
+``best`` is the same as over a fresh index of what's there. Document frequencies, the number of chunks and their mean size are
+those of the live chunks: deleted ones are counted off, in the ranges that hold them. A range of ``RANGE`` chunks can't score
+higher than its largest frequency at its smallest size, for each word; the ranges of the highest bounds are scored first, and
+after that only those whose bound reaches the n-th score found. All other postings of the words stay unread.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.search import CANDIDATES, K1, B
+from lodestone.session import write_bytes
 
-#: Folders of an index.
+#: Folders of a segment's postings, chunks of a range, and parts that a folder's terms are dealt to by path.
 BUCKETS = 64
+RANGE = 64
+KEY = "segment string, range long, path string, chunk int, size double"
+
+
+class Conflict(Exception):
+    """Another writer has committed since the version that a change started from."""
 
 
-def _bucket(term):
+def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def words_of(query: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+
+
+@dataclass
+class Version:
+    number: int
+    segments: list[str]
+    deleted: list[str]
+
+
+class FullText:
+    """An index under a folder; a missing one is empty."""
+
+    def __init__(self, spark: SparkSession, home: str, width: int = RANGE) -> None:
+        self.spark, self.home, self.width = spark, home, width
+
+    # ------------------------------------------------------------ versions
+
+    def current(self) -> Version:
+        sc = self.spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(f"{self.home}/commits/*")
+        found = place.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(place)
+        names = sorted(x.getPath().getName() for x in found or [] if x.getPath().getName().isdigit())
+        if not names:
+            return Version(0, [], [])
+        held = json.loads(self.spark.read.text(f"{self.home}/commits/{names[-1]}", wholetext=True).first()[0])
+        return Version(int(names[-1]), held["segments"], held["deleted"])
+
+    def _commit(self, before: Version, segments: list[str], deleted: list[str]) -> int:
+        number = before.number + 1
+        try:
+            write_bytes(self.spark, f"{self.home}/commits/{number:08d}", json.dumps({"segments": segments, "deleted": deleted}).encode())
+        except Exception as error:
+            if "FileAlreadyExists" in str(error):
+                raise Conflict(f"version {number} of {self.home} is there already") from None
+            raise
+        return number
+
+    # ------------------------------------------------------------ writing
+
+    def _written(self, counts: DataFrame, chunks: DataFrame) -> str:
+        """A segment of postings (term, range, path, chunk, tf, size) and chunks (range, path, chunk, size)."""
+        name = uuid.uuid4().hex
+        place = f"{self.home}/segments/{name}"
+        chunks.write.parquet(f"{place}/chunks")
+        # A term's postings are dealt by range, so that a word that stands everywhere is in no single task.
+        dealt = counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(16)))
+        dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{place}/postings")
+        stored = self.spark.read.parquet(f"{place}/postings")
+        bounds = stored.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"))
+        bounds.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/bounds")
+        return name
+
+    def append(self, docs: DataFrame) -> int:
+        """Index chunks (path, chunk, text); chunks of a path that's indexed already come beside the old ones."""
+        before = self.current()
+        cut = docs.select("path", "chunk", T.tokens(F.col("text")).alias("t"), F.floor(F.monotonically_increasing_id() / self.width).alias("range"))
+        sizes = cut.select("range", "path", "chunk", F.size("t").cast("double").alias("size"), "t")
+        stored = f"{self.home}/drafts/{uuid.uuid4().hex}"
+        sizes.write.parquet(stored)  # ranges are handed out once
+        sizes = self.spark.read.schema(sizes.schema).parquet(stored)
+        # A chunk's tokens are counted before they're shuffled: partial counts hold its distinct terms.
+        counts = sizes.select("range", "path", "chunk", "size", F.explode("t").alias("term")).groupBy("term", "range", "path", "chunk", "size").agg(F.count("*").cast("double").alias("tf"))
+        name = self._written(counts.select("term", "range", "path", "chunk", "tf", "size"), sizes.drop("t"))
+        sc = self.spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(stored)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        return self._commit(before, [*before.segments, name], before.deleted)
+
+    def delete(self, paths: DataFrame) -> int:
+        """Take the chunks of paths (path) out of what searches find."""
+        before = self.current()
+        name = uuid.uuid4().hex
+        gone = self._live_chunks(before).join(paths.select("path").distinct(), "path", "left_semi")
+        gone.select("segment", "range", "path", "chunk", "size").write.parquet(f"{self.home}/deleted/{name}")
+        return self._commit(before, before.segments, [*before.deleted, name])
+
+    def merge(self) -> int:
+        """One segment of all live chunks, in place of all segments and deletions."""
+        before = self.current()
+        gone = self._deleted(before).select("segment", "path", "chunk")
+        live = lambda df: df.join(gone, ["segment", "path", "chunk"], "left_anti")
+        # Ranges of several segments are told apart by the segment's place.
+        place = F.create_map(*[x for k, s in enumerate(before.segments) for x in (F.lit(s), F.lit(k))]) if before.segments else F.lit(None).cast("map<string,int>")
+        ranged = lambda df: df.withColumn("range", F.col("range") + F.shiftleft(F.element_at(place, F.col("segment")).cast("long"), 48)).drop("segment")
+        counts = ranged(live(self._read(before, "postings", "term string, range long, path string, chunk int, tf double, size double")))
+        name = self._written(counts, ranged(live(self._read(before, "chunks", "range long, path string, chunk int, size double"))))
+        return self._commit(before, [name], [])
+
+    # ------------------------------------------------------------ reading
+
+    def _read(self, version: Version, part: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """A part of all segments, with the segment."""
+        out = None
+        for name in version.segments:
+            rows = self.spark.read.schema(f"{schema}, bucket int" if part != "chunks" else schema).parquet(f"{self.home}/segments/{name}/{part}")
+            if buckets is not None:
+                rows = rows.where(F.col("bucket").isin(buckets))
+            rows = rows.drop("bucket").withColumn("segment", F.lit(name))
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], f"{schema}, segment string")
+
+    def _deleted(self, version: Version) -> DataFrame:
+        paths = [f"{self.home}/deleted/{d}" for d in version.deleted]
+        return self.spark.read.schema(KEY).parquet(*paths) if paths else self.spark.createDataFrame([], KEY)
+
+    def _live_chunks(self, version: Version) -> DataFrame:
+        return self._read(version, "chunks", "range long, path string, chunk int, size double").join(self._deleted(version).select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_anti")
+
+    def _postings(self, version: Version, words: list[str], buckets: list[int]) -> DataFrame:
+        rows = self._read(version, "postings", "term string, range long, path string, chunk int, tf double, size double", buckets).where(F.col("term").isin(words))
+        return rows.join(self._deleted(version).select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_anti") if version.deleted else rows
+
+    def best(self, query: str, n: int = CANDIDATES) -> DataFrame:
+        """path, chunk, bm25 of the n best live chunks for the query's words."""
+        return self.explained(query, n)[0]
+
+    def explained(self, query: str, n: int = CANDIDATES) -> tuple[DataFrame, dict[str, int]]:
+        """best(), and how many postings the words have, and how many of them stand in the ranges that were scored."""
+        version, words, spark = self.current(), words_of(query), self.spark
+        none = spark.createDataFrame([], "path string, chunk int, bm25 double"), {"postings": 0, "read": 0}
+        if not words or not version.segments:
+            return none
+        asked = spark.createDataFrame([(w,) for w in words], "term string")
+        buckets = [r["b"] for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # a word has one
+        bounds = self._read(version, "bounds", "term string, range long, n long, max_tf double, min_size double", buckets).where(F.col("term").isin(words))
+        totals = self._read(version, "chunks", "range long, path string, chunk int, size double").agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
+        df = {r["term"]: r["n"] for r in bounds.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word
+        docs, size = totals["docs"], totals["size"]
+        if version.deleted:
+            gone = self._deleted(version)
+            off = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
+            docs, size = docs - off["docs"], size - off["size"]
+            ranges = gone.select("segment", "range").distinct()
+            rows = self._read(version, "postings", "term string, range long, path string, chunk int, tf double, size double", buckets).where(F.col("term").isin(words))
+            taken = rows.join(ranges, ["segment", "range"], "left_semi").join(gone.select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_semi")
+            for r in taken.groupBy("term").agg(F.count("*").alias("n")).collect():
+                df[r["term"]] -= r["n"]
+        words = [w for w in words if df.get(w)]
+        if not docs or not words:
+            return none
+        mean = size / docs
+        idf = F.create_map(*[x for w in words for x in (F.lit(w), F.log(F.lit(1 + (docs - df[w] + 0.5) / (df[w] + 0.5))))])
+        part = lambda tf, length: F.element_at(idf, F.col("term")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        bounds = bounds.where(F.col("term").isin(words))
+        ranged = bounds.groupBy("segment", "range").agg(F.sum(part(F.col("max_tf"), F.col("min_size"))).alias("most"), F.sum("n").alias("n"))
+        postings = self._postings(version, words, buckets)
+
+        def scored(ranges: DataFrame) -> DataFrame:
+            inside = postings.join(ranges.select("segment", "range"), ["segment", "range"], "left_semi")
+            return inside.groupBy("segment", "path", "chunk").agg(F.round(F.sum(part(F.col("tf"), F.col("size"))), 6).alias("bm25")).drop("segment").orderBy(F.desc("bm25"), "path", "chunk").limit(n)
+
+        first = ranged.orderBy(F.desc("most"), "segment", "range").limit(max(1, 4 * n // self.width))
+        found = scored(first).agg(F.min("bm25").alias("least"), F.count("*").alias("k")).first()
+        bar = found["least"] - 1e-5 if found["k"] == n else 0.0  # scores are rounded
+        reached = ranged.where(F.col("most") >= bar)
+        read = reached.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return scored(reached), {"postings": sum(df[w] for w in words), "read": read}
+
+
 def build(docs: DataFrame, home: str) -> str:
-    """docs (path, chunk, text) indexed under home; a folder that exists is an error."""
-    cut = docs.select("path", "chunk", T.tokens(F.col("text")).alias("t"))
-    sizes = cut.select("path", "chunk", F.size("t").cast("double").alias("size"), "t")
-    # A chunk's tokens are counted before they're shuffled: partial counts hold its distinct terms.
-    counts = sizes.select("path", "chunk", "size", F.explode("t").alias("term")).groupBy("term", "path", "chunk", "size").agg(F.count("*").cast("double").alias("tf"))
-    placed = counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8))).sortWithinPartitions("bucket", "term")
-    placed.write.partitionBy("bucket").parquet(f"{home}/postings")
-    sizes.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean")).write.parquet(f"{home}/totals")
+    """docs (path, chunk, text) indexed under home as one segment; an index that's there is an error."""
+    index = FullText(docs.sparkSession, home)
+    if index.current().number:
+        raise Conflict(f"{home} has an index already")
+    index.append(docs)
     return home
 
 
 def best(spark: SparkSession, home: str, query: str, n: int = CANDIDATES) -> DataFrame:
     """path, chunk, bm25 of the n best chunks for the query's words."""
-    words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
-    asked = spark.createDataFrame([(w,) for w in words], "term string")
-    buckets = [r["b"] for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # a word has one
-    rows = spark.read.parquet(f"{home}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
-    df = rows.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    totals = spark.read.parquet(f"{home}/totals")
-    joined = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row per word, one row of totals
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = joined.groupBy("path", "chunk").agg(F.round(F.sum(part), 6).alias("bm25"))
-    return scored.orderBy(F.desc("bm25"), "path", "chunk").limit(n)
+    return FullText(spark, home).best(query, n)

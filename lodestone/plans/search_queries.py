@@ -76,6 +76,19 @@ def fulltext_index(spark, sf):
     return fulltext.best(spark, home, WORDS)
 
 
+@query(full("kept", 10, ", kept AS (SELECT * FROM docs WHERE doc_id % 5 <> 2)") + " SELECT path, chunk, bm25 FROM fts")
+def fulltext_upkeep(spark, sf):
+    """The index after two appends, a deletion, a merge and another deletion: as a fresh one of what's left."""
+    d = docs(spark, sf)
+    index = fulltext.FullText(spark, scratch_path(spark, "fulltext"))
+    index.append(d.where("doc_id % 3 = 0"))
+    index.append(d.where("doc_id % 3 > 0"))
+    index.delete(d.where("doc_id % 10 = 2").select("path"))
+    index.merge()
+    index.delete(d.where("doc_id % 10 = 7").select("path"))
+    return index.best(WORDS)
+
+
 @query(full() + " SELECT path, chunk, title, updated, round(score, 9) AS score FROM hits")
 def hybrid_search(spark, sf):
     found = S.search(docs(spark, sf), _vectors(spark, sf), _query(spark, sf), WORDS, TODAY)
