@@ -76,10 +76,13 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?"
 
 #: What is known of a word's place; the features of its score. A word's score is the sum of theirs; by element and named
 #: stand alone, as such a part is read the same inside of a mark and beside it.
-WORD, INSIDE, OUTSIDE, LINKED, HEADING, ELEMENT, NAMED, HALF_NAMED, NAMED_PROSE = range(9)
-#: Classes of tags, of which each has one.
-PROSE_TAG, INLINE_TAG, LIST_TAG, OTHER_TAG, MARKED_LIST, MARKED_TAG, SET_ASIDE = range(9, 16)
-FEATURES = "word, inside a mark, outside the marks, linked, heading, by element, named, named in part, named prose, prose tag, inline tag, list tag, other tag, list tag inside a mark, other tag inside a mark, set aside".split(", ")
+WORD, INSIDE, OUTSIDE, LINKED, LINKED_INSIDE, HEADING, ELEMENT, NAMED, HALF_NAMED, NAMED_PROSE = range(10)
+#: Classes of tags, of which each has one; a content's own mark-up weighs by itself.
+PROSE_TAG, INLINE_TAG, LIST_TAG, OTHER_TAG, MARKED_PROSE, MARKED_INLINE, MARKED_LIST, MARKED_TAG, SET_ASIDE = range(10, 19)
+FEATURES = (
+    "word, inside a mark, outside the marks, linked, linked inside a mark, heading, by element, named, named in part, named prose, prose tag, inline tag, list tag, other tag, "
+    "prose tag inside a mark, inline tag inside a mark, list tag inside a mark, other tag inside a mark, set aside"
+).split(", ")
 
 
 @dataclass
@@ -237,7 +240,7 @@ def features(item: Item, page: Page) -> list[int]:
         if page.marked:
             out.append(INSIDE if item.marked else OUTSIDE)
         if item.linked:
-            out.append(LINKED)
+            out.append(LINKED_INSIDE if item.marked else LINKED)
         if item.heading:
             out.append(HEADING)
         if item.evidence:
@@ -247,9 +250,9 @@ def features(item: Item, page: Page) -> list[int]:
     if name == "a":  # its words say so
         return []
     if name in PROSE:
-        return [PROSE_TAG]
+        return [MARKED_PROSE if item.marked else PROSE_TAG]
     if name in INLINE:
-        return [INLINE_TAG]
+        return [MARKED_INLINE if item.marked else INLINE_TAG]
     if name in LIST:
         return [MARKED_LIST if item.marked else LIST_TAG]
     return [MARKED_TAG if item.marked else OTHER_TAG]
@@ -318,8 +321,10 @@ def _labelled(html: str) -> tuple[Page, list[bool]]:
     return page, truth
 
 
-#: A tag weighs as much as so many words at most.
+#: A tag weighs as much as so many words at most; one inside of a mark far less, as a page's own mark says that it's content: a
+#: hundred of them don't outweigh a word.
 TAG_WORDS = 4.0
+MARKED_WORDS = 0.01
 
 
 def fit_weights(pages: list[str], rounds: int = 6) -> list[float]:
@@ -327,7 +332,7 @@ def fit_weights(pages: list[str], rounds: int = 6) -> list[float]:
     rows = [_labelled(p) for p in pages]
     found = [[features(i, page) for i in page.items] for page, _ in rows]
     w = np.zeros(len(FEATURES))
-    w[WORD], w[PROSE_TAG:], w[SET_ASIDE] = 1.0, -1.0, -0.1
+    w[WORD], w[PROSE_TAG:], w[MARKED_PROSE:SET_ASIDE], w[SET_ASIDE] = 1.0, -1.0, -MARKED_WORDS, -0.1
     total, steps = np.zeros_like(w), 0
     for k in range(rounds):
         rate = 0.2 / (1 + k)
@@ -342,6 +347,7 @@ def fit_weights(pages: list[str], rounds: int = 6) -> list[float]:
             w += rate * np.sign(wrong) * np.sqrt(np.abs(wrong))
             w[WORD] = max(w[WORD], 0.0)
             w[PROSE_TAG:] = np.clip(w[PROSE_TAG:], -TAG_WORDS * max(w[WORD], 1.0), 0.0)
+            w[MARKED_PROSE:SET_ASIDE] = np.maximum(w[MARKED_PROSE:SET_ASIDE], -MARKED_WORDS * max(w[WORD], 1.0))
             total += w
             steps += 1
     return (total / max(steps, 1)).tolist()

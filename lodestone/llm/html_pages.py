@@ -86,8 +86,27 @@ class _Writer:
 
     # ------------------------------------------------------------ content
 
-    def block(self) -> str:
+    def rich(self) -> str:
+        """Content whose mark-up is much of it: links, lists of links, code, nested elements, figures without words."""
         r = self.r
+        link = lambda low, high: f'<a href="/{r.randint(0, 99)}">{self.words(low, high)}</a>'
+        kind = r.randrange(6)
+        if kind == 0:
+            return f"<p>{self.words(2, 20)} {link(6, 20)} {self.words(2, 20)}</p>"
+        if kind == 1:
+            return "<p>" + " ".join(link(1, 1) for _ in range(r.choice((3, 5, 12, 40)))) + "</p>"
+        if kind == 2:
+            return "<ul>" + "".join(f"<li>{link(2, 8)}</li>" for _ in range(r.randint(3, 14))) + "</ul>"
+        if kind == 3:
+            return "".join(f"<p>{self.words(1, 3)} <code>{self.words(1, 1)}</code> <em>{self.words(1, 1)}</em> <b>{self.words(1, 2)}</b></p>" for _ in range(r.randint(2, 7)))
+        if kind == 4:
+            return "".join(f"<div><span>{self.words(1, 3)}</span></div>" for _ in range(r.randint(2, 8)))
+        return "".join("<div><figure><div><div><img src=i></div></div></figure></div>" for _ in range(r.randint(1, 4)))
+
+    def block(self, marked: bool = False) -> str:
+        r = self.r
+        if r.random() < (0.3 if marked else 0.04):
+            return self.rich()
         kind = r.random()
         link = f' <a href="/x">{self.words(1, 3)}</a> {self.words(2, 9)}' if r.random() < 0.25 else ""
         if kind < 0.62:
@@ -126,7 +145,7 @@ class _Writer:
             out.append(f"{mark[0]}⟦{title}")
         blocks = r.choice((1, 2, 3, 5, 8, 14, 25))
         for k in range(blocks):
-            out.append(self.block())
+            out.append(self.block(mark[0] not in ("", "<div class=content>")))
             if k < blocks - 1 and r.random() < 0.1:
                 out.append("⟧")
                 self.boilerplate(r.choice(("ad", "ad", "note", "form", "more", "side", "code")))

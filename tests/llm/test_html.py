@@ -171,3 +171,26 @@ def test_edges(spark):
     got = html.extract(df).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "", 0), (None, "a b", 3), (2, "a b", 3)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+#: What stands between the first and the last words of an article.
+BETWEEN = {
+    "a linked clause": "<p>see <a href=x>one two three four five six seven eight nine ten eleven twelve thirteen fourteen</a> there</p>",
+    "five links": "<p>" + " ".join(f"<a href=x>ref{k}</a>" for k in range(5)) + "</p>",
+    "forty links": "<p>" + " ".join(f"<a href=x>ref{k}</a>" for k in range(40)) + "</p>",
+    "a list of links": "<ul>" + "".join(f"<li><a href=x>item {k} linked</a></li>" for k in range(12)) + "</ul>",
+    "code": "".join("<p>use <code>a</code> <em>b</em> <b>c</b></p>" for _ in range(6)),
+    "nested elements": "".join("<div><span>a</span></div>" for _ in range(6)),
+    "figures": "".join("<figure><div><div><img src=a></div></div></figure>" for _ in range(3)),
+}
+
+
+@pytest.mark.parametrize("between", BETWEEN)
+@pytest.mark.parametrize("mark", ["<article>%s</article>", "<main><div>%s</div></main>", "<main><article>%s</article></main>"])
+def test_nothing_of_an_article_is_lost(mark, between):
+    for first, last in (("<p>START of the text, and some words.</p>", "<p>The last words of it: END.</p>"), ("<h1>START</h1>", "<p>END</p>"), ("<h1>START</h1>", "")):
+        page = f"<html><body><nav><a href=a>Home</a> <a href=b>News</a></nav>{mark % (first + BETWEEN[between] + last)}<footer>Copyright us</footer></body></html>"
+        text = html.main_text(page)
+        assert "START" in text and ("END" in text or not last) and "Home" not in text and "Copyright" not in text
+        words = re.sub("<[^>]*>", " ", BETWEEN[between]).split()
+        assert " ".join(words) in " ".join(text.split())
