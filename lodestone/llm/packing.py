@@ -4,17 +4,19 @@ Documents are cut into pieces of at most ``CAPACITY`` tokens; packing sees only
 CAPACITY numbers, whatever the input), which is collected to the driver.
 
 1. A configuration is a multiset of lengths that fits a sequence. The linear program asks for amounts of configurations
-   that cover the histogram with the fewest sequences.
-2. It's solved by multiplicative weights. Lengths are constrained in ``BANDS`` neighbourhoods; a neighbourhood's weight
-   shrinks by exp(-``ETA`` times the share of its demand that was served) against the share served on the whole, so that
-   short and long pieces run out together. A length's price is its tokens times one plus its weight. A knapsack dynamic
-   program over the capacity prices ALL open lengths at once and gives, for each length, the configuration of the highest
-   price that holds it. These are taken longest first until a round has served ``SHARE`` of the open tokens, and only if
-   they leave no more than ``GAP`` of what the open lengths could fill; rounds go on until no such configuration is left.
-   Each pricing also gives a dual bound on the number of sequences (demand times price, over the best price).
-3. Amounts are whole; what is left, the pieces that no nearly full configuration takes, is closed by best fit, in counts
-   per length, into the room of configurations and new ones.
-4. Pieces get a rank within their length (counted over salts, so a length that holds a third of all pieces is never in
+   that cover the histogram, one constraint for each length, with the fewest sequences.
+2. It's solved by multiplicative weights on both sides. Every length has a weight, which grows by exp(``ETA`` times the share of
+   its demand that the present amounts leave open, or shrinks by what they serve too often), and its price is its weight
+   over its demand; amounts of configurations grow with the price of what they hold. Steps look one step ahead, and weights and
+   amounts are averaged over the rounds between two pricings.
+3. Every ``STEPS`` rounds the averaged prices are given to a knapsack dynamic program over the capacity. The best value is
+   the dual bound on the number of sequences; for each length, the best configuration that holds it joins the others if its
+   value is within ``NEAR`` of the best. The program starts with the configurations of a best-fit packing (or of
+   one whose sequences are nearly full, where that's better), and ends when its
+   amounts, with a sequence for what they leave open, are within ``GAP`` of the bound, or after ``PRICED`` lengths priced.
+4. Amounts are rounded down to whole sequences, the largest first, and what is left is packed by best fit into the room of
+   configurations and new ones. Of this packing and the one by best fit alone the better is taken (``pack`` says which).
+5. Pieces get a rank within their length (counted over salts, so a length that holds a third of all pieces is never in
    one task), and a table from length and rank to sequence and offset places each.
 
 Defined results: null text counts as empty, giving the end id alone; equal rows are packed as separate documents; no
@@ -28,6 +30,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,14 +45,22 @@ from lodestone.session import materialised, ship_package
 
 CAPACITY = 4096
 END_ID = 1
-#: Share of the least remaining demand that one configuration takes, and of the open tokens that one pricing serves.
+#: For packings of whole amounts: share of the least remaining demand that one configuration takes, and of the open tokens that
+#: one pricing serves; neighbourhoods of lengths, how fast their weights shrink, and what part of the capacity may stay empty.
 STEP = 0.5
 SHARE = 0.05
-#: Neighbourhoods of lengths, and how fast their weights shrink.
 BANDS = 64
-ETA = 40.0
-#: Part of the capacity that a configuration of the program may leave.
-GAP = 1 / 1024
+TURN = 40.0
+SPARE = 1 / 1024
+#: How fast weights and amounts move in a round, and rounds between two pricings.
+ETA = 0.3
+STEPS = 40
+#: Values of configurations that join, as a part of the best one's, and the gap between amounts and bound that ends the program.
+NEAR = 0.99
+GAP = 0.0005
+#: Pricings at most, and lengths priced in all: a dynamic program takes time for each.
+PRICINGS = 200
+PRICED = 60_000
 #: Capacities that the dynamic program fills in one step.
 BLOCK = 32
 #: One length and salt, which one task ranks, holds so many rows, or this part of all rows, at most (about).
@@ -214,6 +225,25 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, i
     return traced(lengths, knapsack(lengths, values, capacity)[1], capacity)
 
 
+def holding(lengths: np.ndarray, last: np.ndarray, firsts: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...]]:
+    """For each of some lengths the best configuration that holds it: pairs of a length's place and how often it's held."""
+    back = np.maximum.accumulate(np.where(last[: capacity + 1] >= 0, np.arange(capacity + 1), 0))  # the nearest capacity that ends with a length
+    rows, room = np.arange(len(firsts)), capacity - lengths[firsts]
+    where, held = [rows], [firsts]
+    while len(rows):
+        room = back[room]
+        k = last[room]
+        live = room > 0
+        rows, k, room = rows[live], k[live], room[live] - lengths[k[live]]
+        where.append(rows)
+        held.append(k)
+    key, n = np.unique(np.concatenate(where) * len(lengths) + np.concatenate(held), return_counts=True)
+    out: list[list] = [[] for _ in firsts]
+    for x, m in zip(key.tolist(), n.tolist(), strict=True):
+        out[x // len(lengths)].append((x % len(lengths), m))
+    return [tuple(x) for x in out]
+
+
 def within(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, last: np.ndarray, stock: np.ndarray, first: int, capacity: int) -> dict[int, int]:
     """The multiset that holds a length and follows the table from there; a length out of stock gives way to the best that isn't."""
     out = {first: 1}
@@ -235,17 +265,12 @@ def within(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, last: np.n
     return out
 
 
-@dataclass
-class Program:
-    """Amounts of configurations (whole), the dual bound on all sequences, and the share of tokens that the amounts serve."""
-
-    amounts: list[tuple[dict[int, int], float]]
-    bound: float
-    served: float
-
+def filled(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """A packing whose sequences are nearly full: whole amounts of configurations, priced over what's left again and again.
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Program:
-    """The configuration program by multiplicative weights."""
+    A length's price is its tokens times one plus a weight that shrinks while its neighbourhood is served ahead of the rest;
+    what no nearly full configuration takes is packed by best fit. It's where the program starts if best fit isn't near enough.
+    """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
     band = lengths * BANDS // (capacity + 1)
@@ -253,15 +278,14 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Program:
     in_band, total = np.bincount(band, tokens, BANDS), float(tokens.sum())
     left = demand.copy()
     out: list[tuple[dict[int, int], float]] = []
-    bound, spare, room, least = 0.0, max(1, int(capacity * GAP)), 0, 0
+    spare, room, least = max(1, int(capacity * SPARE)), 0, 0
     while len(open_ := np.flatnonzero(left)):
         own, stock = lengths[open_], left[open_]
         unserved = np.bincount(band, lengths * left, BANDS)
         ahead = (1 - unserved / np.maximum(in_band, 1)) - (1 - unserved.sum() / total)
-        weight = np.exp(np.clip(-ETA * ahead, -20, 20))[band[open_]]
+        weight = np.exp(np.clip(-TURN * ahead, -20, 20))[band[open_]]
         values = own / capacity * (1 + weight / weight.max())
         best, last = knapsack(own, values, capacity)
-        bound = max(bound, float((demand[open_] * values).sum() / best[capacity]))
         quota, before = SHARE * float((own * stock).sum()), len(out)
         for first in range(len(own) - 1, -1, -1):
             if quota <= 0:
@@ -288,18 +312,99 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Program:
         if capacity - int(fills) <= least:
             break
         least, room = capacity - int(fills), 0
-    return Program(out, bound, 1 - float((lengths * left).sum()) / max(total, 1.0))
+    whole = [([x for x, n in chosen.items() for _ in range(n)], int(amount)) for chosen, amount in out]
+    rest = {int(x): int(n) for x, n in zip(lengths, left) if n}
+    return whole + best_fit(rest, whole, capacity)
+
+
+@dataclass
+class Program:
+    """Amounts of configurations (length -> how often), the number of sequences that they and the rest take, and the dual bound."""
+
+    amounts: list[tuple[dict[int, int], float]]
+    sequences: float
+    bound: float
+
+
+class _Pool:
+    """Configurations, as places of lengths and how often each holds them."""
+
+    def __init__(self) -> None:
+        self.all: dict[tuple, int] = {}
+        self.row, self.item, self.times = [], [], []
+
+    def add(self, found: list[tuple]) -> list[int]:
+        new = []
+        for chosen in found:
+            if chosen not in self.all:
+                new.append(self.all.setdefault(chosen, len(self.all)))
+                for k, n in chosen:
+                    self.row.append(new[-1])
+                    self.item.append(k)
+                    self.times.append(n)
+        return new
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Program:
+    """The configuration program by multiplicative weights."""
+    if not histogram:
+        return Program([], 0.0, 0.0)
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    demand = np.array([histogram[int(x)] for x in lengths], dtype=np.float64)
+    place = {int(x): k for k, x in enumerate(lengths)}
+    tokens = float((lengths * demand).sum())
+    fitted = best_fit(dict(histogram), [], capacity)
+    if sum(n for _, n in fitted) > (1 + GAP) * tokens / capacity:
+        fitted = min(fitted, filled(histogram, capacity), key=lambda packed: sum(n for _, n in packed))
+    pool, start = _Pool(), {}
+    for held, n in fitted:
+        key = tuple(sorted((place[x], m) for x, m in Counter(held).items()))
+        pool.add([key])
+        start[key] = start.get(key, 0) + n
+    x = np.array([start[key] for key in pool.all], dtype=np.float64)
+    best = Program([({int(lengths[k]): m for k, m in key}, float(n)) for key, n in start.items()], float(x.sum()), tokens / capacity)
+    x /= x.sum()
+    w = lengths * demand / tokens
+    average = w
+    for _ in range(max(2, min(PRICINGS, PRICED // len(lengths)))):
+        price_ = average / demand
+        value, last = knapsack(lengths, price_, capacity)
+        top = float(value[capacity])
+        best.bound = max(best.bound, 1 / top)
+        if best.sequences <= (1 + GAP) * best.bound:
+            break
+        whole = price_ + value[capacity - lengths]
+        new = pool.add(holding(lengths, last, np.flatnonzero(whole >= NEAR * top), capacity))
+        if new:
+            x = np.r_[x * 0.9, np.full(len(new), 0.1 / len(new))]
+        row, item, times = np.array(pool.row), np.array(pool.item), np.array(pool.times, np.float64)
+        n, sums, weights = best.bound, np.zeros(len(x)), np.zeros(len(w))
+        served_before = worth_before = None
+        for _ in range(STEPS):
+            served = np.bincount(item, times * x[row], len(w)) * n / demand
+            worth = np.bincount(row, times * (w / demand)[item], len(x)) * n
+            ahead = served if served_before is None else 2 * served - served_before
+            rising = worth if worth_before is None else 2 * worth - worth_before
+            served_before, worth_before = served, worth
+            w = w * np.exp(np.clip(ETA * (1 - ahead), -1, 1))
+            x = x * np.exp(np.clip(4 * ETA * (rising - 1), -2, 2))
+            w, x = w / w.sum(), x / x.sum()
+            sums, weights = sums + x, weights + w
+        average, amount = weights / weights.sum(), n * sums / sums.sum()
+        open_ = np.maximum(0.0, demand - np.bincount(item, times * amount[row], len(w)))
+        sequences = n + float((open_ / (capacity // lengths)).sum())
+        if sequences < best.sequences:
+            best.amounts = [({int(lengths[k]): m for k, m in key}, float(amount[c])) for key, c in pool.all.items() if amount[c] > 1e-6]
+            best.sequences = sequences
+    return best
 
 
 def round_down(amounts: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Whole configurations, as lists of lengths with the number of sequences of each, that hold exactly the histogram."""
-    merged: dict[tuple, float] = {}
-    for chosen, amount in amounts:
-        key = tuple(sorted(chosen.items(), reverse=True))
-        merged[key] = merged.get(key, 0.0) + amount
     left = dict(histogram)
     whole: list[tuple[list[int], int]] = []
-    for key, amount in merged.items():
+    for chosen, amount in sorted(amounts, key=lambda x: -x[1]):
+        key = sorted(chosen.items(), reverse=True)
         n = min([math.floor(amount + 1e-9), *(left[length] // k for length, k in key)])
         if n > 0:
             whole.append(([length for length, k in key for _ in range(k)], n))
@@ -346,9 +451,16 @@ def best_fit(left: dict[int, int], whole: list[tuple[list[int], int]], capacity:
 
 def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Configurations and their numbers of sequences for a whole histogram."""
-    part = {x: n for x, n in histogram.items() if x < capacity}
+    return packed_by(histogram, capacity)[0]
+
+
+def packed_by(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], str]:
+    """pack(), and what gave it: the program, or best fit alone where that takes fewer sequences."""
+    part = {x: n for x, n in histogram.items() if x < capacity and n}
     full = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    return full + round_down(solve(part, capacity).amounts, part, capacity)
+    rounded, fitted = round_down(solve(part, capacity).amounts, part, capacity), best_fit(dict(part), [], capacity)
+    count = lambda packed: sum(n for _, n in packed)
+    return (full + rounded, "program") if count(rounded) <= count(fitted) else (full + fitted, "best fit")
 
 
 def placement(packed: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
