@@ -180,3 +180,20 @@ def stream_ready(spark, sf):
     home = scratch_path(spark, "changes")
     e = table(spark, sf, "events").select("ts", F.col("user_id").alias("entry"), F.col("ts").cast("timestamp").alias("seen"), F.col("event_id").alias("size"), F.lit(1).cast("long").alias("mtime"))
     return S.collected(S.ready_entries(_in_parts(spark, sf, e, f"{home}/in"), QUIET), f"{home}/out", S.READY)
+
+
+@query("""SELECT event_id, [NULL, 'repeated key', 'not JSON', 'not an object', 'unknown extra', 'no k', 'k isn''t whole', NULL, 'name isn''t text', 'repeated key', 'not JSON'][event_id % 11 + 1] AS reason FROM events""")
+def strict_lines(spark, sf):
+    """Lines made from events, of which most have a fault: refused with the reason, at any number of them."""
+    from lodestone.sources import strict
+
+    i = F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    whole = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name = F.concat(F.lit('"name": "'), "event_type", F.lit('"'))
+    line = (
+        F.when(i % 11 == 0, whole("{", name, ', "k": ', k, ', "inner": ', F.col("props"), "}")).when(i % 11 == 1, whole("{", name, ', "k": 1, "k": ', k, "}")).when(i % 11 == 2, whole("{", name, ', "k": ', k))
+        .when(i % 11 == 3, whole("[", F.col("props"), "]")).when(i % 11 == 4, whole("{", name, ', "k": 1, "extra": ', k, "}")).when(i % 11 == 5, whole("{", name, "}")).when(i % 11 == 6, whole("{", name, ', "k": "', k, '"}'))
+        .when(i % 11 == 7, whole("{", '"k": ', k, "}")).when(i % 11 == 8, whole('{"name": ', k, ', "k": 2}')).when(i % 11 == 9, whole("{", name, ', "k": 1, "inner": {"a": 1, "a": ', k, "}}")).otherwise(F.lit(None).cast("string"))
+    )
+    return table(spark, sf, "events").select("event_id", strict.reason(line, {"name": "text", "k": "whole", "inner": "object"}, ("k",)).alias("reason"))
