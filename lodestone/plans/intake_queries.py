@@ -197,3 +197,40 @@ def strict_lines(spark, sf):
         .when(i % 11 == 7, whole("{", '"k": ', k, "}")).when(i % 11 == 8, whole('{"name": ', k, ', "k": 2}')).when(i % 11 == 9, whole("{", name, ', "k": 1, "inner": {"a": 1, "a": ', k, "}}")).otherwise(F.lit(None).cast("string"))
     )
     return table(spark, sf, "events").select("event_id", strict.reason(line, {"name": "text", "k": "whole", "inner": "object"}, ("k",)).alias("reason"))
+
+
+def _written_tree(spark, sf, root):
+    """Documents as files in folders of their source; some are links, and some lie in a folder that isn't ready."""
+    import os
+
+    i = F.col("doc_id")
+    files = table(spark, sf, "documents").select(F.concat(F.when(i % 9 == 0, "waiting").otherwise(F.col("source")), F.lit("/"), "lang").alias("folder"), i.cast("string").alias("name"), "text", (i % 20 == 0).alias("link"))
+
+    def write(rows):
+        for r in rows:
+            os.makedirs(f"{root}/{r.folder}", exist_ok=True)
+            if r.link:
+                os.symlink(f"../{r.name}", f"{root}/{r.folder}/{r.name}")
+            else:
+                with open(f"{root}/{r.folder}/{r.name}", "w", encoding="utf-8", newline="") as file:
+                    file.write(r.text or "")
+
+    files.foreachPartition(write)
+
+
+@query("""SELECT source || '/' || lang || '/' || doc_id AS path, source AS entry, CASE WHEN doc_id % 20 = 0 THEN 'link' ELSE 'file' END AS kind, CASE WHEN doc_id % 20 > 0 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS size,
+ CASE WHEN doc_id % 20 = 0 THEN '../' || doc_id END AS target FROM documents WHERE doc_id % 9 > 0""")
+def tree_walk(spark, sf):
+    """A tree of files walked by its ready folders, in a folder that all machines mount."""
+    from lodestone.session import ship_package
+    from lodestone.sources.tree import TreeSource
+
+    root = scratch_path(spark, "tree")
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("a tree of files needs a mounted folder")
+    root = root.removeprefix("file://").removeprefix("file:")
+    ship_package(spark)
+    _written_tree(spark, sf, root)
+    spark.dataSource.register(TreeSource)
+    ready = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().collect()]  # folders of the top level
+    return spark.read.format("tree").option("ready", ",".join(ready)).load(root).select("path", "entry", "kind", "size", "target")
