@@ -234,3 +234,41 @@ def tree_walk(spark, sf):
     spark.dataSource.register(TreeSource)
     ready = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().collect()]  # folders of the top level
     return spark.read.format("tree").option("ready", ",".join(ready)).load(root).select("path", "entry", "kind", "size", "target")
+
+
+@query(f"WITH {DOCS_SQL} SELECT path, chunk, CAST(length(text) AS INTEGER) AS size, CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) AS es FROM docs WHERE length(text) % 7 <> 3")
+def embedded_chunks(spark, sf):
+    """Chunks with vectors from a service that fails on some: these are left out, and those sent with them aren't."""
+    from lodestone.sources import logs
+    from lodestone.sources.docs import docs
+
+    def embed(texts):
+        if any(len(t) % 7 == 3 for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    made = logs.embedded(docs(spark, sf).select("path", "chunk", "text"), embed)
+    return made.select("path", "chunk", F.get("vector", F.lit(0)).cast("int").alias("size"), F.get("vector", F.lit(1)).cast("int").alias("es"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Password: hu*** ' || lang WHEN 1 THEN source || ' says' WHEN 2 THEN 'code A1*** ' || lang WHEN 3 THEN 'Токен = ab***' ELSE 'парольная фраза: ' || lang END AS shown FROM documents""")
+def quotes_masked(spark, sf):
+    from lodestone.operators import gate as G
+
+    i, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    said = (
+        F.when(i % 5 == 0, F.concat(F.lit("Password: hunter"), text, F.lit(" "), "lang")).when(i % 5 == 1, F.concat("source", F.lit(" says"))).when(i % 5 == 2, F.concat(F.lit("code A1b2c3d4"), text, F.lit(" "), "lang"))
+        .when(i % 5 == 3, F.concat(F.lit("Токен = abc"), text)).otherwise(F.concat(F.lit("парольная фраза: "), "lang"))
+    )
+    return table(spark, sf, "documents").select("doc_id", G.quote_masked(said).alias("shown"))
+
+
+@query("""WITH f AS (SELECT event_id, ['document', 'other', 'archive', 'other', 'other', 'other', 'text'][event_id % 7 + 1] AS family, ['pdf', 'broken-zip', 'zip', 'macos-sidecar', 'iwork', 'binary', 'txt'][event_id % 7 + 1] AS kind, event_id % 5 AS size, event_id % 11 = 0 AS link FROM events)
+SELECT event_id, CASE WHEN link THEN 'not a file' WHEN size = 0 THEN 'empty' WHEN kind = 'broken-zip' THEN 'broken' WHEN kind = 'macos-sidecar' THEN 'sidecar' WHEN kind = 'iwork' THEN 'no reader' WHEN family = 'archive' THEN 'unpacked' WHEN family = 'other' THEN 'not a document' END AS reason FROM f""")
+def files_left_out(spark, sf):
+    from lodestone.operators import gate as G
+
+    i = F.col("event_id")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (i % 7).cast("int"))
+    why = G.left_out(pick(["document", "other", "archive", "other", "other", "other", "text"]), pick(["pdf", "broken-zip", "zip", "macos-sidecar", "iwork", "binary", "txt"]), i % 5, i % 11 == 0)
+    return table(spark, sf, "events").select("event_id", why.alias("reason"))
