@@ -13,6 +13,9 @@ Null vectors and those of length zero have no cell and aren't indexed; equal dis
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialised, ship_package
+from lodestone.session import materialised, ship_package, write_bytes
 
 # Cells that a search probes, and how many times n candidates it makes exact, if it isn't told otherwise; the
 # widths that a vector's parts may have, in the order they're tried.
@@ -102,25 +105,153 @@ def codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([nearest_rows(np.ascontiguousarray(parts[:, k]), books[k]) for k in range(len(books))], axis=1).astype(np.uint8)
 
 
-def build(vectors: DataFrame, path: str, cells: int) -> Index:
-    """vectors (vec_id, embedding) stored by cell under path, with their codes."""
-    ship_package(vectors.sparkSession)
-    index = Index(path, *trained(vectors, cells))
+ROW = "vec_id long, embedding array<double>, code binary, cell int"
+
+
+def placed(vectors: DataFrame, index: Index, among: list[int] | None = None) -> DataFrame:
+    """vectors with their codes, each in the cell of the nearest centre (of some centres, if they're given)."""
+    centres = index.centres if among is None else index.centres[among]
+    number = np.arange(len(index.centres)) if among is None else np.array(among)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1))
                 code = pa.array([row.tobytes() for row in codes(x, index.books)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code, pa.array((x @ index.centres.T).argmax(axis=1), pa.int32())], ["vec_id", "embedding", "code", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code, pa.array(number[(x @ centres.T).argmax(axis=1)], pa.int32())], ["vec_id", "embedding", "code", "cell"])
 
     whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and exists(embedding, x -> x <> 0)")
-    whole.mapInArrow(placed, "vec_id long, embedding array<double>, code binary, cell int").write.partitionBy("cell").parquet(path)
+    return whole.mapInArrow(run, ROW)
+
+
+def build(vectors: DataFrame, path: str, cells: int) -> Index:
+    """vectors (vec_id, embedding) stored by cell under path, with their codes."""
+    ship_package(vectors.sparkSession)
+    index = Index(path, *trained(vectors, cells))
+    placed(vectors, index).write.partitionBy("cell").parquet(path)
     return index
 
 
-def topk(spark: SparkSession, index: Index, queries: DataFrame, n: int, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
-    """query, vec_id, dist, place: the n nearest in the probed cells for each row of queries (query, embedding)."""
+class Conflict(Exception):
+    """Another writer has committed since the version that a change started from."""
+
+
+class LiveIndex:
+    """An inverted file that takes appends and deletions, and splits the cells that they crowd.
+
+        home/parts/<id>/cell=<c>/   vectors with their codes, never changed
+        home/deleted/<id>/          ids, of the parts that stood when they were deleted
+        home/centres/<id>           centres and code books
+        home/commits/<n>            the parts (each maybe without some cells), deletions and centres of version n
+
+    New vectors go to the cells of the present centres. A cell that holds more than ``crowd`` times the mean is split: its rows are
+    read alone, get centres of their own, and are written as a part of new cells; the old rows aren't read any more. Readers
+    take the newest commit; of two writers from one version the later fails.
+    """
+
+    def __init__(self, spark: SparkSession, home: str) -> None:
+        self.spark, self.home = spark, home
+        ship_package(spark)
+
+    def _names(self) -> list[str]:
+        sc = self.spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(f"{self.home}/commits/*")
+        found = place.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(place)
+        return sorted(x.getPath().getName() for x in found or [] if x.getPath().getName().isdigit())
+
+    def state(self) -> dict:
+        names = self._names()
+        if not names:
+            return {"version": 0, "parts": {}, "deleted": {}, "centres": None}
+        return json.loads(self.spark.read.text(f"{self.home}/commits/{names[-1]}", wholetext=True).first()[0])
+
+    def _commit(self, state: dict, **changes) -> int:
+        new = state | changes | {"version": state["version"] + 1}
+        try:
+            write_bytes(self.spark, f"{self.home}/commits/{new['version']:08d}", json.dumps(new).encode())
+        except Exception as error:
+            if "FileAlreadyExists" in str(error):
+                raise Conflict(f"version {new['version']} of {self.home} is there already") from None
+            raise
+        return new["version"]
+
+    def _kept(self, centres: np.ndarray, books: np.ndarray) -> str:
+        name, out = uuid.uuid4().hex, io.BytesIO()
+        np.savez(out, centres=centres, books=books)
+        write_bytes(self.spark, f"{self.home}/centres/{name}", out.getvalue())
+        return name
+
+    def index(self, state: dict) -> Index:
+        raw = self.spark.read.format("binaryFile").load(f"{self.home}/centres/{state['centres']}").select("content").first()[0]
+        held = np.load(io.BytesIO(bytes(raw)))
+        return Index(f"{self.home}/parts", held["centres"], held["books"])
+
+    def _part(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.partitionBy("cell").parquet(f"{self.home}/parts/{name}")
+        return name
+
+    def rows(self, state: dict) -> DataFrame:
+        """vec_id, embedding, code, cell of what's live."""
+        out = self.spark.createDataFrame([], ROW)
+        for name, without in state["parts"].items():
+            part = self.spark.read.schema(ROW).parquet(f"{self.home}/parts/{name}")
+            part = part.where(~F.col("cell").isin(without)) if without else part
+            gone = [d for d, parts in state["deleted"].items() if name in parts]
+            if gone:
+                part = part.join(self.spark.read.schema("vec_id long").parquet(*[f"{self.home}/deleted/{d}" for d in gone]), "vec_id", "left_anti")
+            out = out.unionByName(part)
+        return out
+
+    def create(self, vectors: DataFrame, cells: int) -> int:
+        state = self.state()
+        if state["version"]:
+            raise Conflict(f"{self.home} has an index already")
+        index = Index("", *trained(vectors, cells))
+        return self._commit(state, centres=self._kept(index.centres, index.books), parts={self._part(placed(vectors, index)): []})
+
+    def append(self, vectors: DataFrame) -> int:
+        state = self.state()
+        return self._commit(state, parts=state["parts"] | {self._part(placed(vectors, self.index(state))): []})
+
+    def delete(self, ids: DataFrame) -> int:
+        """Take ids (vec_id) out; the same ids appended later are found again."""
+        state, name = self.state(), uuid.uuid4().hex
+        ids.select(F.col("vec_id").cast("long")).distinct().write.parquet(f"{self.home}/deleted/{name}")
+        return self._commit(state, deleted=state["deleted"] | {name: list(state["parts"])})
+
+    def split(self, crowd: float = 3.0) -> int:
+        """Split the cells that hold more than so many times the mean; the version stays where there's none."""
+        state = self.state()
+        index, live = self.index(state), self.rows(state)
+        sizes = {r["cell"]: r["n"] for r in live.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # cells, 4096 or a few more
+        mean = sum(sizes.values()) / max(1, len(index.centres))
+        crowded = sorted(c for c, n in sizes.items() if n > max(1, crowd * mean))
+        if not crowded:
+            return state["version"]
+        centres, fresh = index.centres, None
+        for cell in crowded:
+            own = live.where(F.col("cell") == cell)
+            some = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+            more = spherical(unit(np.array([r["embedding"] for r in some], dtype=np.float64)), min(len(some), -(-sizes[cell] // max(1, int(mean)))), ROUNDS)
+            among = list(range(len(centres), len(centres) + len(more)))
+            centres = np.concatenate([centres, more])
+            dealt = placed(own.select("vec_id", "embedding"), Index("", centres, index.books), among)
+            fresh = dealt if fresh is None else fresh.unionByName(dealt)
+        centres = centres.copy()
+        centres[crowded] = 0.0  # the old ones stay in the list, so that cells keep their numbers, and draw nothing near
+        parts = {name: sorted({*without, *crowded}) for name, without in state["parts"].items()} | {self._part(fresh): []}
+        return self._commit(state, parts=parts, centres=self._kept(centres, index.books))
+
+    def topk(self, queries: DataFrame, n: int, probes: int = PROBES, refine: int = REFINE) -> DataFrame:
+        state = self.state()
+        return topk(self.spark, self.index(state), queries, n, probes, refine, self.rows(state))
+
+
+def topk(spark: SparkSession, index: Index, queries: DataFrame, n: int, probes: int = PROBES, refine: int = REFINE, stored: DataFrame | None = None) -> DataFrame:
+    """query, vec_id, dist, place: the n nearest in the probed cells for each row of queries (query, embedding).
+
+    stored: the rows that are searched, where they aren't all that's under the index's path."""
     centres, books = index.centres, index.books
     asked = max(1, min(probes, len(centres)))
 
@@ -132,7 +263,7 @@ def topk(spark: SparkSession, index: Index, queries: DataFrame, n: int, probes:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(near.ravel(), pa.int32())], ["query", "cell"])
 
     q = materialised(queries.select("query", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null"), "ivf-queries")
-    stored = spark.read.parquet(index.path)
+    stored = spark.read.parquet(index.path) if stored is None else stored
     meets = materialised(q.mapInArrow(probed, "query long, cell int"), "ivf-probes")
     if asked < len(centres):
         wanted = [r["cell"] for r in meets.select("cell").distinct().collect()]  # cells, 4096 at most

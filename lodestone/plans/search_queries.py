@@ -140,6 +140,21 @@ def ivf_search(spark, sf):
     return I.topk(spark, index, queries, S.CANDIDATES).select("query", "place", "dist")
 
 
+@query("""WITH k AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 3), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM k),
+d AS (SELECT q.vec_id AS query, n.vec_id, round(1 - list_dot_product(q.v, n.v) / (q.len * n.len), 6) + 0.0 AS dist FROM n q, n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS place FROM d) SELECT query, CAST(place AS INTEGER) AS place, dist FROM r WHERE place <= 120""")
+def ivf_upkeep(spark, sf):
+    """The same search after an append, a deletion and splits of crowded cells, over what's left."""
+    vectors = _vectors(spark, sf)
+    index = I.LiveIndex(spark, scratch_path(spark, "live-ivf"))
+    index.create(vectors.where("vec_id % 3 > 0"), 64)
+    index.append(vectors.where("vec_id % 3 = 0"))
+    index.delete(vectors.where("vec_id % 10 = 3").select("vec_id"))
+    index.split(1.5)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return index.topk(queries, S.CANDIDATES).select("query", "place", "dist")
+
+
 @query(full() + """, c AS (SELECT DISTINCT source FROM docs) SELECT base, place FROM (
  SELECT 'src3' AS base, 0::BIGINT AS place UNION ALL SELECT source, row_number() OVER (ORDER BY source) FROM c WHERE source <> 'src3' UNION ALL SELECT 'intake', (SELECT count(*) FROM c))""")
 def base_list(spark, sf):
