@@ -96,7 +96,8 @@ def trained(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int =
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return unit(column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+    """The column's vectors as unit rows; of a slice its own ones alone, which .values doesn't heed."""
+    return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
