@@ -1,10 +1,10 @@
 """A stored full-text index that is kept up: segments that never change, deletions beside them, merges, and exact search that
 reads only where the best rows can be.
 
-    home/segments/<id>/postings   term, range, path, chunk, tf, size; in folders by a hash of the term, sorted by term and range
-    home/segments/<id>/bounds     term, range, n, max_tf, min_size: what a range of chunks can score at most for a term
-    home/segments/<id>/chunks     range, path, chunk, size
-    home/deleted/<id>/            segment, range, path, chunk, size of deleted chunks
+    home/segments/<id>/postings   term, range, n, max_tf, min_size, slots, tfs, sizes: the chunks of a range that hold a term, and what
+                                  these can score at most; in folders by a hash of the term, sorted by term and range
+    home/segments/<id>/chunks     range, slot, path, chunk, size; a slot is a chunk's place in its range
+    home/deleted/<id>/            segment, range, slot, path, chunk, size of deleted chunks
     home/commits/<n>              the segments and deletions of version n, made only if it isn't there yet
 
 ``append`` adds a segment, ``delete`` names the chunks of paths, ``merge`` writes one segment without them. Readers take the
@@ -21,19 +21,26 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.search import CANDIDATES, K1, B
-from lodestone.session import write_bytes
+from lodestone.session import removed, ship_package, write_bytes
 
-#: Folders of a segment's postings, chunks of a range, and parts that a folder's terms are dealt to by path.
+#: Folders of a segment's postings, and chunks of a range.
 BUCKETS = 64
 RANGE = 64
-KEY = "segment string, range long, path string, chunk int, size double"
+CHUNKS = "range long, slot int, path string, chunk int, size double"
+LISTS = "slots array<int>, tfs array<int>, sizes array<int>"
+POSTINGS = f"term string, range long, n long, max_tf double, min_size double, {LISTS}"
+KEY = f"segment string, {CHUNKS}"
 
 
 class Conflict(Exception):
@@ -48,6 +55,41 @@ def words_of(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
+def _listed(width: int):
+    """id, path, chunk, tokens -> a row for each term of a range, with lists, and a row without a term for each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["term", "range", "slots", "tfs", "sizes", "path", "chunk"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            ranges, slots = ids // width, (ids % width).astype(np.int32)
+            size = pc.list_value_length(batch.column(3)).to_numpy().astype(np.int32)
+            single = np.arange(len(ids) + 1, dtype=np.int32)
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(ids), pa.string()), pa.array(ranges), lists(single, slots), pa.nulls(len(ids), pa.list_(pa.int32())), lists(single, size), batch.column(1), batch.column(2)], names
+            )
+            held = batch.column(3).flatten().dictionary_encode()
+            if not len(held):
+                continue
+            pairs, tf = np.unique(held.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), size), return_counts=True)
+            code, row = pairs // len(ids), pairs % len(ids)
+            new = np.r_[True, (code[1:] != code[:-1]) | (ranges[row[1:]] != ranges[row[:-1]])]
+            start = np.flatnonzero(new)
+            ends = np.r_[start, len(pairs)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    held.dictionary.cast(pa.string()).take(pa.array(code[start])), pa.array(ranges[row[start]]), lists(ends, slots[row]), lists(ends, tf), lists(ends, size[row]),
+                    pa.nulls(len(start), pa.string()), pa.nulls(len(start), pa.int32()),
+                ],
+                names,
+            )
+
+    return run
+
+
 @dataclass
 class Version:
     number: int
@@ -85,33 +127,34 @@ class FullText:
 
     # ------------------------------------------------------------ writing
 
-    def _written(self, counts: DataFrame, chunks: DataFrame) -> str:
-        """A segment of postings (term, range, path, chunk, tf, size) and chunks (range, path, chunk, size)."""
+    def _written(self, lists: DataFrame, chunks: DataFrame) -> str:
+        """A segment of lists (term, range, slots, tfs, sizes) and chunks (range, slot, path, chunk, size)."""
         name = uuid.uuid4().hex
         place = f"{self.home}/segments/{name}"
         chunks.write.parquet(f"{place}/chunks")
         # A term's postings are dealt by range, so that a word that stands everywhere is in no single task.
-        dealt = counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(16)))
-        dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{place}/postings")
-        stored = self.spark.read.parquet(f"{place}/postings")
-        bounds = stored.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"))
-        bounds.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/bounds")
+        dealt = lists.repartition(_bucket(F.col("term")), F.pmod(F.xxhash64("range"), F.lit(16)))
+        whole = dealt.select(
+            "term", "range", F.size("slots").cast("long").alias("n"), F.array_max("tfs").cast("double").alias("max_tf"), F.array_min("sizes").cast("double").alias("min_size"),
+            "slots", "tfs", "sizes", _bucket(F.col("term")).alias("bucket"),
+        )
+        whole.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{place}/postings")
         return name
 
     def append(self, docs: DataFrame) -> int:
         """Index chunks (path, chunk, text); chunks of a path that's indexed already come beside the old ones."""
         before = self.current()
-        cut = docs.select("path", "chunk", T.tokens(F.col("text")).alias("t"), F.floor(F.monotonically_increasing_id() / self.width).alias("range"))
-        sizes = cut.select("range", "path", "chunk", F.size("t").cast("double").alias("size"), "t")
+        ship_package(self.spark)
+        tokens = F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))
+        cut = docs.select(F.monotonically_increasing_id().alias("id"), "path", F.col("chunk").cast("int").alias("chunk"), tokens.alias("t"))
+        # What a term has in a range is put together where its chunks are read: rows of lists are shuffled, not of postings.
+        listed = cut.mapInArrow(_listed(self.width), f"term string, range long, {LISTS}, path string, chunk int")
         stored = f"{self.home}/drafts/{uuid.uuid4().hex}"
-        sizes.write.parquet(stored)  # ranges are handed out once
-        sizes = self.spark.read.schema(sizes.schema).parquet(stored)
-        # A chunk's tokens are counted before they're shuffled: partial counts hold its distinct terms.
-        counts = sizes.select("range", "path", "chunk", "size", F.explode("t").alias("term")).groupBy("term", "range", "path", "chunk", "size").agg(F.count("*").cast("double").alias("tf"))
-        name = self._written(counts.select("term", "range", "path", "chunk", "tf", "size"), sizes.drop("t"))
-        sc = self.spark.sparkContext
-        place = sc._jvm.org.apache.hadoop.fs.Path(stored)
-        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        listed.write.parquet(stored)  # ranges are handed out once
+        drafts = self.spark.read.schema(listed.schema).parquet(stored)
+        chunks = drafts.where("term is null").select("range", F.get("slots", F.lit(0)).alias("slot"), "path", "chunk", F.get("sizes", F.lit(0)).cast("double").alias("size"))
+        name = self._written(drafts.where("term is not null").drop("path", "chunk"), chunks)
+        removed(self.spark, stored)
         return self._commit(before, [*before.segments, name], before.deleted)
 
     def delete(self, paths: DataFrame) -> int:
@@ -119,19 +162,28 @@ class FullText:
         before = self.current()
         name = uuid.uuid4().hex
         gone = self._live_chunks(before).join(paths.select("path").distinct(), "path", "left_semi")
-        gone.select("segment", "range", "path", "chunk", "size").write.parquet(f"{self.home}/deleted/{name}")
+        gone.select("segment", "range", "slot", "path", "chunk", "size").write.parquet(f"{self.home}/deleted/{name}")
         return self._commit(before, before.segments, [*before.deleted, name])
 
     def merge(self) -> int:
         """One segment of all live chunks, in place of all segments and deletions."""
         before = self.current()
-        gone = self._deleted(before).select("segment", "path", "chunk")
-        live = lambda df: df.join(gone, ["segment", "path", "chunk"], "left_anti")
-        # Ranges of several segments are told apart by the segment's place.
-        place = F.create_map(*[x for k, s in enumerate(before.segments) for x in (F.lit(s), F.lit(k))]) if before.segments else F.lit(None).cast("map<string,int>")
-        ranged = lambda df: df.withColumn("range", F.col("range") + F.shiftleft(F.element_at(place, F.col("segment")).cast("long"), 48)).drop("segment")
-        counts = ranged(live(self._read(before, "postings", "term string, range long, path string, chunk int, tf double, size double")))
-        name = self._written(counts, ranged(live(self._read(before, "chunks", "range long, path string, chunk int, size double"))))
+        chunks = self._read(before, "chunks", CHUNKS)
+        # Ranges of several segments are laid behind each other.
+        ends = {r["segment"]: r["end"] for r in chunks.groupBy("segment").agg((F.max("range") + 1).alias("end")).collect()}  # a row for each segment
+        first, at = {}, 0
+        for segment in before.segments:
+            first[segment], at = at, at + ends.get(segment, 0)
+        place = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if first else F.lit(None).cast("map<string,bigint>")
+        ranged = lambda df: df.withColumn("range", F.col("range") + F.element_at(place, F.col("segment"))).drop("segment")
+        lists = self._read(before, "postings", POSTINGS).select("segment", "term", "range", "slots", "tfs", "sizes")
+        if before.deleted:
+            gone = self._deleted(before).groupBy("segment", "range").agg(F.collect_set("slot").alias("gone"))  # a range's slots at most
+            entries = F.arrays_zip("slots", "tfs", "sizes")
+            left = F.when(F.col("gone").isNull(), entries).otherwise(F.filter(entries, lambda x: ~F.array_contains("gone", x["slots"])))
+            lists = lists.join(gone, ["segment", "range"], "left").select("segment", "term", "range", left.alias("left")).where(F.size("left") > 0)
+            lists = lists.select("segment", "term", "range", *[F.col(f"left.{c}").alias(c) for c in ("slots", "tfs", "sizes")])
+        name = self._written(ranged(lists), ranged(self._live_chunks(before)))
         return self._commit(before, [name], [])
 
     # ------------------------------------------------------------ reading
@@ -152,11 +204,11 @@ class FullText:
         return self.spark.read.schema(KEY).parquet(*paths) if paths else self.spark.createDataFrame([], KEY)
 
     def _live_chunks(self, version: Version) -> DataFrame:
-        return self._read(version, "chunks", "range long, path string, chunk int, size double").join(self._deleted(version).select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_anti")
+        rows = self._read(version, "chunks", CHUNKS)
+        return rows.join(self._deleted(version).select("segment", "range", "slot"), ["segment", "range", "slot"], "left_anti") if version.deleted else rows
 
     def _postings(self, version: Version, words: list[str], buckets: list[int]) -> DataFrame:
-        rows = self._read(version, "postings", "term string, range long, path string, chunk int, tf double, size double", buckets).where(F.col("term").isin(words))
-        return rows.join(self._deleted(version).select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_anti") if version.deleted else rows
+        return self._read(version, "postings", POSTINGS, buckets).where(F.col("term").isin(words))
 
     def best(self, query: str, n: int = CANDIDATES) -> DataFrame:
         """path, chunk, bm25 of the n best live chunks for the query's words."""
@@ -170,8 +222,11 @@ class FullText:
             return none
         asked = spark.createDataFrame([(w,) for w in words], "term string")
         buckets = [r["b"] for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # a word has one
-        bounds = self._read(version, "bounds", "term string, range long, n long, max_tf double, min_size double", buckets).where(F.col("term").isin(words))
-        totals = self._read(version, "chunks", "range long, path string, chunk int, size double").agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
+        postings = self._postings(version, words, buckets)
+        single = lambda df: df.select("segment", "range", "term", F.inline(F.arrays_zip("slots", "tfs", "sizes"))).withColumnsRenamed({"slots": "slot", "tfs": "tf", "sizes": "size"})
+        # A range that was read in two batches has two rows for a term.
+        bounds = postings.groupBy("segment", "term", "range").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_size").alias("min_size"))
+        totals = self._read(version, "chunks", CHUNKS).agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
         df = {r["term"]: r["n"] for r in bounds.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word
         docs, size = totals["docs"], totals["size"]
         if version.deleted:
@@ -179,8 +234,7 @@ class FullText:
             off = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()
             docs, size = docs - off["docs"], size - off["size"]
             ranges = gone.select("segment", "range").distinct()
-            rows = self._read(version, "postings", "term string, range long, path string, chunk int, tf double, size double", buckets).where(F.col("term").isin(words))
-            taken = rows.join(ranges, ["segment", "range"], "left_semi").join(gone.select("segment", "path", "chunk"), ["segment", "path", "chunk"], "left_semi")
+            taken = single(postings.join(ranges, ["segment", "range"], "left_semi")).join(gone.select("segment", "range", "slot"), ["segment", "range", "slot"], "left_semi")
             for r in taken.groupBy("term").agg(F.count("*").alias("n")).collect():
                 df[r["term"]] -= r["n"]
         words = [w for w in words if df.get(w)]
@@ -191,11 +245,12 @@ class FullText:
         part = lambda tf, length: F.element_at(idf, F.col("term")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         bounds = bounds.where(F.col("term").isin(words))
         ranged = bounds.groupBy("segment", "range").agg(F.sum(part(F.col("max_tf"), F.col("min_size"))).alias("most"), F.sum("n").alias("n"))
-        postings = self._postings(version, words, buckets)
+        postings, live = postings.where(F.col("term").isin(words)), self._live_chunks(version)
 
         def scored(ranges: DataFrame) -> DataFrame:
-            inside = postings.join(ranges.select("segment", "range"), ["segment", "range"], "left_semi")
-            return inside.groupBy("segment", "path", "chunk").agg(F.round(F.sum(part(F.col("tf"), F.col("size"))), 6).alias("bm25")).drop("segment").orderBy(F.desc("bm25"), "path", "chunk").limit(n)
+            inside = single(postings.join(ranges.select("segment", "range"), ["segment", "range"], "left_semi"))
+            scores = inside.groupBy("segment", "range", "slot").agg(F.round(F.sum(part(F.col("tf"), F.col("size"))), 6).alias("bm25"))
+            return scores.join(live.drop("size"), ["segment", "range", "slot"]).select("path", "chunk", "bm25").orderBy(F.desc("bm25"), "path", "chunk").limit(n)
 
         first = ranged.orderBy(F.desc("most"), "segment", "range").limit(max(1, 4 * n // self.width))
         found = scored(first).agg(F.min("bm25").alias("least"), F.count("*").alias("k")).first()

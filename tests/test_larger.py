@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.operators import ivf
+from lodestone.operators.fulltext import FullText
 
 
 def test_more_queries_in_a_batch_than_a_slice_holds(spark, tmp_path):
@@ -38,3 +39,19 @@ def test_titles_of_texts_without_ascii_letters(spark, tmp_path):
     texts = ["", "é à è.", "123", "Éà b", "été", "  ", "Subject: é", "é"]
     rows = [(i, t, "fr", "src1", len(t)) for i, t in enumerate(texts)]
     assert against_sql(spark, tmp_path, "intake_titles", documents=spark.createDataFrame(rows, DOCUMENTS)) == ([], [])
+
+
+def test_a_term_has_a_row_for_a_range_through_merges(spark, tmp_path):
+    index = FullText(spark, f"file://{tmp_path}/index", width=8)
+    frame = lambda first, n: spark.createDataFrame([(f"p{k:03}", 0, "the of " + "w " * (k % 7)) for k in range(first, first + n)], "path string, chunk int, text string").coalesce(1)
+    index.append(frame(0, 40))
+    index.append(frame(40, 40))
+    index.delete(frame(0, 8).select("path"))
+    index.merge()
+    index.append(frame(100, 24))
+    index.merge()
+    rows = spark.read.parquet(f"{index.home}/segments/{index.current().segments[0]}/postings")
+    assert {r["term"]: (r["rows"], r["n"]) for r in rows.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()} == {"the": (12, 96), "of": (12, 96), "w": (12, 82)}
+    fresh = FullText(spark, f"file://{tmp_path}/fresh", width=8)
+    fresh.append(frame(8, 72).unionByName(frame(100, 24)))
+    assert index.best("the w", 30).collect() == fresh.best("the w", 30).collect()
