@@ -85,8 +85,9 @@ def described(files: DataFrame, roots: DataFrame, rules: DataFrame, attachments:
     rules: as for first_rules(), with source. Letters are called by their subject, else by their name without ending and day; a
     root that the table hasn't got gives no base.
     """
-    named = first_rules(files, rules).join(roots.select("root", "kind", F.col("source").alias("__source"), F.col("attachments").alias("__attached"), F.col("title").alias("__title")), "root", "left")
-    named = named.join(rules.select("root", F.col("rank").alias("rule"), F.col("source").alias("__by_rule")), ["root", "rule"], "left")
+    # Roots and rules (MOST_RULES at most) are configuration; files dealt by root would be a task for each root.
+    named = first_rules(files, rules).join(F.broadcast(roots.select("root", "kind", F.col("source").alias("__source"), F.col("attachments").alias("__attached"), F.col("title").alias("__title"))), "root", "left")
+    named = named.join(F.broadcast(rules.select("root", F.col("rank").alias("rule"), F.col("source").alias("__by_rule"))), ["root", "rule"], "left")
     name, space = T.file_name(F.col("rel")), T.first_component(F.col("rel"))
     folder = F.regexp_extract("rel", "^(.*)/[^/]*$", 1)
     stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"^\d{4}-\d{2}-\d{2}_", "")

@@ -55,3 +55,9 @@ def test_a_term_has_a_row_for_a_range_through_merges(spark, tmp_path):
     fresh = FullText(spark, f"file://{tmp_path}/fresh", width=8)
     fresh.append(frame(8, 72).unionByName(frame(100, 24)))
     assert index.best("the w", 30).collect() == fresh.best("the w", 30).collect()
+
+
+def test_files_of_a_few_roots_are_not_dealt_by_root(spark):
+    """Four roots would bring all texts to four tasks."""
+    plan = catalog.QUERIES["docs_meta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning(root" not in plan
