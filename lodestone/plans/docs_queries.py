@@ -131,9 +131,17 @@ def model_excerpt(spark, sf):
 @query(f"""{D_}, t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM docs)
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY token""")
 def postings(spark, sf):
-    tokens = docs(spark, sf).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    per_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("n_docs"))
+    whole = documents(spark, sf)
+    # A document's words are counted in it, so that only words are shuffled; ids that stand in several rows are few and are
+    # told apart by a shuffle of them.
+    several = whole.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id")
+    if not several.isEmpty():
+        tokens = docs(spark, sf).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+        return tokens.groupBy("token", "doc_id").agg(F.count("*").alias("tf")).groupBy("token").agg(F.sum("tf").alias("n"), F.count("doc_id").alias("n_docs"))
+    own = whole.select(F.flatten(F.transform(T.chunks(F.col("text")), T.tokens)).alias("all"))
+    both = own.select(F.inline(F.array(F.struct(F.lit(False).alias("once"), F.col("all").alias("words")), F.struct(F.lit(True).alias("once"), F.array_distinct("all").alias("words")))))
+    words = both.select("once", F.explode("words").alias("token"))
+    return words.groupBy("token").agg(F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("n_docs"))
 
 
 @query("""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' ' || source || ' , ''' || lang || ''' ,, c' WHEN 1 THEN ' '' , '' ' WHEN 2 THEN substr(text, 1, 80) ELSE '' END AS v FROM documents)

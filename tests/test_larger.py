@@ -61,3 +61,11 @@ def test_files_of_a_few_roots_are_not_dealt_by_root(spark):
     """Four roots would bring all texts to four tasks."""
     plan = catalog.QUERIES["docs_meta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning(root" not in plan
+
+
+def test_words_of_ids_that_repeat(spark, tmp_path):
+    rows = [(1, "a a b", "en", "s", 5), (1, "a c", "en", "s", 3), (2, "a b b", "en", "s", 5), (None, "a", "en", "s", 1), (3, None, "en", "s", 0), (4, "...", "en", "s", 3), (5, "x " * 5000, "en", "s", 10000)]
+    for k, some in (("all", rows), ("null", rows[1:]), ("single", rows[1:3] + rows[4:])):
+        assert against_sql(spark, tmp_path / k, "postings", documents=spark.createDataFrame(some, DOCUMENTS)) == ([], [])
+    plan = catalog.QUERIES["postings"](spark, f"{tmp_path}/single")._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line)  # words are counted in their document
