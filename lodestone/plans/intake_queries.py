@@ -157,14 +157,21 @@ def table_rewritten(spark, sf):
     return versions.read(spark, home).select("path", "updated", F.sha2("text", 256).alias("sha"))
 
 
+#: Rows of a micro-batch for which it has another file, and files that it has at most.
+FILE_ROWS, MOST_FILES = 100_000, 64
+
+
 def _in_parts(spark, sf, df, home, parts=4):
-    """df as files in order of time, one for each micro-batch; ends of parts are quarters of the time."""
+    """df as files in order of time, equally many for each micro-batch; ends of parts are quarters of the time."""
     span = table(spark, sf, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     step = (span["b"] - span["a"]) / parts
-    for k in range(parts):
-        inside = (F.col("ts") >= F.lit(span["a"] + k * step)) & ((F.col("ts") < F.lit(span["a"] + (k + 1) * step)) if k < parts - 1 else F.lit(True))
-        df.where(inside).drop("ts").coalesce(1).write.parquet(f"{home}/part-{k}")
-    return spark.readStream.schema(df.drop("ts").schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(home)
+    inside = [(F.col("ts") >= F.lit(span["a"] + k * step)) & ((F.col("ts") < F.lit(span["a"] + (k + 1) * step)) if k < parts - 1 else F.lit(True)) for k in range(parts)]
+    sizes = df.agg(*[F.count_if(part).alias(f"n{k}") for k, part in enumerate(inside)]).first()
+    files = max(1, min(MOST_FILES, min(sizes) // FILE_ROWS))  # dealt in turn, so many rows leave none of them empty
+    for k, part in enumerate(inside):
+        rows = df.where(part).drop("ts")
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{home}/part-{k}")
+    return spark.readStream.schema(df.drop("ts").schema).option("maxFilesPerTrigger", str(files)).option("recursiveFileLookup", "true").parquet(home)
 
 
 QUIET = 6 * 3600

@@ -48,17 +48,16 @@ class Quiet(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "size long, mtime long, since long, changes long")
 
-    def _plan(self, since: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(_timer(since + self.quiet))
+    def _due(self, held: tuple) -> int:
+        """An open entry's only timer, which needn't be asked for: every call of the store is a message to the JVM."""
+        return _timer(held[2] + self.quiet)
 
     def _ready(self, entry: int, held: tuple) -> Row:
         return Row(entry=entry, since=_moment(held[2]), changes=held[3], ready=_moment(held[2] + self.quiet))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        held = tuple(self.open.get()) if self.open.exists() else None
-        before = held
+        found = self.open.get()
+        before = held = None if found is None else tuple(found)
         for row in sorted(rows, key=lambda r: (r.seen, r.size is not None, r.size or 0, r.mtime or 0)):
             seen = _us(row.seen)
             if held and seen - held[2] >= self.quiet:
@@ -68,18 +67,21 @@ class Quiet(StatefulProcessor):
                 held = None
             elif not held or (row.size, row.mtime) != held[:2]:
                 held = (row.size, row.mtime, seen, held[3] + 1 if held else 1)
+        if held == before:
+            return
+        if before and (held is None or self._due(held) != self._due(before)):
+            self.handle.deleteTimer(self._due(before))
         if held is None:
-            if before:
-                self.open.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        elif held != before:
-            self.open.update(held)
-            self._plan(held[2])
+            self.open.clear()
+            return
+        self.open.update(held)
+        if not before or self._due(held) != self._due(before):
+            self.handle.registerTimer(self._due(held))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.open.exists():
-            held = tuple(self.open.get())
+        found = self.open.get()
+        if found is not None:
+            held = tuple(found)
             if held[2] + self.quiet <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
                 yield self._ready(key[0], held)
                 self.open.clear()

@@ -69,3 +69,18 @@ def test_words_of_ids_that_repeat(spark, tmp_path):
         assert against_sql(spark, tmp_path / k, "postings", documents=spark.createDataFrame(some, DOCUMENTS)) == ([], [])
     plan = catalog.QUERIES["postings"](spark, f"{tmp_path}/single")._jdf.queryExecution().executedPlan().toString()
     assert "doc_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line)  # words are counted in their document
+
+
+def test_parts_of_a_stream_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from lodestone.plans import intake_queries
+
+    monkeypatch.setattr(intake_queries, "FILE_ROWS", 500)
+    events = spark.range(9000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 601).cast("timestamp_ntz").alias("ts"), (F.col("id") * 7 % 130).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+        F.lit("{}").alias("props"),
+    )
+    homes, asked = [], intake_queries._in_parts
+    monkeypatch.setattr(intake_queries, "_in_parts", lambda *a: homes.append(a[3]) or asked(*a))
+    assert against_sql(spark, tmp_path, "stream_ready", events=events) == ([], [])
+    files = [r[0] for r in spark.read.option("recursiveFileLookup", "true").parquet(homes[0]).select(F.input_file_name()).distinct().collect()]
+    assert sorted(f.split("/")[-2] for f in files) == [f"part-{k}" for k in range(4) for _ in range(4)]
