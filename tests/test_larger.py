@@ -84,3 +84,19 @@ def test_parts_of_a_stream_are_written_by_several_tasks(spark, tmp_path, monkeyp
     assert against_sql(spark, tmp_path, "stream_ready", events=events) == ([], [])
     files = [r[0] for r in spark.read.option("recursiveFileLookup", "true").parquet(homes[0]).select(F.input_file_name()).distinct().collect()]
     assert sorted(f.split("/")[-2] for f in files) == [f"part-{k}" for k in range(4) for _ in range(4)]
+
+
+def test_partial_fingerprints_are_simhashes_of_the_least_hashes():
+    from lodestone.llm import wide
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 500):
+        hashes = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        want = []
+        for band in range(wide.BANDS):
+            some = [h for h in hashes.tolist() if h >> 60 == band][: wide.LEAST]
+            mixed = wide._mixed(np.array(some, np.uint64)).tolist()
+            if some:
+                want.append(band << 59 | sum((2 * sum(m >> bit & 1 for m in mixed) > len(some)) << bit for bit in range(64)) >> 5)
+        assert wide.partial_keys(hashes) == want
+    assert wide.partial_keys(np.empty(0, np.uint64)) == [0]
