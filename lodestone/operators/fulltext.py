@@ -1,13 +1,15 @@
 """A stored full-text index that is kept up: segments that never change, deletions beside them, merges, and exact search that
 reads only where the best rows can be.
 
-    home/segments/<id>/postings   term, range, n, max_tf, min_size, slots, tfs, sizes: the chunks of a range that hold a term, and what
-                                  these can score at most; in folders by a hash of the term, sorted by term and range
+    home/segments/<id>/postings   term, range, n, max_tf, min_size, held: the chunks of a range that hold a term (slot, frequency and
+                                  size of each, as 32-bit integers), and what these can score at most; in folders by a hash of
+                                  the term, sorted by term and range
     home/segments/<id>/chunks     range, slot, path, chunk, size; a slot is a chunk's place in its range
     home/deleted/<id>/            segment, range, slot, path, chunk, size of deleted chunks
     home/commits/<n>              the segments and deletions of version n, made only if it isn't there yet
 
-``append`` adds a segment, ``delete`` names the chunks of paths, ``merge`` writes one segment without them. Readers take the
+``append`` adds a segment, ``delete`` names the chunks of paths, ``merge`` writes one segment without them. What's appended is
+written in one pass, where it's read, so that each folder has a file for each task; a merge shuffles them together. Readers take the
 newest commit, so a writer that dies leaves nothing that anyone sees, and two writers from one version can't both succeed.
 
 ``best`` is the same as over a fresh index of what's there. Document frequencies, the number of chunks and their mean size are
@@ -32,14 +34,15 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.search import CANDIDATES, K1, B
-from lodestone.session import removed, ship_package, write_bytes
+from lodestone.session import materialised, moved, ship_package, write_bytes
 
 #: Folders of a segment's postings, and chunks of a range.
 BUCKETS = 64
 RANGE = 64
+#: The folder of rows that are no postings, while a segment is written.
+NO_TERM = -1
 CHUNKS = "range long, slot int, path string, chunk int, size double"
-LISTS = "slots array<int>, tfs array<int>, sizes array<int>"
-POSTINGS = f"term string, range long, n long, max_tf double, min_size double, {LISTS}"
+POSTINGS = "term string, range long, n long, max_tf double, min_size double, held binary"
 KEY = f"segment string, {CHUNKS}"
 
 
@@ -51,45 +54,92 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _foldered(rows: DataFrame, path: str) -> None:
+    rows.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(path)
+
+
 def words_of(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
+def _bytes(ends: np.ndarray, entries: np.ndarray) -> pa.Array:
+    """Rows of three 32-bit integers as binary values, which end at the given numbers of rows (the first: 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 12).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(entries, np.dtype("<i4")))])
+
+
+def _entries(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of entries of each value, and all entries."""
+    n = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 12
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+    return n, np.frombuffer(held.buffers()[2], np.dtype("<i4"), (ends[-1] - ends[0]) // 4, ends[0]).reshape(-1, 3)
+
+
 def _listed(width: int):
-    """id, path, chunk, tokens -> a row for each term of a range, with lists, and a row without a term for each chunk."""
+    """id, path, chunk, tokens -> a row for each term of a range, and a row without a term for each chunk."""
+    names = ["term", "range", "n", "max_tf", "min_size", "held", "slot", "path", "chunk", "size"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.float64()]
+
+    def rows(count: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(count, t) if given.get(c) is None else pa.array(given[c], t) if isinstance(given[c], np.ndarray) else given[c].cast(t) for c, t in zip(names, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["term", "range", "slots", "tfs", "sizes", "path", "chunk"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
             ranges, slots = ids // width, (ids % width).astype(np.int32)
             size = pc.list_value_length(batch.column(3)).to_numpy().astype(np.int32)
-            single = np.arange(len(ids) + 1, dtype=np.int32)
-            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(ids), pa.string()), pa.array(ranges), lists(single, slots), pa.nulls(len(ids), pa.list_(pa.int32())), lists(single, size), batch.column(1), batch.column(2)], names
-            )
+            yield rows(len(ids), range=ranges, slot=slots, path=batch.column(1), chunk=batch.column(2), size=size.astype(np.float64))
             held = batch.column(3).flatten().dictionary_encode()
             if not len(held):
                 continue
             pairs, tf = np.unique(held.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), size), return_counts=True)
             code, row = pairs // len(ids), pairs % len(ids)
-            new = np.r_[True, (code[1:] != code[:-1]) | (ranges[row[1:]] != ranges[row[:-1]])]
-            start = np.flatnonzero(new)
-            ends = np.r_[start, len(pairs)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    held.dictionary.cast(pa.string()).take(pa.array(code[start])), pa.array(ranges[row[start]]), lists(ends, slots[row]), lists(ends, tf), lists(ends, size[row]),
-                    pa.nulls(len(start), pa.string()), pa.nulls(len(start), pa.int32()),
-                ],
-                names,
+            start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (ranges[row[1:]] != ranges[row[:-1]])])
+            ends = np.r_[start, len(pairs)]
+            yield rows(
+                len(start), term=held.dictionary.take(pa.array(code[start])), range=ranges[row[start]], n=np.diff(ends), max_tf=np.maximum.reduceat(tf, start).astype(np.float64),
+                min_size=np.minimum.reduceat(size[row], start).astype(np.float64), held=_bytes(ends, np.column_stack([slots[row], tf, size[row]])),
             )
 
     return run
 
 
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings and the deleted slots of their ranges (gone, or null) -> what's left of them."""
+    names = ["term", "range", "n", "max_tf", "min_size", "held"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, entries = _entries(batch.column("held"))
+        row, gone = np.repeat(np.arange(len(n)), n), batch.column("gone")
+        off = np.repeat(np.arange(len(n)), pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))
+        slots = gone.flatten().to_numpy(zero_copy_only=False)
+        dead = np.zeros((len(n), 1 + max(entries[:, 0].max(initial=0), slots.max(initial=0))), bool)
+        dead[off, slots] = True
+        keep = ~dead[row, entries[:, 0]]
+        row, entries = row[keep], entries[keep]
+        if not len(row):
+            continue
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        ends, some = np.r_[start, len(row)], pa.array(row[start])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("term").take(some), batch.column("range").take(some), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(entries[:, 1], start).astype(np.float64)),
+                pa.array(np.minimum.reduceat(entries[:, 2], start).astype(np.float64)), _bytes(ends, entries),
+            ],
+            names,
+        )
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """segment, range, term, held -> a row for each entry."""
+    for batch in batches:
+        n, entries = _entries(batch.column("held")) if batch.num_rows else (np.empty(0, np.int64), np.empty((0, 3), np.int32))
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in ("segment", "range", "term")], *[pa.array(np.ascontiguousarray(entries[:, k])) for k in range(3)]], ["segment", "range", "term", "slot", "tf", "size"])
+
+
 @dataclass
 class Version:
     number: int
@@ -127,34 +177,18 @@ class FullText:
 
     # ------------------------------------------------------------ writing
 
-    def _written(self, lists: DataFrame, chunks: DataFrame) -> str:
-        """A segment of lists (term, range, slots, tfs, sizes) and chunks (range, slot, path, chunk, size)."""
-        name = uuid.uuid4().hex
-        place = f"{self.home}/segments/{name}"
-        chunks.write.parquet(f"{place}/chunks")
-        # A term's postings are dealt by range, so that a word that stands everywhere is in no single task.
-        dealt = lists.repartition(_bucket(F.col("term")), F.pmod(F.xxhash64("range"), F.lit(16)))
-        whole = dealt.select(
-            "term", "range", F.size("slots").cast("long").alias("n"), F.array_max("tfs").cast("double").alias("max_tf"), F.array_min("sizes").cast("double").alias("min_size"),
-            "slots", "tfs", "sizes", _bucket(F.col("term")).alias("bucket"),
-        )
-        whole.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{place}/postings")
-        return name
-
     def append(self, docs: DataFrame) -> int:
         """Index chunks (path, chunk, text); chunks of a path that's indexed already come beside the old ones."""
         before = self.current()
         ship_package(self.spark)
         tokens = F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))
         cut = docs.select(F.monotonically_increasing_id().alias("id"), "path", F.col("chunk").cast("int").alias("chunk"), tokens.alias("t"))
-        # What a term has in a range is put together where its chunks are read: rows of lists are shuffled, not of postings.
-        listed = cut.mapInArrow(_listed(self.width), f"term string, range long, {LISTS}, path string, chunk int")
-        stored = f"{self.home}/drafts/{uuid.uuid4().hex}"
-        listed.write.parquet(stored)  # ranges are handed out once
-        drafts = self.spark.read.schema(listed.schema).parquet(stored)
-        chunks = drafts.where("term is null").select("range", F.get("slots", F.lit(0)).alias("slot"), "path", "chunk", F.get("sizes", F.lit(0)).cast("double").alias("size"))
-        name = self._written(drafts.where("term is not null").drop("path", "chunk"), chunks)
-        removed(self.spark, stored)
+        # What a term has in a range is put together, sorted and written where its chunks are read; ranges are handed out once.
+        listed = cut.mapInArrow(_listed(self.width), f"{POSTINGS}, slot int, path string, chunk int, size double")
+        name = uuid.uuid4().hex
+        place = f"{self.home}/segments/{name}"
+        _foldered(listed.withColumn("bucket", F.when(F.col("term").isNull(), NO_TERM).otherwise(_bucket(F.col("term")))), f"{place}/postings")
+        moved(self.spark, f"{place}/postings/bucket={NO_TERM}", f"{place}/chunks")
         return self._commit(before, [*before.segments, name], before.deleted)
 
     def delete(self, paths: DataFrame) -> int:
@@ -168,34 +202,41 @@ class FullText:
     def merge(self) -> int:
         """One segment of all live chunks, in place of all segments and deletions."""
         before = self.current()
-        chunks = self._read(before, "chunks", CHUNKS)
+        ship_package(self.spark)
         # Ranges of several segments are laid behind each other.
-        ends = {r["segment"]: r["end"] for r in chunks.groupBy("segment").agg((F.max("range") + 1).alias("end")).collect()}  # a row for each segment
-        first, at = {}, 0
+        found = self._read(before, "chunks", CHUNKS).groupBy("segment").agg((F.max("range") + 1).alias("end")).collect()  # a row for each segment
+        ends, first, at = {r["segment"]: r["end"] for r in found}, {}, 0
         for segment in before.segments:
             first[segment], at = at, at + ends.get(segment, 0)
-        place = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if first else F.lit(None).cast("map<string,bigint>")
-        ranged = lambda df: df.withColumn("range", F.col("range") + F.element_at(place, F.col("segment"))).drop("segment")
-        lists = self._read(before, "postings", POSTINGS).select("segment", "term", "range", "slots", "tfs", "sizes")
+        lists, chunks = self._read(before, "postings", POSTINGS, first=first).drop("segment"), self._read(before, "chunks", CHUNKS, first=first).drop("segment")
         if before.deleted:
-            gone = self._deleted(before).groupBy("segment", "range").agg(F.collect_set("slot").alias("gone"))  # a range's slots at most
-            entries = F.arrays_zip("slots", "tfs", "sizes")
-            left = F.when(F.col("gone").isNull(), entries).otherwise(F.filter(entries, lambda x: ~F.array_contains("gone", x["slots"])))
-            lists = lists.join(gone, ["segment", "range"], "left").select("segment", "term", "range", left.alias("left")).where(F.size("left") > 0)
-            lists = lists.select("segment", "term", "range", *[F.col(f"left.{c}").alias(c) for c in ("slots", "tfs", "sizes")])
-        name = self._written(ranged(lists), ranged(self._live_chunks(before)))
+            starts = self.spark.createDataFrame(list(first.items()), "segment string, first long")
+            gone = self._deleted(before).join(F.broadcast(starts), "segment").select((F.col("range") + F.col("first")).alias("range"), "slot")  # a row for each segment
+            chunks = chunks.join(gone, ["range", "slot"], "left_anti")
+            # A table whose size is known: a small one is broadcast, and the postings aren't shuffled for it.
+            slots = materialised(gone.groupBy("range").agg(F.collect_set("slot").alias("gone")), "gone")  # a range's slots at most
+            lists = lists.join(slots, "range", "left")
+            lists = lists.select(*[c.split()[0] for c in POSTINGS.split(", ")], "gone").mapInArrow(_left, POSTINGS)
+        name = uuid.uuid4().hex
+        place = f"{self.home}/segments/{name}"
+        chunks.write.parquet(f"{place}/chunks")
+        # A term's postings are dealt by range, so that a word that stands everywhere is in no single task.
+        dealt = lists.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(16)))
+        _foldered(dealt, f"{place}/postings")
         return self._commit(before, [name], [])
 
     # ------------------------------------------------------------ reading
 
-    def _read(self, version: Version, part: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """A part of all segments, with the segment."""
+    def _read(self, version: Version, part: str, schema: str, buckets: list[int] | None = None, first: dict[str, int] | None = None) -> DataFrame:
+        """A part of all segments, with the segment; its ranges begin with its first one, if these are given."""
         out = None
         for name in version.segments:
             rows = self.spark.read.schema(f"{schema}, bucket int" if part != "chunks" else schema).parquet(f"{self.home}/segments/{name}/{part}")
             if buckets is not None:
                 rows = rows.where(F.col("bucket").isin(buckets))
             rows = rows.drop("bucket").withColumn("segment", F.lit(name))
+            if first is not None:
+                rows = rows.withColumn("range", F.col("range") + F.lit(first[name]))
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], f"{schema}, segment string")
 
@@ -220,10 +261,11 @@ class FullText:
         none = spark.createDataFrame([], "path string, chunk int, bm25 double"), {"postings": 0, "read": 0}
         if not words or not version.segments:
             return none
+        ship_package(spark)
         asked = spark.createDataFrame([(w,) for w in words], "term string")
         buckets = [r["b"] for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # a word has one
         postings = self._postings(version, words, buckets)
-        single = lambda df: df.select("segment", "range", "term", F.inline(F.arrays_zip("slots", "tfs", "sizes"))).withColumnsRenamed({"slots": "slot", "tfs": "tf", "sizes": "size"})
+        single = lambda df: df.select("segment", "range", "term", "held").mapInArrow(_single, "segment string, range long, term string, slot int, tf int, size int")
         # A range that was read in two batches has two rows for a term.
         bounds = postings.groupBy("segment", "term", "range").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_size").alias("min_size"))
         totals = self._read(version, "chunks", CHUNKS).agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()

@@ -11,7 +11,7 @@ from lodestone.operators import ivf as I
 from lodestone.operators import search as S
 from lodestone.plans.registry import query, values
 from lodestone.session import scratch_path, table
-from lodestone.sources.docs import DOCS_SQL, docs
+from lodestone.sources.docs import DOCS_SQL, docs, documents
 
 TODAY = 20260831
 WORDS = "the of and"
@@ -79,13 +79,13 @@ def fulltext_index(spark, sf):
 @query(full("kept", 10, ", kept AS (SELECT * FROM docs WHERE doc_id % 5 <> 2)") + " SELECT path, chunk, bm25 FROM fts")
 def fulltext_upkeep(spark, sf):
     """The index after two appends, a deletion, a merge and another deletion: as a fresh one of what's left."""
-    d = docs(spark, sf)
+    d, paths = docs(spark, sf), documents(spark, sf).select("doc_id", "path")  # no text is cut for its path
     index = fulltext.FullText(spark, scratch_path(spark, "fulltext"))
     index.append(d.where("doc_id % 3 = 0"))
     index.append(d.where("doc_id % 3 > 0"))
-    index.delete(d.where("doc_id % 10 = 2").select("path"))
+    index.delete(paths.where("doc_id % 10 = 2"))
     index.merge()
-    index.delete(d.where("doc_id % 10 = 7").select("path"))
+    index.delete(paths.where("doc_id % 10 = 7"))
     return index.best(WORDS)
 
 

@@ -88,6 +88,17 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """A folder gets another place, which is empty if it wasn't there."""
+    sc = spark.sparkContext
+    place, there = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        files.mkdirs(there)
+    elif not files.rename(place, there):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it has run: the tables that it wrote take their place."""

@@ -57,6 +57,29 @@ def test_a_term_has_a_row_for_a_range_through_merges(spark, tmp_path):
     assert index.best("the w", 30).collect() == fresh.best("the w", 30).collect()
 
 
+def test_postings_are_written_where_their_chunks_are_read_and_merged_exactly(spark, tmp_path):
+    index = FullText(spark, f"file://{tmp_path}/index", width=4)
+    text = lambda k: "" if k == 5 else "the " * (1 + k % 5) + f"w{k % 3} " * (k % 7)
+    frame = lambda keys: spark.createDataFrame([(f"p{k:03}", 0, text(k)) for k in keys], "path string, chunk int, text string").coalesce(1)
+    index.append(frame(range(20)))
+    index.append(frame(range(20, 50)))
+    index.append(frame([5]))  # no words
+    assert not (tmp_path / "index" / "drafts").exists()  # what's read is written once
+    gone = {0, 1, 2, 3, 9, 21, 26}  # a whole range, and parts
+    index.delete(spark.createDataFrame([(f"p{k:03}",) for k in gone], "path string"))
+    index.merge()
+    rows = spark.read.parquet(f"{index.home}/segments/{index.current().segments[0]}/postings").collect()
+    want = {}
+    for k in range(50):
+        for word in {} if k in gone else set(text(k).split()):
+            want.setdefault((word, k // 4), []).append((k % 4, text(k).split().count(word), len(text(k).split())))
+    got = {(r.term, r.range): sorted(map(tuple, np.frombuffer(r.held, "<i4").reshape(-1, 3).tolist())) for r in rows}
+    assert got == {key: sorted(held) for key, held in want.items()}
+    for r in rows:
+        held = want[r.term, r.range]
+        assert (r.n, r.max_tf, r.min_size) == (len(held), max(h[1] for h in held), min(h[2] for h in held))
+
+
 def test_files_of_a_few_roots_are_not_dealt_by_root(spark):
     """Four roots would bring all texts to four tasks."""
     plan = catalog.QUERIES["docs_meta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
