@@ -123,3 +123,20 @@ def test_partial_fingerprints_are_simhashes_of_the_least_hashes():
                 want.append(band << 59 | sum((2 * sum(m >> bit & 1 for m in mixed) > len(some)) << bit for bit in range(64)) >> 5)
         assert wide.partial_keys(hashes) == want
     assert wide.partial_keys(np.empty(0, np.uint64)) == [0]
+
+
+def test_chains_of_repeats_take_a_round_for_each_block(spark, monkeypatch):
+    from lodestone.operators import repeats
+    from tests.test_intake_tables import folded, repeated
+
+    tables, write = [], repeats.materialised
+    monkeypatch.setattr(repeats, "materialised", lambda df, label: tables.append(label) or write(df, label))
+    chain = [("c", f"{k:04}", f"s{k // 2}", f"m{(k + 1) // 2}", None) for k in range(400)]
+    got = repeated(spark, chain, rounds=10**6)
+    assert got == folded(chain) and [r[2] for r in got] == [k % 2 == 0 for k in range(400)]
+    assert tables.count("judged") <= 3  # rows come from three tasks of one partition each; 200 rounds when each settled two files
+    rng = np.random.default_rng(7)
+    pick = lambda kind, n: None if rng.random() < 0.3 else f"{kind}{rng.integers(n)}"
+    rows = [(f"b{rng.integers(2)}", f"{k:04}", pick("s", 90), pick("m", 90), pick("f", 60)) for k in range(200)] + [("b0", f"{k:04}x", "hot", None, "hot") for k in range(0, 200, 3)]
+    monkeypatch.setattr(repeats, "BLOCK", 7)
+    assert repeated(spark, rows, rounds=10**6) == folded(rows)
